@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from turnstile.operators.gold import gold_facts
-from turnstile.operators.quality import between, enforce, more_rows_than, not_null, quarantine, run_checks
+from turnstile.operators.quality import Check, between, enforce, more_rows_than, not_null, quarantine, run_checks
 from turnstile.operators.silver import silver_facts
 from turnstile.plans import transit
 from turnstile.session import work_path
 from turnstile.sources.tables import overwrite_partitions, read_dimension, read_table
 
-SILVER_CHECKS = (not_null("h3"), between("active_trips", low=0))
+
+def silver_checks() -> list[Check]:
+    return [not_null("h3"), between("active_trips", low=0)]
 
 
 def build_silver(
@@ -54,9 +56,9 @@ def run_silver(spark: SparkSession, root: str, *, on_fail: str = "raise", **opti
     build_silver(spark, root, **options).write.parquet(staged)
     rows = spark.read.parquet(staged)
     if on_fail == "raise":
-        enforce(run_checks(rows, "silver", SILVER_CHECKS))
+        enforce(run_checks(rows, "silver", silver_checks()))
     else:
-        rows, bad = quarantine(rows, SILVER_CHECKS)
+        rows, bad = quarantine(rows, silver_checks())
         overwrite_partitions(bad, f"{root}/quarantine/silver", ["date"])
     overwrite_partitions(rows, transit.silver_path(root), ["date"])
     return transit.silver_path(root)

@@ -39,6 +39,7 @@ def write_messages(
         (
             bronze_rows(good, epoch)
             .withColumn("batch_id", batch)
+            .hint("rebalance", "date", "hour")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("date", "hour", "batch_id")
