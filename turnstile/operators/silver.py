@@ -56,7 +56,7 @@ def stop_pairs(stop_times: DataFrame) -> DataFrame:
         timed,
         ["trip_id"],
         ["stop_sequence", "stop_id"],
-        F.floor(F.coalesce("stop_sequence", F.lit(0)) / STOP_SEQUENCE_SLICE).cast("long"),
+        F.floor(F.col("stop_sequence") / STOP_SEQUENCE_SLICE).cast("long"),
         "stop_id",
         "dest_stop",
     )
