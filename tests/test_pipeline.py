@@ -170,7 +170,7 @@ def silver_series(spark, minutes):
 
 def test_row_and_minute_labels_differ_over_gaps(spark):
     silver = silver_series(spark, [0, 1, 2, 5, 6])
-    by_rows = gold_facts(silver, horizons=[1, 3], block_rows=2)
+    by_rows = gold_facts(silver, horizons=[1, 3], rows_per_slice=2)
     by_minutes = gold_facts(silver, horizons=[1, 3], label_mode="minutes")
 
     def labels(df, horizon):

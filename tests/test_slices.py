@@ -6,11 +6,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from turnstile.functions.times import time_slice
-from turnstile.operators.dataset import add_time_index, encoder_windows, min_encoder_rows, ordered_split
-from turnstile.operators.gold import exact_group_quantiles, group_quantiles, rolling_stats
+from turnstile.operators.dataset import add_time_index, encoder_windows, min_encoder_rows, ordered_cutoff, ordered_split
+from turnstile.operators.gold import exact_group_quantiles, group_quantiles, rolling_stats, row_labels
 from turnstile.operators.joins import next_in_sequence
-from turnstile.operators.slices import over_blocks, positions, running_totals
+from turnstile.operators.slices import positions, sliced_window
 
 
 def series(spark, n=400, seed=1, span=3000):
@@ -23,52 +22,89 @@ def series(spark, n=400, seed=1, span=3000):
     return spark.createDataFrame(data, "k string, t long, id long, v long")
 
 
-@pytest.mark.parametrize("width", [7, 100, 10_000])
+SLICES = [5, 40, 10**6]  # many hot keys, some, none
+
+
+@pytest.mark.parametrize("per_slice", SLICES)
 @pytest.mark.parametrize("ties", [True, False])
-def test_running_totals(spark, rows, width, ties):
+def test_totals(spark, rows, per_slice, ties):
     df = series(spark)
     order = ["t"] if ties else ["t", "id"]
     window = Window.partitionBy("k").orderBy(*order)
     window = (window.rangeBetween if ties else window.rowsBetween)(Window.unboundedPreceding, 0)
-    got = running_totals(df.withColumn("s", time_slice(F.col("t"), width)), ["k"], "s", order, {"total": F.col("v")}, ties=ties)
+    got = sliced_window(df, ["k"], order, totals={"total": F.col("v")}, ties=ties, rows_per_slice=per_slice)
     want = df.withColumn("total", F.sum("v").over(window))
+    assert got.columns == want.columns
     assert rows(got, "k", "id", "total") == rows(want, "k", "id", "total")
 
 
-def test_running_totals_without_key(spark, rows):
+@pytest.mark.parametrize("per_slice", SLICES)
+def test_positions_without_key(spark, rows, per_slice):
     df = series(spark, 100)
-    got = positions(df.withColumn("s", time_slice(F.col("t"), 50)), [], "s", ["t", "id"])
+    got = positions(df, [], ["t", "id"], rows_per_slice=per_slice)
     want = df.withColumn("position", F.row_number().over(Window.orderBy("t", "id")))
     assert rows(got, "id", "position") == rows(want, "id", "position")
 
 
-@pytest.mark.parametrize("block", [1, 3, 8, 1000])
-def test_over_blocks(spark, rows, block):
-    df = positions(series(spark).withColumn("s", time_slice(F.col("t"), 60)), ["k"], "s", ["t", "id"])
+@pytest.mark.parametrize("per_slice", [2, *SLICES])
+@pytest.mark.parametrize("span", [1, 30, 3000])
+def test_near_rows(spark, rows, per_slice, span):
+    """Narrow spans give many ties, and slices with fewer rows than the reach."""
+    df = series(spark, 200, span=span)
     plain = Window.partitionBy("k").orderBy("t", "id")
 
     def columns(w):
-        return {"next5": F.lead("v", 5).over(w), "last3": F.sum("v").over(w.rowsBetween(-3, -1))}
+        return {"next5": F.lead("v", 5).over(w), "last3": F.sum("v").over(w.rowsBetween(-3, -1)), "prev": F.lag("id").over(w)}
+
+    got = sliced_window(df, ["k"], ["t", "id"], near=columns, before=3, after=5, rows_per_slice=per_slice)
+    assert rows(got, "k", "id", "next5", "last3", "prev") == rows(df.withColumns(columns(plain)), "k", "id", "next5", "last3", "prev")
+
+
+@pytest.mark.parametrize("per_slice", SLICES)
+def test_totals_see_rows_that_near_columns_skip(spark, rows, per_slice):
+    df = series(spark, 150)
+    odd = F.col("id") % 2 == 1
+    got = sliced_window(
+        df,
+        ["k"],
+        ["t", "id"],
+        totals={"total": F.col("v")},
+        ties=False,
+        keep=odd,
+        near=lambda w: {"nxt": F.lead("id", 2).over(w)},
+        after=2,
+        rows_per_slice=per_slice,
+    )
+    plain = Window.partitionBy("k").orderBy("t", "id")
+    want = df.withColumn("total", F.sum("v").over(plain.rowsBetween(Window.unboundedPreceding, 0))).filter(odd)
+    want = want.withColumn("nxt", F.lead("id", 2).over(plain))
+    assert rows(got, "k", "id", "total", "nxt") == rows(want, "k", "id", "total", "nxt")
+
 
-    got = over_blocks(df, ["k"], "position", columns, before=3, after=5, block_rows=block)
-    assert rows(got, "k", "id", "next5", "last3") == rows(df.withColumns(columns(plain)), "k", "id", "next5", "last3")
+def test_order_columns_of_other_types(spark, rows):
+    df = series(spark, 120, span=40).withColumn("d", F.when(F.col("id") % 9 != 0, F.date_add(F.lit("2024-01-01"), F.col("t").cast("int"))))
+    df = df.withColumn("x", F.col("t") / 64)
+    for first in ("d", "x"):
+        got = positions(df, ["k"], [first, "id"], rows_per_slice=10)
+        want = df.withColumn("position", F.row_number().over(Window.partitionBy("k").orderBy(first, "id")))
+        assert rows(got, "id", "position") == rows(want, "id", "position")
 
 
 @pytest.mark.parametrize("drop_last", [True, False])
 def test_next_in_sequence(spark, rows, drop_last):
     df = series(spark, 120)
-    got = next_in_sequence(df, ["k"], ["t", "id"], time_slice(F.col("t"), 40), "v", "nxt", drop_last=drop_last, block_rows=4)
+    got = next_in_sequence(df, ["k"], ["t", "id"], "v", "nxt", drop_last=drop_last, rows_per_slice=10)
     want = df.withColumn("nxt", F.lead("v").over(Window.partitionBy("k").orderBy("t", "id")))
     want = want.filter("nxt is not null") if drop_last else want
     assert rows(got, "k", "id", "nxt") == rows(want, "k", "id", "nxt")
 
 
-@pytest.mark.parametrize("width", [10, 86400])
-def test_rolling_stats_equal_sliding_frame(spark, width):
+@pytest.mark.parametrize("per_slice", SLICES)
+def test_rolling_stats_equal_sliding_frame(spark, per_slice):
     df = series(spark).withColumn("x", F.when(F.col("id") % 7 != 0, F.col("v") / 8)).withColumn("ts", F.timestamp_seconds("t"))
     frame = Window.partitionBy("k").orderBy("t").rangeBetween(-300, 0)
     want = df.withColumns({"m": F.avg("x").over(frame), "s": F.stddev_pop("x").over(frame)})
-    got = rolling_stats(df, ["k"], "ts", "x", window_seconds=300, mean="m", std="s", slice_seconds=width)
+    got = rolling_stats(df, ["k"], "ts", "x", window_seconds=300, mean="m", std="s", rows_per_slice=per_slice)
     left = {r["id"]: r for r in got.collect()}
     assert len(left) == df.count() == got.count()
     for r in want.collect():
@@ -77,6 +113,14 @@ def test_rolling_stats_equal_sliding_frame(spark, width):
         assert mine["s"] == pytest.approx(r["s"], abs=1e-6) if r["s"] is not None else mine["s"] is None
 
 
+@pytest.mark.parametrize("per_slice", SLICES)
+def test_labels_on_the_rolling_pass(spark, rows, per_slice):
+    df = series(spark).dropDuplicates(["k", "t"]).withColumn("ts", F.timestamp_seconds("t")).withColumn("x", F.col("v") / 8)
+    want = row_labels(df, ["k"], ["t"], "x", [1, 30])
+    got = rolling_stats(df, ["k"], "ts", "x", window_seconds=300, labels={"label_1": 1, "label_30": 30}, rows_per_slice=per_slice)
+    assert rows(got, "k", "id", "label_1", "label_30") == rows(want, "k", "id", "label_1", "label_30")
+
+
 def test_rolling_window_ends_are_inclusive(spark):
     data = [("a", 0, 1.0), ("a", 604800, 3.0), ("a", 604801, 5.0)]
     df = spark.createDataFrame(data, "k string, t long, x double").withColumn("ts", F.timestamp_seconds("t"))
@@ -92,11 +136,11 @@ def test_rolling_stats_hold_large_values(spark):
     assert last["rolling_std_7d"] == pytest.approx(1.25**0.5, abs=1e-6)
 
 
-@pytest.mark.parametrize("width", [0.5, 100.0])
-def test_exact_quantiles(spark, rows, width):
+@pytest.mark.parametrize("per_slice", SLICES)
+def test_exact_quantiles(spark, rows, per_slice):
     df = series(spark, 300).withColumn("x", F.col("v") / 4)
     probs = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
-    got = exact_group_quantiles(df, ["k"], "x", probs, width)
+    got = exact_group_quantiles(df, ["k"], "x", probs, per_slice)
     want = group_quantiles(df, ["k"], "x", probs, 1_000_000)
     assert rows(got, "k", *probs) == rows(want, "k", *probs)
 
@@ -104,32 +148,35 @@ def test_exact_quantiles(spark, rows, width):
 def test_time_index(spark, rows):
     df = series(spark, 80, span=50).withColumn("ts", F.timestamp_seconds("t"))
     want = df.withColumn("time_idx", F.dense_rank().over(Window.orderBy("ts")) - 1)
-    got = add_time_index(df, "ts", slice_seconds=9)
+    got = add_time_index(df, "ts", rows_per_slice=9)
     assert rows(got, "id", "time_idx") == rows(want, "id", "time_idx")
     assert min_encoder_rows(got) == 16
     assert min_encoder_rows(got.filter("time_idx < 3")) == 4
     assert min_encoder_rows(got.filter("time_idx < 9")) == 9
 
 
-def test_encoder_windows(spark, rows):
+@pytest.mark.parametrize("per_slice", SLICES)
+def test_encoder_windows(spark, rows, per_slice):
     df = series(spark, 150)
-    got = encoder_windows(df, ["k"], ["t", "id"], time_slice(F.col("t"), 100), ["v"], most=16, least=4, block_rows=20)
+    got = encoder_windows(df, ["k"], ["t", "id"], ["v"], most=16, least=4, rows_per_slice=per_slice)
     w = Window.partitionBy("k").orderBy("t", "id").rowsBetween(-16, -1)
     want = df.withColumn("encoder", F.collect_list(F.struct("v")).over(w)).filter("size(encoder) >= 4")
     assert rows(got, "id", "encoder") == rows(want, "id", "encoder")
 
 
-@pytest.mark.parametrize("n", [1, 2, 5, 97])
-def test_ordered_split(spark, n):
+@pytest.mark.parametrize("n, accuracy", [(1, 10_000), (2, 10_000), (5, 10), (97, 10), (97, 10_000), (400, 100)])
+def test_ordered_split(spark, n, accuracy):
     df = series(spark, n, seed=n)
-    train, valid = ordered_split(df, ["t", "id"], time_slice(F.col("t"), 100))
-    ordered = [r["id"] for r in sorted(df.collect(), key=lambda r: (r["t"], r["id"]))]
+    cutoff = ordered_cutoff(df, ["t", "id"], 0.8, accuracy)
+    train, valid = ordered_split(df, ["t", "id"])
+    ordered = sorted((r["t"], r["id"]) for r in df.collect())
     cut = max(int(n * 0.8), 1)
-    assert {r["id"] for r in train.collect()} == set(ordered[:cut])
-    assert {r["id"] for r in valid.collect()} == set(ordered[cut:])
+    assert tuple(cutoff) == ordered[cut - 1]
+    assert {r["id"] for r in train.collect()} == {i for _, i in ordered[:cut]}
+    assert {r["id"] for r in valid.collect()} == {i for _, i in ordered[cut:]}
 
 
 def test_ordered_split_of_nothing(spark):
     empty = series(spark, 1).filter("false")
-    train, valid = ordered_split(empty, ["t", "id"], time_slice(F.col("t"), 100))
+    train, valid = ordered_split(empty, ["t", "id"])
     assert train.count() == valid.count() == 0

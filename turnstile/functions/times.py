@@ -35,7 +35,3 @@ def event_time(epoch: Column, fallback: Column) -> Column:
     """Event time from epoch seconds, else the broker's time."""
     return F.coalesce(F.timestamp_seconds(epoch), fallback)
 
-
-def time_slice(epoch: Column, seconds: int) -> Column:
-    """Number of the fixed-length slice that holds ``epoch``."""
-    return F.floor(epoch / F.lit(seconds)).cast("long")

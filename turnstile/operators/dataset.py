@@ -5,15 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.functions.times import epoch_seconds, time_slice
 from turnstile.functions.values import number_or_zero, series_id
 from turnstile.operators.curate import in_time_range, on_horizon, require_columns
 from turnstile.operators.features import FEATURES
-from turnstile.operators.gold import DAY
-from turnstile.operators.slices import BLOCK_ROWS, over_blocks, positions
+from turnstile.operators.slices import ROWS_PER_SLICE, positions, sliced_window
 
 # Series features in order of preference, and what is never one.
 SERIES_FEATURES = (
@@ -68,14 +66,14 @@ def add_series_id(df: DataFrame, *parts: str, name: str = "series_id") -> DataFr
     return df.withColumn(name, series_id(*[F.col(p) for p in parts]))
 
 
-def add_time_index(df: DataFrame, ts: str, name: str = "time_idx", slice_seconds: int = DAY) -> DataFrame:
+def add_time_index(df: DataFrame, ts: str, name: str = "time_idx", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """0-based number of the row's time among all distinct times.
 
     Only the distinct times are numbered, then joined back.
     """
     times = df.select(ts).filter(F.col(ts).isNotNull()).distinct()
-    placed = positions(times.withColumn("__slice", time_slice(epoch_seconds(F.col(ts)), slice_seconds)), [], "__slice", [ts])
-    return df.join(placed.select(ts, (F.col("position") - 1).alias(name)), on=ts, how="left")
+    placed = positions(times, [], [ts], "__position", rows_per_slice)
+    return df.join(placed.select(ts, (F.col("__position") - 1).alias(name)), on=ts, how="left")
 
 
 def min_encoder_rows(df: DataFrame, index: str = "time_idx", most: int = ENCODER_ROWS) -> int:
@@ -88,66 +86,61 @@ def encoder_windows(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    slice_by: Column,
     features: Sequence[str],
     *,
     most: int = ENCODER_ROWS,
     least: int = 4,
     name: str = "encoder",
-    block_rows: int = BLOCK_ROWS,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Add up to ``most`` feature rows before each row, oldest first.
 
     The row itself is the one-step target. Gaps in time are allowed; rows with
     fewer than ``least`` past rows are left out.
     """
-    placed = positions(df.withColumn("__slice", slice_by), keys, "__slice", order, "__position")
-    windows = over_blocks(
-        placed,
+    windows = sliced_window(
+        df,
         keys,
-        "__position",
-        lambda w: {name: F.collect_list(F.struct(*features)).over(w.rowsBetween(-most, -1))},
+        order,
+        near=lambda w: {name: F.collect_list(F.struct(*features)).over(w.rowsBetween(-most, -1))},
         before=most,
-        block_rows=block_rows,
+        rows_per_slice=rows_per_slice,
     )
-    return windows.filter(F.size(name) >= least).drop("__slice", "__position")
+    return windows.filter(F.size(name) >= least)
 
 
-def ordered_cutoff(df: DataFrame, order: Sequence[str], slice_by: Column, fraction: float = 0.8):
+def ordered_cutoff(df: DataFrame, order: Sequence[str], fraction: float = 0.8, accuracy: int = 10_000):
     """``order`` values of the last training row, or None for an empty table.
 
-    Rows are counted per slice; only the one slice that holds the cutoff is
-    sorted. Brings one row to the driver.
+    A sketch of the first order column brackets the cutoff; the rows before the
+    bracket are counted and only those inside it are numbered. One row comes to
+    the driver.
     """
-    sliced = df.withColumn("__slice", slice_by)
-    counts = sliced.groupBy("__slice").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0]
-    if not total:
+    along = F.col(order[0])
+    slack = 2.0 / accuracy
+    around = [max(fraction - slack, 0.0), min(fraction + slack, 1.0)]
+    kind = df.schema[order[0]].dataType
+    ends = df.agg(F.percentile_approx(along, around, accuracy).alias("q"), F.count("*").alias("n"))
+    first = ends.select(F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), "n").first()
+    if not first["n"]:
         return None
-    target = max(int(total * fraction), 1)
-    upto = F.sum("n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0))
-    edge = counts.withColumn("upto", upto).filter(F.col("upto") >= target).orderBy("__slice").first()
-    inside = target - (edge["upto"] - edge["n"])
-    rank = F.row_number().over(Window.partitionBy("__slice").orderBy(*order))
-    return (
-        sliced.filter(F.col("__slice").eqNullSafe(F.lit(edge["__slice"])))
-        .select("__slice", *order)
-        .withColumn("__rank", rank)
-        .filter(F.col("__rank") == inside)
-        .select(*order)
-        .first()
-    )
+    target = max(int(first["n"] * fraction), 1)
+    low, high = (F.lit(first[c]).cast(kind) for c in ("low", "high"))
+    earlier = df.filter(along < low).count()
+    inside = positions(df.filter(along.between(low, high)).select(*order), [], order, "__position")
+    found = inside.filter(F.col("__position") == target - earlier).select(*order).first()
+    if found is None:  # outside the bracket: number all rows
+        found = positions(df.select(*order), [], order, "__position").filter(F.col("__position") == target).select(*order).first()
+    return found
 
 
-def ordered_split(
-    df: DataFrame, order: Sequence[str], slice_by: Column, fraction: float = 0.8
-) -> tuple[DataFrame, DataFrame]:
+def ordered_split(df: DataFrame, order: Sequence[str], fraction: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """First ``max(int(fraction * n), 1)`` rows by ``order``, and the rest.
 
     ``order`` should be total and hold no nulls. The split itself is a filter,
     not a sort.
     """
-    last = ordered_cutoff(df, order, slice_by, fraction)
+    last = ordered_cutoff(df, order, fraction)
     if last is None:
         return df, df
     cut = F.struct(*[F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in order])

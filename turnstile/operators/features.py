@@ -101,18 +101,27 @@ def rollup_requests(
     ranked = ranked_children(children, max_combinations)
     sizes = children.groupBy("parent").agg(F.count("*").alias("size"))
 
-    parents = sizes.select("parent")
+    parents = sizes.select(F.col("parent").alias("stop"), F.lit(True).alias("is_parent"))
+    kids = children.select(F.col("child").alias("stop")).distinct()
+    # Where a stop's row goes: to its parents, and to itself unless it is a
+    # parent. Stops outside the hierarchy have no entry and go to themselves.
+    places = (
+        ranked.select(F.col("child").alias("stop"), F.col("parent").alias("station"), "rank")
+        .unionByName(kids.join(parents, on="stop", how="left_anti").select("stop", F.col("stop").alias("station"), F.lit(1).alias("rank")))
+        .unionByName(
+            parents.join(kids, on="stop", how="left_anti").select("stop", F.lit(None).cast("string").alias("station"), F.lit(0).alias("rank"))
+        )
+    )
 
     def lifted(rows: DataFrame, stop: str, rank: str) -> DataFrame:
-        """Each row under its own stop, unless that is a parent, and its parents."""
-        up = ranked.select(F.col("child").alias(stop), F.col("parent").alias("__station"), F.col("rank").alias(rank))
-        own = (
-            rows.select(stop)
-            .distinct()
-            .join(parents.withColumnRenamed("parent", stop), on=stop, how="left_anti")
-            .select(stop, F.col(stop).alias("__station"), F.lit(1).alias(rank))
+        side = places.select(F.col("stop").alias(stop), "station", F.col("rank").alias(rank))
+        lone = F.col(rank).isNull()
+        return (
+            rows.join(side, on=stop, how="left")
+            .filter(lone | F.col("station").isNotNull())
+            .withColumns({stop: F.when(lone, F.col(stop)).otherwise(F.col("station")), rank: F.coalesce(rank, F.lit(1))})
+            .drop("station")
         )
-        return rows.join(up.unionByName(own), on=stop, how="inner").drop(stop).withColumnRenamed("__station", stop)
 
     stored = lifted(lifted(snapshot.select(*keys, *features, "h3"), "origin_stop", "__o"), "dest_stop", "__d")
     matched = stored.join(wanted, on=keys, how="inner")
@@ -139,8 +148,7 @@ def lookup_with_rollup(
     names = list(DEFAULTS)
     direct = snapshot.select(*keys, F.struct(*names).alias("__direct"))
     asked = requests.join(direct, on=keys, how="left")
-    missing = asked.filter(F.col("__direct").isNull()).select(*keys)
-    rolled = rollup_requests(missing, snapshot, children, max_combinations=max_combinations)
+    rolled = rollup_requests(requests, snapshot, children, max_combinations=max_combinations)
     answered = asked.join(rolled.select(*keys, F.struct(*names).alias("__rolled")), on=keys, how="left")
     hit = F.coalesce("__direct", "__rolled")
     source = F.when(F.col("__direct").isNotNull(), "direct").when(F.col("__rolled").isNotNull(), "children").otherwise("default")

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.functions.times import epoch_seconds, time_slice
-from turnstile.operators.slices import BLOCK_ROWS, over_blocks, running_totals
+from turnstile.functions.times import epoch_seconds
+from turnstile.operators.slices import ROWS_PER_SLICE, sliced_window
 
 WEEK = 7 * 24 * 60 * 60
-DAY = 24 * 60 * 60
 
 
 def fixed_point(value: Column, digits: int) -> Column:
@@ -28,8 +27,8 @@ def rolling_stats(
     mean: str = "rolling_mean_7d",
     std: str = "rolling_std_7d",
     digits: int = 6,
-    slice_seconds: int = DAY,
-    position: str | None = None,
+    labels: dict[str, int] | None = None,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Mean and population deviation over [t - window, t], both ends included.
 
@@ -39,14 +38,13 @@ def rolling_stats(
     sum of squares. The sums are exact: values are taken to ``digits`` decimals
     as integers, so nothing drifts. Null values do not count.
 
-    With ``position`` the row number per key is added on the same pass; this
+    ``labels`` (``{name: n}``) adds the value n rows later on the same pass; it
     needs one row per key and second, as Silver has.
     """
     other = [c for c in df.columns if c not in keys]
-    scaled = fixed_point(F.col(value), digits)
     moves = (
         df.withColumn("__t", epoch_seconds(F.col(ts)))
-        .withColumn("__v", scaled)
+        .withColumn("__v", fixed_point(F.col(value), digits))
         .withColumn("__sign", F.explode(F.array(F.lit(1), F.lit(-1))))
         .filter("__sign = 1 or __v is not null")
     )
@@ -55,43 +53,53 @@ def rolling_stats(
     moves = moves.withColumns({c: F.when(entering, F.col(c)) for c in other}).withColumn(
         "__t", F.when(entering, F.col("__t")).otherwise(F.col("__t") + window_seconds + 1)
     )
-    moves = moves.withColumn("__slice", time_slice(F.col("__t"), slice_seconds))
     square = F.col("__v").cast("decimal(19,0)") * F.col("__v").cast("decimal(19,0)")
-    counted = F.when(F.col("__v").isNull(), 0).otherwise(F.col("__sign")).cast("long")
     measures = {
-        "__n": counted,
+        "__n": F.when(F.col("__v").isNull(), 0).otherwise(F.col("__sign")).cast("long"),
         "__sum": F.coalesce(F.col("__v") * F.col("__sign"), F.lit(0).cast("long")),
         "__squares": F.coalesce(square * F.col("__sign"), F.lit(0)).cast("decimal(38,0)"),
     }
-    wanted = {position: F.when(entering, 1).otherwise(0).cast("long")} if position else {}
-    rolled = running_totals(moves, keys, "__slice", ["__t"], measures | wanted).filter("__sign = 1")
+
+    def later(window):
+        return {name: F.lead(value, rows).over(window) for name, rows in labels.items()}
+
+    rolled = sliced_window(
+        moves,
+        keys,
+        ["__t"],
+        totals=measures,
+        keep=entering,
+        near=later if labels else None,
+        after=max(labels.values()) if labels else 0,
+        rows_per_slice=rows_per_slice,
+    )
     n, total = F.col("__n"), F.col("__sum")
     spread = n * F.col("__squares") - total.cast("decimal(19,0)") * total.cast("decimal(19,0)")
     scale = F.lit(10.0**digits)
     return (
         rolled.withColumn(mean, F.when(n > 0, total.cast("double") / n / scale))
         .withColumn(std, F.when(n > 0, F.sqrt(spread.cast("double")) / n / scale))
-        .drop("__t", "__v", "__sign", "__slice", *measures)
+        .drop("__t", "__v", "__sign", *measures)
     )
 
 
 def row_labels(
     df: DataFrame,
     keys: Sequence[str],
-    position: str,
+    order: Sequence[str],
     value: str,
     horizons: Sequence[int],
     prefix: str = "label_",
-    block_rows: int = BLOCK_ROWS,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Add ``{prefix}{h}``: the value h rows later in the key."""
-    return over_blocks(
+    return sliced_window(
         df,
         keys,
-        position,
-        lambda w: {f"{prefix}{h}": F.lead(value, h).over(w) for h in horizons},
+        order,
+        near=lambda w: {f"{prefix}{h}": F.lead(value, h).over(w) for h in horizons},
         after=max(horizons),
-        block_rows=block_rows,
+        rows_per_slice=rows_per_slice,
     )
 
 
@@ -136,17 +144,16 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
 
 
 def exact_group_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], slice_width: float = 1.0
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
     """Exact discrete quantiles: the least value with at least p of the rows.
 
-    Rows are first counted per (key, value); running counts over slices of the
-    value range then place each quantile, so no key is sorted in one task.
+    Rows are first counted per (key, value), map-side; running counts along the
+    values then place each quantile, hot keys slice by slice.
     """
     known = df.filter(F.col(value).isNotNull())
     counts = known.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    counts = counts.withColumn("__slice", F.floor(F.col(value) / F.lit(slice_width)).cast("long"))
-    upto = running_totals(counts, keys, "__slice", [value], {"__upto": F.col("__n")})
+    upto = sliced_window(counts, keys, [value], totals={"__upto": F.col("__n")}, rows_per_slice=rows_per_slice)
     total = known.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count("*").alias("__total"))
     met = F.lit(True)
     for k in keys:
@@ -176,8 +183,7 @@ def gold_facts(
     exact_quantiles: bool = False,
     as_of: str | None = None,
     digits: int = 6,
-    slice_seconds: int = DAY,
-    block_rows: int = BLOCK_ROWS,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """The fact table: Silver's columns, one row per horizon.
 
@@ -191,18 +197,17 @@ def gold_facts(
     probs = probs or {"hist_p50": 0.5, "hist_p90": 0.9}
     past = silver if as_of is None else silver.filter(F.col(minute) <= F.lit(as_of).cast("timestamp"))
     if exact_quantiles:
-        quantiles = exact_group_quantiles(past, keys, score, probs)
+        quantiles = exact_group_quantiles(past, keys, score, probs, rows_per_slice)
     else:
         quantiles = group_quantiles(past, keys, score, probs, accuracy)
-    by_rows = label_mode == "rows"
-    rolled = rolling_stats(
-        silver, keys, minute, score, digits=digits, slice_seconds=slice_seconds, position="__position" if by_rows else None
-    )
-    if by_rows:
-        labelled = row_labels(rolled, keys, "__position", score, horizons, "__label_", block_rows).drop("__position")
-        facts = fan_out(labelled.join(quantiles, on=keys, how="left"), {h: f"__label_{h}" for h in horizons})
+    wide = {h: f"__label_{h}" for h in horizons}
+    labels = {name: h for h, name in wide.items()} if label_mode == "rows" else None
+    rolled = rolling_stats(silver, keys, minute, score, digits=digits, labels=labels, rows_per_slice=rows_per_slice)
+    joined = rolled.join(quantiles, on=keys, how="left")
+    if label_mode == "rows":
+        facts = fan_out(joined, wide)
     elif label_mode == "minutes":
-        facts = minute_labels(rolled.join(quantiles, on=keys, how="left"), keys, minute, score, horizons)
+        facts = minute_labels(joined, keys, minute, score, horizons)
     else:
         raise ValueError(f"unknown label mode: {label_mode}")
     return facts.withColumn("date", F.to_date(minute))

@@ -9,40 +9,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnstile.functions.times import hour_of
 from turnstile.functions.values import has_prefix
-from turnstile.operators.slices import BLOCK_ROWS, over_blocks, positions
+from turnstile.operators.slices import ROWS_PER_SLICE, sliced_window
 
 
 def next_in_sequence(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    slice_by: Column,
     value: str,
     name: str,
     *,
     drop_last: bool = True,
-    block_rows: int = BLOCK_ROWS,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Add the next row's ``value`` per key; by default without each last row.
 
-    ``slice_by`` must never fall along ``order``, e.g. a day or a range of
-    sequence numbers. Sequence numbers must be numeric: as text, "10" sorts
-    before "2".
+    ``order`` should be total. Sequence numbers must be numeric: as text, "10"
+    sorts before "2".
     """
-    placed = positions(df.withColumn("__slice", slice_by), keys, "__slice", order, "__position")
-    led = over_blocks(
-        placed,
-        keys,
-        "__position",
-        lambda w: {name: F.lead(value, 1).over(w)},
-        after=1,
-        block_rows=block_rows,
-    ).drop("__slice", "__position")
+    led = sliced_window(
+        df, keys, order, near=lambda w: {name: F.lead(value, 1).over(w)}, after=1, rows_per_slice=rows_per_slice
+    )
     return led.dropna(subset=[name]) if drop_last else led
 
 

@@ -13,8 +13,6 @@ from turnstile.operators.curate import cast_numbers, fill_unknown
 from turnstile.operators.features import latest_per_key
 from turnstile.operators.joins import hourly_means, join_hourly, next_in_sequence, parent_or_self
 
-STOP_SEQUENCE_SLICE = 1000
-
 
 def crowding_score(mean_delay: Column, active: Column) -> Column:
     return F.coalesce(mean_delay, F.lit(0.0)) + active * 0.1
@@ -52,14 +50,7 @@ def keyed_means(
 def stop_pairs(stop_times: DataFrame) -> DataFrame:
     """(trip, stop, next stop) of the schedule, in numeric stop order."""
     timed = cast_numbers(stop_times.select("trip_id", "stop_id", "stop_sequence"), ["stop_sequence"], "long")
-    paired = next_in_sequence(
-        timed,
-        ["trip_id"],
-        ["stop_sequence", "stop_id"],
-        F.floor(F.col("stop_sequence") / STOP_SEQUENCE_SLICE).cast("long"),
-        "stop_id",
-        "dest_stop",
-    )
+    paired = next_in_sequence(timed, ["trip_id"], ["stop_sequence", "stop_id"], "stop_id", "dest_stop")
     return paired.select("trip_id", "stop_id", "dest_stop")
 
 

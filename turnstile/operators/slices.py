@@ -1,15 +1,18 @@
-"""Ordered calculations per key that never put a whole key into one task.
+"""Ordered calculations per key that never put a hot key into one task.
 
-A plain window by key sorts all rows of a key in one task, so one hot series
-stalls the job. Here an order-preserving *slice* column (a day of event time, a
-range of sequence numbers) cuts every key into pieces:
+A plain window by key sorts all rows of a key in one task. That is the best
+plan for ordinary keys and a stalled job for a key that holds a third of the
+table. Here the hot keys, and only they, are cut into *slices* along the first
+order column:
 
-1. add up each (key, slice): partial sums before the shuffle, tiny result;
-2. running totals of those sums per key give each slice its starting value;
-3. the starting values join the rows as one extra row per slice, and a window
-   by (key, slice) finishes the calculation.
+- one narrow aggregate finds the keys with more than ``rows_per_slice`` rows;
+- their slice numbers come from a broadcast of at most ``MAX_HOT_KEYS`` rows;
+- each slice of a hot key gets one extra row with the running totals before it,
+  and copies of the few rows just outside it that a window looks at;
+- one window by (key, slice) then finishes the work in one wide shuffle.
 
-One wide shuffle, spread over (key, slice), and no join, so null keys work.
+Ordinary keys have the one slice 0 and need no extra rows. Where no key is hot,
+AQE sees the empty broadcast and drops the extra branches.
 """
 
 from __future__ import annotations
@@ -18,81 +21,152 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows per block when a window looks a fixed number of rows back or ahead.
-BLOCK_ROWS = 100_000
+ROWS_PER_SLICE = 1_000_000
+# Bound on what is broadcast. The largest keys come first, so a key left whole
+# holds at most 1/100,000 of the rows. Results do not depend on it.
+MAX_HOT_KEYS = 100_000
+# Slices per key beyond the even share, so that bursts stay small too.
+FINER = 4
 
+_ALL = "__all"
 
-def running_totals(
-    df: DataFrame,
-    keys: Sequence[str],
-    slice_col: str,
-    order: Sequence[str],
-    measures: dict[str, Column],
-    *,
-    ties: bool = True,
-) -> DataFrame:
-    """Add ``measures`` summed from the start of each key up to the row.
 
-    ``slice_col`` must never fall along ``order``. With ``ties`` rows that are
-    equal in ``order`` share one total (a RANGE frame); without, each row counts
-    on its own (ROWS), so ``order`` should be total.
-    """
-    parts = {name: f"__part_{name}" for name in measures}
-    rows = df.withColumns({parts[name]: value for name, value in measures.items()})
-    sums = rows.groupBy(*keys, slice_col).agg(*[F.sum(p).alias(p) for p in parts.values()])
-    earlier = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
-    start = (
-        sums.select(*keys, slice_col, *[F.sum(p).over(earlier).alias(p) for p in parts.values()])
-        .filter(F.coalesce(*[F.col(p).isNotNull() for p in parts.values()]))
-        .withColumn("__is_row", F.lit(False))
+def _number(df: DataFrame, column: str) -> Column:
+    """The order column as a number that never falls along it."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("double")
+    return F.col(column).cast("double")
+
+
+def _same(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str, hint=lambda df: df) -> DataFrame:
+    """Join on equal columns where null equals null, as in a window."""
+    marked = right.withColumnsRenamed({c: f"__right_{c}" for c in columns})
+    met = F.lit(True)
+    for c in columns:
+        met = met & F.col(c).eqNullSafe(F.col(f"__right_{c}"))
+    return left.join(hint(marked), on=met, how=how).drop(*[f"__right_{c}" for c in columns])
+
+
+def _add_slices(df: DataFrame, keys: Sequence[str], along: str, rows_per_slice: int) -> DataFrame:
+    """Add ``__hot`` and ``__slice`` (0 for ordinary keys)."""
+    at = _number(df, along)
+    hot = (
+        df.groupBy(*keys)
+        .agg(F.count("*").alias("__rows"), F.min(at).alias("__low"), F.max(at).alias("__high"))
+        .filter(F.col("__rows") > rows_per_slice)
+        .orderBy(F.desc("__rows"))
+        .limit(MAX_HOT_KEYS)
     )
-    merged = rows.withColumn("__is_row", F.lit(True)).unionByName(start, allowMissingColumns=True)
-    window = Window.partitionBy(*keys, slice_col).orderBy("__is_row", *order)
-    frame = window.rangeBetween if ties else window.rowsBetween
-    upto = frame(Window.unboundedPreceding, Window.currentRow)
+    pieces = F.ceil(F.col("__rows") * FINER / rows_per_slice)
+    place = F.when(F.col("__low") < F.col("__high"), F.width_bucket(at, F.col("__low"), F.col("__high"), pieces))
     return (
-        merged.withColumns({name: F.sum(parts[name]).over(upto) for name in measures})
-        .filter("__is_row")
-        .drop("__is_row", *parts.values())
+        _same(df, hot, keys, "left", F.broadcast)
+        .withColumn("__hot", F.col("__rows").isNotNull())
+        .withColumn("__slice", F.when(F.col("__hot"), F.coalesce(place, F.lit(0))).otherwise(F.lit(0)).cast("long"))
+        .drop("__rows", "__low", "__high")
     )
 
 
-def positions(
-    df: DataFrame,
-    keys: Sequence[str],
-    slice_col: str,
-    order: Sequence[str],
-    name: str = "position",
-) -> DataFrame:
-    """Add the 1-based row number per key; equals ``row_number`` by key."""
-    return running_totals(df, keys, slice_col, order, {name: F.lit(1).cast("long")}, ties=False)
+def _starts(rows: DataFrame, keys: Sequence[str], parts: Sequence[str]) -> DataFrame:
+    """One row per slice of a hot key: the totals of the slices before it."""
+    sums = rows.filter("__hot").groupBy(*keys, "__slice").agg(*[F.sum(p).alias(p) for p in parts])
+    earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*keys, "__slice", *[F.sum(p).over(earlier).alias(p) for p in parts])
+
+
+def _borrowed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], before: int, after: int) -> DataFrame:
+    """Copies of the rows just outside each slice of a hot key.
 
+    Rows are matched by their position in the key, which follows from the row
+    counts of the slices; only the first and last few rows of a slice take part.
+    """
+    hot = rows.filter("__hot")
+    whole = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = (
+        hot.groupBy(*keys, "__slice")
+        .agg(F.count("*").alias("__n"))
+        .withColumn("__end", F.sum("__n").over(whole))
+        .withColumn("__start", F.col("__end") - F.col("__n"))
+    )
+    inside = Window.partitionBy(*keys, "__slice")
+    sides = []
+    if after:
+        rank = F.row_number().over(inside.orderBy(*order))
+        sides.append((rank, after, F.col("__start") + F.col("__rank"), F.col("__end") + F.col("__i")))
+    if before:
+        rank = F.row_number().over(inside.orderBy(*[F.col(c).desc() for c in order]))
+        sides.append((rank, before, F.col("__end") - F.col("__rank") + 1, F.col("__start") - F.col("__i") + 1))
+    found = None
+    for rank, reach, position, wanted in sides:
+        edge = hot.withColumn("__rank", rank).filter(F.col("__rank") <= reach)
+        edge = _same(edge, ends, [*keys, "__slice"], "inner").withColumn("__position", position)
+        needs = ends.withColumn("__i", F.explode(F.sequence(F.lit(1), F.lit(reach)))).withColumn("__position", wanted)
+        needs = needs.select(*keys, "__position", F.col("__slice").alias("__target"))
+        copies = _same(edge, needs, [*keys, "__position"], "inner").withColumn("__slice", F.col("__target"))
+        copies = copies.select(*rows.columns)
+        found = copies if found is None else found.unionByName(copies)
+    return found
 
-def over_blocks(
+
+def sliced_window(
     df: DataFrame,
     keys: Sequence[str],
-    position: str,
-    columns: Callable[[WindowSpec], dict[str, Column]],
+    order: Sequence[str],
     *,
+    totals: dict[str, Column] | None = None,
+    ties: bool = True,
+    keep: Column | None = None,
+    near: Callable[[WindowSpec], dict[str, Column]] | None = None,
     before: int = 0,
     after: int = 0,
-    block_rows: int = BLOCK_ROWS,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Add window columns that look ``before`` rows back or ``after`` ahead.
+    """Add window columns per key; equal to the plain window by ``keys``.
 
-    Each key is cut into blocks of ``block_rows`` positions; a block also gets
-    copies of the few rows just outside it, which are dropped again.
-    ``columns`` receives the window, ordered by ``position``.
+    ``totals`` are summed from the start of the key up to the row. With ``ties``
+    rows that are equal in ``order`` share one total (a RANGE frame); without,
+    each row counts on its own (ROWS). ``near`` gets a window and returns
+    columns that look at most ``before`` rows back and ``after`` ahead; for it,
+    and in the result, only the rows that ``keep`` remain. Without ties, and for
+    ``near``, ``order`` should be total.
     """
-    block_rows = max(block_rows, before, after, 1)
-    block = F.floor((F.col(position) - 1) / block_rows).cast("long")
-    offset = (F.col(position) - 1) % block_rows
-    targets = F.array(
-        block,
-        F.when((offset < after) & (block > 0), block - 1),
-        F.when(offset >= block_rows - before, block + 1),
-    )
-    copies = df.withColumn("__home", block).withColumn("__block", F.explode(F.array_compact(targets)))
-    window = Window.partitionBy(*keys, "__block").orderBy(position)
-    return copies.withColumns(columns(window)).filter("__home = __block").drop("__home", "__block")
+    totals = totals or {}
+    parts = {name: f"__part_{name}" for name in totals}
+    given = df if keys else df.withColumn(_ALL, F.lit(0))
+    keys = list(keys) or [_ALL]
+    rows = given.withColumns({parts[name]: value for name, value in totals.items()})
+    rows = _add_slices(rows, keys, order[0], rows_per_slice)
+    # A start row sorts before all others of its slice.
+    merged = rows.withColumns({"__own": F.lit(True), "__after_start": F.lit(True)})
+    if near is not None:
+        kept = rows if keep is None else rows.filter(keep)
+        copies = _borrowed(kept, keys, order, before, after).drop(*parts.values())
+        copies = copies.withColumns({"__own": F.lit(False), "__after_start": F.lit(True)})
+        merged = merged.unionByName(copies, allowMissingColumns=True)
+    if totals:
+        starts = _starts(rows, keys, list(parts.values()))
+        starts = starts.withColumns({"__own": F.lit(False), "__after_start": F.lit(False)})
+        merged = merged.unionByName(starts, allowMissingColumns=True)
+        window = Window.partitionBy(*keys, "__slice").orderBy("__after_start", *order)
+        upto = (window.rangeBetween if ties else window.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
+        merged = merged.withColumns({name: F.sum(part).over(upto) for name, part in parts.items()})
+        merged = merged.filter("__after_start")
+    if keep is not None:
+        merged = merged.filter(keep)
+    if near is not None:
+        # The same sort order as above, so no further sort or shuffle.
+        merged = merged.withColumns(near(Window.partitionBy(*keys, "__slice", "__after_start").orderBy(*order)))
+    return merged.filter("__own").drop("__hot", "__slice", "__own", "__after_start", _ALL, *parts.values())
+
+
+def positions(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position", rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """Add the 1-based row number per key; equals ``row_number`` by key."""
+    one = {name: F.lit(1).cast("long")}
+    return sliced_window(df, keys, order, totals=one, ties=False, rows_per_slice=rows_per_slice)

@@ -9,12 +9,10 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.functions.times import epoch_seconds, time_slice
 from turnstile.operators import registry
 from turnstile.operators.boosting import BoostingParams, QuantileModel, fit_quantile, score, search_params
 from turnstile.operators.dataset import ordered_split, training_rows
 from turnstile.operators.features import FEATURES
-from turnstile.operators.gold import DAY
 from turnstile.operators.metrics import evaluate, quantile_label
 from turnstile.plans import transit
 from turnstile.sources.tables import read_table
@@ -46,13 +44,12 @@ def train_quantiles(
     label: str,
     quantiles: Sequence[float],
     order: Sequence[str],
-    slice_by,
     boosting: BoostingParams = BoostingParams(),
     trials: int = 0,
 ) -> TrainingRun:
     """One model per quantile on the first 80 % by ``order``, measured on the
     rest. With ``trials`` the parameters are searched at the first quantile."""
-    train, valid = ordered_split(rows, order, slice_by)
+    train, valid = ordered_split(rows, order)
     if trials:
         boosting = search_params(train, valid, features, label, quantiles[0], trials, boosting)
     models = {quantile_label(q): fit_quantile(train, valid, features, label, q, boosting) for q in quantiles}
@@ -73,7 +70,6 @@ def run_training(spark: SparkSession, root: str, config: TrainingConfig = Traini
         config.label,
         config.quantiles,
         ["minute", "origin_stop", "dest_stop", *config.features, config.label],
-        time_slice(epoch_seconds(F.col("minute")), DAY),
         config.boosting,
         config.trials,
     )

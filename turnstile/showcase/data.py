@@ -6,12 +6,11 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from turnstile.functions.times import time_slice, version_stamp
+from turnstile.functions.times import version_stamp
 from turnstile.operators import quality, registry
 from turnstile.operators.boosting import BoostingParams, fit_quantile, score, search_params
 from turnstile.operators.curate import pick_features
 from turnstile.operators.dataset import add_series_id, add_time_index, encoder_windows, ordered_split, training_features, training_rows
-from turnstile.operators.gold import DAY
 from turnstile.operators.joins import next_in_sequence
 from turnstile.operators.metrics import evaluate
 from turnstile.plans.batch import validate_tables
@@ -70,7 +69,7 @@ def validate_job(spark, folder):
 def value_pairs(spark, folder):
     """Each event's value and the next one of its user, in cents."""
     rows = events(spark, folder).select("user_id", "event_id", "ts", cents().cast("double").alias("predicted"))
-    pairs = next_in_sequence(rows, ["user_id"], ["ts", "event_id"], time_slice(seconds(), DAY), "predicted", "actual")
+    pairs = next_in_sequence(rows, ["user_id"], ["ts", "event_id"], "predicted", "actual")
     return pairs.select("event_id", "actual", "predicted", (F.col("predicted") * 2).alias("high"), (F.col("predicted") / 2).alias("low"))
 
 
@@ -98,7 +97,7 @@ def regression_metrics(spark, folder):
        FROM events""",
 )
 def split_by_time(spark, folder):
-    train, valid = ordered_split(events(spark, folder), ["ts", "event_id"], time_slice(seconds(), DAY))
+    train, valid = ordered_split(events(spark, folder), ["ts", "event_id"])
     return train.select("event_id", F.lit(True).alias("is_train")).unionByName(valid.select("event_id", F.lit(False).alias("is_train")))
 
 
@@ -123,7 +122,7 @@ def series_index(spark, folder):
 )
 def encoder_window(spark, folder):
     rows = events(spark, folder).select("event_type", "event_id", "ts", cents().alias("cents"))
-    windows = encoder_windows(rows, ["event_type"], ["ts", "event_id"], time_slice(seconds(), DAY), ["cents"])
+    windows = encoder_windows(rows, ["event_type"], ["ts", "event_id"], ["cents"])
     return windows.select(
         "event_id",
         F.size("encoder").cast("long").alias("steps"),
@@ -217,7 +216,6 @@ def line_split(spark, folder):
     return ordered_split(
         line_rows(spark, folder),
         ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"],
-        time_slice(seconds("l_shipdate"), DAY),
     )
 
 

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnstile.functions.times import time_slice
-from turnstile.operators.gold import DAY, exact_group_quantiles, fan_out, gold_facts, minute_labels, rolling_stats, row_labels
-from turnstile.operators.slices import positions
+from turnstile.operators.gold import exact_group_quantiles, fan_out, gold_facts, minute_labels, rolling_stats, row_labels
 from turnstile.showcase.common import MINUTES, minute_facts, query, seconds
 
 HORIZONS = (10, 20, 30)
@@ -27,8 +25,7 @@ def _union(template: str) -> str:
 )
 def horizon_labels(spark, folder):
     series = minute_facts(spark, folder).select("event_type", "minute", "score")
-    placed = positions(series.withColumn("slice", time_slice(seconds("minute"), DAY)), ["event_type"], "slice", ["minute"])
-    labelled = row_labels(placed, ["event_type"], "position", "score", HORIZONS)
+    labelled = row_labels(series, ["event_type"], ["minute"], "score", HORIZONS)
     spread = fan_out(labelled, {h: f"label_{h}" for h in HORIZONS})
     return spread.select("event_type", seconds("minute").alias("minute_s"), "horizon_min", "label_p50")
 
