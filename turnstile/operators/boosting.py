@@ -13,7 +13,7 @@ import json
 import math
 import random
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile.functions.values import number_or_zero
-from turnstile.operators.metrics import pinball, quantile_label
+from turnstile.operators.metrics import pinball
 from turnstile.session import shared_folder
 
 
@@ -120,6 +120,13 @@ def _number(df: DataFrame, name: str) -> Column:
     return number_or_zero(F.col(name)).cast("float")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that comes in few large pieces; each
+    round reads it several times."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fit_quantile(
     train: DataFrame,
     valid: DataFrame | None,
@@ -142,7 +149,7 @@ def fit_quantile(
     if base is None:
         raise ValueError("no labelled training rows")
     model = QuantileModel(float(quantile), list(features), float(base), params.learning_rate)
-    state = state.withColumn("__pred", F.lit(model.base)).checkpoint()
+    state = _spread(state.withColumn("__pred", F.lit(model.base))).checkpoint()
     draw = random.Random(params.seed)
     width = max(1, round(len(features) * params.feature_fraction))
     best, best_rounds = math.inf, 0
@@ -227,11 +234,3 @@ def score(df: DataFrame, models: dict[str, QuantileModel]) -> DataFrame:
     for output, model in models.items():
         df = model.predict(df, output)
     return df
-
-
-def describe(params: BoostingParams) -> dict[str, float]:
-    return asdict(params)
-
-
-def model_columns(quantiles: Sequence[float]) -> dict[float, str]:
-    return {float(q): quantile_label(q) for q in quantiles}

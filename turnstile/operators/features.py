@@ -60,15 +60,19 @@ def children_of(stops: DataFrame, child: str = "stop_id", parent: str = "parent_
     )
 
 
-def ranked_children(children: DataFrame, limit: int | None = MAX_COMBINATIONS) -> DataFrame:
-    """Rank each parent's children: platforms first, then by id.
+def child_order(child: Column) -> Column:
+    """Sort key of a station's children: platforms first, then by id."""
+    return F.struct(F.when(is_platform(child), 0).otherwise(1).alias("kind"), child.alias("id"))
 
-    With a ``limit`` Spark keeps only that many rows per parent in each task
-    before the shuffle (a rank filter is pushed below the exchange).
+
+def ranked_children(children: DataFrame, limit: int = MAX_COMBINATIONS) -> DataFrame:
+    """The first ``limit`` children of each parent, with their rank.
+
+    Spark pushes the limit on the rank below the shuffle, so every task first
+    keeps only its own first rows of a parent.
     """
-    order = Window.partitionBy("parent").orderBy(F.when(is_platform(F.col("child")), 0).otherwise(1), "child")
-    ranked = children.withColumn("rank", F.row_number().over(order))
-    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+    by_parent = Window.partitionBy("parent").orderBy(child_order(F.col("child")))
+    return children.withColumn("rank", F.row_number().over(by_parent)).filter(F.col("rank") <= limit)
 
 
 def rollup_requests(
@@ -85,12 +89,13 @@ def rollup_requests(
     A request is answered if its origin or destination starts with ``prefix``
     and some pair of child stops has features. A stop that is no parent stands
     for itself. Numeric features are means over the stored pairs, nulls
-    skipped, 0.0 if all are null; ``h3`` is the first known one by rank.
+    skipped, 0.0 if all are null; ``h3`` is the first known one in the order of
+    the pairs.
 
     Pairs are never listed: each *stored* row is lifted to the stations of its
     two ends, and a pair's place in origin-major order follows from its two
     ranks. ``max_combinations`` is the original's rule that only so many pairs
-    of a request count; ``None`` counts all.
+    of a request count; ``None`` counts all and needs no ranks.
     """
     keys = list(KEY)
     wanted = (
@@ -98,10 +103,12 @@ def rollup_requests(
         .filter(has_prefix(F.col("origin_stop"), prefix) | has_prefix(F.col("dest_stop"), prefix))
         .distinct()
     )
-    ranked = ranked_children(children, max_combinations)
+    if max_combinations is None:
+        ranked = children.withColumn("rank", F.lit(1))
+    else:
+        ranked = ranked_children(children, max_combinations)
     sizes = children.groupBy("parent").agg(F.count("*").alias("size"))
-
-    parents = sizes.select(F.col("parent").alias("stop"), F.lit(True).alias("is_parent"))
+    parents = sizes.select(F.col("parent").alias("stop"))
     kids = children.select(F.col("child").alias("stop")).distinct()
     # Where a stop's row goes: to its parents, and to itself unless it is a
     # parent. Stops outside the hierarchy have no entry and go to themselves.
@@ -113,24 +120,26 @@ def rollup_requests(
         )
     )
 
-    def lifted(rows: DataFrame, stop: str, rank: str) -> DataFrame:
+    def lifted(rows: DataFrame, stop: str, rank: str, place: str) -> DataFrame:
         side = places.select(F.col("stop").alias(stop), "station", F.col("rank").alias(rank))
         lone = F.col(rank).isNull()
         return (
             rows.join(side, on=stop, how="left")
             .filter(lone | F.col("station").isNotNull())
+            .withColumn(place, child_order(F.col(stop)))
             .withColumns({stop: F.when(lone, F.col(stop)).otherwise(F.col("station")), rank: F.coalesce(rank, F.lit(1))})
             .drop("station")
         )
 
-    stored = lifted(lifted(snapshot.select(*keys, *features, "h3"), "origin_stop", "__o"), "dest_stop", "__d")
+    stored = lifted(snapshot.select(*keys, *features, "h3"), "origin_stop", "__o", "__o_place")
+    stored = lifted(stored, "dest_stop", "__d", "__d_place")
     matched = stored.join(wanted, on=keys, how="inner")
     if max_combinations is not None:
         width = sizes.select(F.col("parent").alias("dest_stop"), F.col("size").alias("__width"))
         place = (F.col("__o") - 1) * F.coalesce("__width", F.lit(1)) + F.col("__d")
         matched = matched.join(width, on="dest_stop", how="left").filter(place <= max_combinations)
-    known_h3 = F.when(F.coalesce(F.col("h3"), F.lit("")).isin("", UNKNOWN), None).otherwise(F.col("h3"))
-    order = F.when(known_h3.isNotNull(), F.struct("__o", "__d", "h3"))
+    known_h3 = F.when(~F.coalesce(F.col("h3"), F.lit("")).isin("", UNKNOWN), F.col("h3"))
+    order = F.when(known_h3.isNotNull(), F.struct("__o_place", "__d_place", "h3"))
     return matched.groupBy(*keys).agg(
         *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in features],
         F.coalesce(F.min_by(known_h3, order), F.lit(UNKNOWN)).alias("h3"),

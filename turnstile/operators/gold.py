@@ -154,7 +154,7 @@ def exact_group_quantiles(
     known = df.filter(F.col(value).isNotNull())
     counts = known.groupBy(*keys, value).agg(F.count("*").alias("__n"))
     upto = sliced_window(counts, keys, [value], totals={"__upto": F.col("__n")}, rows_per_slice=rows_per_slice)
-    total = known.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count("*").alias("__total"))
+    total = counts.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.sum("__n").alias("__total"))
     met = F.lit(True)
     for k in keys:
         met = met & F.col(k).eqNullSafe(F.col(f"__{k}"))

@@ -11,6 +11,8 @@ order column:
   and copies of the few rows just outside it that a window looks at;
 - one window by (key, slice) then finishes the work in one wide shuffle.
 
+Rows that are equal in the first order column share a slice.
+
 Ordinary keys have the one slice 0 and need no extra rows. Where no key is hot,
 AQE sees the empty broadcast and drops the extra branches.
 """

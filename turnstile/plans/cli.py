@@ -1,7 +1,4 @@
-"""Job entry for ``spark-submit``.
-
-    spark-submit -m turnstile.plans.cli --mode silver --data-root /data
-"""
+"""Job entry (B4): ``spark-submit jobs.py --mode silver --data-root /data``."""
 
 from __future__ import annotations
 

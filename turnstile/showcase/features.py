@@ -19,7 +19,7 @@ from turnstile.operators.features import (
 from turnstile.operators.joins import add_names, name_to_id, named_stations, resolve_ids
 from turnstile.plans.prediction import check_requests, predict_batch
 from turnstile.session import work_path
-from turnstile.showcase.common import MINUTES, cents, events, minute_facts, query, seconds, table
+from turnstile.showcase.common import MINUTES, events, minute_facts, query, seconds, table
 from turnstile.sources.feature_log import read_snapshot
 from turnstile.streaming.materialize import start_materializer, table_stream
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from turnstile.functions import times, units, values
 from turnstile.operators.curate import cast_numbers, expand_struct, publishable
 from turnstile.session import work_path
-from turnstile.showcase.common import cents, events, query, seconds, table
+from turnstile.showcase.common import events, query, seconds, table
 from turnstile.sources import feeds
 from turnstile.sources.feature_log import batch_counts
 from turnstile.sources.json_schema import struct_type
 from turnstile.sources.tables import read_table
-from turnstile.sources.topics import CORRUPT, decode, file_stream
+from turnstile.sources.topics import dead_letters, decode, file_stream, split_messages
 from turnstile.streaming.bronze import start_bronze
 
 PROPS = struct_type({"properties": {"k": {"type": "integer"}}, "required": ["k"]})
@@ -102,8 +102,6 @@ def bad_row_split(spark, folder):
     f"WITH {DAMAGED} SELECT msg AS raw_value, reason, 'events' AS topic, CAST(floor(epoch(ts)) AS BIGINT) AS sent_s FROM judged WHERE reason IS NOT NULL",
 )
 def dead_letter_rows(spark, folder):
-    from turnstile.sources.topics import dead_letters, split_messages
-
     _, bad = split_messages(decode(as_messages(events(spark, folder), damaged()), EVENT))
     return dead_letters(bad, "events").select("raw_value", "reason", "topic", seconds("kafka_ts").alias("sent_s"))
 
@@ -360,16 +358,6 @@ def counts_per_batch(spark, folder):
     return events(spark, folder).groupBy("event_type").agg(*batch_counts(key.isNotNull()))
 
 
-def ingest(spark, folder, mutate=None):
-    """Land messages as files, stream them into Bronze, return its paths."""
-    root = work_path(spark, "ingest")
-    messages = as_messages(events(spark, folder), damaged()).select("value", "timestamp")
-    (mutate(messages) if mutate else messages).write.parquet(f"{root}/landed")
-    query_ = start_bronze(file_stream(spark, f"{root}/landed"), EVENT, "events", root, dead_letter=True, available_now=True)
-    query_.awaitTermination()
-    return f"{root}/bronze/events", f"{root}/dlq/events"
-
-
 @query(
     "stream_ingest",
     f"""WITH {DAMAGED}
@@ -378,9 +366,10 @@ def ingest(spark, folder, mutate=None):
     FROM judged WHERE reason IS NULL""",
 )
 def stream_ingest(spark, folder):
-    bronze, _ = ingest(spark, folder)
-    rows = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(bronze)
-    return rows.select(
+    root = work_path(spark, "ingest")
+    as_messages(events(spark, folder), damaged()).select("value", "timestamp").write.parquet(f"{root}/landed")
+    start_bronze(file_stream(spark, f"{root}/landed"), EVENT, "events", root, dead_letter=True, available_now=True).awaitTermination()
+    return read_table(spark, f"{root}/bronze/events").select(
         "id",
         "kind",
         "value",
