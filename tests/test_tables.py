@@ -155,3 +155,11 @@ def test_mode_is_required():
     with pytest.raises(SystemExit):
         cli.parser().parse_args([])
     assert isinstance(cli.parser().parse_args(["--mode", "gold"]), argparse.Namespace)
+
+
+def test_evolved_schema_is_merged_on_read(spark, tmp_path):
+    path = str(tmp_path / "t")
+    days(spark, (1, "2024-01-01")).write.partitionBy("date").parquet(path)
+    days(spark, (2, "2024-01-02")).withColumn("extra", F.lit("x")).write.mode("append").partitionBy("date").parquet(path)
+    got = {r["id"]: r["extra"] for r in read_table(spark, path, merge_schema=True).collect()}
+    assert got == {1: None, 2: "x"}

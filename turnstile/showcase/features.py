@@ -199,11 +199,25 @@ def child_rollup_all_pairs(spark, folder):
 
 @query(
     "ranked_children",
-    f"""WITH {STOPS} SELECT parent, stop_id AS child, CAST(row_number() OVER (PARTITION BY parent
-        ORDER BY CASE WHEN regexp_full_match(stop_id, '[0-9]+') THEN 0 ELSE 1 END, stop_id) AS INTEGER) AS rank FROM stops""",
+    """WITH kids AS (
+         SELECT concat('place-', c_nationkey) AS parent,
+                CASE c_custkey % 3 WHEN 0 THEN CAST(c_custkey AS VARCHAR) WHEN 1 THEN concat('7', c_custkey % 10, '001-', c_custkey)
+                ELSE concat('door-', c_custkey) END AS child FROM customer WHERE c_custkey % 50 <> 49),
+       ranked AS (
+         SELECT *, CAST(row_number() OVER (PARTITION BY parent ORDER BY
+           CASE WHEN regexp_full_match(child, '[0-9]+') OR regexp_matches(child, '^7[0-9]{4}') THEN 0 ELSE 1 END, child) AS INTEGER) AS rank FROM kids)
+       SELECT * FROM ranked WHERE rank <= 40""",
 )
 def children_by_rank(spark, folder):
-    return ranked_children(children_of(stop_table(spark, folder)))
+    key = F.col("c_custkey")
+    stop = (
+        F.when(key % 3 == 0, key.cast("string"))
+        .when(key % 3 == 1, F.concat(F.lit("7"), key % 10, F.lit("001-"), key))
+        .otherwise(F.concat(F.lit("door-"), key))
+    )
+    # Some stops have no parent station and are nobody's children.
+    parent = F.when(key % 50 != 49, F.concat(F.lit("place-"), "c_nationkey"))
+    return ranked_children(children_of(table(spark, folder, "customer").select(stop.alias("stop_id"), parent.alias("parent_station"))), 40)
 
 
 @query(
@@ -230,11 +244,14 @@ def resolve_id_or_name(spark, folder):
 
 @query(
     "stops_sorted",
-    """SELECT c_name AS stop_id, c_mktsegment AS stop_name FROM customer WHERE c_name LIKE 'Customer#0000000%' ORDER BY 2, 1""",
+    """SELECT concat('place-', c_custkey) AS stop_id, c_name AS stop_name FROM customer
+       WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') ORDER BY 2, 1""",
 )
 def stops_sorted(spark, folder):
-    stations = named_stations(table(spark, folder, "customer"), "Customer#0000000", "c_name", "c_mktsegment")
-    return serving.sorted_by_name(stations, "stop_name", "stop_id")
+    # Two segments stand for stations, the others for stops without the prefix.
+    kind = F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "place-").otherwise("node-")
+    stops = table(spark, folder, "customer").select(F.concat(kind, "c_custkey").alias("stop_id"), F.col("c_name").alias("stop_name"))
+    return serving.sorted_by_name(named_stations(stops), "stop_name", "stop_id")
 
 
 POINTS = """
