@@ -25,8 +25,9 @@ def test_gold_sorts_a_stored_silver_once(spark, tmp_path):
     path = str(tmp_path / "silver")
     minute_facts(spark, FOLDER).write.parquet(path)
     plan = final_plan(gold_facts(spark.read.parquet(path), ["event_type"], "minute", "score"))
-    # One wide shuffle for labels and statistics, one small one for quantiles.
-    assert plan.count("Exchange hashpartitioning") == 2
+    # One wide shuffle for labels, statistics and quantiles, one small one for
+    # the quantiles themselves, and no join.
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
     assert plan.count("Window [") == 2 and plan.count("Sort [") == 1
 
 

@@ -90,6 +90,23 @@ def test_order_columns_of_other_types(spark, rows):
         assert rows(got, "id", "position") == rows(want, "id", "position")
 
 
+@pytest.mark.parametrize("per_slice", SLICES)
+@pytest.mark.parametrize("with_totals", [True, False])
+def test_columns_per_key(spark, rows, per_slice, with_totals):
+    df = series(spark, 200)
+    side = df.groupBy("k").agg(F.max("v").alias("top"), F.lit(None).cast("long").alias("none")).filter("k is null or k <> 'b'")
+    totals = {"n": F.lit(1).cast("long")} if with_totals else None
+    got = sliced_window(
+        df, ["k"], ["t", "id"], totals=totals, ties=False, near=lambda w: {"nxt": F.lead("id").over(w)}, after=1, per_key=side, rows_per_slice=per_slice
+    )
+    plain = Window.partitionBy("k").orderBy("t", "id")
+    want = df.withColumns({"n": F.row_number().over(plain), "nxt": F.lead("id").over(plain), "top": F.max("v").over(Window.partitionBy("k"))})
+    top = F.when(F.coalesce(F.col("k"), F.lit("")) != "b", F.col("top"))
+    want = want.withColumns({"top": top, "none": F.lit(None)})
+    columns = ["k", "id", "nxt", "top", "none"] + (["n"] if with_totals else [])
+    assert rows(got, *columns) == rows(want, *columns)
+
+
 @pytest.mark.parametrize("drop_last", [True, False])
 def test_next_in_sequence(spark, rows, drop_last):
     df = series(spark, 120)

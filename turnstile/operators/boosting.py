@@ -55,10 +55,9 @@ class Tree:
 
     def add_to(self, df: DataFrame, prediction: str, rate: float) -> DataFrame:
         """Add ``rate`` times this tree's leaf value to a column."""
-        sliced = VectorSlicer(inputCol="__features", outputCol="__slice", indices=self.features).transform(df)
-        placed = self.model.transform(sliced)
+        placed = self.model.transform(_pick(df, self.features, self.model.getFeaturesCol()))
         value = F.get(F.array(*[F.lit(v) for v in self.leaves]), F.col("__leaf").cast("int"))
-        return placed.withColumn(prediction, F.col(prediction) + F.lit(rate) * value).drop("__slice", "__leaf", "__gradient_hat")
+        return placed.withColumn(prediction, F.col(prediction) + F.lit(rate) * value).drop("__some", "__leaf", "__gradient_hat")
 
 
 @dataclass
@@ -114,6 +113,13 @@ def _vector(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="__features").transform(numbers).drop(*names)
 
 
+def _pick(df: DataFrame, indices: list[int], column: str) -> DataFrame:
+    """Add the chosen features as ``column``, unless that is the whole vector."""
+    if column == "__features":
+        return df
+    return VectorSlicer(inputCol="__features", outputCol=column, indices=indices).transform(df)
+
+
 def _number(df: DataFrame, name: str) -> Column:
     if name not in df.columns:
         return F.lit(0.0)
@@ -159,10 +165,11 @@ def fit_quantile(
         rows = state.filter("__train").withColumn(
             "__gradient", F.when(error > 0, F.lit(float(quantile))).otherwise(F.lit(quantile - 1.0))
         )
-        rows = VectorSlicer(inputCol="__features", outputCol="__slice", indices=columns).transform(rows)
+        seen = "__features" if width == len(features) else "__some"
+        rows = _pick(rows, columns, seen)
         sampled = rows.sample(params.row_fraction, params.seed + step) if params.row_fraction < 1.0 else rows
         learner = DecisionTreeRegressor(
-            featuresCol="__slice",
+            featuresCol=seen,
             labelCol="__gradient",
             predictionCol="__gradient_hat",
             leafCol="__leaf",

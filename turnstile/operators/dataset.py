@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnstile.functions.values import number_or_zero, series_id
 from turnstile.operators.curate import in_time_range, on_horizon, require_columns
@@ -109,29 +110,45 @@ def encoder_windows(
     return windows.filter(F.size(name) >= least)
 
 
+def _raw(df: DataFrame, column: str) -> Column:
+    """A column as the driver should see it: timestamps as microseconds, which
+    no local time zone can bend."""
+    stamp = isinstance(df.schema[column].dataType, T.TimestampType)
+    return (F.unix_micros(column) if stamp else F.col(column)).alias(column)
+
+
+def _literal(df: DataFrame, column: str, value) -> Column:
+    kind = df.schema[column].dataType
+    literal = F.timestamp_micros(F.lit(value).cast("long")) if isinstance(kind, T.TimestampType) else F.lit(value).cast(kind)
+    return literal.alias(column)
+
+
 def ordered_cutoff(df: DataFrame, order: Sequence[str], fraction: float = 0.8, accuracy: int = 10_000):
-    """``order`` values of the last training row, or None for an empty table.
+    """``order`` values of the last training row (timestamps in microseconds),
+    or None for an empty table.
 
     A sketch of the first order column brackets the cutoff; the rows before the
     bracket are counted and only those inside it are numbered. One row comes to
     the driver.
     """
+    rows = df.select(*[_raw(df, c) for c in order])
     along = F.col(order[0])
     slack = 2.0 / accuracy
     around = [max(fraction - slack, 0.0), min(fraction + slack, 1.0)]
-    kind = df.schema[order[0]].dataType
-    ends = df.agg(F.percentile_approx(along, around, accuracy).alias("q"), F.count("*").alias("n"))
+    ends = rows.agg(F.percentile_approx(along, around, accuracy).alias("q"), F.count("*").alias("n"))
     first = ends.select(F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), "n").first()
     if not first["n"]:
         return None
     target = max(int(first["n"] * fraction), 1)
+
+    def numbered(part: DataFrame, position: int):
+        return positions(part, [], order, "__position").filter(F.col("__position") == position).select(*order).first()
+
+    kind = rows.schema[order[0]].dataType
     low, high = (F.lit(first[c]).cast(kind) for c in ("low", "high"))
-    earlier = df.filter(along < low).count()
-    inside = positions(df.filter(along.between(low, high)).select(*order), [], order, "__position")
-    found = inside.filter(F.col("__position") == target - earlier).select(*order).first()
-    if found is None:  # outside the bracket: number all rows
-        found = positions(df.select(*order), [], order, "__position").filter(F.col("__position") == target).select(*order).first()
-    return found
+    inside = rows.filter(along.between(low, high))
+    # Outside the bracket only if the sketch was worse than promised.
+    return numbered(inside, target - rows.filter(along < low).count()) or numbered(rows, target)
 
 
 def ordered_split(df: DataFrame, order: Sequence[str], fraction: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -143,6 +160,5 @@ def ordered_split(df: DataFrame, order: Sequence[str], fraction: float = 0.8) ->
     last = ordered_cutoff(df, order, fraction)
     if last is None:
         return df, df
-    cut = F.struct(*[F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in order])
-    first = F.struct(*order) <= cut
+    first = F.struct(*order) <= F.struct(*[_literal(df, c, last[c]) for c in order])
     return df.filter(first), df.filter(~first)

@@ -28,6 +28,7 @@ def rolling_stats(
     std: str = "rolling_std_7d",
     digits: int = 6,
     labels: dict[str, int] | None = None,
+    per_key: DataFrame | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Mean and population deviation over [t - window, t], both ends included.
@@ -39,7 +40,8 @@ def rolling_stats(
     as integers, so nothing drifts. Null values do not count.
 
     ``labels`` (``{name: n}``) adds the value n rows later on the same pass; it
-    needs one row per key and second, as Silver has.
+    needs one row per key and second, as Silver has. ``per_key`` holds one row
+    per key, whose columns are added on the same pass too.
     """
     other = [c for c in df.columns if c not in keys]
     moves = (
@@ -71,6 +73,7 @@ def rolling_stats(
         keep=entering,
         near=later if labels else None,
         after=max(labels.values()) if labels else 0,
+        per_key=per_key,
         rows_per_slice=rows_per_slice,
     )
     n, total = F.col("__n"), F.col("__sum")
@@ -202,12 +205,14 @@ def gold_facts(
         quantiles = group_quantiles(past, keys, score, probs, accuracy)
     wide = {h: f"__label_{h}" for h in horizons}
     labels = {name: h for h, name in wide.items()} if label_mode == "rows" else None
-    rolled = rolling_stats(silver, keys, minute, score, digits=digits, labels=labels, rows_per_slice=rows_per_slice)
-    joined = rolled.join(quantiles, on=keys, how="left")
+    # A null in a key never meets its quantiles, as in an equi-join.
+    rolled = rolling_stats(
+        silver, keys, minute, score, digits=digits, labels=labels, per_key=quantiles.dropna(subset=keys), rows_per_slice=rows_per_slice
+    )
     if label_mode == "rows":
-        facts = fan_out(joined, wide)
+        facts = fan_out(rolled, wide)
     elif label_mode == "minutes":
-        facts = minute_labels(joined, keys, minute, score, horizons)
+        facts = minute_labels(rolled, keys, minute, score, horizons)
     else:
         raise ValueError(f"unknown label mode: {label_mode}")
     return facts.withColumn("date", F.to_date(minute))

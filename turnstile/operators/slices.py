@@ -54,23 +54,38 @@ def _same(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str, h
     return left.join(hint(marked), on=met, how=how).drop(*[f"__right_{c}" for c in columns])
 
 
-def _add_slices(df: DataFrame, keys: Sequence[str], along: str, rows_per_slice: int) -> DataFrame:
-    """Add ``__hot`` and ``__slice`` (0 for ordinary keys)."""
+def _hot_keys(df: DataFrame, keys: Sequence[str], along: str, rows_per_slice: int) -> DataFrame:
+    """The keys to slice, with the range of the order column and the pieces."""
     at = _number(df, along)
-    hot = (
+    return (
         df.groupBy(*keys)
         .agg(F.count("*").alias("__rows"), F.min(at).alias("__low"), F.max(at).alias("__high"))
         .filter(F.col("__rows") > rows_per_slice)
         .orderBy(F.desc("__rows"))
         .limit(MAX_HOT_KEYS)
+        .select(*keys, "__low", "__high", F.ceil(F.col("__rows") * FINER / rows_per_slice).alias("__pieces"))
     )
-    pieces = F.ceil(F.col("__rows") * FINER / rows_per_slice)
-    place = F.when(F.col("__low") < F.col("__high"), F.width_bucket(at, F.col("__low"), F.col("__high"), pieces))
+
+
+def _add_slices(df: DataFrame, hot: DataFrame, keys: Sequence[str], along: str) -> DataFrame:
+    """Add ``__hot`` and ``__slice``: 0 for ordinary keys, 0 to pieces + 1 else."""
+    at = _number(df, along)
+    place = F.when(F.col("__low") < F.col("__high"), F.width_bucket(at, F.col("__low"), F.col("__high"), F.col("__pieces")))
     return (
         _same(df, hot, keys, "left", F.broadcast)
-        .withColumn("__hot", F.col("__rows").isNotNull())
+        .withColumn("__hot", F.col("__pieces").isNotNull())
         .withColumn("__slice", F.when(F.col("__hot"), F.coalesce(place, F.lit(0))).otherwise(F.lit(0)).cast("long"))
-        .drop("__rows", "__low", "__high")
+        .drop("__low", "__high", "__pieces")
+    )
+
+
+def _key_rows(per_key: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The row of each key, once for every slice the key may have."""
+    slices = F.when(F.col("__pieces").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
+        F.sequence(F.lit(0).cast("long"), F.col("__pieces") + 1)
+    )
+    return (
+        _same(per_key, hot, keys, "left", F.broadcast).withColumn("__slice", F.explode(slices)).drop("__low", "__high", "__pieces")
     )
 
 
@@ -126,6 +141,7 @@ def sliced_window(
     near: Callable[[WindowSpec], dict[str, Column]] | None = None,
     before: int = 0,
     after: int = 0,
+    per_key: DataFrame | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Add window columns per key; equal to the plain window by ``keys``.
@@ -135,29 +151,38 @@ def sliced_window(
     each row counts on its own (ROWS). ``near`` gets a window and returns
     columns that look at most ``before`` rows back and ``after`` ahead; for it,
     and in the result, only the rows that ``keep`` remain. Without ties, and for
-    ``near``, ``order`` should be total.
+    ``near``, ``order`` should be total. ``per_key`` holds at most one row per
+    key; its other columns are added as a left join would, on the same shuffle.
     """
     totals = totals or {}
     parts = {name: f"__part_{name}" for name in totals}
     given = df if keys else df.withColumn(_ALL, F.lit(0))
     keys = list(keys) or [_ALL]
     rows = given.withColumns({parts[name]: value for name, value in totals.items()})
-    rows = _add_slices(rows, keys, order[0], rows_per_slice)
-    # A start row sorts before all others of its slice.
+    hot = _hot_keys(rows, keys, order[0], rows_per_slice)
+    rows = _add_slices(rows, hot, keys, order[0])
+    # Start rows sort before all others of their slice.
     merged = rows.withColumns({"__own": F.lit(True), "__after_start": F.lit(True)})
     if near is not None:
         kept = rows if keep is None else rows.filter(keep)
         copies = _borrowed(kept, keys, order, before, after).drop(*parts.values())
         copies = copies.withColumns({"__own": F.lit(False), "__after_start": F.lit(True)})
         merged = merged.unionByName(copies, allowMissingColumns=True)
+    starts = []
     if totals:
-        starts = _starts(rows, keys, list(parts.values()))
-        starts = starts.withColumns({"__own": F.lit(False), "__after_start": F.lit(False)})
-        merged = merged.unionByName(starts, allowMissingColumns=True)
+        starts.append(_starts(rows, keys, list(parts.values())))
+    if per_key is not None:
+        starts.append(_key_rows(per_key, hot, keys))
+    for start in starts:
+        start = start.withColumns({"__own": F.lit(False), "__after_start": F.lit(False)})
+        merged = merged.unionByName(start, allowMissingColumns=True)
+    if starts:
         window = Window.partitionBy(*keys, "__slice").orderBy("__after_start", *order)
         upto = (window.rangeBetween if ties else window.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
-        merged = merged.withColumns({name: F.sum(part).over(upto) for name, part in parts.items()})
-        merged = merged.filter("__after_start")
+        running = {name: F.sum(part).over(upto) for name, part in parts.items()}
+        if per_key is not None:
+            running |= {c: F.first(c, ignorenulls=True).over(upto) for c in per_key.columns if c not in keys}
+        merged = merged.withColumns(running).filter("__after_start")
     if keep is not None:
         merged = merged.filter(keep)
     if near is not None:

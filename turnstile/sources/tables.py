@@ -82,7 +82,8 @@ def compact(
 
     Rows are spread by ranges of (partition, sort columns), so a hot partition
     gets several files with distinct ranges. A partitioned table may be
-    rewritten in place, one ``date`` at a time; else give a new ``target``.
+    rewritten in place, one ``date`` at a time; else give a new ``target``. Do
+    not write to the same partitions meanwhile.
     """
     if target is None and not partition_by:
         raise ValueError("a table without partitions needs a target path")
