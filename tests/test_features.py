@@ -236,3 +236,29 @@ def test_cells(spark):
 
 def test_defaults_cover_all_features():
     assert set(DEFAULTS) == {*FEATURES, "h3"}
+
+
+def test_rewritten_gold_reaches_the_snapshot(spark, tmp_path):
+    """A Gold partition that is overwritten streams its new files."""
+    from turnstile.plans import transit
+    from turnstile.sources.tables import overwrite_partitions
+    from turnstile.streaming.materialize import published_columns, start_materializer, table_stream
+
+    root = str(tmp_path)
+    rows = feature_rows(spark, ("a", "b", 10, 1.0), ("a", "b", 20, 2.0)).withColumn("minute", F.lit(MINUTE))
+    counts = []
+
+    def publish():
+        stream = published_columns(table_stream(spark, transit.gold_path(root)))
+        start_materializer(
+            stream, f"{root}/log", f"{root}/checkpoint", on_counts=lambda batch, c: counts.append((batch, c["wrote"])), available_now=True
+        ).awaitTermination()
+        return {r["horizon_min"]: (r["rolling_mean_7d"], r["active_trips"]) for r in read_snapshot(spark, f"{root}/log").collect()}
+
+    overwrite_partitions(rows, transit.gold_path(root), ["horizon_min"])
+    assert publish() == {10: (1.0, 1.0), 20: (2.0, 1.0)}
+    later = rows.filter("horizon_min = 20").withColumn("rolling_mean_7d", F.lit(9.0))
+    overwrite_partitions(later, transit.gold_path(root), ["horizon_min"])
+    assert publish() == {10: (1.0, 1.0), 20: (9.0, 1.0)}
+    assert publish() == {10: (1.0, 1.0), 20: (9.0, 1.0)}
+    assert counts == [(0, 2), (1, 1)]

@@ -63,3 +63,31 @@ def test_large_sides_are_not_broadcast(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_hot_join_key_is_split(spark, tmp_path):
+    """AQE cuts the partition of a key that a third of the requests ask for."""
+    from turnstile.operators.features import lookup
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        n = 60_000
+        key = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 1000)
+        spark.range(n).select(key.alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("pad")).repartition(8).write.parquet(f"{tmp_path}/r")
+        snapshot = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 1.0).alias("v"))
+        joined = lookup(spark.read.parquet(f"{tmp_path}/r"), snapshot, ["k"], {"v": 0.0})
+        assert "skew=true" in final_plan(joined)
+        assert joined.count() == n and joined.filter("not found").count() == 0
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

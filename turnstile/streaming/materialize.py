@@ -16,7 +16,7 @@ from turnstile.sources.feature_log import write_batch
 def table_stream(spark: SparkSession, path: str, schema: T.StructType | None = None, max_files: int | None = None) -> DataFrame:
     """New files of a Parquet table; files that vanish later are ignored."""
     schema = schema or spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("ignoreMissingFiles", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(path)
