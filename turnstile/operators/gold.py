@@ -37,7 +37,8 @@ def rolling_stats(
     each value enters at t and leaves one second after the window, and the
     running totals of these entries and exits are the window's count, sum and
     sum of squares. The sums are exact: values are taken to ``digits`` decimals
-    as integers, so nothing drifts. Null values do not count.
+    as integers, so nothing drifts; a value that does not fit fails the job.
+    Null values do not count.
 
     ``labels`` (``{name: n}``) adds the value n rows later on the same pass; it
     needs one row per key and second, as Silver has. ``per_key`` holds one row
@@ -156,20 +157,15 @@ def exact_group_quantiles(
     """
     known = df.filter(F.col(value).isNotNull())
     counts = known.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    upto = sliced_window(counts, keys, [value], totals={"__upto": F.col("__n")}, rows_per_slice=rows_per_slice)
-    total = counts.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.sum("__n").alias("__total"))
-    met = F.lit(True)
-    for k in keys:
-        met = met & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return (
-        upto.join(total, on=met, how="inner")
-        .groupBy(*keys)
-        .agg(
-            *[
-                F.min(F.when(F.col("__upto") >= F.ceil(F.col("__total") * F.lit(float(p))), F.col(value))).alias(name)
-                for name, p in probs.items()
-            ]
-        )
+    total = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+    upto = sliced_window(
+        counts, keys, [value], totals={"__upto": F.col("__n")}, per_key=total, rows_per_slice=rows_per_slice
+    )
+    return upto.groupBy(*keys).agg(
+        *[
+            F.min(F.when(F.col("__upto") >= F.ceil(F.col("__total") * F.lit(float(p))), F.col(value))).alias(name)
+            for name, p in probs.items()
+        ]
     )
 
 

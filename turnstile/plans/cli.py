@@ -94,6 +94,7 @@ def run(spark: SparkSession, args: argparse.Namespace):
 
 def main(argv: Sequence[str] | None = None) -> None:
     logging.basicConfig(level=logging.INFO)
+    logging.getLogger("py4j").setLevel(logging.WARNING)
     args = parser().parse_args(argv)
     spark = build_session(f"turnstile-{args.mode}")
     try:
