@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from turnstile.operators import quality
 from turnstile.operators.curate import default_missing, in_time_range, on_date, pick_features, require_columns
 from turnstile.plans import cli, transit
+from turnstile.session import remove_work, shared_folder, work_path
 from turnstile.sources.tables import compact, csv_to_parquet, overwrite_partitions, read_dimension, read_table
 
 
@@ -32,6 +33,17 @@ def test_date_filter_prunes_partitions(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(date" in plan
 
 
+def test_one_date_lists_one_folder(spark, tmp_path, rows):
+    path = str(tmp_path / "t")
+    overwrite_partitions(days(spark, (1, "2024-01-01"), (2, "2024-01-02")), path, ["date"])
+    one = read_table(spark, path, "2024-01-02")
+    assert len(one.inputFiles()) == 1 and rows(one, "id", "date")[0][1].isoformat() == "2024-01-02"
+    assert read_table(spark, path, "2023-01-01").count() == 0
+    plain = str(tmp_path / "plain")
+    days(spark, (1, "2024-01-01"), (2, "2024-01-02")).write.parquet(plain)
+    assert rows(read_table(spark, plain, "2024-01-02"), "id") == [(2,)]
+
+
 def test_time_range_reaches_the_scan(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([(datetime(2024, 1, d), d) for d in (1, 2, 3)], "ts timestamp, id int")
@@ -51,6 +63,16 @@ def test_schedule_files(spark, tmp_path):
     assert read_dimension(spark, str(tmp_path / "out"), "stops", {"stop_id": "int"}).first()["stop_id"] == 7
 
 
+def test_merging_stream_batches(spark, tmp_path, rows):
+    path, archive = str(tmp_path / "t"), str(tmp_path / "archive")
+    for batch in range(4):
+        stamped = days(spark, (batch, "2024-01-01"), (batch + 10, "2024-01-02")).withColumn("batch_id", F.lit(batch))
+        overwrite_partitions(stamped, path, ["date", "batch_id"])
+    compact(spark, path, ["id"], partition_by=["date"], target=archive, date="2024-01-01", files=1)
+    assert rows(read_table(spark, archive), "id", "batch_id") == [(i, i) for i in range(4)]
+    assert len(read_table(spark, archive).inputFiles()) == 1
+
+
 def test_compaction_keeps_rows(spark, tmp_path, rows):
     path = str(tmp_path / "t")
     df = days(spark, *[(i, f"2024-01-0{i % 3 + 1}") for i in range(60)])
@@ -163,3 +185,14 @@ def test_evolved_schema_is_merged_on_read(spark, tmp_path):
     days(spark, (2, "2024-01-02")).withColumn("extra", F.lit("x")).write.mode("append").partitionBy("date").parquet(path)
     got = {r["id"]: r["extra"] for r in read_table(spark, path, merge_schema=True).collect()}
     assert got == {1: None, 2: "x"}
+
+
+def test_only_work_paths_are_removed(spark, tmp_path):
+    path = work_path(spark, "x")
+    spark.range(1).write.parquet(path)
+    remove_work(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    for other in (str(tmp_path), shared_folder(spark)):
+        with pytest.raises(ValueError):
+            remove_work(spark, other)

@@ -10,7 +10,7 @@ from turnstile.operators.gold import gold_facts
 from turnstile.operators.quality import Check, between, enforce, more_rows_than, not_null, quarantine, run_checks
 from turnstile.operators.silver import silver_facts
 from turnstile.plans import transit
-from turnstile.session import work_path
+from turnstile.session import remove_work, work_path
 from turnstile.sources.tables import overwrite_partitions, read_dimension, read_table
 
 
@@ -53,14 +53,17 @@ def run_silver(spark: SparkSession, root: str, *, on_fail: str = "raise", **opti
     if on_fail not in ("raise", "quarantine"):
         raise ValueError(f"unknown on_fail mode: {on_fail}")
     staged = work_path(spark, "silver")
-    build_silver(spark, root, **options).write.parquet(staged)
-    rows = spark.read.parquet(staged)
-    if on_fail == "raise":
-        enforce(run_checks(rows, "silver", silver_checks()))
-    else:
-        rows, bad = quarantine(rows, silver_checks())
-        overwrite_partitions(bad, f"{root}/quarantine/silver", ["date"])
-    overwrite_partitions(rows, transit.silver_path(root), ["date"])
+    try:
+        build_silver(spark, root, **options).write.parquet(staged)
+        rows = spark.read.parquet(staged)
+        if on_fail == "raise":
+            enforce(run_checks(rows, "silver", silver_checks()))
+        else:
+            rows, bad = quarantine(rows, silver_checks())
+            overwrite_partitions(bad, f"{root}/quarantine/silver", ["date"])
+        overwrite_partitions(rows, transit.silver_path(root), ["date"])
+    finally:
+        remove_work(spark, staged)
     return transit.silver_path(root)
 
 

@@ -16,6 +16,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.streaming.stopGracefullyOnShutdown": "true",
 }
 
@@ -54,3 +55,12 @@ def shared_folder(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one run below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_work(spark: SparkSession, path: str) -> None:
+    """Delete a path that ``work_path`` gave; anything else is refused."""
+    root = f"{shared_folder(spark).rstrip('/')}/"
+    if not path.startswith(root) or not path.removeprefix(root).strip("/"):
+        raise ValueError(f"not a work path: {path}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -16,8 +16,21 @@ SCHEDULE_TABLES = ("stops", "shapes", "trips", "routes", "stop_times")
 
 
 def read_table(spark: SparkSession, path: str, date: str | None = None, merge_schema: bool = False) -> DataFrame:
-    """A table folder; ``date`` prunes its date partitions."""
-    return on_date(spark.read.option("mergeSchema", merge_schema).parquet(path), "date", date)
+    """A table folder; with ``date`` only that date.
+
+    The folder of one date is listed alone: a table that streams write has many
+    small partitions, and listing them all would take longer than the read.
+    """
+    reader = spark.read.option("mergeSchema", merge_schema)
+    if date is None:
+        return reader.parquet(path)
+    try:
+        rows = reader.option("basePath", path).parquet(f"{path}/date={date}")
+    except AnalysisException as error:  # no such date, or not partitioned by it
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        rows = spark.read.option("mergeSchema", merge_schema).parquet(path)
+    return on_date(rows, "date", date)
 
 
 def read_naive(spark: SparkSession, path: str) -> DataFrame:

@@ -30,7 +30,8 @@ def write_messages(
 
     Both tables are also partitioned by ``batch_id``, and a write replaces just
     the partitions it holds, so a batch that is run again leaves no copies.
-    Late rows go to the date and hour of their event.
+    Late rows go to the date and hour of their event. A finished date's batches
+    can be merged into an archive table with ``sources.tables.compact``.
     """
     decoded = decode(messages, schema).persist(StorageLevel.MEMORY_AND_DISK)
     try:
