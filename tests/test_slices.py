@@ -22,7 +22,7 @@ def series(spark, n=400, seed=1, span=3000):
     return spark.createDataFrame(data, "k string, t long, id long, v long")
 
 
-SLICES = [5, 40, 10**6]  # many hot keys, some, none
+SLICES = [5, 40, 10**6, None]  # many hot keys, some, none, no search
 
 
 @pytest.mark.parametrize("per_slice", SLICES)

@@ -126,11 +126,12 @@ def _number(df: DataFrame, name: str) -> Column:
     return number_or_zero(F.col(name)).cast("float")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table that comes in few large pieces; each
-    round reads it several times."""
+def _stored(df: DataFrame) -> DataFrame:
+    """Checkpoint the training state; each round reads it several times, so a
+    table that came in few pieces is spread over all cores."""
+    stored = df.checkpoint()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return stored.repartition(cores).checkpoint() if stored.rdd.getNumPartitions() < cores else stored
 
 
 def fit_quantile(
@@ -155,7 +156,7 @@ def fit_quantile(
     if base is None:
         raise ValueError("no labelled training rows")
     model = QuantileModel(float(quantile), list(features), float(base), params.learning_rate)
-    state = _spread(state.withColumn("__pred", F.lit(model.base))).checkpoint()
+    state = _stored(state.withColumn("__pred", F.lit(model.base)))
     draw = random.Random(params.seed)
     width = max(1, round(len(features) * params.feature_fraction))
     best, best_rounds = math.inf, 0

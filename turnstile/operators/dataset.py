@@ -67,7 +67,7 @@ def add_series_id(df: DataFrame, *parts: str, name: str = "series_id") -> DataFr
     return df.withColumn(name, series_id(*[F.col(p) for p in parts]))
 
 
-def add_time_index(df: DataFrame, ts: str, name: str = "time_idx", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def add_time_index(df: DataFrame, ts: str, name: str = "time_idx", rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
     """0-based number of the row's time among all distinct times.
 
     Only the distinct times are numbered, then joined back.
@@ -92,7 +92,7 @@ def encoder_windows(
     most: int = ENCODER_ROWS,
     least: int = 4,
     name: str = "encoder",
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Add up to ``most`` feature rows before each row, oldest first.
 

@@ -29,7 +29,7 @@ def rolling_stats(
     digits: int = 6,
     labels: dict[str, int] | None = None,
     per_key: DataFrame | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Mean and population deviation over [t - window, t], both ends included.
 
@@ -94,7 +94,7 @@ def row_labels(
     value: str,
     horizons: Sequence[int],
     prefix: str = "label_",
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Add ``{prefix}{h}``: the value h rows later in the key."""
     return sliced_window(
@@ -148,7 +148,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
 
 
 def exact_group_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], rows_per_slice: int | None = ROWS_PER_SLICE
 ) -> DataFrame:
     """Exact discrete quantiles: the least value with at least p of the rows.
 
@@ -182,7 +182,7 @@ def gold_facts(
     exact_quantiles: bool = False,
     as_of: str | None = None,
     digits: int = 6,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """The fact table: Silver's columns, one row per horizon.
 

@@ -25,7 +25,7 @@ def next_in_sequence(
     name: str,
     *,
     drop_last: bool = True,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Add the next row's ``value`` per key; by default without each last row.
 

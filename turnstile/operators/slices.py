@@ -142,7 +142,7 @@ def sliced_window(
     before: int = 0,
     after: int = 0,
     per_key: DataFrame | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Add window columns per key; equal to the plain window by ``keys``.
 
@@ -153,30 +153,37 @@ def sliced_window(
     and in the result, only the rows that ``keep`` remain. Without ties, and for
     ``near``, ``order`` should be total. ``per_key`` holds at most one row per
     key; its other columns are added as a left join would, on the same shuffle.
+    ``rows_per_slice=None`` skips the search for hot keys: the plain window, for
+    keys that are known to be small.
     """
     totals = totals or {}
     parts = {name: f"__part_{name}" for name in totals}
     given = df if keys else df.withColumn(_ALL, F.lit(0))
     keys = list(keys) or [_ALL]
     rows = given.withColumns({parts[name]: value for name, value in totals.items()})
-    hot = _hot_keys(rows, keys, order[0], rows_per_slice)
-    rows = _add_slices(rows, hot, keys, order[0])
+    search = rows_per_slice is not None
+    if search:
+        hot = _hot_keys(rows, keys, order[0], rows_per_slice)
+        rows = _add_slices(rows, hot, keys, order[0])
+    else:
+        rows = rows.withColumns({"__hot": F.lit(False), "__slice": F.lit(0).cast("long")})
     # Start rows sort before all others of their slice.
     merged = rows.withColumns({"__own": F.lit(True), "__after_start": F.lit(True)})
-    if near is not None:
+    if near is not None and search and (before or after):
         kept = rows if keep is None else rows.filter(keep)
         copies = _borrowed(kept, keys, order, before, after).drop(*parts.values())
         copies = copies.withColumns({"__own": F.lit(False), "__after_start": F.lit(True)})
         merged = merged.unionByName(copies, allowMissingColumns=True)
     starts = []
-    if totals:
+    if totals and search:
         starts.append(_starts(rows, keys, list(parts.values())))
     if per_key is not None:
-        starts.append(_key_rows(per_key, hot, keys))
+        key_rows = _key_rows(per_key, hot, keys) if search else per_key.withColumn("__slice", F.lit(0).cast("long"))
+        starts.append(key_rows)
     for start in starts:
         start = start.withColumns({"__own": F.lit(False), "__after_start": F.lit(False)})
         merged = merged.unionByName(start, allowMissingColumns=True)
-    if starts:
+    if totals or starts:
         window = Window.partitionBy(*keys, "__slice").orderBy("__after_start", *order)
         upto = (window.rangeBetween if ties else window.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
         running = {name: F.sum(part).over(upto) for name, part in parts.items()}
@@ -192,7 +199,7 @@ def sliced_window(
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position", rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position", rows_per_slice: int | None = ROWS_PER_SLICE
 ) -> DataFrame:
     """Add the 1-based row number per key; equals ``row_number`` by key."""
     one = {name: F.lit(1).cast("long")}

@@ -15,10 +15,18 @@ from turnstile.sources.json_schema import required_fields
 CORRUPT = "_corrupt_record"
 
 
-def kafka_stream(spark: SparkSession, topic: str, bootstrap: str | None = None, offsets: str | None = None) -> DataFrame:
-    """A Kafka topic; needs the Spark Kafka connector on the class path."""
+def kafka_stream(
+    spark: SparkSession, topic: str, bootstrap: str | None = None, offsets: str | None = None, max_offsets: int | None = None
+) -> DataFrame:
+    """A Kafka topic; needs the Spark Kafka connector on the class path.
+
+    ``max_offsets`` bounds a micro-batch, e.g. when a long backlog is read.
+    """
+    reader = spark.readStream.format("kafka")
+    if max_offsets:
+        reader = reader.option("maxOffsetsPerTrigger", max_offsets)
     return (
-        spark.readStream.format("kafka")
+        reader
         .option("kafka.bootstrap.servers", bootstrap or os.getenv("KAFKA_BROKER", "localhost:9092"))
         .option("subscribe", topic)
         .option("startingOffsets", offsets or os.getenv("KAFKA_OFFSETS", "latest"))
