@@ -255,7 +255,13 @@ def train_job(spark, folder):
     return registry.report(spark, f"{root}/reports").select("model_name", "kind", "name", "number")
 
 
-@query("registry_append")
+@query(
+    "registry_append",
+    """WITH v AS (SELECT user_id, event_id, ts, CAST(round(value * 1e2) AS DOUBLE) AS mid FROM events),
+       p AS (SELECT mid, lead(mid) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS actual FROM v)
+       SELECT 'gbt' AS model_name, '20240101020000' AS version, '{"hour": 2}' AS params, '2024-01-01T02:00:00' AS created_at,
+              avg(abs(actual - mid)) AS mae FROM p WHERE actual IS NOT NULL""",
+)
 def registry_append(spark, folder):
     root = work_path(spark, "registry")
     measured = evaluate(value_pairs(spark, folder), "actual", {0.5: "predicted"}).first().asDict()
