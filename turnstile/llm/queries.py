@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import winnow
+from turnstile.llm import ledger, urls, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +25,69 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query
 def op1_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnow.edited_likeness(table(spark, folder, "documents"))
+
+
+@query
+def op2_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    rows = ledger.apply_policy(ledger.ledger(table(spark, folder, "documents").select("doc_id", "text")), ledger.POLICIES[1])
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~ledger.passes(F.col("failure_bits"), ledger.BASE)).alias("base_failed"), "kept", "n_lines", "n_capitals", "failure_bits",
+    )
+
+
+ORACLES["op2_ledger"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+runs AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM runs QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+places AS (SELECT DISTINCT doc_id, i + k AS p FROM twice, (SELECT unnest([0, 1, 2]) AS k)),
+repeats AS (SELECT doc_id, count(*) AS n FROM places GROUP BY doc_id),
+m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+  CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines,
+  CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS BIGINT) AS n_capitals
+  FROM w LEFT JOIN repeats USING (doc_id)),
+f AS (SELECT *, n_words < 50 AS f0, 100 * n_repeat_words > 50 * n_words AS f1, word_chars < 2 * n_words AS f2,
+  word_chars > 25 * n_words AS f3, 10 * n_symbols > 3 * n_words AS f4, 100 * n_dup_lines > 30 * n_lines AS f5,
+  100 * n_capitals > 50 * word_chars AS f6 FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 OR f1 AS base_failed,
+  NOT (f0 OR f1 OR f4) AND f2::INT + f3::INT + f5::INT + f6::INT <= 1 AS kept, n_lines, n_capitals,
+  CAST(f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT + 32 * f5::INT + 64 * f6::INT AS BIGINT) AS failure_bits
+FROM f"""
+
+URL_RULES = (
+    urls.UrlRule("allow", "org", "/"),
+    urls.UrlRule("block", "example.org", "/es/"),
+    urls.UrlRule("block", "example.org", "/en/1"),
+    urls.UrlRule("allow", "com", "/fr/"),
+    urls.UrlRule("block", "com", "/de/"),
+)
+
+
+@query
+def op9_redirects(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge_pages(table(spark, folder, "pages"), urls.rule_table(spark, URL_RULES))
+
+
+ORACLES["op9_redirects"] = r"""
+WITH p AS (SELECT page_id, url, translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
+  regexp_replace(regexp_replace(coalesce(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), ''), '(^|&)(?:utm_[a-z]+|ref|source|fbclid|gclid)=[^&]*', '', 'g'), '^&', '') AS query
+  FROM pages),
+r(verdict, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+own AS (SELECT DISTINCT p.url, p.host, p.path, 'https://' || regexp_replace(p.host, '^(?:www|m)\.', '') || regexp_replace(p.path, '(?:/|\.html?)$', '')
+  || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS form FROM p),
+ends AS (SELECT url, host, path, form FROM own UNION
+  SELECT form, regexp_extract(form, '://([^/?#]*)', 1), regexp_extract(form, '://[^/?#]*([^?#]*)', 1), form FROM own),
+fit AS (SELECT url, form, arg_max(rh || rp, length(rh) + length(rp)) AS rule, arg_max(verdict, length(rh) + length(rp)) AS verdict
+  FROM ends JOIN r ON (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp) GROUP BY url, form),
+spread AS (SELECT form, min(verdict) AS alias_verdict FROM fit GROUP BY form)
+SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, alias_verdict, 'allow') AS verdict,
+  fit.verdict IS NULL AND alias_verdict IS NOT NULL AS aliased
+FROM p JOIN own USING (url) LEFT JOIN fit USING (url) LEFT JOIN spread ON spread.form = own.form"""
