@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import ledger, urls, winnow
+from turnstile.llm import ledger, quality, urls, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,10 @@ spread AS (SELECT form, min(verdict) AS alias_verdict FROM fit GROUP BY form)
 SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, alias_verdict, 'allow') AS verdict,
   fit.verdict IS NULL AND alias_verdict IS NOT NULL AS aliased
 FROM p JOIN own USING (url) LEFT JOIN fit USING (url) LEFT JOIN spread ON spread.form = own.form"""
+
+
+@query
+def op10_nbsvm(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select("doc_id", "text")
+    judged = quality.classify(rows, table(spark, folder, "labels"))
+    return judged.select("doc_id", "held_out", "score", "predicted")
