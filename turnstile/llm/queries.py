@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import ledger, quality, urls, winnow
+from turnstile.llm import ledger, licenses, quality, urls, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,12 @@ def op10_nbsvm(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").select("doc_id", "text")
     judged = quality.classify(rows, table(spark, folder, "labels"))
     return judged.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op8_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+        F.size("detections").cast("long").alias("n_detections"),
+    )
