@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import ledger, licenses, quality, urls, winnow
+from turnstile.llm import ledger, licenses, mixing, quality, urls, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,66 @@ def op8_signatures(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
         F.size("detections").cast("long").alias("n_detections"),
     )
+
+
+MIX_LEVELS = ("domain", "lang", "source")
+MIX_WEIGHTS = {"domain": {"a": 3, "b": 2}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 2}}
+MIX = {"share": 0.7, "epochs": 2, "seed": 11}
+
+
+def with_domain(documents: DataFrame) -> DataFrame:
+    """The tables have no domain: sources are parted into two by a hash of their name."""
+    return documents.withColumn("domain", F.when(F.md5(F.coalesce("source", F.lit(""))) < "8", "a").otherwise("b"))
+
+
+@query
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    documents = with_domain(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
+    return mixing.mix(documents, MIX_LEVELS, MIX_WEIGHTS, **MIX)
+
+
+def mix_sql(source: str, levels, weights, share: float, epochs: int, seed: int) -> str:
+    """The allotment in SQL. ``source`` gives doc_id, the levels without nulls, n_words and tie."""
+    parts = [
+        f"m AS ({source})",
+        f"leaves AS (SELECT {', '.join(levels)}, sum(n_words)::BIGINT AS tokens, sum(n_words)::BIGINT * {epochs} AS held FROM m GROUP BY ALL)",
+        f"given_0 AS (SELECT least(floor(sum(tokens) * {share}::DOUBLE), sum(held))::BIGINT AS amount FROM leaves)",
+    ]
+    for d, level in enumerate(levels, 1):
+        path, parent = ", ".join(levels[:d]), ", ".join(levels[: d - 1])
+        cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.get(level, {}).items())
+        weight = f"CASE {level} {cases} ELSE 1 END" if cases else "1"
+        by = f"PARTITION BY {parent}" if parent else ""
+        join = f"JOIN given_{d - 1} USING ({parent})" if parent else "CROSS JOIN given_0"
+        parts += [
+            f"n_{d} AS (SELECT {path}, held::HUGEINT AS held, weight::HUGEINT AS weight, amount::HUGEINT AS amount FROM (SELECT {path}, sum(held) AS held, {weight} AS weight FROM leaves GROUP BY {path}) {join})",
+            f"""c_{d} AS (SELECT *, (amount - coalesce(sum(held) OVER (x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight
+  >= held * sum(weight) OVER (x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS capped
+  FROM n_{d} WINDOW x AS ({by} ORDER BY held::DOUBLE / weight, {level}))""",
+            f"""r_{d} AS (SELECT *, (amount - coalesce(sum(held) FILTER (capped) OVER ({by}), 0))::HUGEINT AS rest,
+  (sum(weight) FILTER (NOT capped) OVER ({by}))::HUGEINT AS openw,
+  sum(CASE WHEN capped THEN 0 ELSE 1 END) OVER ({by} ORDER BY {level} ROWS UNBOUNDED PRECEDING) AS place FROM c_{d})""",
+            f"f_{d} AS (SELECT *, CASE WHEN NOT capped THEN rest * weight // openw END AS share FROM r_{d})",
+            f"""given_{d} AS (SELECT {path}, (CASE WHEN capped THEN held ELSE share + CASE WHEN place <= spare THEN 1 ELSE 0 END END)::BIGINT AS amount
+  FROM (SELECT *, rest - coalesce(sum(share) OVER ({by}), 0) AS spare FROM f_{d}))""",
+        ]
+    path = ", ".join(levels)
+    parts += [
+        f"plan AS (SELECT {path}, amount AS given, CASE WHEN tokens > 0 THEN amount // tokens ELSE 0 END AS full_epochs, CASE WHEN tokens > 0 THEN amount % tokens ELSE 0 END AS rest FROM leaves JOIN given_{len(levels)} USING ({path}))",
+        f"""o AS (SELECT *, coalesce(sum(n_words) OVER (PARTITION BY {path} ORDER BY md5('{seed}:' || full_epochs || ':' || coalesce(doc_id::VARCHAR, '')), doc_id, tie
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM m JOIN plan USING ({path}))""",
+    ]
+    return (
+        f"WITH {', '.join(parts)} SELECT doc_id, {path}, n_words, full_epochs::BIGINT AS full_epochs, "
+        "greatest(0, least(n_words, rest - ahead))::BIGINT AS prefix_words, given FROM o"
+    )
+
+
+ORACLES["op3_mixing"] = mix_sql(
+    """SELECT doc_id, CASE WHEN md5(coalesce(source, '')) < '8' THEN 'a' ELSE 'b' END AS domain, coalesce(lang, '') AS lang,
+  coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_words,
+  md5(coalesce(text, '')) AS tie FROM documents""",
+    MIX_LEVELS,
+    MIX_WEIGHTS,
+    **MIX,
+)
