@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import ledger, licenses, mixing, quality, urls, winnow
+from turnstile.llm import ledger, licenses, mixing, pfor, quality, urls, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -170,3 +170,11 @@ ORACLES["op3_mixing"] = mix_sql(
     MIX_WEIGHTS,
     **MIX,
 )
+
+
+@query
+def op6_frames(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return pfor.encoded(table(spark, folder, "documents").select("doc_id", "text"), tokenizer)
