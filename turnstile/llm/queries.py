@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import ledger, licenses, mixing, pfor, quality, substrings, urls, winnow
+from turnstile.llm import ledger, licenses, mixing, parity, pfor, quality, substrings, urls, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -198,3 +198,8 @@ ORACLES["op4_substrings"] = f"""
 WITH {REPEATS_SQL.format(source="documents")}
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN stay USING (doc_id)"""
+
+
+@query
+def op5_parity(spark: SparkSession, folder: str) -> DataFrame:
+    return parity.near_components(table(spark, folder, "documents").select("doc_id", "text"))
