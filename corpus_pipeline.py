@@ -1,8 +1,77 @@
-"""Stages from raw documents to a training mix."""
+"""From raw documents to a tokenised training mix.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept; all but the last return the columns of documents. ``run`` writes each
+stage's result below the shared folder and reads it again for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnstile.llm import mixing, parity, pieces, quality, substrings
+from turnstile.llm.queries import MIX_LEVELS, MIX_WEIGHTS, piece_model, with_domain
+from turnstile.llm.stored import stored
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: The mix takes nine tenths of the words that are left, none twice.
+MIX = {"share": 0.9, "epochs": 1, "seed": 11}
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    judged = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.filter("predicted = 1").select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group that links join; documents without words stay."""
+    groups = parity.near_components(docs.select("doc_id", "text"))
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of windows that start earlier; those that lose nothing stay as they are."""
+    kept = substrings.remove_repeats(docs, carry=("lang", "source"), joined=False)
+    return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the mix, one row per epoch that takes them whole; the last of a leaf ends at its budget."""
+    plan = mixing.mix(with_domain(docs.select("doc_id", "text", "lang", "source")), MIX_LEVELS, MIX_WEIGHTS, **MIX)
+    plan = plan.select(F.col("doc_id").alias("plan_id"), "n_words", "full_epochs", "prefix_words")
+    taken = docs.join(plan.filter("n_words > 0 and full_epochs + prefix_words > 0"), F.col("doc_id").eqNullSafe(F.col("plan_id")))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    start = F.array_join(F.slice(words, 1, F.col("prefix_words").cast("int")), " ")
+    part = F.when(F.col("prefix_words") == F.col("n_words"), F.col("text")).when(F.col("prefix_words") > 0, start)
+    texts = F.concat(F.array_repeat("text", F.col("full_epochs").cast("int")), F.array_compact(F.array(part)))
+    rows = taken.withColumn("text", F.explode(texts))
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each text."""
+    encoded = pieces.encode_pieces(docs.select("doc_id", "text"), piece_model())
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("substrings", substring_stage),
+    ("mixing", mixing_stage),
+    ("pieces", piece_stage),
+]
+
+#: The classifier, the sketches and the pieces have no SQL; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

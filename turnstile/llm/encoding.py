@@ -1,16 +1,15 @@
-"""Byte-level BPE encoding that runs the tokenizers library on distinct chunks only.
+"""Encoding of distinct chunks: texts are cut where no token can cross, and equal chunks are encoded once.
 
-The library's first step parts a text so that a lone space opens the next part
-and a lone newline is a part of its own; no merge crosses parts. Texts are cut at
-such places, every distinct chunk is encoded once per worker while it is
-remembered, and the chunks' ids are laid out by their hashes. The ids are those
-of encoding each whole text.
+``ByteEncoder`` runs the tokenizers library, whose first step parts a text so
+that a lone space opens the next part and a lone newline is a part of its own;
+no merge crosses parts. The ids are those of encoding each whole text.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from abc import ABC, abstractmethod
 
 import numpy as np
 
@@ -50,32 +49,19 @@ def cuts(buffer: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(out[:n])
 
 
-class Encoder:
-    """Encodes batches of texts with one tokenizer file."""
+class ChunkEncoder(ABC):
+    """Remembers the ids of chunks by their hashes, for as long as the Python worker lives."""
 
-    _known: dict[str, Encoder] = {}
+    _known: dict[tuple[type, str], ChunkEncoder] = {}
 
     @classmethod
-    def shared(cls, path: str) -> Encoder:
+    def shared(cls, path: str):
         """One per Python worker and file."""
-        if path not in cls._known:
-            cls._known[path] = cls(path)
-        return cls._known[path]
+        if (cls, path) not in cls._known:
+            cls._known[cls, path] = cls(path)
+        return cls._known[cls, path]
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            content = json.load(file)
-        first = content.get("pre_tokenizer") or {}
-        if first.get("type") != "ByteLevel" or first.get("add_prefix_space") or content.get("normalizer"):
-            raise ValueError("needs a byte-level tokenizer without prefix space and normalizer")
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.widths[i] = len(token)  # one character stands for one byte
+    def __init__(self) -> None:
         self.forget()
 
     def forget(self) -> None:
@@ -84,37 +70,17 @@ class Encoder:
         self.sizes = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
 
-    def _learn(self, hashes: np.ndarray, data: bytes, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Remember the ids of new chunks, given by their sorted hashes and their bytes.
+    @abstractmethod
+    def cuts(self, buffer: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Starts of the chunks of some texts; every byte is in a chunk and no chunk crosses texts."""
 
-        Chunks that open with a space and end visibly can follow one another in
-        one string; the ids are dealt back to the chunks by their lengths in bytes.
-        """
-        bytes_ = np.frombuffer(data, np.uint8)
-        last = bytes_[ends - 1]
-        second = bytes_[np.minimum(starts + 1, ends - 1)]
-        joins = (bytes_[starts] == SPACE) & (second > 0x20) & (second < 0x7F) & (last > 0x20) & (last < 0x7F)
-        order = np.argsort(~joins, kind="stable")
-        parts = [data[a:b] for a, b in zip(starts[order], ends[order], strict=True)]
-        n = int(joins.sum())
-        strings = [b"".join(parts[i : min(i + TOGETHER, n)]).decode() for i in range(0, n, TOGETHER)]
-        strings += [x.decode() for x in parts[n:]]
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-        ids = np.concatenate([np.empty(0, np.uint32), *found])
-        chunk_ends = np.cumsum((ends - starts)[order])
-        token_ends = np.searchsorted(np.cumsum(self.widths[ids]), chunk_ends) + 1
-        sizes, places = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        sizes[order] = np.diff(token_ends, prepend=0)
-        places[order] = len(self.ids) + token_ends - sizes[order]
-        at = np.searchsorted(self.hashes, hashes)
-        self.ids = np.concatenate([self.ids, ids])
-        self.hashes = np.insert(self.hashes, at, hashes)
-        self.places = np.insert(self.places, at, places)
-        self.sizes = np.insert(self.sizes, at, sizes)
+    @abstractmethod
+    def encode_chunks(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks, one after another, and the number of ids of each."""
 
     def encode(self, buffer: np.ndarray, bounds: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and the number of ids of each; ``end`` is put after each text."""
-        starts = cuts(buffer, bounds)
+        starts = self.cuts(buffer, bounds)
         ends = np.append(starts[1:], len(buffer))
         hashes = hash_slices(buffer, starts, ends)
         distinct, first = np.unique(hashes, return_index=True)
@@ -125,8 +91,12 @@ class Encoder:
         inside = at < len(self.hashes)
         new[inside] = self.hashes[at[inside]] != distinct[inside]
         if new.any():
-            rows = first[new]
-            self._learn(distinct[new], buffer.tobytes(), starts[rows], ends[rows])
+            ids, sizes = self.encode_chunks(buffer.tobytes(), starts[first[new]], ends[first[new]])
+            places = len(self.ids) + np.cumsum(sizes) - sizes
+            self.ids = np.concatenate([self.ids, ids])
+            self.hashes = np.insert(self.hashes, at[new], distinct[new])
+            self.places = np.insert(self.places, at[new], places)
+            self.sizes = np.insert(self.sizes, at[new], sizes)
         at = np.searchsorted(self.hashes, hashes)
         sizes, places = self.sizes[at], self.places[at]
         text = np.searchsorted(bounds, starts, side="right") - 1
@@ -134,6 +104,57 @@ class Encoder:
         total = np.cumsum(sizes) - sizes
         ids = self.ids[np.arange(int(sizes.sum())) - np.repeat(total, sizes) + np.repeat(places, sizes)]
         if end is not None:
+            ids = np.insert(ids, np.cumsum(counts), np.uint32(end))
             counts = counts + 1
-            ids = np.insert(ids, np.cumsum(counts - 1), np.uint32(end))
         return ids, counts
+
+
+class ByteEncoder(ChunkEncoder):
+    """Byte-level BPE of a tokenizers file."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            content = json.load(file)
+        first = content.get("pre_tokenizer") or {}
+        if first.get("type") != "ByteLevel" or first.get("add_prefix_space") or content.get("normalizer"):
+            raise ValueError("needs a byte-level tokenizer without prefix space and normalizer")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.widths[i] = len(token)  # one character stands for one byte
+
+    def cuts(self, buffer: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        return cuts(buffer, bounds)
+
+    def encode_chunks(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks that open with a space and end visibly can follow one another in one string;
+        the ids are dealt back to the chunks by their lengths in bytes.
+        """
+        buffer = np.frombuffer(data, np.uint8)
+        last, second = buffer[ends - 1], buffer[np.minimum(starts + 1, ends - 1)]
+        joins = (buffer[starts] == SPACE) & (second > 0x20) & (second < 0x7F) & (last > 0x20) & (last < 0x7F)
+        order = np.argsort(~joins, kind="stable")
+        parts = [data[a:b] for a, b in zip(starts[order], ends[order], strict=True)]
+        n = int(joins.sum())
+        strings = [b"".join(parts[i : min(i + TOGETHER, n)]).decode() for i in range(0, n, TOGETHER)]
+        strings += [x.decode() for x in parts[n:]]
+        found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
+        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in found)])
+        token_ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum((ends - starts)[order])) + 1
+        sizes = np.diff(token_ends, prepend=0)
+        return in_order(ids, sizes, order)
+
+
+def in_order(ids: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Put runs of ids, given in some order of their owners, into the owners' own order."""
+    begins = np.empty(len(order), np.int64)
+    begins[order] = np.cumsum(sizes) - sizes
+    own = np.empty(len(order), np.int64)
+    own[order] = sizes
+    total = np.cumsum(own) - own
+    return ids[np.arange(len(ids)) - np.repeat(total, own) + np.repeat(begins, own)], own

@@ -25,7 +25,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnstile.llm.encoding import Encoder
+from turnstile.llm.encoding import ByteEncoder
 from turnstile.llm.order import block_bounds, block_of, order_key
 from turnstile.llm.words import passes, text_bytes
 from turnstile.session import work_path
@@ -161,7 +161,7 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, id: str = "doc_id", te
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, block = Encoder.shared(tokenizer), Writer(), None
+        encoder, writer, block = ByteEncoder.shared(tokenizer), Writer(), None
         for batch in batches:
             for part in passes(batch):
                 if not part.num_rows:

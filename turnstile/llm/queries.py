@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import ledger, licenses, mixing, parity, pfor, quality, substrings, urls, winnow
+from turnstile.llm import ledger, licenses, mixing, parity, pfor, pieces, quality, substrings, urls, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -203,3 +203,22 @@ FROM w LEFT JOIN stay USING (doc_id)"""
 @query
 def op5_parity(spark: SparkSession, folder: str) -> DataFrame:
     return parity.near_components(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op7_viterbi(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    encoded = pieces.decode_pieces(pieces.encode_pieces(documents, piece_model()), piece_model())
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"),
+    )

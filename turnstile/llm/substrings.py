@@ -13,13 +13,14 @@ Words are compared by 64-bit hashes, segments by 64-bit hashes of these.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from turnstile.llm.fmindex import earlier_windows
 from turnstile.llm.heavy import among, heavy_values
@@ -259,13 +260,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Dat
     return later.unionByName(indexed_spans(docs, found.filter("not later"), window))
 
 
-def document_keys(df: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
+def document_keys(df: DataFrame, id: str, text: str, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(id, text, doc) of every row, and the distinct ones, with ``doc`` unique per distinct row and rising with the id.
 
     It is the id itself if no id is null or repeated; else the rank of id (null
     first) and text among the distinct rows.
     """
-    rows = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = df.select(
+        F.col(id).cast("long").alias("id"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        *([F.struct(*carry).alias("others")] if carry else []),
+    )
     bad = rows.groupBy("id").count().filter("id is null or count > 1")
     if bad.isEmpty():
         keyed = rows.withColumn("doc", F.col("id"))
@@ -279,12 +284,22 @@ def document_keys(df: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFra
         "ranks",
     )
     same = F.col("id").eqNullSafe(F.col("rank_id")) & (F.col("tag") == F.col("rank_tag"))
-    keyed = tagged.join(ranks, same).select("id", "text", "doc")
+    keyed = tagged.join(ranks, same).select(*rows.columns, "doc")
     return keyed, keyed.dropDuplicates(["doc"])
 
 
-def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """(id, n_words, n_removed, kept) for every row; ``kept`` has the words left, joined by one space.
+def remove_repeats(
+    df: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    window: int = WINDOW,
+    run: int = RUN,
+    carry: Sequence[str] = (),
+    joined: bool = True,
+) -> DataFrame:
+    """(id, n_words, n_removed, kept, carry) for every row; ``kept`` has the words left, joined by one space.
+
+    Without ``joined`` a text that loses nothing stays as it is.
 
     A word goes if a window of ``window`` words that covers it also starts
     earlier: in a smaller id, or earlier in its document. Windows are judged on
@@ -292,32 +307,30 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", window
     with a null id come first; of rows with one id the smaller hash of the text;
     equal rows count as one document and get equal results.
     """
-    docs, distinct = document_keys(df, id, text)
+    docs, distinct = document_keys(df, id, text, carry)
     spans = repeated_spans(distinct.select("doc", "text"), window, run)
     by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
+    found = docs.join(by_doc, "doc", "left").select("id", *(["others"] if carry else []), "text", "spans")
+    ends = found.columns[: -2]
+    schema = StructType([*found.select(ends).schema, *StructType.fromDDL("n_words bigint, n_removed bigint, kept string")])
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in passes(batch):
-                out = [_kept(*row) for row in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True)]
-                counts, removed, kept = zip(*out, strict=True)
-                yield pa.record_batch(
-                    [part.column("id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
-                    ["id", "n_words", "n_removed", "kept"],
-                )
+                rows = zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True)
+                counts, removed, kept = zip(*(_kept(*row, joined) for row in rows), strict=True)
+                new = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ends), *new], schema.names)
 
-    return (
-        docs.join(by_doc, "doc", "left")
-        .select("id", "text", "spans")
-        .mapInArrow(keep, "id bigint, n_words bigint, n_removed bigint, kept string")
-        .withColumnRenamed("id", id)
-    )
+    kept = found.mapInArrow(keep, schema).withColumnRenamed("id", id)
+    return kept.select(id, "n_words", "n_removed", "kept", *(["others.*"] if carry else []))
 
 
-def _kept(text: str, spans: list | None) -> tuple[int, int, str]:
+def _kept(text: str, spans: list | None, joined: bool) -> tuple[int, int, str]:
     words = text.encode().split()  # bytes.split() parts at 0x20 and 0x09 to 0x0D
     if not spans:
-        return len(words), 0, b" ".join(words).decode()
+        return len(words), 0, b" ".join(words).decode() if joined else text
     edges = np.zeros(len(words) + 1, np.int64)
     np.add.at(edges, [s["start"] for s in spans], 1)
     np.add.at(edges, [s["start"] + s["size"] for s in spans], -1)
