@@ -78,7 +78,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     kept = [c for c in df.columns if c not in names]
     source = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = df.select(
-        *kept,
+        F.struct(*kept).alias("_row"),
         F.filter(F.split(source, GAP), lambda w: w != "").alias("_words"),
         F.filter(F.split(source, "\n"), lambda x: x.rlike(WORD)).alias("_lines"),
         F.length(F.translate(source, BLANKS, "")).alias("_chars"),
@@ -101,7 +101,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     places = F.col("_places")
     gaps = F.transform(places, lambda p, i: F.least(F.lit(3), F.get(places, i + 1) - p))
     return rows.select(
-        *kept,
+        "_row.*",
         F.size("_words").cast("long").alias("n_words"),
         F.col("_chars").cast("long").alias("word_chars"),
         F.col("_symbols").cast("long").alias("n_symbols"),
