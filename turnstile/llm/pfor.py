@@ -37,6 +37,9 @@ END = 0
 _HEAD = struct.Struct("<4sQQQ")
 _BLOCK = struct.Struct("<IIIB3x")
 NULL_ID = -(2**63)
+#: Ids that are decoded at a time, unless a document has more.
+CHUNK = 1 << 20
+MANIFEST = "block int, file string, n_docs bigint, n_ids bigint"
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -182,38 +185,63 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, id: str = "doc_id", te
 
     system, path = _open(folder)
     system.create_dir(path, recursive=True)
-    manifest = rows.mapInArrow(write, "block int, file string, n_docs bigint, n_ids bigint")
+    manifest = rows.mapInArrow(write, MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return df.sparkSession.read.schema(manifest.schema).parquet(f"{folder}/manifest")
 
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """(block, id, at, ids) of every document in the files that the manifest lists; ``at`` counts ids within the file."""
+def _chunks(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Document ids, bounds in the file's ids (one more) and the ids, about a million at a time."""
+    system, path = _open(path)
+    with system.open_input_file(path) as file:
+        reader = Reader(file)
+        begin = 0
+        while begin < len(reader.docs):
+            limit = reader.starts[begin] + CHUNK
+            end = max(begin + 1, int(np.searchsorted(reader.starts, limit, side="right")) - 1)
+            bounds = reader.starts[begin : end + 1]
+            yield reader.docs[begin:end], bounds, reader.ids(int(bounds[0]), int(bounds[-1]))
+            begin = end
+
+
+def _from_files(spark: SparkSession, folder: str, kind: pa.DataType, ddl: str, value) -> DataFrame:
+    """(block, id, at, n_tokens, value) of every document in the files that the manifest lists."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                system, path = _open(row["file"])
-                with system.open_input_file(path) as file:
-                    reader = Reader(file)
-                    n = len(reader.docs)
-                    begin = 0
-                    while begin < n:
-                        limit = reader.starts[begin] + (1 << 20)
-                        end = max(begin + 1, int(np.searchsorted(reader.starts, limit, side="right")) - 1)
-                        starts = reader.starts[begin : end + 1]
-                        ids = reader.ids(int(starts[0]), int(starts[-1]))
-                        cells = pa.ListArray.from_arrays((starts - starts[0]).astype(np.int32), pa.array(ids.astype(np.int32)))
-                        docs = reader.docs[begin:end]
-                        yield pa.record_batch(
-                            [pa.array(np.full(end - begin, row["block"], np.int32)), pa.array(docs, mask=docs == NULL_ID), pa.array(starts[:-1]), cells],
-                            ["block", "id", "at", "ids"],
-                        )
-                        begin = end
-
-    files = spark.read.schema("block int, file string, n_docs bigint, n_ids bigint").parquet(f"{folder}/manifest")
-    many = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return files.repartition(many, "block").select("block", "file").mapInArrow(read, "block int, id bigint, at bigint, ids array<int>")
+                for docs, bounds, ids in _chunks(row["file"]):
+                    columns = [
+                        pa.array(np.full(len(docs), row["block"], np.int32)),
+                        pa.array(docs, mask=docs == NULL_ID),
+                        pa.array(bounds[:-1]),
+                        pa.array(np.diff(bounds)),
+                        value(bounds - bounds[0], ids).cast(kind),
+                    ]
+                    yield pa.record_batch(columns, ["block", "id", "at", "n_tokens", "value"])
+
+    files = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    spread = files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block")
+    return spread.select("block", "file").mapInArrow(read, f"block int, id bigint, at bigint, n_tokens bigint, value {ddl}")
+
+
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(block, id, at, n_tokens, ids) of every document; ``at`` counts the ids before it in its file."""
+
+    def cells(bounds: np.ndarray, ids: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids.astype(np.int32)))
+
+    return _from_files(spark, folder, pa.list_(pa.int32()), "array<int>", cells).withColumnRenamed("value", "ids")
+
+
+def read_checksums(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``read_documents``, with the unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
+
+    def sums(bounds: np.ndarray, ids: np.ndarray) -> pa.Array:
+        data = ids.astype("<u4").tobytes()
+        return pa.array([zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.int64())
+
+    return _from_files(spark, folder, pa.int64(), "bigint", sums).withColumnRenamed("value", "ids_crc32")
 
 
 def with_starts(documents: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -223,25 +251,9 @@ def with_starts(documents: DataFrame, manifest: DataFrame) -> DataFrame:
     return documents.join(F.broadcast(bases), "block").withColumn("start", F.col("base") + F.col("at")).drop("base", "at")
 
 
-def checksums(df: DataFrame) -> DataFrame:
-    """Replaces ``ids`` by n_tokens and ids_crc32 (unsigned, over little-endian unsigned 32-bit ids)."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = batch.column("ids")
-            bounds = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1]
-            values = cells.values.to_numpy(zero_copy_only=False).astype("<u4")
-            sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.record_batch(
-                [batch.column("id"), batch.column("start"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(sums, pa.int64())],
-                ["id", "start", "n_tokens", "ids_crc32"],
-            )
-
-    return df.select("id", "start", "ids").mapInArrow(check, "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-
-
 def encoded(df: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the ids below the shared folder, read them back: (id, start, n_tokens, ids_crc32)."""
+    """Write the ids below the shared folder and read them back: (id, start, n_tokens, ids_crc32)."""
     folder = work_path(df.sparkSession, "token-ids")
     manifest = write_ids(df, folder, tokenizer, id, text)
-    return checksums(with_starts(read_documents(df.sparkSession, folder), manifest)).withColumnRenamed("id", id)
+    found = with_starts(read_checksums(df.sparkSession, folder), manifest)
+    return found.select(F.col("id").alias(id), "start", "n_tokens", "ids_crc32")
