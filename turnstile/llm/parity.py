@@ -35,11 +35,15 @@ SHORT = 1
 
 @dataclass(frozen=True)
 class Likeness:
-    """Sets link from ``part / whole`` of Jaccard similarity on; ``shingle`` is in words."""
+    """Sets link from ``part / whole`` of Jaccard similarity on; ``shingle`` is in words.
+
+    A band has ``segments`` segments, and four, per hundred that can differ.
+    """
 
     part: int = 80
     whole: int = 100
     shingle: int = 5
+    segments: int = 120
 
     def apart(self, a: int, b: int) -> int:
         """The most shingles by which linked sets of a and b can differ."""
@@ -105,6 +109,11 @@ def set_ids(found: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
+def segment_place(members: np.ndarray, width: int) -> np.ndarray:
+    """The segment of each shingle, by the top bits of its hash; members are sorted, so places rise."""
+    return (members >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)
+
+
 def segment_keys(members: np.ndarray, heavy: np.ndarray, likeness: Likeness, wide: bool) -> np.ndarray:
     """The keys on which one set meets others: in its own band and, as the smaller one, in the next.
 
@@ -125,8 +134,7 @@ def segment_keys(members: np.ndarray, heavy: np.ndarray, likeness: Likeness, wid
             firsts, words = np.arange(n), mix(members)
             light = rare
         else:
-            # members are sorted by hash: the top bits choose the segment
-            place = (members >> np.uint64(32)) * np.uint64(width + width // 5 + 4) >> np.uint64(32)
+            place = segment_place(members, width * likeness.segments // 100 + 4)
             firsts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
             words = np.bitwise_xor.reduceat(mix(members), firsts)
             words = mix(words ^ mix(place[firsts] + np.uint64(7)))
