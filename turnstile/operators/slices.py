@@ -2,49 +2,39 @@
 
 A plain window by key sorts all rows of a key in one task. That is the best
 plan for ordinary keys and a stalled job for a key that holds a third of the
-table. Here the hot keys, and only they, are cut into *slices* along the first
-order column:
-
-- one narrow aggregate finds the keys with more than ``rows_per_slice`` rows;
-- their slice numbers come from a broadcast of at most ``MAX_HOT_KEYS`` rows;
-- each slice of a hot key gets one extra row with the running totals before it,
-  and copies of the few rows just outside it that a window looks at;
+table. Here the hot keys, and only they, are cut into *slices*:
+
+- one narrow aggregate counts the rows of each key; if no key has more than
+  ``rows_per_slice``, the plain window is the whole plan;
+- else the hot rows are dealt out by ranges of (key, order columns), which
+  Spark takes from a sample of these rows, and checkpointed: a range is a slice.
+  Any sortable columns will do, outliers do not widen a slice, and rows that tie
+  in the first order column are cut along the further ones;
+- each slice gets one extra row with the running totals before it, and copies of
+  the few rows just outside it that a window looks at;
 - one window by (key, slice) then finishes the work in one wide shuffle.
 
-Rows that are equal in the first order column share a slice.
-
-Ordinary keys have the one slice 0 and need no extra rows. Where no key is hot,
-AQE sees the empty broadcast and drops the extra branches.
+Ordinary keys have the one slice 0 and need no extra rows. The input is read once
+for the counts and once for the rows; what follows reads the checkpoint.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from turnstile.session import shared_folder
 
 ROWS_PER_SLICE = 1_000_000
-# Bound on what is broadcast. The largest keys come first, so a key left whole
-# holds at most 1/100,000 of the rows. Results do not depend on it.
-MAX_HOT_KEYS = 100_000
-# Slices per key beyond the even share, so that bursts stay small too.
-FINER = 4
+# Slices beyond the even share: bounds come from a sample, so sizes vary.
+FINER = 2
 
 _ALL = "__all"
 
 
-def _number(df: DataFrame, column: str) -> Column:
-    """The order column as a number that never falls along it."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(column).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(column).cast("double")
-    return F.col(column).cast("double")
-
-
 def _same(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str, hint=lambda df: df) -> DataFrame:
     """Join on equal columns where null equals null, as in a window."""
     marked = right.withColumnsRenamed({c: f"__right_{c}" for c in columns})
@@ -54,44 +44,32 @@ def _same(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str, h
     return left.join(hint(marked), on=met, how=how).drop(*[f"__right_{c}" for c in columns])
 
 
-def _hot_keys(df: DataFrame, keys: Sequence[str], along: str, rows_per_slice: int) -> DataFrame:
-    """The keys to slice, with the range of the order column and the pieces."""
-    at = _number(df, along)
-    return (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("__rows"), F.min(at).alias("__low"), F.max(at).alias("__high"))
-        .filter(F.col("__rows") > rows_per_slice)
-        .orderBy(F.desc("__rows"))
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, "__low", "__high", F.ceil(F.col("__rows") * FINER / rows_per_slice).alias("__pieces"))
-    )
+def _hot_keys(df: DataFrame, keys: Sequence[str], rows_per_slice: int) -> tuple[DataFrame, int]:
+    """The keys with more rows than a slice, and how many rows they have together."""
+    shared_folder(df.sparkSession)
+    counts = df.groupBy(*keys).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > rows_per_slice).checkpoint()
+    return counts, counts.agg(F.sum("__rows")).first()[0] or 0
 
 
-def _add_slices(df: DataFrame, hot: DataFrame, keys: Sequence[str], along: str) -> DataFrame:
-    """Add ``__hot`` and ``__slice``: 0 for ordinary keys, 0 to pieces + 1 else."""
-    at = _number(df, along)
-    place = F.when(F.col("__low") < F.col("__high"), F.width_bucket(at, F.col("__low"), F.col("__high"), F.col("__pieces")))
-    return (
-        _same(df, hot, keys, "left", F.broadcast)
-        .withColumn("__hot", F.col("__pieces").isNotNull())
-        .withColumn("__slice", F.when(F.col("__hot"), F.coalesce(place, F.lit(0))).otherwise(F.lit(0)).cast("long"))
-        .drop("__low", "__high", "__pieces")
-    )
+def _deal(df: DataFrame, hot: DataFrame, n_rows: int, keys: Sequence[str], order: Sequence[str], rows_per_slice: int):
+    """The rows of ordinary keys in slice 0, and the checkpointed rows of hot keys in slices from 1 on."""
+    marked = _same(df, hot.select(*keys, F.lit(True).alias("__hot")), keys, "left")
+    marked = marked.withColumn("__hot", F.coalesce("__hot", F.lit(False)))
+    pieces = math.ceil(n_rows * FINER / rows_per_slice)
+    dealt = marked.filter("__hot").repartitionByRange(pieces, *[F.col(c) for c in dict.fromkeys([*keys, *order])])
+    dealt = dealt.withColumn("__slice", F.spark_partition_id().cast("long") + 1).checkpoint()
+    return marked.filter(~F.col("__hot")).withColumn("__slice", F.lit(0).cast("long")), dealt
 
 
-def _key_rows(per_key: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The row of each key, once for every slice the key may have."""
-    slices = F.when(F.col("__pieces").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
-        F.sequence(F.lit(0).cast("long"), F.col("__pieces") + 1)
-    )
-    return (
-        _same(per_key, hot, keys, "left", F.broadcast).withColumn("__slice", F.explode(slices)).drop("__low", "__high", "__pieces")
-    )
+def _key_rows(per_key: DataFrame, dealt: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The row of each key, once for every slice the key has."""
+    slices = dealt.select(*keys, "__slice").distinct()
+    return _same(per_key, slices, keys, "left").withColumn("__slice", F.coalesce("__slice", F.lit(0).cast("long")))
 
 
 def _starts(rows: DataFrame, keys: Sequence[str], parts: Sequence[str]) -> DataFrame:
     """One row per slice of a hot key: the totals of the slices before it."""
-    sums = rows.filter("__hot").groupBy(*keys, "__slice").agg(*[F.sum(p).alias(p) for p in parts])
+    sums = rows.groupBy(*keys, "__slice").agg(*[F.sum(p).alias(p) for p in parts])
     earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     return sums.select(*keys, "__slice", *[F.sum(p).over(earlier).alias(p) for p in parts])
 
@@ -102,10 +80,9 @@ def _borrowed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], before
     Rows are matched by their position in the key, which follows from the row
     counts of the slices; only the first and last few rows of a slice take part.
     """
-    hot = rows.filter("__hot")
     whole = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = (
-        hot.groupBy(*keys, "__slice")
+        rows.groupBy(*keys, "__slice")
         .agg(F.count("*").alias("__n"))
         .withColumn("__end", F.sum("__n").over(whole))
         .withColumn("__start", F.col("__end") - F.col("__n"))
@@ -120,7 +97,7 @@ def _borrowed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], before
         sides.append((rank, before, F.col("__end") - F.col("__rank") + 1, F.col("__start") - F.col("__i") + 1))
     found = None
     for rank, reach, position, wanted in sides:
-        edge = hot.withColumn("__rank", rank).filter(F.col("__rank") <= reach)
+        edge = rows.withColumn("__rank", rank).filter(F.col("__rank") <= reach)
         edge = _same(edge, ends, [*keys, "__slice"], "inner").withColumn("__position", position)
         needs = ends.withColumn("__i", F.explode(F.sequence(F.lit(1), F.lit(reach)))).withColumn("__position", wanted)
         needs = needs.select(*keys, "__position", F.col("__slice").alias("__target"))
@@ -153,8 +130,9 @@ def sliced_window(
     and in the result, only the rows that ``keep`` remain. Without ties, and for
     ``near``, ``order`` should be total. ``per_key`` holds at most one row per
     key; its other columns are added as a left join would, on the same shuffle.
-    ``rows_per_slice=None`` skips the search for hot keys: the plain window, for
-    keys that are known to be small.
+    The search for hot keys runs when this is called; ``rows_per_slice=None``
+    skips it: the plain window, for keys that are known to be small. With ties,
+    rows that are equal in all of ``order`` share a slice.
     """
     totals = totals or {}
     parts = {name: f"__part_{name}" for name in totals}
@@ -163,22 +141,25 @@ def sliced_window(
     rows = given.withColumns({parts[name]: value for name, value in totals.items()})
     search = rows_per_slice is not None
     if search:
-        hot = _hot_keys(rows, keys, order[0], rows_per_slice)
-        rows = _add_slices(rows, hot, keys, order[0])
+        hot, n_rows = _hot_keys(rows, keys, rows_per_slice)
+        search = n_rows > 0
+    if search:
+        cold, dealt = _deal(rows, hot, n_rows, keys, order, rows_per_slice)
+        rows = cold.unionByName(dealt)
     else:
         rows = rows.withColumns({"__hot": F.lit(False), "__slice": F.lit(0).cast("long")})
     # Start rows sort before all others of their slice.
     merged = rows.withColumns({"__own": F.lit(True), "__after_start": F.lit(True)})
     if near is not None and search and (before or after):
-        kept = rows if keep is None else rows.filter(keep)
+        kept = dealt if keep is None else dealt.filter(keep)
         copies = _borrowed(kept, keys, order, before, after).drop(*parts.values())
         copies = copies.withColumns({"__own": F.lit(False), "__after_start": F.lit(True)})
         merged = merged.unionByName(copies, allowMissingColumns=True)
     starts = []
     if totals and search:
-        starts.append(_starts(rows, keys, list(parts.values())))
+        starts.append(_starts(dealt, keys, list(parts.values())))
     if per_key is not None:
-        key_rows = _key_rows(per_key, hot, keys) if search else per_key.withColumn("__slice", F.lit(0).cast("long"))
+        key_rows = _key_rows(per_key, dealt, keys) if search else per_key.withColumn("__slice", F.lit(0).cast("long"))
         starts.append(key_rows)
     for start in starts:
         start = start.withColumns({"__own": F.lit(False), "__after_start": F.lit(False)})
