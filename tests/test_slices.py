@@ -197,3 +197,44 @@ def test_ordered_split_of_nothing(spark):
     empty = series(spark, 1).filter("false")
     train, valid = ordered_split(empty, ["t", "id"])
     assert train.count() == valid.count() == 0
+
+
+def slice_sizes(spark, df, order, per_slice):
+    """Rows per slice of the hot keys."""
+    from turnstile.operators import slices
+
+    hot, n_rows = slices._hot_keys(df, ["k"], per_slice)
+    cold, dealt = slices._deal(df, hot, n_rows, ["k"], order, per_slice)
+    assert cold.count() + dealt.count() == df.count()
+    return [r["count"] for r in dealt.groupBy("k", "__slice").count().collect()]
+
+
+@pytest.mark.parametrize("outlier", [0, 10**15, None])
+def test_an_outlier_does_not_widen_a_slice(spark, outlier):
+    df = spark.range(1_000_000, 1_020_000).select(F.lit("hot").alias("k"), F.col("id").alias("t"), "id")
+    df = df.unionByName(spark.createDataFrame([("hot", outlier, -1)], "k string, t long, id long"))
+    sizes = slice_sizes(spark, df, ["t", "id"], 1000)
+    assert len(sizes) > 15 and max(sizes) <= 3 * 1000
+
+
+def test_ties_are_cut_along_the_further_columns(spark):
+    df = spark.range(20_000).select(F.lit("hot").alias("k"), F.lit(5).alias("t"), "id")
+    assert max(slice_sizes(spark, df, ["t", "id"], 1000)) <= 3 * 1000
+
+
+def test_text_and_zoneless_order_columns(spark, rows):
+    df = series(spark, 150).withColumn("text", F.concat(F.lit("n"), F.col("t").cast("string")))
+    df = df.withColumn("ntz", F.timestamp_seconds("t").cast("timestamp_ntz"))
+    for first in ("text", "ntz"):
+        got = positions(df, ["k"], [first, "id"], rows_per_slice=10)
+        want = df.withColumn("position", F.row_number().over(Window.partitionBy("k").orderBy(first, "id")))
+        assert rows(got, "id", "position") == rows(want, "id", "position")
+
+
+def test_a_hot_key_reads_the_input_twice(spark, tmp_path):
+    series(spark, 300).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    got = sliced_window(df, ["k"], ["t", "id"], near=lambda w: {"nxt": F.lead("id").over(w)}, after=1, rows_per_slice=20)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1  # the ordinary keys; the hot rows come from their checkpoint

@@ -14,7 +14,9 @@ WEEK = 7 * 24 * 60 * 60
 
 
 def fixed_point(value: Column, digits: int) -> Column:
-    return F.round(value * F.lit(10.0**digits)).cast("long")
+    """The value to ``digits`` decimals as an integer; null for NaN and values that do not fit."""
+    scaled = F.round(value.cast("double") * F.lit(10.0**digits))
+    return F.when(F.abs(scaled) < F.lit(2.0**62), scaled.cast("long"))
 
 
 def rolling_stats(
@@ -37,8 +39,8 @@ def rolling_stats(
     each value enters at t and leaves one second after the window, and the
     running totals of these entries and exits are the window's count, sum and
     sum of squares. The sums are exact: values are taken to ``digits`` decimals
-    as integers, so nothing drifts; a value that does not fit fails the job.
-    Null values do not count.
+    as integers, so nothing drifts. Null values do not count, nor do NaN and
+    values beyond 2**62 in these units.
 
     ``labels`` (``{name: n}``) adds the value n rows later on the same pass; it
     needs one row per key and second, as Silver has. ``per_key`` holds one row

@@ -11,7 +11,7 @@ from turnstile.operators.quality import Check, between, enforce, more_rows_than,
 from turnstile.operators.silver import silver_facts
 from turnstile.plans import transit
 from turnstile.session import remove_work, work_path
-from turnstile.sources.tables import overwrite_partitions, read_dimension, read_table
+from turnstile.sources.tables import overwrite_changed, overwrite_partitions, read_dimension, read_table
 
 
 def silver_checks() -> list[Check]:
@@ -68,9 +68,15 @@ def run_silver(spark: SparkSession, root: str, *, on_fail: str = "raise", **opti
 
 
 def run_gold(spark: SparkSession, root: str, horizons: Sequence[int] = transit.HORIZONS, **options) -> str:
+    """Compute Gold from all of Silver and replace the partitions that changed.
+
+    The quantiles cover the whole series, so any row may change with any date;
+    but the table, and so the stream that follows it, gets only the changes. On
+    unchanged Silver nothing is written.
+    """
     silver = read_table(spark, transit.silver_path(root))
     facts = gold_facts(silver, transit.SERIES, horizons=horizons, **options)
-    overwrite_partitions(facts, transit.gold_path(root), ["date", "horizon_min"])
+    overwrite_changed(facts, transit.gold_path(root), ["date", "horizon_min"])
     return transit.gold_path(root)
 
 
@@ -80,5 +86,4 @@ def validate_tables(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
     for name, path in tables.items():
         result = run_checks(read_table(spark, path), name, [more_rows_than(0)])
         results = result if results is None else results.unionByName(result)
-    enforce(results)
-    return results
+    return spark.createDataFrame(enforce(results), results.schema)

@@ -16,7 +16,7 @@ from turnstile.operators.metrics import evaluate
 from turnstile.plans.batch import validate_tables
 from turnstile.plans.training import TrainingConfig, run_training
 from turnstile.session import work_path
-from turnstile.showcase.common import MINUTES, cents, events, minute_facts, query, seconds, table
+from turnstile.showcase.common import MINUTES, ORACLES, cents, events, minute_facts, query, seconds, table
 from turnstile.showcase.gold import GOLD, gold_rows
 from turnstile.sources.tables import compact, csv_to_parquet, overwrite_partitions, read_dimension, read_table
 
@@ -120,9 +120,9 @@ def series_index(spark, folder):
        FROM w a JOIN w b ON a.event_type = b.event_type AND b.n BETWEEN a.n - 16 AND a.n - 1
        GROUP BY a.event_id HAVING count(b.c) >= 4""",
 )
-def encoder_window(spark, folder):
+def encoder_window(spark, folder, **options):
     rows = events(spark, folder).select("event_type", "event_id", "ts", cents().alias("cents"))
-    windows = encoder_windows(rows, ["event_type"], ["ts", "event_id"], ["cents"])
+    windows = encoder_windows(rows, ["event_type"], ["ts", "event_id"], ["cents"], **options)
     return windows.select(
         "event_id",
         F.size("encoder").cast("long").alias("steps"),
@@ -131,6 +131,11 @@ def encoder_window(spark, folder):
     )
 
 
+@query("encoder_window_sliced", ORACLES["encoder_window"])
+def encoder_window_sliced(spark, folder):
+    return encoder_window(spark, folder, rows_per_slice=1000)
+
+
 @query("select_features", "SELECT l_quantity, l_discount, l_tax FROM lineitem")
 def select_features(spark, folder):
     lines = table(spark, folder, "lineitem")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnstile.operators.gold import exact_group_quantiles, fan_out, gold_facts, minute_labels, rolling_stats, row_labels
-from turnstile.showcase.common import MINUTES, minute_facts, query, seconds
+from turnstile.session import work_path
+from turnstile.showcase.common import MINUTES, ORACLES, minute_facts, query, seconds
+from turnstile.sources.tables import overwrite_changed, read_table
 
 HORIZONS = (10, 20, 30)
 DIGITS = 4
@@ -23,9 +25,9 @@ def _union(template: str) -> str:
         "lead(score, {h}) OVER (PARTITION BY event_type ORDER BY minute) AS label_p50 FROM scored"
     ),
 )
-def horizon_labels(spark, folder):
+def horizon_labels(spark, folder, **options):
     series = minute_facts(spark, folder).select("event_type", "minute", "score")
-    labelled = row_labels(series, ["event_type"], ["minute"], "score", HORIZONS)
+    labelled = row_labels(series, ["event_type"], ["minute"], "score", HORIZONS, **options)
     spread = fan_out(labelled, {h: f"label_{h}" for h in HORIZONS})
     return spread.select("event_type", seconds("minute").alias("minute_s"), "horizon_min", "label_p50")
 
@@ -56,9 +58,9 @@ rolled AS (
 
 
 @query("rolling_7d", f"WITH {MINUTES}, {ROLLED} SELECT event_type, minute_s, rolling_mean_7d, rolling_std_7d FROM rolled")
-def rolling_7d(spark, folder):
+def rolling_7d(spark, folder, **options):
     series = minute_facts(spark, folder).select("event_type", "minute", "score")
-    rolled = rolling_stats(series, ["event_type"], "minute", "score", digits=DIGITS)
+    rolled = rolling_stats(series, ["event_type"], "minute", "score", digits=DIGITS, **options)
     return rolled.select(
         "event_type", seconds("minute").alias("minute_s"), "rolling_mean_7d", F.round("rolling_std_7d", 6).alias("rolling_std_7d")
     )
@@ -81,9 +83,10 @@ def hist_quantiles(spark, folder):
     return joined.select("event_type", seconds("minute").alias("minute_s"), "hist_p50", "hist_p90")
 
 
-def gold_rows(spark, folder):
+def gold_rows(spark, folder, **options):
     series = minute_facts(spark, folder)
-    return gold_facts(series, ["event_type"], "minute", "score", HORIZONS, exact_quantiles=True, digits=DIGITS)
+    options = {"exact_quantiles": True, "digits": DIGITS} | options
+    return gold_facts(series, ["event_type"], "minute", "score", HORIZONS, **options)
 
 
 GOLD = (
@@ -98,9 +101,8 @@ GOLD = (
 )
 
 
-@query("gold_fact", f"WITH {GOLD} SELECT * EXCLUDE (minute) FROM gold")
-def gold_fact(spark, folder):
-    return gold_rows(spark, folder).select(
+def shown(facts):
+    return facts.select(
         "event_type",
         seconds("minute").alias("minute_s"),
         "active_users",
@@ -114,3 +116,45 @@ def gold_fact(spark, folder):
         "hist_p90",
         F.date_format("date", "yyyy-MM-dd").alias("day"),
     )
+
+
+@query("gold_fact", f"WITH {GOLD} SELECT * EXCLUDE (minute) FROM gold")
+def gold_fact(spark, folder):
+    return shown(gold_rows(spark, folder))
+
+
+# The same with slices of a thousand rows, so that every series is hot.
+SLICE = 1000
+
+
+@query("horizon_labels_sliced", ORACLES["horizon_labels"])
+def horizon_labels_sliced(spark, folder):
+    return horizon_labels(spark, folder, rows_per_slice=SLICE)
+
+
+@query("rolling_7d_sliced", ORACLES["rolling_7d"])
+def rolling_7d_sliced(spark, folder):
+    return rolling_7d(spark, folder, rows_per_slice=SLICE)
+
+
+@query("gold_fact_sliced", ORACLES["gold_fact"])
+def gold_fact_sliced(spark, folder):
+    return shown(gold_rows(spark, folder, rows_per_slice=SLICE))
+
+
+@query("gold_fact_sketch", ORACLES["gold_fact"])
+def gold_fact_sketch(spark, folder):
+    """With the quantile sketch that the job uses, at an accuracy above the rows of a series."""
+    return shown(gold_rows(spark, folder, exact_quantiles=False, accuracy=1_000_000))
+
+
+@query("gold_incremental", f"WITH {GOLD} SELECT * EXCLUDE (minute) FROM gold")
+def gold_incremental(spark, folder):
+    """Gold stored from the first half of the dates, then brought up to date partition by partition."""
+    path = f"{work_path(spark, 'gold')}/gold"
+    series = minute_facts(spark, folder)
+    for part in (series.filter(F.col("minute") < F.lit("2024-01-15").cast("timestamp")), series):
+        facts = gold_facts(part, ["event_type"], "minute", "score", HORIZONS, exact_quantiles=True, digits=DIGITS)
+        overwrite_changed(facts, path, ["date", "horizon_min"])
+    stored = read_table(spark, path)
+    return shown(stored.withColumn("horizon_min", F.col("horizon_min").cast("int")))

@@ -44,6 +44,31 @@ def next_event(spark, folder):
     return next_types(spark, folder).select("user_id", "event_id", "event_type", "next_type")
 
 
+@query(
+    "next_in_sequence_sliced",
+    """SELECT event_type, event_id, nxt FROM (
+         SELECT *, lead(event_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nxt
+         FROM (SELECT event_type, event_id, ts FROM events UNION ALL SELECT 'view', -1, TIMESTAMP '1970-01-01 00:00:00')) WHERE nxt IS NOT NULL""",
+)
+def next_event_sliced(spark, folder):
+    """Every type is a hot key, and one has a row long before all others."""
+    rows = events(spark, folder).select("event_type", "event_id", "ts")
+    first = spark.sql("SELECT 'view' AS event_type, -1L AS event_id, TIMESTAMP '1970-01-01 00:00:00' AS ts")
+    found = next_in_sequence(rows.unionByName(first), ["event_type"], ["ts", "event_id"], "event_id", "nxt", rows_per_slice=1000)
+    return found.select("event_type", "event_id", "nxt")
+
+
+@query(
+    "next_in_sequence_by_text",
+    """SELECT event_type, event_id, value, nxt FROM (
+         SELECT *, lead(event_id) OVER (PARTITION BY event_type ORDER BY props, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL""",
+)
+def next_event_by_text(spark, folder):
+    rows = events(spark, folder).select("event_type", "event_id", "value", "props")
+    found = next_in_sequence(rows, ["event_type"], ["props", "event_id"], "event_id", "nxt", rows_per_slice=1000)
+    return found.select("event_type", "event_id", "value", "nxt")
+
+
 @query(
     "update_pairs_left",
     f"""WITH {NEXT_TYPES}
@@ -82,11 +107,11 @@ def fanout_left(spark, folder):
     "bucket_weather_join",
     """WITH hourly AS (
          SELECT date_trunc('hour', ts) AS h, avg(CAST(round(value * 1e2) AS BIGINT)) AS mean_cents
-         FROM events WHERE event_type = 'view' GROUP BY 1)
+         FROM events GROUP BY 1)
        SELECT event_id, event_type, mean_cents FROM events LEFT JOIN hourly ON date_trunc('hour', ts) = h""",
 )
 def bucket_weather_join(spark, folder):
-    readings = events(spark, folder).filter(F.col("event_type") == "view").select("ts", cents().alias("cents"))
+    readings = events(spark, folder).select("ts", cents().alias("cents"))
     hourly = hourly_means(readings, "ts", {"cents": "mean_cents"})
     rows = events(spark, folder).select("event_id", "event_type", "ts")
     return join_hourly(rows, hourly, "ts").select("event_id", "event_type", "mean_cents")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnstile.operators.curate import cast_numbers, on_date
+from turnstile.session import remove_work, work_path
 
 # The schedule files that are read, all columns as text.
 SCHEDULE_TABLES = ("stops", "shapes", "trips", "routes", "stop_times")
@@ -63,6 +64,39 @@ def overwrite_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
     )
 
 
+def overwrite_changed(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Replace only the partitions whose rows differ from the stored ones.
+
+    Rows are staged once in the shared folder; a partition is compared by its
+    row count and the sum of its rows' hashes, both pre-aggregated.
+    """
+    spark = df.sparkSession
+    staged = work_path(spark, "changed")
+    try:
+        df.write.parquet(staged)
+        rows = spark.read.schema(df.schema).parquet(staged)
+        try:
+            kinds = {f.name: f.dataType for f in df.schema}
+            stored = spark.read.parquet(path)
+            stored = stored.select([F.col(c).cast(kinds[c]) for c in df.columns]) if set(stored.columns) == set(kinds) else None
+        except AnalysisException as error:  # no table yet
+            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+                raise
+            stored = None
+        if stored is not None:
+            same = partition_digests(rows, by).join(partition_digests(stored, by), on=[*by, "rows", "digest"], how="left_semi")
+            rows = rows.join(same.select(*by), on=list(by), how="left_anti").select(df.columns)
+        overwrite_partitions(rows, path, by)
+    finally:
+        remove_work(spark, staged)
+
+
+def partition_digests(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, rows, digest) of each partition."""
+    hashed = F.xxhash64(*sorted(c for c in df.columns if c not in by)).cast("decimal(38,0)")
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(hashed).alias("digest"))
+
+
 def csv_to_parquet(spark: SparkSession, source: str, target: str, tables: Sequence[str] = SCHEDULE_TABLES, suffix: str = ".txt") -> list[str]:
     """Rewrite schedule files with a header as Parquet, every column as text.
 
