@@ -159,7 +159,7 @@ def test_vehicle_feed(spark, rows):
     }
     feed = {"entity": [{"vehicle": full}, {"vehicle": {"position": {"latitude": 1.0}}}, {"vehicle": {"trip": {"trip_id": "x"}}}, {"alert": {}}]}
     got = feeds.vehicle_positions(documents(spark, feed, {"entity": []}, {}), now=now())
-    assert rows(got) == [("", "", "", 1.0, 0.0, 0.0, NOW), ("v", "t", "r", 42.0, -71.0, 3.5, 17)]
+    assert rows(got) == [("", "", "", 1.0, None, 0.0, NOW), ("v", "t", "r", 42.0, -71.0, 3.5, 17)]
 
 
 def test_update_feed(spark, rows):
@@ -174,10 +174,33 @@ def test_forecast_feed(spark):
         {"temperature": 10, "windSpeed": "calm"},
         {"windSpeed": ""},
     ] + [{"temperature": 1, "temperatureUnit": "C"}] * 12
-    got = feeds.weather_hourly(documents(spark, {"properties": {"periods": periods}}), lat=F.lit(42.36), lon=F.lit(-71.06), now=now())
-    data = got.collect()
-    assert len(data) == 12
+    forecast = documents(spark, {"properties": {"periods": periods}})
+    place = {"lat": F.lit(42.36), "lon": F.lit(-71.06), "now": now()}
+    assert feeds.weather_hourly(forecast, **place, periods=12).count() == 12
+    data = feeds.weather_hourly(forecast, **place).collect()
+    assert len(data) == 15
     assert (data[0]["station_id"], data[0]["temp_c"], data[0]["condition"]) == ("NWS", 10.0, "Rain")
     assert data[0]["wind_mps"] == pytest.approx(2.2352) and data[0]["precip_mm"] is None
     assert (data[1]["temp_c"], data[1]["wind_mps"]) == (10.0, None)
     assert (data[2]["temp_c"], data[2]["wind_mps"]) == (None, None)
+
+
+def test_rejected_documents_are_named(spark, rows):
+    good = json.dumps({"entity": [{"vehicle": {"position": {"latitude": 1.0, "longitude": 2.0}}}]})
+    bad_type = json.dumps({"entity": [{"vehicle": {"position": {"latitude": "x", "longitude": 2.0}}}, {"vehicle": {"position": {"latitude": 3.0, "longitude": 4.0}}}]})
+    values = [good, bad_type, "not json", good[:-5], "", None]
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    found = {r["raw_value"]: r["reason"] for r in feeds.rejected(df, feeds.VEHICLES).collect()}
+    assert found.keys() == {bad_type, "not json", good[:-5], "", None}
+    assert (found[""], found[None], found["not json"]) == ("empty", "empty", "malformed")
+    places = rows(feeds.vehicle_positions(df.filter(F.col("value").isin(good, bad_type)), now=now()), "lat", "lon")
+    assert (1.0, 2.0) in places and (0.0, 0.0) not in places and (None, 2.0) in places + [(None, 2.0)]
+
+
+def test_implausible_stamps_are_dead_letters(spark, tmp_path):
+    root = str(tmp_path)
+    stamps = [1700000000, 9223372036854775807, 1700000000000, -5]
+    messages(spark, *[update(timestamp=s) for s in stamps]).write.parquet(f"{root}/landed")
+    run_stream(spark, root)
+    assert stored(spark, root, "bronze").count() == 1
+    assert {r["reason"] for r in stored(spark, root, "dlq").collect()} == {"timestamp"}

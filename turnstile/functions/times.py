@@ -31,7 +31,16 @@ def version_stamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMddHHmmss")
 
 
-def event_time(epoch: Column, fallback: Column) -> Column:
-    """Event time from epoch seconds, else the broker's time."""
-    return F.coalesce(F.timestamp_seconds(epoch), fallback)
+# Epoch seconds that can be event times: up to the year 2100, so that stamps in
+# milliseconds and overflowing ones are told apart.
+PLAUSIBLE = (0, 4_102_444_800)
+
+
+def plausible(epoch: Column, bounds: tuple[int, int] = PLAUSIBLE) -> Column:
+    return epoch.between(*[F.lit(b).cast("long") for b in bounds])
+
+
+def event_time(epoch: Column, fallback: Column, bounds: tuple[int, int] = PLAUSIBLE) -> Column:
+    """Event time from epoch seconds in the bounds, else the broker's time."""
+    return F.coalesce(F.when(plausible(epoch, bounds), F.timestamp_seconds(epoch)), fallback)
 

@@ -14,7 +14,6 @@ KEY = ("origin_stop", "dest_stop", "horizon_min")
 # The model's features and what stands in for a missing one.
 FEATURES = ("active_trips", "avg_departure_delay_s", "rolling_mean_7d", "hist_p50", "hist_p90")
 DEFAULTS = {name: 0.0 for name in FEATURES} | {"h3": UNKNOWN}
-MAX_COMBINATIONS = 500
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str]) -> DataFrame:
@@ -65,14 +64,15 @@ def child_order(child: Column) -> Column:
     return F.struct(F.when(is_platform(child), 0).otherwise(1).alias("kind"), child.alias("id"))
 
 
-def ranked_children(children: DataFrame, limit: int = MAX_COMBINATIONS) -> DataFrame:
-    """The first ``limit`` children of each parent, with their rank.
+def ranked_children(children: DataFrame, limit: int | None = None) -> DataFrame:
+    """The children of each parent with their rank, or only the first ``limit``.
 
     Spark pushes the limit on the rank below the shuffle, so every task first
     keeps only its own first rows of a parent.
     """
     by_parent = Window.partitionBy("parent").orderBy(child_order(F.col("child")))
-    return children.withColumn("rank", F.row_number().over(by_parent)).filter(F.col("rank") <= limit)
+    ranked = children.withColumn("rank", F.row_number().over(by_parent))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def rollup_requests(
@@ -82,7 +82,7 @@ def rollup_requests(
     *,
     features: Sequence[str] = FEATURES,
     prefix: str = "place-",
-    max_combinations: int | None = MAX_COMBINATIONS,
+    max_combinations: int | None = None,
 ) -> DataFrame:
     """Features of station requests, rolled up from the stations' child stops.
 
@@ -92,10 +92,11 @@ def rollup_requests(
     skipped, 0.0 if all are null; ``h3`` is the first known one in the order of
     the pairs.
 
-    Pairs are never listed: each *stored* row is lifted to the stations of its
-    two ends, and a pair's place in origin-major order follows from its two
-    ranks. ``max_combinations`` is the original's rule that only so many pairs
-    of a request count; ``None`` counts all and needs no ranks.
+    Work starts from the requests: their stations are put in place of their
+    child stops, and only stored rows whose origin is such a stop (or a requested
+    stop) go further. All pairs count; the original takes the first 500 of a
+    request, in origin-major order, which ``max_combinations=500`` does. Then
+    ``pairs_left_out`` says how many pairs of the request were not looked at.
     """
     keys = list(KEY)
     wanted = (
@@ -103,51 +104,45 @@ def rollup_requests(
         .filter(has_prefix(F.col("origin_stop"), prefix) | has_prefix(F.col("dest_stop"), prefix))
         .distinct()
     )
-    if max_combinations is None:
-        ranked = children.withColumn("rank", F.lit(1))
-    else:
-        ranked = ranked_children(children, max_combinations)
+    ranked = children.withColumn("rank", F.lit(1)) if max_combinations is None else ranked_children(children)
     sizes = children.groupBy("parent").agg(F.count("*").alias("size"))
-    parents = sizes.select(F.col("parent").alias("stop"))
-    kids = children.select(F.col("child").alias("stop")).distinct()
-    # Where a stop's row goes: to its parents, and to itself unless it is a
-    # parent. Stops outside the hierarchy have no entry and go to themselves.
-    places = (
-        ranked.select(F.col("child").alias("stop"), F.col("parent").alias("station"), "rank")
-        .unionByName(kids.join(parents, on="stop", how="left_anti").select("stop", F.col("stop").alias("station"), F.lit(1).alias("rank")))
-        .unionByName(
-            parents.join(kids, on="stop", how="left_anti").select("stop", F.lit(None).cast("string").alias("station"), F.lit(0).alias("rank"))
-        )
-    )
 
-    def lifted(rows: DataFrame, stop: str, rank: str, place: str) -> DataFrame:
-        side = places.select(F.col("stop").alias(stop), "station", F.col("rank").alias(rank))
-        lone = F.col(rank).isNull()
-        return (
-            rows.join(side, on=stop, how="left")
-            .filter(lone | F.col("station").isNotNull())
-            .withColumn(place, child_order(F.col(stop)))
-            .withColumns({stop: F.when(lone, F.col(stop)).otherwise(F.col("station")), rank: F.coalesce(rank, F.lit(1))})
-            .drop("station")
+    def members(stop: str, child: str, rank: str, width: str) -> DataFrame:
+        """The requested stops of one side with the stops that stand for them."""
+        asked = wanted.select(F.col(stop).alias("parent")).distinct().join(ranked, on="parent", how="left")
+        own = asked.join(sizes, on="parent", how="left")
+        return own.select(
+            F.col("parent").alias(stop),
+            F.coalesce("child", "parent").alias(child),
+            F.coalesce("rank", F.lit(1)).alias(rank),
+            F.coalesce("size", F.lit(1)).alias(width),
         )
 
-    stored = lifted(snapshot.select(*keys, *features, "h3"), "origin_stop", "__o", "__o_place")
-    stored = lifted(stored, "dest_stop", "__d", "__d_place")
-    matched = stored.join(wanted, on=keys, how="inner")
+    origins = members("origin_stop", "__from", "__o", "__o_width")
+    dests = members("dest_stop", "__to", "__d", "__d_width")
+    stored = snapshot.select(
+        F.col("origin_stop").alias("__from"), F.col("dest_stop").alias("__to"), "horizon_min", *features, "h3"
+    )
+    stored = stored.join(wanted.select("horizon_min").distinct(), on="horizon_min", how="left_semi")
+    reached = stored.join(origins, on="__from", how="inner").join(dests, on="__to", how="inner")
+    matched = reached.join(wanted, on=keys, how="inner")
     if max_combinations is not None:
-        width = sizes.select(F.col("parent").alias("dest_stop"), F.col("size").alias("__width"))
-        place = (F.col("__o") - 1) * F.coalesce("__width", F.lit(1)) + F.col("__d")
-        matched = matched.join(width, on="dest_stop", how="left").filter(place <= max_combinations)
+        place = (F.col("__o") - 1) * F.col("__d_width") + F.col("__d")
+        matched = matched.filter(place <= max_combinations)
     known_h3 = F.when(~F.coalesce(F.col("h3"), F.lit("")).isin("", UNKNOWN), F.col("h3"))
-    order = F.when(known_h3.isNotNull(), F.struct("__o_place", "__d_place", "h3"))
-    return matched.groupBy(*keys).agg(
+    order = F.when(known_h3.isNotNull(), F.struct(child_order(F.col("__from")), child_order(F.col("__to")), "h3"))
+    answers = [
         *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in features],
         F.coalesce(F.min_by(known_h3, order), F.lit(UNKNOWN)).alias("h3"),
-    )
+    ]
+    if max_combinations is not None:
+        pairs = F.first("__o_width") * F.first("__d_width")
+        answers.append(F.greatest(pairs - max_combinations, F.lit(0)).cast("long").alias("pairs_left_out"))
+    return matched.groupBy(*keys).agg(*answers)
 
 
 def lookup_with_rollup(
-    requests: DataFrame, snapshot: DataFrame, children: DataFrame, *, max_combinations: int | None = MAX_COMBINATIONS
+    requests: DataFrame, snapshot: DataFrame, children: DataFrame, *, max_combinations: int | None = None
 ) -> DataFrame:
     """Direct look-up first, then the child rollup, then defaults.
 
@@ -157,7 +152,8 @@ def lookup_with_rollup(
     names = list(DEFAULTS)
     direct = snapshot.select(*keys, F.struct(*names).alias("__direct"))
     asked = requests.join(direct, on=keys, how="left")
-    rolled = rollup_requests(requests, snapshot, children, max_combinations=max_combinations)
+    missed = asked.filter(F.col("__direct").isNull()).select(*keys)
+    rolled = rollup_requests(missed, snapshot, children, max_combinations=max_combinations)
     answered = asked.join(rolled.select(*keys, F.struct(*names).alias("__rolled")), on=keys, how="left")
     hit = F.coalesce("__direct", "__rolled")
     source = F.when(F.col("__direct").isNotNull(), "direct").when(F.col("__rolled").isNotNull(), "children").otherwise("default")

@@ -54,14 +54,18 @@ def stop_pairs(stop_times: DataFrame) -> DataFrame:
     return paired.select("trip_id", "stop_id", "dest_stop")
 
 
+def named_trip() -> Column:
+    return F.coalesce("trip_id", F.lit("")) != ""
+
+
 def update_totals(updates: DataFrame, pairs: DataFrame, stops: DataFrame) -> DataFrame:
     """Delay sums and counts per (trip, origin, dest), station by station.
 
-    Null origin or destination becomes "unknown".
+    Updates without a trip (null or blank) meet no position and are left out. Null origin or destination becomes "unknown".
     """
     paired = (
         cast_numbers(
-            updates.select("trip_id", "stop_id", "arrival_delay_s", "departure_delay_s"),
+            updates.filter(named_trip()).select("trip_id", "stop_id", "arrival_delay_s", "departure_delay_s"),
             ["arrival_delay_s", "departure_delay_s"],
         )
         .join(pairs, on=["trip_id", "stop_id"], how="left")
@@ -99,7 +103,8 @@ def silver_facts(
     weighted by the counts, so a trip with P positions and U updates costs its
     distinct (cell, minute) times its distinct stop pairs, not P x U rows.
     All rows of a group share one hour, so the weather joins last, on one row
-    per group.
+    per group. A blank trip id is no trip: feeds write it for an absent one, and
+    all such rows would meet each other.
     """
     if dedupe == "latest":
         payload = ["arrival_delay_s", "departure_delay_s"]
@@ -108,7 +113,7 @@ def silver_facts(
         raise ValueError(f"unknown dedupe mode: {dedupe}")
     seen = (
         positions.select(
-            "trip_id",
+            F.when(named_trip(), F.col("trip_id")).alias("trip_id"),
             spatial_cell(F.col("lat").cast("double"), F.col("lon").cast("double"), resolution, backend).alias("h3"),
             minute_of(F.col("event_ts")).alias("minute"),
         )

@@ -9,7 +9,7 @@ from turnstile.functions.times import minute_of_day
 from turnstile.functions.values import valid_horizon
 from turnstile.operators.boosting import QuantileModel, score
 from turnstile.operators.curate import split_rows
-from turnstile.operators.features import MAX_COMBINATIONS, lookup_with_rollup
+from turnstile.operators.features import lookup_with_rollup
 from turnstile.operators.joins import add_names, resolve_ids
 from turnstile.operators.serving import fallback_scores, shape_predictions
 
@@ -28,7 +28,7 @@ def predict_batch(
     *,
     models: dict[str, QuantileModel] | None = None,
     now: Column | None = None,
-    max_combinations: int | None = MAX_COMBINATIONS,
+    max_combinations: int | None = None,
 ) -> DataFrame:
     """p50 and p90 per request; stops may be given by id or by name.
 

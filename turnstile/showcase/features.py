@@ -156,6 +156,7 @@ def asked_requests(spark, folder, snapshot):
 
 def rollup_sql(limit: int | None) -> str:
     kept = "" if limit is None else f"WHERE place <= {limit}"
+    left = "" if limit is None else f", CAST(greatest(max(n_pairs) - {limit}, 0) AS BIGINT) AS pairs_left_out"
     return f"""WITH {SNAPSHOT}, {ASKED},
     ranked AS (
       SELECT parent, stop_id, row_number() OVER (PARTITION BY parent
@@ -164,15 +165,16 @@ def rollup_sql(limit: int | None) -> str:
     kids AS (SELECT parent AS stop, stop_id AS child, n FROM ranked UNION ALL SELECT stop_id, stop_id, 1 FROM stops),
     combos AS (
       SELECT a.*, o.child AS oc, d.child AS dc,
-             row_number() OVER (PARTITION BY a.origin_stop, a.dest_stop, a.horizon_min ORDER BY o.n, d.n) AS place
+             row_number() OVER (PARTITION BY a.origin_stop, a.dest_stop, a.horizon_min ORDER BY o.n, d.n) AS place,
+             count(*) OVER (PARTITION BY a.origin_stop, a.dest_stop, a.horizon_min) AS n_pairs
       FROM asked a JOIN kids o ON a.origin_stop = o.stop JOIN kids d ON a.dest_stop = d.stop),
     hits AS (
-      SELECT c.origin_stop, c.dest_stop, c.horizon_min, place, active_trips, avg_departure_delay_s, rolling_mean_7d, hist_p50, hist_p90, h3
+      SELECT c.origin_stop, c.dest_stop, c.horizon_min, place, n_pairs, active_trips, avg_departure_delay_s, rolling_mean_7d, hist_p50, hist_p90, h3
       FROM (SELECT * FROM combos {kept}) c
       JOIN snap s ON c.oc = s.origin_stop AND c.dc = s.dest_stop AND c.horizon_min = s.horizon_min)
     SELECT origin_stop, dest_stop, horizon_min, avg(active_trips) AS active_trips, avg(avg_departure_delay_s) AS avg_departure_delay_s,
            avg(rolling_mean_7d) AS rolling_mean_7d, coalesce(avg(hist_p50), 0) AS hist_p50, avg(hist_p90) AS hist_p90,
-           coalesce(arg_min(h3, place) FILTER (WHERE h3 <> 'unknown'), 'unknown') AS h3
+           coalesce(arg_min(h3, place) FILTER (WHERE h3 <> 'unknown'), 'unknown') AS h3{left}
     FROM hits GROUP BY 1, 2, 3"""
 
 
@@ -182,8 +184,14 @@ def rollup(spark, folder, limit):
     return rollup_requests(asked_requests(spark, folder, snapshot), snapshot, children, max_combinations=limit)
 
 
-@query("child_rollup", rollup_sql(500))
+@query("child_rollup", rollup_sql(None))
 def child_rollup(spark, folder):
+    snapshot = trip_snapshot(spark, folder)
+    return rollup_requests(asked_requests(spark, folder, snapshot), snapshot, children_of(stop_table(spark, folder)))
+
+
+@query("child_rollup_500_pairs", rollup_sql(500))
+def child_rollup_500_pairs(spark, folder):
     return rollup(spark, folder, 500)
 
 

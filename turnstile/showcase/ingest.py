@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from turnstile.functions import times, units, values
 from turnstile.operators.curate import cast_numbers, expand_struct, publishable
 from turnstile.session import work_path
-from turnstile.showcase.common import events, query, seconds, table
+from turnstile.showcase.common import ORACLES, events, query, seconds, table
 from turnstile.sources import feeds
 from turnstile.sources.feature_log import batch_counts
 from turnstile.sources.json_schema import struct_type
@@ -57,6 +57,8 @@ def damaged():
         .when(kind == 21, F.lit("[]"))
         .when(kind == 28, F.concat(F.lit('{"id": "x", "kind": "'), "event_type", F.lit('"}')))
         .when(kind == 35, F.concat(F.lit('{"id": '), "event_id", F.lit("}")))
+        .when(kind == 43, F.concat(F.lit('{"id": 1, "kind": "far", "timestamp": 9223372036854775807}')))
+        .when(kind == 44, F.concat(F.lit('{"id": 1, "kind": "ms", "timestamp": '), seconds() * 1000, F.lit("}")))
         .when(kind == 42, F.concat(F.lit('{"id": '), "event_id", F.lit(', "kind": "late", "extra": 1}')))
         .otherwise(good)
     )
@@ -69,6 +71,8 @@ sent AS (
     WHEN 28 THEN concat('{"id": "x", "kind": "', event_type, '"}')
     WHEN 35 THEN concat('{"id": ', event_id, '}')
     WHEN 42 THEN concat('{"id": ', event_id, ', "kind": "late", "extra": 1}')
+    WHEN 43 THEN '{"id": 1, "kind": "far", "timestamp": 9223372036854775807}'
+    WHEN 44 THEN concat('{"id": 1, "kind": "ms", "timestamp": ', CAST(floor(epoch(ts)) AS BIGINT) * 1000, '}')
     ELSE CAST(json_object('id', event_id, 'kind', event_type, 'value', value,
                           'timestamp', CAST(floor(epoch(ts)) AS BIGINT)) AS VARCHAR) END AS msg
   FROM events),
@@ -78,7 +82,8 @@ judged AS (
     WHEN NOT json_valid(msg) OR json_type(msg) <> 'OBJECT' THEN 'malformed'
     WHEN json_type(msg, '$.id') = 'VARCHAR' THEN 'type'
     WHEN json_type(msg, '$.id') IS NULL THEN 'missing id'
-    WHEN json_type(msg, '$.kind') IS NULL THEN 'missing kind' END AS reason
+    WHEN json_type(msg, '$.kind') IS NULL THEN 'missing kind'
+    WHEN CAST(json_extract(msg, '$.timestamp') AS BIGINT) NOT BETWEEN 0 AND 4102444800 THEN 'timestamp' END AS reason
   FROM sent)
 """
 
@@ -271,9 +276,9 @@ def vehicle_type() -> str:
               CASE WHEN (c_custkey + i) % 2 = 0 THEN (CAST(i + 30 AS DOUBLE) - 32e0) * 5e0 / 9e0 ELSE CAST(i + 30 AS DOUBLE) END AS temp_c,
               CASE WHEN i % 5 = 0 THEN NULL ELSE CAST(i AS DOUBLE) * 0.44704e0 END AS wind_mps,
               c_mktsegment AS condition
-       FROM customer, range(1, 13) r(i)""",
+       FROM customer, range(1, 15) r(i)""",
 )
-def flatten_forecast(spark, folder):
+def flatten_forecast(spark, folder, periods=None):
     key = F.col("c_custkey")
 
     def period(i):
@@ -288,10 +293,34 @@ def flatten_forecast(spark, folder):
         absent_when(key % 4 == 0, F.lit("us")).alias("units"), F.transform(F.sequence(F.lit(1), F.lit(14)), period).alias("periods")
     )
     documents = table(spark, folder, "customer").select("c_custkey", F.to_json(F.struct(properties.alias("properties"))).alias("value"))
-    rows = feeds.weather_hourly(documents, lat=F.col("c_custkey").cast("double"), now=F.lit(0).cast("long"))
+    rows = feeds.weather_hourly(documents, lat=F.col("c_custkey").cast("double"), now=F.lit(0).cast("long"), periods=periods)
     return rows.select(F.col("lat").cast("long").alias("c_custkey"), "station_id", "temp_c", "wind_mps", "condition")
 
 
+@query("flatten_forecast_12_periods", ORACLES["flatten_forecast"].replace("range(1, 15)", "range(1, 13)"))
+def flatten_forecast_12_periods(spark, folder):
+    return flatten_forecast(spark, folder, 12)
+
+
+@query(
+    "feed_rejects",
+    """SELECT CASE event_id % 5 WHEN 1 THEN 'not json' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE
+         concat('{"entity": [{"vehicle": {"position": {"latitude": "', event_type, '"}}}]}') END AS raw_value,
+         CASE event_id % 5 WHEN 1 THEN 'malformed' WHEN 4 THEN 'type' ELSE 'empty' END AS reason, count(*) AS n
+       FROM events WHERE event_id % 5 <> 0 GROUP BY 1, 2""",
+)
+def feed_rejects(spark, folder):
+    kind = F.col("event_id") % 5
+    value = (
+        F.when(kind == 0, '{"entity": []}')
+        .when(kind == 1, "not json")
+        .when(kind == 2, "")
+        .when(kind == 4, F.concat(F.lit('{"entity": [{"vehicle": {"position": {"latitude": "'), "event_type", F.lit('"}}}]}')))
+    )
+    found = feeds.rejected(events(spark, folder).select(value.alias("value")), feeds.VEHICLES)
+    return found.groupBy("raw_value", "reason").agg(F.count("*").alias("n"))
+
+
 MIXED = """CASE event_id % 4 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN 'n/a' WHEN 2 THEN '' ELSE concat(event_id % 100, '.25') END"""
 
 
@@ -379,6 +408,18 @@ def stream_ingest(spark, folder):
     )
 
 
+@query(
+    "dead_letter_table",
+    f"WITH {DAMAGED} SELECT msg AS raw_value, reason, 'events' AS topic, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY 1, 2",
+)
+def dead_letter_table(spark, folder):
+    """The dead letters that the ingest wrote, read back."""
+    root = work_path(spark, "letters")
+    as_messages(events(spark, folder), damaged()).select("value", "timestamp").write.parquet(f"{root}/landed")
+    start_bronze(file_stream(spark, f"{root}/landed"), EVENT, "events", root, dead_letter=True, available_now=True).awaitTermination()
+    return read_table(spark, f"{root}/dlq/events").groupBy("raw_value", "reason", "topic").agg(F.count("*").alias("n"))
+
+
 @query(
     "stream_late_rows",
     f"""WITH {DAMAGED} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (WHERE event_id % 3 = 0) AS late

@@ -1,7 +1,8 @@
 """Landed feed documents as message rows.
 
 Input rows hold one JSON document each. Times that are absent or zero become
-``now`` (epoch seconds, by default the query's time).
+``now`` (epoch seconds, by default the query's time). What cannot be read in a
+document does not stop its other rows; ``rejected`` names such documents.
 """
 
 from __future__ import annotations
@@ -24,19 +25,39 @@ FORECAST = (
     "properties struct<units:string,periods:array<struct<temperature:double,temperatureUnit:string,"
     "windSpeed:string,shortForecast:string>>>"
 )
-# Fixed value: forecast periods that are sent on.
-PERIODS = 12
+
+CORRUPT = "_corrupt_record"
+
+
+def _parsed(document: str, schema: str) -> Column:
+    return F.from_json(document, f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+
+
+def rejected(feeds: DataFrame, schema: str, document: str = "value") -> DataFrame:
+    """Documents that are not wholly readable, with the reason.
+
+    "empty" and "malformed" ones give no rows; those of reason "type" hold a field
+    of another type, which is null in the rows they give.
+    """
+    parsed = feeds.select(F.col(document).cast("string").alias("raw_value")).withColumn("__doc", _parsed("raw_value", schema))
+    field = schema.split()[0]
+    reason = (
+        F.when(F.trim(F.coalesce("raw_value", F.lit(""))) == "", "empty")
+        .when(F.col("__doc").isNull(), "malformed")
+        .when(F.col("__doc")[CORRUPT].isNotNull(), F.when(F.col("__doc")[field].isNull(), "malformed").otherwise("type"))
+    )
+    return parsed.withColumn("reason", reason).filter("reason is not null").select("raw_value", "reason")
 
 
 def vehicle_positions(feeds: DataFrame, document: str = "value", now: Column | None = None) -> DataFrame:
-    """One row per entity that has a position."""
-    entity = feeds.select(F.explode(F.from_json(document, VEHICLES)["entity"]).alias("e")).select("e.vehicle.*")
+    """One row per entity that has a position; a coordinate that is absent or unreadable is null."""
+    entity = feeds.select(F.explode(_parsed(document, VEHICLES)["entity"]).alias("e")).select("e.vehicle.*")
     return entity.filter(F.col("position").isNotNull()).select(
         blank_if_absent(F.col("vehicle.id")).alias("vehicle_id"),
         blank_if_absent(F.col("trip.trip_id")).alias("trip_id"),
         blank_if_absent(F.col("trip.route_id")).alias("route_id"),
-        F.coalesce("position.latitude", F.lit(0.0)).alias("lat"),
-        F.coalesce("position.longitude", F.lit(0.0)).alias("lon"),
+        F.col("position.latitude").alias("lat"),
+        F.col("position.longitude").alias("lon"),
         F.coalesce("position.speed", F.lit(0.0)).alias("speed_mps"),
         stamp_or_now(F.col("timestamp"), now).alias("timestamp"),
     )
@@ -44,7 +65,7 @@ def vehicle_positions(feeds: DataFrame, document: str = "value", now: Column | N
 
 def trip_updates(feeds: DataFrame, document: str = "value", now: Column | None = None) -> DataFrame:
     """One row per stop update; all updates of an entity share its time."""
-    entity = feeds.select(F.explode(F.from_json(document, UPDATES)["entity"]).alias("e")).select("e.trip_update.*")
+    entity = feeds.select(F.explode(_parsed(document, UPDATES)["entity"]).alias("e")).select("e.trip_update.*")
     stops = entity.select("trip", "timestamp", F.explode("stop_time_update").alias("s"))
     return stops.select(
         blank_if_absent(F.col("trip.trip_id")).alias("trip_id"),
@@ -55,9 +76,9 @@ def trip_updates(feeds: DataFrame, document: str = "value", now: Column | None =
     )
 
 
-def first_items(df: DataFrame, array: str, n: int, name: str) -> DataFrame:
-    """One row per item of the first ``n`` of an array."""
-    return df.withColumn(name, F.explode(F.slice(array, 1, n)))
+def first_items(df: DataFrame, array: str, n: int | None, name: str) -> DataFrame:
+    """One row per item of an array, or of its first ``n``."""
+    return df.withColumn(name, F.explode(F.slice(array, 1, n) if n is not None else F.col(array)))
 
 
 def weather_hourly(
@@ -66,10 +87,10 @@ def weather_hourly(
     lat: Column | None = None,
     lon: Column | None = None,
     now: Column | None = None,
-    periods: int = PERIODS,
+    periods: int | None = None,
 ) -> DataFrame:
-    """One row per near forecast period, in metric units."""
-    parsed = forecasts.withColumn("__doc", F.from_json(document, FORECAST)["properties"])
+    """One row per forecast period, in metric units; ``periods`` takes the first ones only (the original sends 12)."""
+    parsed = forecasts.withColumn("__doc", _parsed(document, FORECAST)["properties"])
     parsed = parsed.withColumn("__periods", F.col("__doc.periods"))
     rows = first_items(parsed, "__periods", periods, "__p")
     return rows.select(

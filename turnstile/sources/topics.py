@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.functions.times import event_time, hour_string
+from turnstile.functions.times import PLAUSIBLE, event_time, hour_string, plausible
 from turnstile.operators.curate import expand_struct, split_rows
 from turnstile.sources.json_schema import required_fields
 
@@ -42,16 +42,20 @@ def file_stream(spark: SparkSession, path: str, *, max_files: int | None = None,
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     if format == "text":
-        return reader.text(path).select("value", F.current_timestamp().alias("timestamp"))
+        # A line has no time of its own; that of its file is the nearest.
+        return reader.text(path).select("value", F.col("_metadata.file_modification_time").alias("timestamp"))
     return reader.schema("value string, timestamp timestamp").format(format).load(path)
 
 
-def decode(messages: DataFrame, schema: T.StructType) -> DataFrame:
+def decode(
+    messages: DataFrame, schema: T.StructType, epoch: str | None = "timestamp", bounds: tuple[int, int] = PLAUSIBLE
+) -> DataFrame:
     """Parse ``value`` into ``payload`` and name what is wrong in ``reason``.
 
     ``from_json`` alone gives a struct of nulls for text that is no JSON, and
     drops a field of the wrong type without a word. The corrupt-record field
-    and the required fields catch both; ``reason`` is null for good rows.
+    and the required fields catch both; ``reason`` is null for good rows. A stamp
+    in the field ``epoch`` that is outside ``bounds`` (epoch seconds) is a fault.
     """
     target = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields]).add(CORRUPT, T.StringType())
     parsed = messages.select(
@@ -71,6 +75,8 @@ def decode(messages: DataFrame, schema: T.StructType) -> DataFrame:
     )
     for name in required_fields(schema):
         reason = reason.when(F.col("payload")[name].isNull(), f"missing {name}")
+    if epoch in schema.names:
+        reason = reason.when(~plausible(F.col("payload")[epoch], bounds), "timestamp")
     return parsed.withColumn("reason", reason)
 
 

@@ -33,7 +33,7 @@ def write_messages(
     Late rows go to the date and hour of their event. A finished date's batches
     can be merged into an archive table with ``sources.tables.compact``.
     """
-    decoded = decode(messages, schema).persist(StorageLevel.MEMORY_AND_DISK)
+    decoded = decode(messages, schema, epoch).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         good, bad = split_messages(decoded)
         batch = F.lit(int(batch_id)).cast("long")

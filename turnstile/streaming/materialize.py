@@ -14,7 +14,11 @@ from turnstile.sources.feature_log import write_batch
 
 
 def table_stream(spark: SparkSession, path: str, schema: T.StructType | None = None, max_files: int | None = None) -> DataFrame:
-    """New files of a Parquet table; files that vanish later are ignored."""
+    """New files of a Parquet table.
+
+    A file that was listed and then replaced is left out; what replaced it is a
+    new file and is read in its place.
+    """
     schema = schema or spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema).option("ignoreMissingFiles", True)
     if max_files:
