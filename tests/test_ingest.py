@@ -204,3 +204,18 @@ def test_implausible_stamps_are_dead_letters(spark, tmp_path):
     run_stream(spark, root)
     assert stored(spark, root, "bronze").count() == 1
     assert {r["reason"] for r in stored(spark, root, "dlq").collect()} == {"timestamp"}
+
+
+def test_documents_land_as_messages(spark, tmp_path):
+    from turnstile.plans.landing import land_feed
+
+    source, root = tmp_path / "feeds", str(tmp_path / "root")
+    source.mkdir()
+    stop = {"stop_id": "s", "arrival": {"delay": 5}, "departure": {"delay": 6}}
+    good = {"entity": [{"trip_update": {"trip": {"trip_id": "t"}, "timestamp": 1704067200, "stop_time_update": [stop, stop]}}]}
+    (source / "a.json").write_text(json.dumps(good))
+    (source / "b.json").write_text("broken")
+    landed = land_feed(spark, str(source), transit.UPDATES, root)
+    start_bronze(file_stream(spark, landed), SCHEMA, transit.UPDATES, root, available_now=True).awaitTermination()
+    assert stored(spark, root, "bronze").count() == 2
+    assert [r["reason"] for r in spark.read.parquet(f"{root}/dlq/{transit.UPDATES}.documents").collect()] == ["malformed"]

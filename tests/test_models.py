@@ -69,6 +69,31 @@ def test_early_stopping_keeps_the_best_round(spark):
     assert len(model.trees) == best and len(model.losses) <= best + 2
 
 
+@pytest.mark.parametrize("rows", [800, 12_000])
+def test_a_model_depends_on_the_rows_alone(spark, rows):
+    df = steps(spark, rows)
+    params = BoostingParams(rounds=4, leaves=6, learning_rate=0.5, min_rows=5, row_fraction=0.6, feature_fraction=0.5, checkpoint_every=3)
+    train, valid = df.filter("i % 5 > 0"), df.filter("i % 5 = 0")
+    one, other = (fit_quantile(train.repartition(n), valid.repartition(n), ["x", "noise"], "y", 0.9, params) for n in (4, 9))
+    assert one == other and len(one.trees) > 1 and all(t.splits for t in one.trees)
+
+
+def test_a_tree_keeps_to_its_number_of_leaves(spark):
+    df = steps(spark, 400)
+    model = fit_quantile(df, None, ["x", "noise"], "y", 0.5, BoostingParams(rounds=2, leaves=5, min_rows=2))
+    assert all(t.splits <= 4 for t in model.trees)
+
+
+def test_planning_does_not_grow_with_the_trees(spark):
+    from turnstile.operators.boosting import Tree
+
+    tree = Tree()
+    tree.split(0, 0, 3, 1.0)
+    model = QuantileModel(0.5, ["x"], 1.0, 0.1, [[float(i) for i in range(9)]], [tree] * 300)
+    plan = model.predict(spark.range(5).select(F.col("id").cast("double").alias("x")), "p")
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Project") <= 2
+
+
 def test_fit_needs_labels(spark):
     df = steps(spark, 5).withColumn("y", F.lit(None).cast("double"))
     with pytest.raises(ValueError, match="no labelled"):

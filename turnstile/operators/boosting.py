@@ -1,10 +1,13 @@
-"""Boosted quantile trees on Spark ML.
-
-Each round fits one ``DecisionTreeRegressor`` to the gradient of the pinball
-loss and sets every leaf to the quantile of its residuals. Rows never leave
-Spark; only leaf values (at most 2^depth) and losses reach the driver. The
-running prediction is checkpointed to ``spark.checkpoint.dir`` every few rounds
-to cut the lineage.
+"""Boosted quantile trees.
+
+Features are cut into bins at exact quantiles, once. Each round grows one tree to
+the gradient of the pinball loss, level by level: every task adds up counts and
+gradients per (node, feature, bin) of its rows, Spark adds these up, and the
+driver gets the sums, whose number the settings bound, and picks the splits. The
+leaves take the exact quantile of their residuals. All sums are of integers and
+rows are sampled by a hash of their values, so a model depends on the rows alone,
+not on how they are spread. The running prediction is checkpointed every few
+rounds.
 """
 
 from __future__ import annotations
@@ -12,30 +15,36 @@ from __future__ import annotations
 import json
 import math
 import random
-from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from collections.abc import Iterator, Sequence
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile.functions.values import number_or_zero
+from turnstile.operators.gold import exact_group_quantiles
 from turnstile.operators.metrics import pinball
 from turnstile.session import shared_folder
 
+# Gradients and losses are added up as integers of these units.
+UNIT = 10_000
+LOSS_UNIT = 10**9
+
 
 @dataclass(frozen=True)
 class BoostingParams:
-    rounds: int = 30
+    rounds: int = 200
     learning_rate: float = 0.1
     leaves: int = 31
     min_rows: int = 20
+    bins: int = 64
     feature_fraction: float = 1.0
     row_fraction: float = 1.0
-    early_stopping: int = 30
-    checkpoint_every: int = 5
-    accuracy: int = 10_000
+    early_stopping: int = 20
+    checkpoint_every: int = 10
     seed: int = 7
 
     @property
@@ -45,19 +54,39 @@ class BoostingParams:
 
 @dataclass
 class Tree:
-    model: DecisionTreeRegressionModel
-    features: list[int]
-    leaves: list[float]
+    """Nodes as parallel lists; node 0 is the root and a leaf has feature -1. Bins up to ``bin`` go left."""
+
+    feature: list[int] = field(default_factory=lambda: [-1])
+    bin: list[int] = field(default_factory=lambda: [0])
+    left: list[int] = field(default_factory=lambda: [0])
+    right: list[int] = field(default_factory=lambda: [0])
+    value: list[float] = field(default_factory=lambda: [0.0])
+    gain: list[float] = field(default_factory=lambda: [0.0])
 
     @property
     def splits(self) -> int:
-        return (self.model.numNodes - 1) // 2
-
-    def add_to(self, df: DataFrame, prediction: str, rate: float) -> DataFrame:
-        """Add ``rate`` times this tree's leaf value to a column."""
-        placed = self.model.transform(_pick(df, self.features, self.model.getFeaturesCol()))
-        value = F.get(F.array(*[F.lit(v) for v in self.leaves]), F.col("__leaf").cast("int"))
-        return placed.withColumn(prediction, F.col(prediction) + F.lit(rate) * value).drop("__some", "__leaf", "__gradient_hat")
+        return sum(f >= 0 for f in self.feature)
+
+    def split(self, node: int, feature: int, bin: int, gain: float) -> tuple[int, int]:
+        self.feature[node], self.bin[node], self.gain[node] = feature, bin, gain
+        self.left[node], self.right[node] = len(self.feature), len(self.feature) + 1
+        for column, empty in ((self.feature, -1), (self.bin, 0), (self.left, 0), (self.right, 0), (self.value, 0.0), (self.gain, 0.0)):
+            column += [empty, empty]
+        return self.left[node], self.right[node]
+
+    def leaves(self, bins: np.ndarray) -> np.ndarray:
+        """The leaf of each row of binned features."""
+        feature, cut, left, right = (np.array(x) for x in (self.feature, self.bin, self.left, self.right))
+        node = np.zeros(len(bins), np.int64)
+        rows = np.flatnonzero(feature[node] >= 0)
+        while len(rows):
+            at = node[rows]
+            node[rows] = np.where(bins[rows, feature[at]] <= cut[at], left[at], right[at])
+            rows = rows[feature[node[rows]] >= 0]
+        return node
+
+    def values(self, bins: np.ndarray) -> np.ndarray:
+        return np.array(self.value)[self.leaves(bins)]
 
 
 @dataclass
@@ -66,72 +95,146 @@ class QuantileModel:
     features: list[str]
     base: float
     learning_rate: float
+    bounds: list[list[float]] = field(default_factory=list)
     trees: list[Tree] = field(default_factory=list)
     losses: list[float] = field(default_factory=list)
 
     def predict(self, df: DataFrame, output: str) -> DataFrame:
-        """Add the quantile as ``output``; missing features count as 0."""
-        kept = [*[c for c in df.columns if c != output], output]
-        scored = _vector(df, self.features).withColumn(output, F.lit(self.base))
-        for tree in self.trees:
-            scored = tree.add_to(scored, output, self.learning_rate)
-        return scored.select(*kept)
+        """Add the quantile as ``output`` in one vectorised pass over all trees; missing features count as 0."""
+        model = self
+
+        @F.pandas_udf("double")
+        def quantile(*columns: pd.Series) -> pd.Series:
+            bins = binned(np.column_stack([c.to_numpy(np.float64) for c in columns]), model.bounds)
+            total = np.full(len(bins), model.base)
+            for tree in model.trees:
+                total += model.learning_rate * tree.values(bins)
+            return pd.Series(total)
+
+        kept = [c for c in df.columns if c != output]
+        if not self.trees:
+            return df.select(*kept, F.lit(float(self.base)).alias(output))
+        return df.select(*kept, quantile(*[_number(df, c) for c in self.features]).alias(output))
 
     def mean_importance(self) -> float:
         """Splits per feature, averaged over the features."""
         return sum(t.splits for t in self.trees) / len(self.features)
 
     def feature_importance(self) -> dict[str, float]:
-        """Total importance of each feature over all trees."""
+        """Each feature's share of its tree's gains, summed over all trees."""
         total = dict.fromkeys(self.features, 0.0)
         for tree in self.trees:
-            for place, index in enumerate(tree.features):
-                total[self.features[index]] += float(tree.model.featureImportances[place])
+            gains = sum(tree.gain) or 1.0
+            for feature, gain in zip(tree.feature, tree.gain, strict=True):
+                if feature >= 0:
+                    total[self.features[feature]] += gain / gains
         return total
 
     def save(self, spark: SparkSession, path: str) -> None:
-        for i, tree in enumerate(self.trees):
-            tree.model.write().overwrite().save(f"{path}/tree-{i:05d}")
-        head = {k: getattr(self, k) for k in ("quantile", "features", "base", "learning_rate", "losses")}
-        head["trees"] = [{"features": t.features, "leaves": t.leaves} for t in self.trees]
-        spark.createDataFrame([(json.dumps(head),)], "model string").write.mode("overwrite").text(f"{path}/head")
+        spark.createDataFrame([(json.dumps(asdict(self)),)], "model string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> QuantileModel:
-        head = json.loads(spark.read.text(f"{path}/head").first()[0])
-        trees = [
-            Tree(DecisionTreeRegressionModel.load(f"{path}/tree-{i:05d}"), t["features"], t["leaves"])
-            for i, t in enumerate(head.pop("trees"))
-        ]
-        return cls(trees=trees, **head)
+        head = json.loads(spark.read.text(path).first()[0])
+        return cls(trees=[Tree(**t) for t in head.pop("trees")], **head)
 
 
-def _vector(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Add the feature vector; the caller's columns stay as they are."""
-    names = [f"__f{i}" for i in range(len(features))]
-    numbers = df.withColumns({n: _number(df, c) for n, c in zip(names, features)})
-    return VectorAssembler(inputCols=names, outputCol="__features").transform(numbers).drop(*names)
+def _number(df: DataFrame, name: str) -> Column:
+    if name not in df.columns:
+        return F.lit(0.0)
+    return F.nanvl(number_or_zero(F.col(name)), F.lit(0.0)).cast("double")
+
+
+def binned(values: np.ndarray, bounds: Sequence[Sequence[float]]) -> np.ndarray:
+    """The bin of each value: how many bounds of its feature are below it."""
+    return np.column_stack([np.searchsorted(np.asarray(b, np.float64), values[:, i]) for i, b in enumerate(bounds)])
+
+
+def _names(n: int) -> list[str]:
+    return [f"__f{i}" for i in range(n)]
+
+
+def bin_bounds(rows: DataFrame, n: int, bins: int) -> list[list[float]]:
+    """Distinct exact quantiles of each feature, without the largest value."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).alias("x")) for i, c in enumerate(_names(n))]))
+    long = rows.select(pairs.alias("p")).select("p.f", "p.x")
+    probs = {f"q{i}": i / bins for i in range(1, bins + 1)}
+    found = {r.f: r for r in exact_group_quantiles(long, ["f"], "x", probs).collect()}
+    return [sorted({found[i][q] for q in probs})[:-1] if i in found else [] for i in range(n)]
+
+
+def _arrays(batch: pa.RecordBatch, n: int, bounds, trees: Sequence[Tree], rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Binned features and residuals of a batch of the training state."""
+    bins = binned(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _names(n)]), bounds)
+    prediction = batch.column("__pred").to_numpy(zero_copy_only=False).copy()
+    for tree in trees:
+        prediction += rate * tree.values(bins)
+    return bins, batch.column("__y").to_numpy(zero_copy_only=False) - prediction
+
+
+def _level_sums(state: DataFrame, n: int, bounds, done: Sequence[Tree], rate: float, tree: Tree, nodes: list[int], width: int, up: int):
+    """Counts and gradient sums per (node, feature, bin) of one level."""
+    slot = np.full(len(tree.feature), -1)
+    slot[nodes] = np.arange(len(nodes))
+    size = len(nodes) * n * width
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, sums = np.zeros(size), np.zeros(size)
+        for batch in batches:
+            bins, error = _arrays(batch, n, bounds, done, rate)
+            own = slot[tree.leaves(bins)]
+            bins, gradient, own = bins[own >= 0], np.where(error > 0, up, up - UNIT)[own >= 0], own[own >= 0]
+            for f in range(n):
+                at = (own * n + f) * width + bins[:, f]
+                counts += np.bincount(at, minlength=size)
+                sums += np.bincount(at, gradient, minlength=size)
+        some = np.flatnonzero(counts)
+        yield pa.record_batch([some, counts[some].astype(np.int64), sums[some].astype(np.int64)], ["at", "n", "g"])
+
+    rows = state.mapInArrow(add, "at bigint, n bigint, g bigint").groupBy("at").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
+    counts, sums = np.zeros(size), np.zeros(size)
+    for r in rows.collect():
+        counts[r.at], sums[r.at] = r.n, r.g
+    return counts.reshape(len(nodes), n, width), sums.reshape(len(nodes), n, width)
+
+
+def _best_split(counts: np.ndarray, sums: np.ndarray, features: Sequence[int], least: int) -> tuple[float, int, int] | None:
+    """(gain, feature, bin) of a node from its sums per feature and bin; of equal gains the first."""
+    best = None
+    for f in features:
+        n, g = np.cumsum(counts[f]), np.cumsum(sums[f])
+        left, right = n[:-1], n[-1] - n[:-1]
+        allowed = (left >= max(least, 1)) & (right >= max(least, 1))
+        if not allowed.any():
+            continue
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = g[:-1] ** 2 / left + (g[-1] - g[:-1]) ** 2 / right - g[-1] ** 2 / n[-1]
+        gain = np.where(allowed, gain, -np.inf)
+        at = int(np.argmax(gain))
+        if gain[at] > 0 and (best is None or gain[at] > best[0]):
+            best = float(gain[at]), f, at
+    return best
 
 
-def _pick(df: DataFrame, indices: list[int], column: str) -> DataFrame:
-    """Add the chosen features as ``column``, unless that is the whole vector."""
-    if column == "__features":
-        return df
-    return VectorSlicer(inputCol="__features", outputCol=column, indices=indices).transform(df)
+def _leaf_errors(state: DataFrame, n: int, bounds, done: Sequence[Tree], rate: float, tree: Tree) -> DataFrame:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins, error = _arrays(batch, n, bounds, done, rate)
+            yield pa.record_batch([tree.leaves(bins), error], ["leaf", "error"])
 
+    return state.mapInArrow(place, "leaf bigint, error double")
 
-def _number(df: DataFrame, name: str) -> Column:
-    if name not in df.columns:
-        return F.lit(0.0)
-    return number_or_zero(F.col(name)).cast("float")
 
+def _advanced(state: DataFrame, n: int, bounds, trees: Sequence[Tree], rate: float) -> DataFrame:
+    """The state with the trees' values added to its predictions."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, error = _arrays(batch, n, bounds, trees, rate)
+            new = pa.array(batch.column("__y").to_numpy(zero_copy_only=False) - error)
+            yield batch.set_column(batch.schema.get_field_index("__pred"), "__pred", new)
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Checkpoint the training state; each round reads it several times, so a
-    table that came in few pieces is spread over all cores."""
-    stored = df.checkpoint()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return stored.repartition(cores).checkpoint() if stored.rdd.getNumPartitions() < cores else stored
+    return state.mapInArrow(add, state.schema)
 
 
 def fit_quantile(
@@ -143,64 +246,65 @@ def fit_quantile(
     params: BoostingParams = BoostingParams(),
 ) -> QuantileModel:
     """Fit one quantile; stop early when the validation loss stops falling."""
-    spark = train.sparkSession
-    shared_folder(spark)
-    target = F.col(label).cast("double")
-    state = _vector(train, features).select("__features", target.alias("__y"), F.lit(True).alias("__train"))
+    shared_folder(train.sparkSession)
+    n = len(features)
+
+    def numbers(df: DataFrame, is_train: bool) -> DataFrame:
+        target = F.col(label).cast("double").alias("__y")
+        return df.select(*[_number(df, c).alias(f) for f, c in zip(_names(n), features, strict=True)], target, F.lit(is_train).alias("__train"))
+
+    rows = numbers(train, True)
     if valid is not None:
-        state = state.unionByName(
-            _vector(valid, features).select("__features", target.alias("__y"), F.lit(False).alias("__train"))
-        )
-    state = state.filter("__y is not null")
-    base = state.filter("__train").agg(F.percentile_approx("__y", float(quantile), params.accuracy)).first()[0]
-    if base is None:
+        rows = rows.unionByName(numbers(valid, False))
+    rows = rows.filter(F.col("__y").isNotNull() & ~F.isnan("__y")).withColumn("__row", F.xxhash64(*_names(n), "__y")).checkpoint()
+    learn = rows.filter("__train")
+    base = exact_group_quantiles(learn.select(F.lit(0).alias("g"), "__y"), ["g"], "__y", {"q": quantile}).collect()
+    if not base:
         raise ValueError("no labelled training rows")
-    model = QuantileModel(float(quantile), list(features), float(base), params.learning_rate)
-    state = _stored(state.withColumn("__pred", F.lit(model.base)))
+    bounds = bin_bounds(learn, n, params.bins) if params.rounds else [[] for _ in features]
+    model = QuantileModel(float(quantile), list(features), float(base[0]["q"]), params.learning_rate, bounds)
+    state = rows.withColumn("__pred", F.lit(model.base))
+    done: list[Tree] = []
     draw = random.Random(params.seed)
-    width = max(1, round(len(features) * params.feature_fraction))
+    width, up = max(map(len, bounds), default=0) + 1, round(quantile * UNIT)
     best, best_rounds = math.inf, 0
-    error = F.col("__y") - F.col("__pred")
     for step in range(params.rounds):
-        columns = sorted(draw.sample(range(len(features)), width))
-        rows = state.filter("__train").withColumn(
-            "__gradient", F.when(error > 0, F.lit(float(quantile))).otherwise(F.lit(quantile - 1.0))
-        )
-        seen = "__features" if width == len(features) else "__some"
-        rows = _pick(rows, columns, seen)
-        sampled = rows.sample(params.row_fraction, params.seed + step) if params.row_fraction < 1.0 else rows
-        learner = DecisionTreeRegressor(
-            featuresCol=seen,
-            labelCol="__gradient",
-            predictionCol="__gradient_hat",
-            leafCol="__leaf",
-            maxDepth=params.depth,
-            minInstancesPerNode=params.min_rows,
-            seed=params.seed,
-        )
-        fitted = learner.fit(sampled)
-        found = (
-            fitted.transform(rows)
-            .groupBy("__leaf")
-            .agg(F.percentile_approx(error, float(quantile), params.accuracy).alias("value"))
-            .collect()
-        )
-        leaves = [0.0] * ((fitted.numNodes + 1) // 2)
-        for row in found:
-            leaves[int(row["__leaf"])] = float(row["value"])
-        tree = Tree(fitted, columns, leaves)
+        chosen = sorted(draw.sample(range(n), max(1, round(n * params.feature_fraction))))
+        learn = state.filter("__train")
+        sample = learn
+        if params.row_fraction < 1.0:
+            share = F.pmod(F.xxhash64(F.lit(params.seed + step), "__row"), F.lit(1_000_000))
+            sample = learn.filter(share < round(params.row_fraction * 1_000_000))
+        tree, nodes, n_leaves = Tree(), [0], 1
+        for _ in range(params.depth):
+            counts, sums = _level_sums(sample, n, bounds, done, params.learning_rate, tree, nodes, width, up)
+            found = [(_best_split(counts[i], sums[i], chosen, params.min_rows), node) for i, node in enumerate(nodes)]
+            found = sorted(((s, node) for s, node in found if s), key=lambda x: (-x[0][0], x[1]))[: params.leaves - n_leaves]
+            nodes = []
+            for (gain, feature, bin), node in sorted(found, key=lambda x: x[1]):
+                nodes += tree.split(node, feature, bin, gain)
+            n_leaves += len(found)
+            if not nodes:
+                break
+        errors = _leaf_errors(learn, n, bounds, done, params.learning_rate, tree)
+        for r in exact_group_quantiles(errors, ["leaf"], "error", {"q": quantile}).collect():
+            tree.value[r.leaf] = float(r.q)
         model.trees.append(tree)
-        state = tree.add_to(state, "__pred", params.learning_rate)
+        done.append(tree)
         if (step + 1) % params.checkpoint_every == 0:
-            state = state.checkpoint()
+            state = _advanced(state, n, bounds, done, params.learning_rate).checkpoint()
+            done = []
+        best_rounds = step + 1 if valid is None else best_rounds
         if valid is None:
-            best_rounds = step + 1
             continue
-        loss = state.filter("not __train").agg(F.avg(pinball(F.col("__y"), F.col("__pred"), quantile))).first()[0]
-        if loss is None:
+        left = _leaf_errors(state.filter("not __train"), n, bounds, done, params.learning_rate, Tree())
+        units = F.round(pinball(F.col("error"), F.lit(0.0), quantile) * LOSS_UNIT).cast("decimal(38,0)")
+        total, seen = left.agg(F.sum(units), F.count("*")).first()
+        if not seen:
             best_rounds = step + 1
             continue
-        model.losses.append(float(loss))
+        loss = float(total) / LOSS_UNIT / seen
+        model.losses.append(loss)
         if loss < best:
             best, best_rounds = loss, step + 1
         elif step + 1 - best_rounds >= params.early_stopping:
@@ -221,6 +325,7 @@ def search_params(
     """Seeded random search over five ranges, by validation pinball loss."""
     draw = random.Random(start.seed)
     best, best_loss = start, math.inf
+    # The ranges of the search.
     for _ in range(trials):
         candidate = replace(
             start,

@@ -9,20 +9,22 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from turnstile.operators.boosting import BoostingParams
-from turnstile.operators.features import children_of
+from turnstile.operators.features import FEATURES, KEY, children_of
 from turnstile.operators.joins import named_stations
+from turnstile.operators.serving import map_points
 from turnstile.plans import transit
 from turnstile.plans.batch import run_gold, run_silver, validate_tables
+from turnstile.plans.landing import land_feed
 from turnstile.plans.prediction import check_requests, predict_batch
 from turnstile.plans.training import TrainingConfig, load_models, run_training
 from turnstile.session import build_session
-from turnstile.sources.feature_log import read_snapshot
+from turnstile.sources.feature_log import compact_log, read_snapshot
 from turnstile.sources.tables import compact, csv_to_parquet, read_dimension
 from turnstile.sources.topics import file_stream, kafka_stream
 from turnstile.streaming.bronze import start_bronze
 from turnstile.streaming.materialize import published_columns, start_materializer, table_stream
 
-MODES = ("bronze", "silver", "gold", "validate", "schedule", "compact", "materialize", "train", "predict")
+MODES = ("land", "bronze", "silver", "gold", "validate", "schedule", "compact", "compact-features", "materialize", "train", "predict", "map")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -35,13 +37,24 @@ def parser() -> argparse.ArgumentParser:
     args.add_argument("--horizons", nargs="*", type=int, default=list(transit.HORIZONS))
     args.add_argument("--date", default=None, help="one date, YYYY-MM-DD")
     args.add_argument("--source", default=None, help="folder of landed messages, schedule files or requests")
-    args.add_argument("--target", default=None, help="output folder of predict")
+    args.add_argument("--target", default=None, help="output folder of predict, map and compact-features")
     args.add_argument("--table", default="silver", choices=["silver", "gold"], help="table to compact")
     args.add_argument("--order-by", nargs="*", default=list(transit.SERIES))
     args.add_argument("--available-now", action="store_true", help="stop a stream when its input is read")
     args.add_argument("--horizon", type=int, default=10)
-    args.add_argument("--rounds", type=int, default=30)
+    args.add_argument("--rounds", type=int, default=BoostingParams.rounds)
+    args.add_argument("--early-stopping", type=int, default=BoostingParams.early_stopping)
     args.add_argument("--trials", type=int, default=0)
+    args.add_argument("--start", default=None, help="first minute of the training rows")
+    args.add_argument("--end", default=None, help="last minute of the training rows")
+    args.add_argument("--quantiles", nargs="*", type=float, default=list(transit.QUANTILES))
+    args.add_argument("--features", nargs="*", default=list(FEATURES))
+    args.add_argument("--on-fail", default="raise", choices=["raise", "quarantine"])
+    args.add_argument("--dedupe", default=None, choices=["latest"])
+    args.add_argument("--label-mode", default="rows", choices=["rows", "minutes"])
+    args.add_argument("--as-of", default=None, help="end of the rows that the historic quantiles cover")
+    args.add_argument("--exact-quantiles", action="store_true")
+    args.add_argument("--max-offsets", type=int, default=None, help="bound on a micro-batch from Kafka")
     args.add_argument("--feature-ttl", type=int, default=0, help="seconds; 0 keeps all features")
     return args
 
@@ -49,14 +62,20 @@ def parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, args: argparse.Namespace):
     root = args.data_root
     schedule = args.gtfs_root or transit.schedule_root(root)
+    if args.mode == "land":
+        return land_feed(spark, args.source, args.topic, root)
     if args.mode == "bronze":
-        messages = file_stream(spark, args.source) if args.source else kafka_stream(spark, args.topic)
+        messages = file_stream(spark, args.source) if args.source else kafka_stream(spark, args.topic, max_offsets=args.max_offsets)
         query = start_bronze(messages, transit.payload_schema(args.topic), args.topic, root, available_now=args.available_now)
         return query.awaitTermination()
     if args.mode == "silver":
-        return run_silver(spark, root, schedule=schedule, date=args.date, resolution=args.h3_res)
+        return run_silver(
+            spark, root, schedule=schedule, date=args.date, resolution=args.h3_res, on_fail=args.on_fail, dedupe=args.dedupe
+        )
     if args.mode == "gold":
-        return run_gold(spark, root, args.horizons)
+        return run_gold(
+            spark, root, args.horizons, label_mode=args.label_mode, as_of=args.as_of, exact_quantiles=args.exact_quantiles
+        )
     if args.mode == "validate":
         return validate_tables(spark, {"silver": transit.silver_path(root), "gold": transit.gold_path(root)})
     if args.mode == "schedule":
@@ -65,6 +84,11 @@ def run(spark: SparkSession, args: argparse.Namespace):
         gold = args.table == "gold"
         path, by = (transit.gold_path(root), ["date", "horizon_min"]) if gold else (transit.silver_path(root), ["date"])
         return compact(spark, path, args.order_by, partition_by=by, date=args.date)
+    if args.mode == "compact-features":
+        return compact_log(spark, transit.features_path(root), args.target)
+    if args.mode == "map":
+        snapshot = read_snapshot(spark, transit.features_path(root), ttl_seconds=args.feature_ttl)
+        return map_points(snapshot, list(KEY)).write.mode("overwrite").parquet(args.target)
     if args.mode == "materialize":
         log = logging.getLogger("turnstile.materialize")
         query = start_materializer(
@@ -76,7 +100,15 @@ def run(spark: SparkSession, args: argparse.Namespace):
         )
         return query.awaitTermination()
     if args.mode == "train":
-        config = TrainingConfig(horizon_min=args.horizon, trials=args.trials, boosting=BoostingParams(rounds=args.rounds))
+        config = TrainingConfig(
+            horizon_min=args.horizon,
+            start=args.start,
+            end=args.end,
+            features=args.features,
+            quantiles=args.quantiles,
+            trials=args.trials,
+            boosting=BoostingParams(rounds=args.rounds, early_stopping=args.early_stopping),
+        )
         return run_training(spark, root, config)
     stops = read_dimension(spark, schedule, "stops")
     requests, _ = check_requests(spark.read.parquet(args.source))

@@ -56,7 +56,9 @@ def train_quantiles(
     columns = {float(q): quantile_label(q) for q in quantiles}
     measured = evaluate(score(valid, models).dropna(subset=[label]), label, columns).first()
     metrics = {k: float(v) for k, v in measured.asDict().items() if v is not None}
-    return TrainingRun(models, metrics, {n: m.mean_importance() for n, m in models.items()}, boosting)
+    importance = {f"mean_importance_{n}": m.mean_importance() for n, m in models.items()}
+    importance |= {f"importance_{n}_{c}": v for n, m in models.items() for c, v in m.feature_importance().items()}
+    return TrainingRun(models, metrics | importance, importance, boosting)
 
 
 def run_training(spark: SparkSession, root: str, config: TrainingConfig = TrainingConfig(), gold: DataFrame | None = None) -> dict:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from turnstile.functions.times import version_stamp
 from turnstile.operators import quality, registry
 from turnstile.operators.boosting import BoostingParams, fit_quantile, score, search_params
 from turnstile.operators.curate import pick_features
-from turnstile.operators.dataset import add_series_id, add_time_index, encoder_windows, ordered_split, training_features, training_rows
+from turnstile.operators.dataset import add_series_id, add_time_index, encoder_windows, feature_matrix, ordered_split, training_features, training_rows
 from turnstile.operators.joins import next_in_sequence
 from turnstile.operators.metrics import evaluate
 from turnstile.plans.batch import validate_tables
@@ -227,15 +228,73 @@ def line_split(spark, folder):
 @query("quantile_model")
 def quantile_model(spark, folder):
     train, valid = line_split(spark, folder)
-    params = BoostingParams(rounds=3, leaves=8, learning_rate=0.3)
+    params = BoostingParams(rounds=12, leaves=8, learning_rate=0.3, early_stopping=3, checkpoint_every=5)
     models = {n: fit_quantile(train, valid, LINE_FEATURES, "l_extendedprice", q, params) for q, n in ((0.5, "p50"), (0.9, "p90"))}
-    return score(valid, models).select("l_orderkey", "l_linenumber", "l_extendedprice", "p50", "p90")
+    return score(line_rows(spark, folder), models).select("l_orderkey", "l_linenumber", "l_extendedprice", "p50", "p90")
+
+
+LINES = """
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS n,
+         greatest(CAST(floor((SELECT count(*) FROM lineitem) * 0.8e0) AS BIGINT), 1) AS cut FROM lineitem),
+train AS (SELECT l_quantity AS x, l_extendedprice AS y FROM numbered WHERE n <= cut)
+"""
+
+
+@query(
+    "quantile_baseline",
+    f"""WITH {LINES}, base AS (SELECT quantile_disc(y, 0.5) AS p50, quantile_disc(y, 0.9) AS p90 FROM train)
+        SELECT l_orderkey, l_linenumber, l_extendedprice, p50, p90 FROM lineitem, base""",
+)
+def quantile_baseline(spark, folder):
+    """Models without trees: the exact quantiles of the training rows."""
+    train, valid = line_split(spark, folder)
+    params = BoostingParams(rounds=0)
+    models = {n: fit_quantile(train, valid, LINE_FEATURES, "l_extendedprice", q, params) for q, n in ((0.5, "p50"), (0.9, "p90"))}
+    return score(line_rows(spark, folder), models).select("l_orderkey", "l_linenumber", "l_extendedprice", "p50", "p90")
+
+
+BINS = 64
+
+
+@query(
+    "quantile_stump",
+    f"""WITH {LINES}, base AS (SELECT quantile_disc(y, 0.9) AS b FROM train),
+        moved AS (SELECT x, y - b AS e, CAST(CASE WHEN y - b > 0 THEN 9000 ELSE -1000 END AS BIGINT) AS g FROM train, base),
+        bounds AS (SELECT DISTINCT unnest(quantile_disc(x, [{", ".join(str(i / BINS) for i in range(1, BINS + 1))}])) AS bound FROM train),
+        inner_bounds AS (SELECT bound FROM bounds WHERE bound < (SELECT max(bound) FROM bounds)),
+        whole AS (SELECT count(*) AS n, CAST(sum(g) AS DOUBLE) AS s FROM moved),
+        sides AS (SELECT bound, count(*) AS nl, CAST(sum(g) AS DOUBLE) AS sl FROM inner_bounds JOIN moved ON x <= bound GROUP BY 1),
+        gains AS (SELECT bound, sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n AS gain FROM sides, whole WHERE nl >= 20 AND n - nl >= 20),
+        best AS (SELECT bound FROM gains ORDER BY gain DESC, bound LIMIT 1),
+        leaves AS (SELECT bound, quantile_disc(e, 0.9) FILTER (WHERE x <= bound) AS low, quantile_disc(e, 0.9) FILTER (WHERE x > bound) AS high
+                   FROM moved, best GROUP BY 1)
+        SELECT l_orderkey, l_linenumber, l_extendedprice, b + CASE WHEN l_quantity <= bound THEN low ELSE high END AS p90
+        FROM lineitem, base, leaves""",
+)
+def quantile_stump(spark, folder):
+    """One split and its two leaves, which SQL can find as well."""
+    train, _ = line_split(spark, folder)
+    params = BoostingParams(rounds=1, leaves=2, learning_rate=1.0, bins=BINS)
+    model = fit_quantile(train, None, ["l_quantity"], "l_extendedprice", 0.9, params)
+    return model.predict(line_rows(spark, folder), "p90").select("l_orderkey", "l_linenumber", "l_extendedprice", "p90")
+
+
+@query(
+    "feature_matrix",
+    """SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS FLOAT) AS label, CAST(l_quantity AS FLOAT) AS f0,
+              CAST(l_discount AS FLOAT) AS f1, CAST(l_tax AS FLOAT) AS f2 FROM lineitem""",
+)
+def feature_vectors(spark, folder):
+    rows = feature_matrix(line_rows(spark, folder), LINE_FEATURES, label="l_extendedprice")
+    parts = vector_to_array("features", "float32")
+    return rows.select("l_orderkey", "l_linenumber", F.col("label").cast("float").alias("label"), *[parts[i].alias(f"f{i}") for i in range(3)])
 
 
 @query("parameter_search")
 def parameter_search(spark, folder):
     train, valid = line_split(spark, folder)
-    best = search_params(train, valid, LINE_FEATURES, "l_extendedprice", 0.5, 2, BoostingParams(rounds=1))
+    best = search_params(train, valid, LINE_FEATURES, "l_extendedprice", 0.5, 3, BoostingParams(rounds=5, early_stopping=2))
     model = fit_quantile(train, valid, LINE_FEATURES, "l_extendedprice", 0.5, best)
     return evaluate(model.predict(valid, "p50"), "l_extendedprice", {0.5: "p50"})
 
@@ -256,7 +315,7 @@ def train_job(spark, folder):
         "label_p50",
     )
     gold.write.parquet(f"{root}/gold")
-    run_training(spark, root, TrainingConfig(boosting=BoostingParams(rounds=2, leaves=8)))
+    run_training(spark, root, TrainingConfig(trials=1, boosting=BoostingParams(rounds=6, leaves=8, early_stopping=2)))
     return registry.report(spark, f"{root}/reports").select("model_name", "kind", "name", "number")
 
 
