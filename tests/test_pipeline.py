@@ -27,11 +27,11 @@ def stops(spark, data):
 
 def one_row_tables(spark):
     return (
-        spark.createDataFrame([("trip-1", 42.352, -71.055, 12.0, NOON)], POSITION),
-        spark.createDataFrame([("trip-1", "stop-a", 30.0, 15.0, NOON)], UPDATE),
-        spark.createDataFrame([(NOON, 10.0, 2.0, 0.1)], WEATHER),
-        stop_times(spark, [("trip-1", "stop-a", "1")]),
-        stops(spark, [("stop-a", "South Station", None)]),
+        spark.createDataFrame([("ride-7", 42.401, -71.012, 9.0, NOON)], POSITION),
+        spark.createDataFrame([("ride-7", "pier", 48.0, 21.0, NOON)], UPDATE),
+        spark.createDataFrame([(NOON, 6.5, 3.0, 0.4)], WEATHER),
+        stop_times(spark, [("ride-7", "pier", "1")]),
+        stops(spark, [("pier", "Harbour Pier", None)]),
     )
 
 
@@ -49,16 +49,16 @@ def test_one_row_silver_and_gold(spark, tmp_path):
     silver = spark.read.parquet(run_silver(spark, root)).collect()
     assert len(silver) == 1
     row = silver[0]
-    assert (row["origin_stop"], row["dest_stop"], row["active_trips"]) == ("stop-a", "unknown", 1)
-    assert (row["avg_arrival_delay_s"], row["avg_departure_delay_s"]) == (30.0, 15.0)
-    assert (row["avg_temp_c"], row["avg_wind_speed"], row["avg_precip_mm"]) == (10.0, 2.0, 0.1)
-    assert row["crowding_score"] == pytest.approx(30.1)
+    assert (row["origin_stop"], row["dest_stop"], row["active_trips"]) == ("pier", "unknown", 1)
+    assert (row["avg_arrival_delay_s"], row["avg_departure_delay_s"]) == (48.0, 21.0)
+    assert (row["avg_temp_c"], row["avg_wind_speed"], row["avg_precip_mm"]) == (6.5, 3.0, 0.4)
+    assert row["crowding_score"] == pytest.approx(48.1)
     gold = spark.read.parquet(run_gold(spark, root, [10]))
     assert gold.count() == 1
     row = gold.first()
     assert row["horizon_min"] == 10 and row["label_p50"] is None
-    assert row["rolling_mean_7d"] == pytest.approx(30.1) and row["rolling_std_7d"] == 0.0
-    assert row["hist_p50"] == row["hist_p90"] == pytest.approx(30.1)
+    assert row["rolling_mean_7d"] == pytest.approx(48.1) and row["rolling_std_7d"] == 0.0
+    assert row["hist_p50"] == row["hist_p90"] == pytest.approx(48.1)
     results = validate_tables(spark, {"silver": transit.silver_path(root), "gold": transit.gold_path(root)})
     assert [r["row_count"] for r in results.collect()] == [1, 1]
 

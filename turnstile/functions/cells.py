@@ -82,7 +82,11 @@ def _h3_udf(resolution: int):
 
 
 def h3_cell(lat: Column, lon: Column, resolution: int = 8) -> Column:
-    """Real H3 ids; needs the optional ``h3`` package on the executors."""
+    """Real H3 ids by the optional ``h3`` package on the executors.
+
+    Unsupported: a row-by-row call of that package, which no test here can run.
+    The default cells are column expressions.
+    """
     return _h3_udf(resolution)(lat, lon)
 
 
