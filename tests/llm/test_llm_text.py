@@ -217,9 +217,10 @@ def test_descent_reaches_the_optimum():
     """The dual variables satisfy the conditions of the hinge-loss optimum."""
     rng = np.random.default_rng(3)
     rows = [np.sort(rng.choice(30, 8, replace=False)) for _ in range(40)]
-    values = [np.ones(8) / np.sqrt(8) for _ in rows]
+    ratio, scales = np.ones(30), np.full(40, 1 / np.sqrt(8))
+    values = [ratio[r] / np.sqrt(8) for r in rows]
     signs = np.where([5 in r for r in rows], 1.0, -1.0)
-    weights, bias = quality._descend(rows, values, signs, np.full(40, 2.0), 30, 3000, 1)
+    weights, bias = quality._descend(rows, ratio, scales, signs, np.full(40, 2.0), 3000, 1)
     margins = signs * np.array([weights[r] @ v + bias for r, v in zip(rows, values, strict=True)])
     objective = lambda w, b: 0.5 * (w @ w + b * b) + 2.0 * sum(max(0, 1 - s * (w[r] @ v + b)) for r, v, s in zip(rows, values, signs, strict=True))
     best = objective(weights, bias)

@@ -63,6 +63,9 @@ def _classes() -> np.ndarray:
 
 CLASSES = _classes()
 
+#: Bytes of text per pass; a text's n-grams take some hundred times their bytes for a moment.
+PASS_BYTES = 1 << 19
+
 
 def indicators(buffer: np.ndarray, bounds: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of the distinct n-grams of each text, sorted."""
@@ -110,13 +113,17 @@ def labelled(labels: DataFrame, settings: Settings, id: str = "doc_id", label: s
     )
 
 
-def _descend(rows: list[np.ndarray], values: list[np.ndarray], signs: np.ndarray, costs: np.ndarray, width: int, sweeps: int, seed: int):
-    """Weights and bias of the hinge-loss model: one dual variable at a time, in seeded order."""
-    weights, bias, duals = np.zeros(width), 0.0, np.zeros(len(rows))
+def _descend(rows: list[np.ndarray], ratio: np.ndarray, scales: np.ndarray, signs: np.ndarray, costs: np.ndarray, sweeps: int, seed: int):
+    """Weights and bias of the hinge-loss model: one dual variable at a time, in seeded order.
+
+    The vector of a row is ``ratio`` at its buckets times its scale; its length is one.
+    """
+    weights, bias, duals = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
     draw = np.random.default_rng(seed)
     for _ in range(sweeps):
         for i in draw.permutation(len(rows)):
-            at, x, y = rows[i], values[i], signs[i]
+            at, y = rows[i], signs[i]
+            x = ratio[at] * scales[i]
             gradient = y * (weights[at] @ x + bias) - 1.0
             new = min(max(duals[i] - gradient / 2.0, 0.0), costs[i])
             step = (new - duals[i]) * y
@@ -153,19 +160,16 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, settings: Settings) ->
         counts[label, at] += 1
     counts /= counts.sum(axis=1, keepdims=True)
     ratio = np.log(counts[1] / counts[0])
-    values = []
-    for at in rows:
-        x = ratio[at]
-        norm = np.sqrt(x @ x)
-        values.append(x / norm if norm else x)
+    norms = np.array([np.sqrt(ratio[at] @ ratio[at]) for at in rows])
+    scales = 1.0 / np.where(norms > 0, norms, 1.0)
     signs = np.where(labels == 1, 1.0, -1.0)
     balance = np.bincount(labels, minlength=2)
     costs = settings.cost * len(labels) / (2.0 * balance[labels])
     back = np.arange(len(rows)) % 5 == 4
     learn = np.flatnonzero(~back) if (~back).any() and len(set(labels[~back])) == 2 and back.any() else np.arange(len(rows))
-    weights, bias = _descend([rows[i] for i in learn], [values[i] for i in learn], signs[learn], costs[learn], width, settings.sweeps, settings.seed)
+    weights, bias = _descend([rows[i] for i in learn], ratio, scales[learn], signs[learn], costs[learn], settings.sweeps, settings.seed)
     judged = np.flatnonzero(back) if len(learn) < len(rows) else learn
-    margins = np.array([weights[rows[i]] @ values[i] + bias for i in judged])
+    margins = np.array([(weights[rows[i]] @ ratio[rows[i]]) * scales[i] + bias for i in judged])
     slope, offset = _curve(margins, labels[judged])
     return Model(weights * ratio, ratio**2, float(bias), slope, offset)
 
@@ -180,7 +184,7 @@ def fit(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), id: s
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in passes(batch):
+            for part in passes(batch, limit=PASS_BYTES):
                 texts, found = indicators(*text_bytes(part.column("text")), names.buckets)
                 cuts = np.searchsorted(texts, np.arange(part.num_rows + 1))
                 cells = [found[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -232,7 +236,7 @@ def score(df: DataFrame, model: Model, text: str = "text", column: str = "score"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in passes(batch, text):
+            for part in passes(batch, text, PASS_BYTES):
                 values = probabilities(shared.value, *text_bytes(part.column(text)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values)], [*part.schema.names, column])
 
