@@ -10,6 +10,7 @@ that ends inside a document if it must.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,9 +73,8 @@ def leaf_budgets(
     more than ``epochs`` times what there is.
     """
     leaves = leaves.withColumn("held", F.col("tokens") * epochs)
-    amounts = leaves.agg(
-        F.coalesce(F.sum("tokens"), F.lit(0)).alias("all"), F.coalesce(F.sum("held"), F.lit(0)).alias("most")
-    ).select(F.least(F.lit(budget) if budget is not None else F.floor(F.col("all") * F.lit(share)), F.col("most")).cast("long").alias("amount"))
+    found = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all"), F.coalesce(F.sum("held"), F.lit(0)).alias("most")).first()
+    amount = min(budget if budget is not None else math.floor(found["all"] * share), found["most"])
     above = None
     for depth, level in enumerate(levels):
         path = list(levels[: depth + 1])
@@ -83,7 +83,7 @@ def leaf_budgets(
         pairs = [F.lit(x) for pair in table.items() for x in pair]
         weight = F.coalesce(F.create_map(*pairs)[F.col(level)], F.lit(1)) if pairs else F.lit(1)
         nodes = nodes.withColumn("weight", weight.cast("long"))
-        nodes = nodes.join(above, path[:-1]) if above is not None else nodes.join(F.broadcast(amounts))
+        nodes = nodes.join(above, path[:-1]) if above is not None else nodes.withColumn("amount", F.lit(amount).cast("long"))
         above = waterfill(nodes, path[:-1], level).select(*path, F.col("given").alias("amount"))
     return leaves.join(above, list(levels)).select(*levels, "tokens", F.col("amount").alias("given"))
 
