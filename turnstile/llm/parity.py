@@ -29,6 +29,8 @@ from turnstile.llm.words import LOWER, grams, hash_slices, mix, owners, passes,
 HEAVY = 0.002
 #: Larger candidate groups are compared in blocks of this many sets.
 BLOCK = 1024
+#: Most large groups whose sizes are broadcast, 12 bytes each.
+BROADCAST_ROWS = 200_000
 #: Segment key of a set that has too few segments with a shingle for its band.
 SHORT = 1
 
@@ -267,10 +269,12 @@ def verified_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, likeness
     ``nodes`` refers to one document per set. Groups over ``BLOCK`` sets are compared
     block by block, each pair of blocks by a task of its own.
     """
-    groups = pairs.groupBy("head").agg(F.count("*").alias("n"))
-    groups = groups.withColumn("blocks", F.ceil((F.col("n") + 1) / F.lit(float(BLOCK))).cast("int"))
+    large = pairs.groupBy("head").agg(F.count("*").alias("n")).filter(F.col("n") >= BLOCK)
+    large = large.select("head", F.ceil((F.col("n") + 1) / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    if large.count() <= BROADCAST_ROWS:  # else a shuffled join
+        large = F.broadcast(large)
     member = pairs.unionByName(pairs.select(F.col("head").alias("node"), "head").distinct())
-    member = member.join(groups.select("head", "blocks"), "head")
+    member = member.join(large, "head", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     sent = member.withColumn("block", block).groupBy("node").agg(F.collect_list(F.struct("head", "block", "blocks")).alias("groups"))
     texts = docs.join(sent.join(nodes, "node"), "ref").select("node", "text", "groups")
