@@ -102,8 +102,11 @@ def with_next(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     heads = sorted((r.block, r.head) for r in heads)
     if not heads:
         return rows.select("id", "text", F.lit(False).alias("lead"))
-    before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
-    owner = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[order_key("id")]
+    first, owner_of = [0] * (len(bounds) + 1), [0] * (len(bounds) + 1)
+    for i, (block, head) in enumerate(heads):
+        first[block], owner_of[block] = head, heads[i - 1][0]
+    leads = order_key("id") == F.get(F.lit(first), F.col("block"))
+    owner = F.when(leads, F.get(F.lit(owner_of), F.col("block")))
     copies = F.array_compact(
         F.array(
             F.struct(F.col("block").alias("to"), F.lit(False).alias("lead")),
