@@ -7,7 +7,7 @@ stage's result below the shared folder and reads it again for the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile.llm import mixing, parity, pieces, quality, substrings
@@ -19,6 +19,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIX = {"share": 0.9, "epochs": 1, "seed": 11}
 
 
+def row_key() -> Column:
+    """Hashes of the text and of the other columns of documents; only equal rows share one."""
+    others = F.to_json(F.struct(*[c for c in COLUMNS if c != "text"]))
+    return F.concat(F.md5(F.coalesce("text", F.lit(""))), F.md5(others))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     judged = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -39,15 +45,22 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix, one row per epoch that takes them whole; the last of a leaf ends at its budget."""
-    plan = mixing.mix(with_domain(docs.select("doc_id", "text", "lang", "source")), MIX_LEVELS, MIX_WEIGHTS, **MIX)
-    plan = plan.select(F.col("doc_id").alias("plan_id"), "n_words", "full_epochs", "prefix_words")
-    taken = docs.join(plan.filter("n_words > 0 and full_epochs + prefix_words > 0"), F.col("doc_id").eqNullSafe(F.col("plan_id")))
+    """Documents of the mix, one row per epoch that takes them whole; the last of a leaf ends at its budget.
+
+    Each row has its own place in the mix, also where ids repeat or are null. Equal
+    rows are one row with the sum of their takes; a leaf ends inside one document,
+    so at most one of them is cut.
+    """
+    rows = docs.withColumn("row", row_key())
+    plan = mixing.mix(with_domain(rows.select("doc_id", "text", "lang", "source", "row")), MIX_LEVELS, MIX_WEIGHTS, **MIX, carry=("row",))
+    whole = F.col("full_epochs") + (F.col("prefix_words") == F.col("n_words")).cast("long")
+    part = F.when(F.col("prefix_words") < F.col("n_words"), F.col("prefix_words")).otherwise(0)
+    plan = plan.filter("n_words > 0").groupBy("row").agg(F.sum(whole).alias("wholes"), F.max(part).alias("part"))
+    plan = plan.withColumn("takes", F.col("wholes") + (F.col("part") > 0).cast("long")).filter("takes > 0")
+    taken = rows.dropDuplicates(["row"]).join(plan, "row").withColumn("take", F.explode(F.sequence(F.lit(1), F.col("takes"))))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    start = F.array_join(F.slice(words, 1, F.col("prefix_words").cast("int")), " ")
-    part = F.when(F.col("prefix_words") == F.col("n_words"), F.col("text")).when(F.col("prefix_words") > 0, start)
-    texts = F.concat(F.array_repeat("text", F.col("full_epochs").cast("int")), F.array_compact(F.array(part)))
-    rows = taken.withColumn("text", F.explode(texts))
+    start = F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")
+    rows = taken.withColumn("text", F.when(F.col("take") <= F.col("wholes"), F.col("text")).otherwise(start))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -1,15 +1,18 @@
 """Token files, pieces, licence scans and the classifier, and the pipeline as a whole."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_llm_near import brute_components, brute_removed, near_rows
+from test_llm_urls_mixing import brute_mix
 
 import corpus_pipeline
 from turnstile.llm import licenses, pfor, pieces, quality
@@ -272,3 +275,28 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert final.columns == ["doc_id", "n_pieces", "ids"]
     back = {r.doc_id: r.decoded for r in pieces.decode_pieces(final, PIECES).collect()}
     assert back == {i: r.text for i, r in kept["mixing"].items()}
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_mixing_stage_gives_each_row_its_own_place(spark, monkeypatch):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 30)))
+    rows = [(rng.choice([None, i % 9, 100 + i]), text(), rng.choice(["en", None]), rng.choice(["s1", None])) for i in range(60)]
+    rows += [(5, "one row seven times", "en", "s1")] * 7 + [(None, "no id five times", None, None)] * 5 + [(None, None, "en", "s1"), (5, " ", "en", "s1")]
+    rows = [(*r, 0) for r in rows]
+    df = spark.createDataFrame(rows, DOCUMENTS).repartition(3)
+    monkeypatch.setattr(corpus_pipeline, "MIX_LEVELS", ("lang", "source"))
+    for share, epochs in ((0.9, 1), (0.4, 1), (1.7, 2)):
+        monkeypatch.setattr(corpus_pipeline, "MIX", {"share": share, "epochs": epochs, "seed": 4})
+        out = corpus_pipeline.mixing_stage(spark, df, "").collect()
+        plan = brute_mix([(i, a, s, f"{t or ''}") for i, t, a, s, _ in rows], {"lang": corpus_pipeline.MIX_WEIGHTS["lang"], "source": {}}, share, epochs, 4)
+        words = sorted((str(i), a, s, n) for i, a, s, n, full, part, _ in plan for n in [n] * full + [part] if n)
+        assert sorted((str(r.doc_id), r.lang or "", r.source or "", len(r.text.split())) for r in out) == words, share
+        texts = Counter((r.doc_id, r.text, r.lang, r.source) for r in out if r.text in {t for _, t, *_ in rows})
+        held = Counter(r[:4] for r in rows)
+        assert all(n <= held[k] * math.ceil(share) for k, n in texts.items())
+        for r in out:
+            starts = [t.split()[: len(r.text.split())] for i, t, a, s, _ in rows if t and (i, a, s) == (r.doc_id, r.lang, r.source)]
+            assert r.text.split() in starts and r.n_chars == len(r.text)

@@ -98,23 +98,26 @@ def mix(
     seed: int = 0,
     id: str = "doc_id",
     text: str = "text",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, levels, n_words, full_epochs, prefix_words, given) for every row of ``df``.
+    """(id, levels, n_words, full_epochs, prefix_words, given, carry) for every row of ``df``.
 
     full_epochs: how often the whole document is taken; prefix_words: how many of
     its first words the last, partial epoch takes. The words taken in a leaf sum
     up to ``given``. A null level counts as the value ""; null and empty texts
     have no words and cost nothing. Documents of an epoch are ordered by the md5
-    of seed, epoch and id, then by that of the text. Only (leaf, range) sums and
-    the one range of an epoch's order in which it ends are ever sorted, so a hot
-    leaf is never gathered.
+    of seed, epoch and id, then by that of the text, then by what is carried. Only
+    (leaf, range) sums and the one range of an epoch's order in which it ends are
+    ever sorted, so a hot leaf is never gathered.
     """
+    others = [F.struct(*carry).alias("others")] if carry else []
     rows = stored(
         df.select(
             F.col(id).cast("long").alias("id"),
             *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"l{i}") for i, c in enumerate(levels)],
             tokens_of(F.col(text)).alias("n_words"),
             F.md5(F.coalesce(F.col(text), F.lit(""))).alias("tie"),
+            *others,
         ),
         "lengths",
     )
@@ -132,7 +135,7 @@ def mix(
     ahead = Window.partitionBy(*path).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("ahead", F.coalesce(F.sum("range_words").over(ahead), F.lit(0)))
     placed = placed.join(sums, [*path, "range"])
-    inside = Window.partitionBy(*path, "range").orderBy("place", "id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*path, "range").orderBy("place", "id", "tie", *(["others"] if carry else [])).rowsBetween(Window.unboundedPreceding, -1)
     cut = (F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col("range_words") > F.col("rest"))
     before = F.col("ahead") + F.coalesce(F.sum("n_words").over(inside), F.lit(0))
     room = F.greatest(F.lit(0), F.least(F.col("n_words"), F.col("rest") - F.col("before")))
@@ -140,5 +143,6 @@ def mix(
     whole = placed.filter(~cut).withColumn("prefix_words", F.when(F.col("ahead") < F.col("rest"), F.col("n_words")).otherwise(F.lit(0)))
     names = [F.col(f"l{i}").alias(c) for i, c in enumerate(levels)]
     return whole.unionByName(ends).select(
-        F.col("id").alias(id), *names, "n_words", F.col("full_epochs").cast("long"), F.col("prefix_words").cast("long"), "given"
-    )
+        F.col("id").alias(id), *names, "n_words", F.col("full_epochs").cast("long"), F.col("prefix_words").cast("long"), "given",
+        *(["others.*"] if carry else []),
+    )
