@@ -32,10 +32,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that links join; documents without words stay."""
-    groups = parity.near_components(docs.select("doc_id", "text"))
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """The first row of each group that links join; rows without words stay.
+
+    First is the smallest id, null last, then the smallest hash of the text, then
+    of the other columns. Equal rows with words are one row.
+    """
+    rows = docs.withColumn("row", row_key())
+    groups = parity.near_groups(rows, carry=("row",)).filter("component is not null")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    worded = F.coalesce(F.col("text").rlike(mixing.WORD), F.lit(False))
+    kept = rows.filter(worded).dropDuplicates(["row"]).join(first.select("first.row"), "row", "left_semi")
+    return kept.select(*COLUMNS).unionByName(docs.filter(~worded).select(*COLUMNS))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

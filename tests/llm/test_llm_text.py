@@ -280,6 +280,28 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def test_one_row_per_group_of_near_duplicates(spark):
+    groups = [" ".join(f"g{g}x{j}" for j in range(40)) for g in range(9)]
+    near = lambda g, k: f"{groups[g]} tail{k}"
+    rows = [(1, groups[0]), (1, groups[0]), (2, near(0, 1))]  # repeated rows
+    rows += [(None, groups[1]), (None, near(1, 1)), (None, near(1, 2)), (None, groups[1])]  # no id at all
+    rows += [(7, groups[2]), (None, near(2, 1)), (None, groups[2])]
+    rows += [(8, groups[3]), (8, near(3, 1)), (9, groups[3])]  # two texts under the least id
+    rows += [(10, groups[4]), (10, groups[5]), (11, near(5, 1))]  # one id in two groups
+    rows += [(12, groups[6]), (11, groups[7]), (3, "short"), (None, "short"), (4, "lone"), (None, "alone")]
+    rows = [(i, t, "en", "s1", 0) for i, t in rows] + [(1, groups[0], "de", "s1", 0)]
+    blank = [(None, None, "en", None, 0), (None, None, "en", None, 0), (20, "", "en", "s1", 0), (20, "", "en", "s1", 0), (1, " \t", "en", "s1", 1)]
+    out = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows + blank, DOCUMENTS).repartition(3), "")
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    found = [tuple(r) for r in out.collect()]
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    least = lambda *texts: min(texts, key=digest)
+    want = [(1, groups[0]), (None, least(groups[1], near(1, 1), near(1, 2))), (7, groups[2]), (8, least(groups[3], near(3, 1)))]
+    want += [(10, groups[4]), (10, groups[5]), (12, groups[6]), (11, groups[7]), (3, "short"), (4, "lone"), (None, "alone")]
+    assert Counter(r[:2] for r in found if (r[1] or "").strip()) == Counter(want)
+    assert Counter(r for r in found if not (r[1] or "").strip()) == Counter(blank)
+
+
 def test_mixing_stage_gives_each_row_its_own_place(spark, monkeypatch):
     rng = random.Random(8)
     text = lambda: " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 30)))

@@ -11,13 +11,14 @@ from below, and what passes is verified on the sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from turnstile.llm.components import components
 from turnstile.llm.heavy import among, heavy_values
@@ -352,18 +353,32 @@ def near_components(
     Repeated ids are separate rows; a null id never names a component unless all
     its ids are null. Shingles and sets are compared by 64-bit hashes.
     """
-    rows = df.select(F.col(id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return near_groups(df, id, text, likeness).select(id, "n_shingles", "component_id")
+
+
+def near_groups(
+    df: DataFrame, id: str = "doc_id", text: str = "text", likeness: Likeness = Likeness(), carry: Sequence[str] = ()
+) -> DataFrame:
+    """(id, n_shingles, component_id, component, carry) for every row; as ``near_components``.
+
+    ``component`` is one number for all rows of a component, whatever their ids;
+    null for rows without words.
+    """
+    rows = df.select(F.col(id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([F.struct(*carry).alias("others")] if carry else []))
     rows = rows.withColumn("ref", F.coalesce(F.col("doc").cast("string"), F.concat(F.lit("text "), F.md5("text"))))
 
+    ends = ["doc", "ref", *(["others"] if carry else [])]
+    schema = StructType([*rows.select(ends).schema, *StructType.fromDDL("n bigint, node bigint")])
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in passes(batch):
                 found, cuts = shingle_sets(*text_bytes(part.column("text")), likeness.shingle)
                 node = set_ids(found, cuts).view(np.int64)
-                columns = [part.column("doc"), part.column("ref"), pa.array(np.diff(cuts)), pa.array(node)]
-                yield pa.record_batch(columns, ["doc", "ref", "n", "node"])
+                columns = [*(part.column(c) for c in ends), pa.array(np.diff(cuts)), pa.array(node)]
+                yield pa.record_batch(columns, schema.names)
 
-    sizes = stored(rows.mapInArrow(measure, "doc bigint, ref string, n bigint, node bigint"), "sets")
+    sizes = stored(rows.mapInArrow(measure, schema), "sets")
     heavy = heavy_values(rows, _values(likeness.shingle), HEAVY)
     pairs = stored(shared_segments(rows, heavy, likeness, False), "pairs")
     if not pairs.filter(F.col("head") == SHORT).isEmpty():
@@ -373,7 +388,8 @@ def near_components(
     groups = components(links)
     least = nodes.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
     named = least.groupBy("group").agg(F.min("doc").alias("component_id"))
-    names = least.select("node", "group").join(named, "group").select("node", "component_id")
+    names = least.select("node", "group").join(named, "group").select("node", "group", "component_id")
     return sizes.join(names, "node", "left").select(
-        F.col("doc").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id")
-    )
+        F.col("doc").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"),
+        F.col("group").alias("component"), *(["others.*"] if carry else []),
+    )
