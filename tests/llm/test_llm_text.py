@@ -174,6 +174,43 @@ def test_suppression_matches_pairwise_containment():
         assert licenses.suppress(found) == sorted((d[2], d[3], d[4], d[5]) for d in kept)
 
 
+def example(tree, rng):
+    """A text that a parsed pattern matches."""
+    out = ""
+    for kind, value in tree:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out += chr(value)
+        elif kind == "IN":
+            first, arg = rng.choice(value)
+            out += rng.choice("0123456789") if str(first) == "CATEGORY" else chr(arg if str(first) == "LITERAL" else arg[0])
+        elif kind == "BRANCH":
+            out += example(rng.choice(value[1]), rng)
+        elif kind == "SUBPATTERN":
+            out += example(value[-1], rng)
+        else:
+            low, high, inner = value
+            out += "".join(example(inner, rng) for _ in range(rng.randint(low, min(high, 3))))
+    return out
+
+
+def test_each_rule_passes_its_own_gate():
+    scanner, rng = licenses.Scanner(), random.Random(2)
+    for i, rule in enumerate(licenses.RULES):
+        tree = re._parser.parse(rule.pattern)
+        for _ in range(12):
+            text = f" x {re.sub(' +', ' ', example(tree, rng))} y "
+            if scanner.rules[i][1].search(text):
+                hits = {j for _, owners in scanner.automaton.iter(text) for j in owners}
+                assert i in hits, (rule, text)
+            else:
+                assert "[a-z ]" in rule.pattern, (rule, text)
+    labels = lambda text: {d[2] for d in scanner.scan(f" {text} ")[1]}
+    assert labels("released under the unlicense") == labels("the unlicense") == {"unlicense"}
+    assert (labels("gplv3"), labels("gplv2 or later"), labels("lgplv2 1"), labels("gpl3")) == ({"gpl-3"}, {"gpl-2"}, {"lgpl-2.1"}, {"gpl-3"})
+    assert labels("gplv33") == labels("xgplv3") == set()
+
+
 def test_rules_match_in_spite_of_the_keyword_gate():
     scanner = licenses.Scanner()
     assert len(licenses.RULES) > 300

@@ -95,14 +95,14 @@ def signature_rules() -> tuple[Rule, ...]:
     rules = []
     for label, name, short, versions in FAMILIES:
         keyword = short.split()[0] if short.split()[0] not in ("bsl", "ms", "osl", "psf", "ofl") else "spdx"
-        named = "creative commons" if name.startswith("creative") else "licen" if "licen" in name else short
+        named = "creative commons" if name.startswith("creative") else "licen" if "licen[cs]e" in name else short
         for version in versions:
             full = f"{label}-{version.replace(' clause', '').replace(' ', '.')}"
             rules.append(Rule(full, "spdx", rf"spdx licen[cs]e identifier {short} {version}(?: or later| only)?", 9, 1.0))
             rules.append(Rule(full, named, rf"(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?{name} (?:version |v ?)?{version}", 8, 0.95))
             rules.append(Rule(full, named, rf"{name} (?:version |v ?)?{version}", 7, 0.9))
             if keyword != "spdx":
-                rules.append(Rule(full, keyword, rf"{short} (?:version |v ?)?{version}", 6, 0.8))
+                rules.append(Rule(full, keyword, rf"{short} ?(?:version |v ?)?{version}", 6, 0.8))
         rules.append(Rule(label, "spdx", rf"spdx licen[cs]e identifier {short}", 5, 0.95))
         rules.append(Rule(label, named, rf"(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?{name}", 4, 0.85))
         rules.append(Rule(label, named, name, 3, 0.7))
