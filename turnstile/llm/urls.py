@@ -59,15 +59,55 @@ def canonical(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, form)
 
 
+def _without_dots(path: Column) -> Column:
+    """The path without ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)),
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The address that ``target`` names on a page at ``base``; null if it is relative and base has no scheme and host.
+
+    A target with a scheme stays as it is; ``//host/x`` takes the scheme; ``/x`` the
+    host as well; ``?x`` and ``#x`` the path too, and ``x`` the folder of the path.
+    """
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1)
+    site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    path, query = F.regexp_extract(target, "^([^?#]*)", 1), F.regexp_extract(target, "^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(path_of(base), "^(.*/)", 1)
+    full = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    same = F.regexp_extract(base, "^([^?#]*)", 1)
+    own_query = F.regexp_extract(base, "^([^#]*)", 1)
+    relative = (
+        F.when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
+        .when((target == "") | F.startswith(target, F.lit("#")), own_query)
+        .when(F.startswith(target, F.lit("?")), F.concat(same, target))
+        .otherwise(F.concat(site, _without_dots(full), query))
+    )
+    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), target).when(scheme != "", relative)
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str | None = "html") -> DataFrame:
-    """(src, dst): each address to its canonical form, to its canonical link and to the target of its refresh."""
+    """(src, dst): each address to its canonical form, to its canonical link and to the target of its refresh.
+
+    Relative targets start from the page's address, or from its base element's.
+    """
     targets = [canonical(F.col(url))]
     if html is not None:
         link = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
         refresh = r"""(?is)<meta\b[^>]*http-equiv\s*=\s*["']?refresh\b[^>]*>"""
-        for pattern, target in ((link, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+://[^"'\s>]+)"""), (refresh, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+://[^"'\s>]+)""")):
+        href = r"""(?is)(?<![\w-])href\s*=\s*["']?\s*([^"'\s>]+)"""
+        own = F.regexp_extract(F.regexp_extract(F.col(html), r"(?is)<base\b[^>]*>", 0), href, 1)
+        base = F.when(own != "", resolved(own, F.col(url))).otherwise(F.col(url))
+        for pattern, target in ((link, href), (refresh, r"""(?is)(?<![\w-])url\s*=\s*["']?\s*([^"'\s>]+)""")):
             found = F.regexp_extract(F.regexp_extract(F.col(html), pattern, 0), target, 1)
-            targets.append(F.when(found != "", canonical(found)))
+            targets.append(F.when(found != "", canonical(resolved(found, base))))
     return (
         pages.filter(F.col(url).isNotNull())
         .select(F.col(url).alias("src"), F.explode(F.array_compact(F.array(*targets))).alias("dst"))
