@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import ledger, licenses, mixing, parity, pfor, pieces, quality, substrings, urls, winnow
+from turnstile.llm import ledger, licenses, mixing, parity, pfor, pieces, quality, spelling, substrings, urls, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -222,3 +222,41 @@ def op7_viterbi(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"),
     )
+
+
+@query
+def op11_qchunks(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+#: crc32 of the bytes of a text, for DuckDB; ``crc_table`` must be in reach.
+CRC_TABLE_SQL = """crc_table AS (SELECT list_transform(range(256), lambda i:
+  list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t)"""
+
+
+def crc_sql(byte_list: str) -> str:
+    return f"xor(list_reduce({byte_list}, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295)"
+
+
+_WIDE = "".join(map(chr, range(0xC0, 0x100)))
+#: One ASCII character for each of U+00C0 to U+00FF: the database compares bytes.
+_NARROW = (urls.CAPITALS + "0123456789!#$%&()*+,-./:;<=>?@[]^_{|}~`")[: len(_WIDE)]
+_RUN_BYTES = """flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x:
+  CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END))"""
+
+ORACLES["op11_qchunks"] = f"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{urls.CAPITALS}', '{urls.CAPITALS.lower()}') AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, n, {crc_sql(_RUN_BYTES)} AS h FROM d, crc_table),
+e AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n, length(word) AS l, translate(word, '{_WIDE}', '{_NARROW}') AS c FROM e
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM (SELECT *, unnest([l - 1, l, l + 1]) AS k FROM v) a JOIN v b
+  ON a.k = b.l AND a.word <> b.word AND levenshtein(a.c, b.c) = 1),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(o := -other_n, w := other)) AS b FROM near GROUP BY word),
+forms AS (SELECT v.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -b.o >= 5 * n THEN b.w END AS form,
+  CASE WHEN -b.o >= 5 * n THEN -b.o END AS form_n FROM v LEFT JOIN best USING (word)),
+way AS (SELECT word, coalesce(form, word) AS at, form IS NULL AS over FROM forms
+  UNION ALL SELECT way.word, coalesce(forms.form, way.at), forms.form IS NULL FROM way JOIN forms ON forms.word = way.at WHERE NOT over)
+SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN way ON way.word = f.word AND way.over"""
