@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import ledger, licenses, mixing, parity, pfor, pieces, quality, spelling, substrings, urls, winnow
+from turnstile.llm import ledger, licenses, merkle, mixing, parity, pfor, pieces, quality, spelling, substrings, urls, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -260,3 +260,47 @@ forms AS (SELECT v.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -b.
 way AS (SELECT word, coalesce(form, word) AS at, form IS NULL AS over FROM forms
   UNION ALL SELECT way.word, coalesce(forms.form, way.at), forms.form IS NULL FROM way JOIN forms ON forms.word = way.at WHERE NOT over)
 SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN way ON way.word = f.word AND way.over"""
+
+
+@query
+def op12_pointers(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(table(spark, folder, "documents"))
+
+
+_FIELD_SQL = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_FIELD_SQL.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree_sql(name: str, source: str, key: str) -> str:
+    """Levels of trees and the steps of their nodes: ``source`` gives the key and the list of leaves in order."""
+    return f"""{name}_levels AS (SELECT {key}, 0 AS level, nodes FROM {source}
+  UNION ALL SELECT {key}, level + 1, list_transform(range(0, len(nodes), 3), lambda g: sha256(array_to_string(nodes[g + 1:g + 3], '')))
+  FROM {name}_levels WHERE len(nodes) > 1),
+{name}_steps AS (SELECT {key}, level, idx, array_to_string(nodes[idx // 3 * 3 + 1:idx], '') AS before, array_to_string(nodes[idx + 2:idx // 3 * 3 + 3], '') AS after
+  FROM (SELECT *, unnest(range(0, len(nodes))) AS idx FROM {name}_levels WHERE len(nodes) > 1)),
+{name}_root AS (SELECT {key}, nodes[1] AS digest, level AS height FROM {name}_levels WHERE len(nodes) = 1)"""
+
+
+ORACLES["op12_pointers"] = f"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+d AS (SELECT doc_id, coalesce('+' || source, '') AS tree, {_leaf_sql("text")} AS leaf, {_leaf_sql("replace(text, chr(10), '')")} AS other,
+  {crc_sql("list_transform(string_split(doc_id::VARCHAR, ''), lambda x: unicode(x)::BIGINT)")} % 2 = 0 AS even FROM documents, crc_table),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS idx FROM d),
+trees AS (SELECT tree, list(leaf ORDER BY idx) AS nodes FROM p GROUP BY tree),
+{_tree_sql("low", "trees", "tree")},
+tops AS (SELECT 0 AS one, list(digest ORDER BY tree) AS nodes FROM low_root),
+{_tree_sql("top", "tops", "one")},
+place AS (SELECT tree, height, digest, row_number() OVER (ORDER BY tree) - 1 AS pos FROM low_root),
+fold AS (SELECT doc_id, p.tree, leaf, 0 AS step, idx, CASE WHEN even THEN other ELSE leaf END AS acc, '' AS proof FROM p
+  UNION ALL SELECT fold.doc_id, fold.tree, leaf, step + 1, CASE WHEN step + 1 = height THEN pos ELSE
+    coalesce(l.idx, t.idx) // 3 END, sha256(coalesce(l.before, t.before) || acc || coalesce(l.after, t.after)),
+    proof || coalesce(l.before, t.before) || coalesce(l.after, t.after)
+  FROM fold JOIN place ON place.tree = fold.tree
+  LEFT JOIN low_steps l ON l.tree = fold.tree AND l.level = step AND l.idx = fold.idx AND step < height
+  LEFT JOIN top_steps t ON step >= height AND t.level = step - height AND t.idx = CASE WHEN height = 0 AND step = 0 THEN pos ELSE fold.idx END
+  WHERE coalesce(l.idx, t.idx) IS NOT NULL)
+SELECT doc_id, leaf, place.digest AS subroot, top_root.digest AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = top_root.digest AS verified
+FROM (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY doc_id, tree, leaf ORDER BY step DESC) = 1) JOIN place USING (tree), top_root"""
