@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import ledger, licenses, merkle, mixing, parity, pfor, pieces, quality, spelling, substrings, urls, winnow
+from turnstile.llm import ledger, licenses, merkle, mixing, parity, pfor, pieces, quality, rotations, spelling, substrings, urls, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -304,3 +304,20 @@ fold AS (SELECT doc_id, p.tree, leaf, 0 AS step, idx, CASE WHEN even THEN other
   WHERE coalesce(l.idx, t.idx) IS NOT NULL)
 SELECT doc_id, leaf, place.digest AS subroot, top_root.digest AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = top_root.digest AS verified
 FROM (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY doc_id, tree, leaf ORDER BY step DESC) = 1) JOIN place USING (tree), top_root"""
+
+
+@query
+def op13_rotations(spark: SparkSession, folder: str) -> DataFrame:
+    return rotations.near_vectors(table(spark, folder, "embeddings"))
+
+
+ORACLES["op13_rotations"] = """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, list_reduce(list_transform(embedding, lambda x: abs(x)), lambda a, b: a + b) AS size FROM embeddings),
+sound AS (SELECT * FROM e WHERE label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND size > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM e JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)"""
