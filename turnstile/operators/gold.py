@@ -79,13 +79,16 @@ def rolling_stats(
         per_key=per_key,
         rows_per_slice=rows_per_slice,
     )
+    return window_statistics(rolled, mean, std, digits).drop("__t", "__v", "__sign", *measures)
+
+
+def window_statistics(rolled: DataFrame, mean: str, std: str, digits: int) -> DataFrame:
+    """Mean and deviation from the running count, sum and sum of squares ``__n``, ``__sum``, ``__squares``."""
     n, total = F.col("__n"), F.col("__sum")
     spread = n * F.col("__squares") - total.cast("decimal(19,0)") * total.cast("decimal(19,0)")
     scale = F.lit(10.0**digits)
-    return (
-        rolled.withColumn(mean, F.when(n > 0, total.cast("double") / n / scale))
-        .withColumn(std, F.when(n > 0, F.sqrt(spread.cast("double")) / n / scale))
-        .drop("__t", "__v", "__sign", *measures)
+    return rolled.withColumn(mean, F.when(n > 0, total.cast("double") / n / scale)).withColumn(
+        std, F.when(n > 0, F.sqrt(spread.cast("double")) / n / scale)
     )
 
 

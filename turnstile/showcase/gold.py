@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from turnstile.operators.carried import SKETCH, day_totals, merged_quantiles
 from turnstile.operators.gold import exact_group_quantiles, fan_out, gold_facts, minute_labels, rolling_stats, row_labels
+from turnstile.plans.incremental import read_gold_by_day, run_gold_by_day, state_path
 from turnstile.session import work_path
 from turnstile.showcase.common import MINUTES, ORACLES, minute_facts, query, seconds
-from turnstile.sources.tables import overwrite_changed, read_table
+from turnstile.sources.change_feed import change_stream, read_live
+from turnstile.sources.tables import overwrite_changed, overwrite_partitions, read_table
+from turnstile.streaming.materialize import start_materializer
 
 HORIZONS = (10, 20, 30)
 DIGITS = 4
@@ -158,3 +162,73 @@ def gold_incremental(spark, folder):
         overwrite_changed(facts, path, ["date", "horizon_min"])
     stored = read_table(spark, path)
     return shown(stored.withColumn("horizon_min", F.col("horizon_min").cast("int")))
+
+
+#: Holds all rows of a series, so that merged sketches are exact.
+WIDE_SKETCH = 65_535
+BY_DAY = {"keys": ["event_type"], "score": "score", "horizons": HORIZONS, "digits": DIGITS, "sketch": WIDE_SKETCH}
+
+
+def kept_by_day(spark, folder, after=None):
+    """Gold by the day: from the first half of the dates, then from all; ``after`` is called after each run."""
+    root = work_path(spark, "by-day")
+    series = minute_facts(spark, folder).withColumn("date", F.to_date("minute"))
+    early = F.col("minute") < F.lit("2024-01-15").cast("timestamp")
+    for part in (series.filter(early), series.filter(~early)):
+        overwrite_partitions(part, f"{root}/silver", ["date"])
+        run_gold_by_day(spark, f"{root}/silver", f"{root}/gold", **BY_DAY)
+        if after:
+            after(root)
+    return root
+
+
+@query("gold_by_day", f"WITH {GOLD} SELECT * EXCLUDE (minute) FROM gold")
+def gold_by_day(spark, folder):
+    return shown(read_gold_by_day(spark, f"{kept_by_day(spark, folder)}/gold", ["event_type"]))
+
+
+@query(
+    "gold_change_feed",
+    f"""WITH {GOLD} SELECT event_type, minute_s, score, horizon_min, label_p50, rolling_mean_7d, hist_p50, hist_p90 FROM gold
+    QUALIFY row_number() OVER (PARTITION BY event_type, horizon_min ORDER BY minute DESC) = 1""",
+)
+def gold_change_feed(spark, folder):
+    """The snapshot that a stream over the feed of changes leaves after both runs."""
+    keys = ["event_type", "horizon_min"]
+
+    def follow(root):
+        stream = change_stream(spark, state_path(f"{root}/gold", "changes"))
+        start_materializer(stream, f"{root}/log", f"{root}/seen", keys=keys, order=("version",), available_now=True).awaitTermination()
+
+    live = read_live(spark, f"{kept_by_day(spark, folder, follow)}/log", keys)
+    return live.select(
+        "event_type", seconds("minute").alias("minute_s"), "score", "horizon_min", "label_p50", "rolling_mean_7d", "hist_p50", "hist_p90"
+    )
+
+
+@query("merged_sketches", f"WITH {MINUTES}, {HIST} SELECT * FROM hist")
+def merged_sketches(spark, folder):
+    """Quantiles from one sketch per series and day, as exact as the sketch is wide."""
+    series = minute_facts(spark, folder).select("event_type", "minute", "score")
+    totals = day_totals(series, ["event_type"], "minute", "score", DIGITS, WIDE_SKETCH)
+    return merged_quantiles(totals, ["event_type"], {"hist_p50": 0.5, "hist_p90": 0.9})
+
+
+#: Rank error that a sketch of SKETCH values keeps to with high confidence.
+RANK_ERROR = 2.446 / SKETCH**0.9433
+
+
+@query(
+    "sketch_rank_error",
+    f"WITH {MINUTES} SELECT event_type, p, count(*) AS n, true AS within FROM scored, (SELECT unnest([0.1, 0.5, 0.9, 0.99]::DOUBLE[]) AS p) GROUP BY ALL",
+)
+def sketch_rank_error(spark, folder):
+    """Whether the true rank of each merged quantile is as close as the sketch size says."""
+    series = minute_facts(spark, folder).select("event_type", "minute", "score")
+    probs = {f"q{i}": p for i, p in enumerate((0.1, 0.5, 0.9, 0.99))}
+    found = merged_quantiles(day_totals(series, ["event_type"], "minute", "score", DIGITS), ["event_type"], probs)
+    found = found.select("event_type", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(q).alias("q")) for q, p in probs.items()])).alias("e"))
+    ranked = series.join(found.select("event_type", "e.*"), "event_type").groupBy("event_type", "p")
+    counted = ranked.agg(F.count("*").alias("n"), F.count_if(F.col("score") < F.col("q")).alias("below"), F.count_if(F.col("score") <= F.col("q")).alias("upto"))
+    near = (F.col("below") <= (F.col("p") + RANK_ERROR) * F.col("n")) & (F.col("upto") >= (F.col("p") - RANK_ERROR) * F.col("n"))
+    return counted.select("event_type", "p", "n", near.alias("within"))
