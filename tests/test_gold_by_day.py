@@ -144,3 +144,24 @@ def test_row_changes(spark):
     new = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 3.0), (None, 1, 2.0), ("e", 1, None)], schema)
     got = sorted(map(str, ((r.op, r.k, r.n, r.v) for r in row_changes(old, new, ["k", "n"]).collect())))
     assert got == sorted(map(str, [("upsert", "b", 1, 3.0), ("upsert", "e", 1, None), ("delete", "d", 1, None), ("delete", None, None, None)]))
+
+
+def test_job_modes_by_day(spark, tmp_path):
+    from turnstile.plans.cli import parser, run, snapshot
+
+    root = str(tmp_path)
+    rows = [("s1", "s2", cell, START + datetime.timedelta(minutes=m), 3, 1.5, 2.0 * m) for m in range(40) for cell in ("u", "v")]
+    frame = spark.createDataFrame(
+        rows, "origin_stop string, dest_stop string, h3 string, minute timestamp, active_trips long, avg_departure_delay_s double, crowding_score double"
+    )
+    overwrite_partitions(frame.withColumn("date", F.to_date("minute")), f"{root}/silver", ["date"])
+
+    def mode(*words):
+        return run(spark, parser().parse_args(["--data-root", root, "--by-day", *words]))
+
+    assert len(mode("--mode", "gold", "--horizons", "5", "10")["computed"]) == 1
+    mode("--mode", "materialize", "--available-now")
+    args = parser().parse_args(["--data-root", root, "--by-day", "--mode", "map"])
+    kept = snapshot(spark, root, args).collect()
+    assert sorted((r.horizon_min, r.h3) for r in kept) == [(5, "v"), (10, "v")]
+    assert {r.minute for r in snapshot(spark, root, args).select(F.col("minute").cast("string").alias("minute")).collect()} == {"2024-01-01 00:39:00"}

@@ -6,18 +6,20 @@ import argparse
 import logging
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from turnstile.operators.boosting import BoostingParams
-from turnstile.operators.features import FEATURES, KEY, children_of
+from turnstile.operators.features import FEATURES, KEY, children_of, latest_per_key
 from turnstile.operators.joins import named_stations
 from turnstile.operators.serving import map_points
 from turnstile.plans import transit
 from turnstile.plans.batch import run_gold, run_silver, validate_tables
+from turnstile.plans.incremental import read_gold_by_day, run_gold_by_day, state_path
 from turnstile.plans.landing import land_feed
 from turnstile.plans.prediction import check_requests, predict_batch
 from turnstile.plans.training import TrainingConfig, load_models, run_training
 from turnstile.session import build_session
+from turnstile.sources.change_feed import change_stream, read_live
 from turnstile.sources.feature_log import compact_log, read_snapshot
 from turnstile.sources.tables import compact, csv_to_parquet, read_dimension
 from turnstile.sources.topics import file_stream, kafka_stream
@@ -54,11 +56,34 @@ def parser() -> argparse.ArgumentParser:
     args.add_argument("--label-mode", default="rows", choices=["rows", "minutes"])
     args.add_argument("--as-of", default=None, help="end of the rows that the historic quantiles cover")
     args.add_argument("--exact-quantiles", action="store_true")
+    args.add_argument("--by-day", action="store_true", help="Gold by the day and the feed of its changes: gold, materialize, train, predict, map")
     args.add_argument("--max-offsets", type=int, default=None, help="bound on a micro-batch from Kafka")
     args.add_argument("--feature-ttl", type=int, default=0, help="seconds; 0 keeps all features")
     return args
 
 
+def snapshot(spark: SparkSession, root: str, args: argparse.Namespace) -> DataFrame:
+    """The feature snapshot: of the log of batches, or of the log of changes with ``--by-day``."""
+    if not args.by_day:
+        return read_snapshot(spark, transit.features_path(root), ttl_seconds=args.feature_ttl)
+    rows = read_live(spark, transit.features_path(root), [*transit.SERIES, "horizon_min"], args.feature_ttl)
+    return latest_per_key(rows, KEY, ("minute", "h3"), [c for c in rows.columns if c not in KEY])
+
+
+def follow(spark: SparkSession, root: str, args: argparse.Namespace):
+    """The stream that brings the feature log up to date."""
+    log = logging.getLogger("turnstile.materialize")
+    options = {"on_counts": lambda batch, counts: log.info("batch %s: %s", batch, counts), "available_now": args.available_now}
+    checkpoint = f"{root}/checkpoints/online_features"
+    if not args.by_day:
+        rows = published_columns(table_stream(spark, transit.gold_path(root)))
+        return start_materializer(rows, transit.features_path(root), checkpoint, **options)
+    changes = change_stream(spark, state_path(transit.gold_days_path(root), "changes"))
+    rows = changes.select(*KEY, "h3", "minute", *FEATURES, "op", "version")
+    keys = [*transit.SERIES, "horizon_min"]
+    return start_materializer(rows, transit.features_path(root), checkpoint, keys=keys, order=("version",), **options)
+
+
 def run(spark: SparkSession, args: argparse.Namespace):
     root = args.data_root
     schedule = args.gtfs_root or transit.schedule_root(root)
@@ -72,6 +97,8 @@ def run(spark: SparkSession, args: argparse.Namespace):
         return run_silver(
             spark, root, schedule=schedule, date=args.date, resolution=args.h3_res, on_fail=args.on_fail, dedupe=args.dedupe
         )
+    if args.mode == "gold" and args.by_day:
+        return run_gold_by_day(spark, transit.silver_path(root), transit.gold_days_path(root), horizons=args.horizons)
     if args.mode == "gold":
         return run_gold(
             spark, root, args.horizons, label_mode=args.label_mode, as_of=args.as_of, exact_quantiles=args.exact_quantiles
@@ -87,18 +114,9 @@ def run(spark: SparkSession, args: argparse.Namespace):
     if args.mode == "compact-features":
         return compact_log(spark, transit.features_path(root), args.target)
     if args.mode == "map":
-        snapshot = read_snapshot(spark, transit.features_path(root), ttl_seconds=args.feature_ttl)
-        return map_points(snapshot, list(KEY)).write.mode("overwrite").parquet(args.target)
+        return map_points(snapshot(spark, root, args), list(KEY)).write.mode("overwrite").parquet(args.target)
     if args.mode == "materialize":
-        log = logging.getLogger("turnstile.materialize")
-        query = start_materializer(
-            published_columns(table_stream(spark, transit.gold_path(root))),
-            transit.features_path(root),
-            f"{root}/checkpoints/online_features",
-            on_counts=lambda batch, counts: log.info("batch %s: %s", batch, counts),
-            available_now=args.available_now,
-        )
-        return query.awaitTermination()
+        return follow(spark, root, args).awaitTermination()
     if args.mode == "train":
         config = TrainingConfig(
             horizon_min=args.horizon,
@@ -109,14 +127,14 @@ def run(spark: SparkSession, args: argparse.Namespace):
             trials=args.trials,
             boosting=BoostingParams(rounds=args.rounds, early_stopping=args.early_stopping),
         )
-        return run_training(spark, root, config)
+        return run_training(spark, root, config, read_gold_by_day(spark, transit.gold_days_path(root)) if args.by_day else None)
     stops = read_dimension(spark, schedule, "stops")
     requests, _ = check_requests(spark.read.parquet(args.source))
     if requests.isEmpty():
         raise ValueError("no valid requests")
     predicted = predict_batch(
         requests,
-        read_snapshot(spark, transit.features_path(root), ttl_seconds=args.feature_ttl),
+        snapshot(spark, root, args),
         named_stations(stops),
         children_of(stops),
         models=load_models(spark, root),

@@ -79,6 +79,10 @@ def gold_path(root: str) -> str:
     return f"{root}/gold"
 
 
+def gold_days_path(root: str) -> str:
+    return f"{root}/gold_by_day"
+
+
 def features_path(root: str) -> str:
     return f"{root}/online_features"
 
