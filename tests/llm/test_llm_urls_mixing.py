@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 from fractions import Fraction
+from urllib.parse import urljoin
 
 from turnstile.llm import mixing, urls
 from turnstile.llm.components import components
@@ -65,6 +66,59 @@ def test_rules_aliases_and_allow_precedence(spark):
     assert urls.judge_pages(df.limit(0), urls.rule_table(spark, RULES)).count() == 0
 
 
+def test_links_resolve_as_in_browsers(spark):
+    rng = random.Random(2)
+    bases = ["http://a.com", "https://a.com/", "http://a.com/x/y.html?q=1#f", "http://A.com/x/y/", "http://a.com/x?z=/p/q"]
+    links = ["/de/x", "//m.b.org/p?q", "c", "./c", "../c", "../../../c/./d/..", "?k=v", "https://z.net/a/../b", "c/../d?x=../y", "/", "c?a=1&amp;b=2", ".", ".."]
+    links += ["/".join(rng.choice(["..", ".", "a", "b"]) for _ in range(rng.randrange(1, 7))) for _ in range(40)]
+    pairs = [(b, x) for b in bases for x in links]
+    rows = spark.createDataFrame(pairs, "base string, link string")
+    for r in rows.select("base", "link", urls.resolve(rows.link, rows.base).alias("got")).collect():
+        assert r.got == urljoin(r.base, r.link.replace("&amp;", "&")), (r.base, r.link)
+    odd = spark.createDataFrame([("http://a.com/", x) for x in ("mailto:me", "#top", "", "javascript:f()", None)] + [("a.com", "/x"), (None, "/x")], "base string, link string")
+    assert [r.got for r in odd.select(urls.resolve(odd.link, odd.base).alias("got")).collect()] == [None] * 7
+
+
+def test_relative_links_carry_decisions(spark):
+    link, move = '<link href="{}" rel="canonical">', "<meta http-equiv='refresh' content='5; URL={}'>"
+    pages = [
+        (1, "http://a.com/other/1", link.format("/de/x")),
+        (2, "http://a.net/2", link.format("//a.com/de/y")),
+        (3, "http://a.com/de/sub/3", ""),
+        (4, "http://b.net/4", '<base href="http://a.com/de/"><p>' + move.format("sub/z")),
+        (5, "http://b.net/5", link.format("mailto:x") + link.format("http://a.com/de/w?a=1&amp;ref=2")),
+        (6, "http://b.net/6", move.format("/7")),
+        (7, "http://b.net/7", link.format("../4")),
+        (8, "http://b.net/8", link.format("#x")),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r.page_id: (r.verdict, r.aliased) for r in urls.judge_pages(df, urls.rule_table(spark, RULES)).collect()}
+    blocked = ("block", True)
+    assert found == {1: blocked, 2: blocked, 3: ("block", False), 4: blocked, 5: blocked, 6: blocked, 7: blocked, 8: ("allow", False)}
+    moved = spark.createDataFrame([("http://b.net/8", "http://www.good.org/x"), (None, "http://b.net/8")], "src string, dst string")
+    found = {r.page_id: r.verdict for r in urls.judge_pages(df, urls.rule_table(spark, [*RULES, urls.UrlRule("block", "b.net", "/zz")]), redirects=moved).collect()}
+    assert found[8] == "allow"
+
+
+def test_many_rules_of_one_host_make_no_pairs(spark):
+    n = 600
+    rules = spark.range(n).selectExpr("if(id % 2 = 0, 'block', 'allow') as rule_verdict", "'big.com' as rule_host", "concat('/', id, '/') as rule_path")
+    known = spark.range(n).selectExpr("concat('http://www.big.com/', id, '/x') as url")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = urls.rule_verdicts(known, rules)
+        assert {(r.path, r.rule) for r in found.collect()} == {(f"/{i}/x", f"big.com/{i}/") for i in range(n)}
+        made, walk = [], [found._jdf.queryExecution().executedPlan()]
+        while walk:
+            node = walk.pop()
+            walk += [node.children().apply(i) for i in range(node.children().size())]
+            if "Join" in node.nodeName():
+                made.append(node.metrics().apply("numOutputRows").value())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(made) == 3 and max(made) <= 3 * n
+
+
 def brute_fill(amount, children):
     """children: (key, weight, held) -> tokens by key, by repeated sharing."""
     given, left, rest = {}, list(children), amount

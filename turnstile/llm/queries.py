@@ -93,6 +93,27 @@ SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, alias_verdict,
 FROM p JOIN own USING (url) LEFT JOIN fit USING (url) LEFT JOIN spread ON spread.form = own.form"""
 
 
+@query
+def linked_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``op9_redirects`` with redirects besides: the first two of each five pages after one lead to it."""
+    pages = table(spark, folder, "pages")
+    first = (F.col("page_id") - F.col("page_id") % 5).alias("first")
+    moved = pages.filter(F.col("page_id") % 5 < 3).select(F.col("url").alias("src"), first)
+    redirects = moved.join(pages.select(F.col("page_id").alias("first"), F.col("url").alias("dst")), "first").select("src", "dst")
+    return urls.judge_pages(pages, urls.rule_table(spark, URL_RULES), redirects=redirects)
+
+
+_LINKED = ORACLES["op9_redirects"].replace("WITH p AS", "WITH RECURSIVE p AS", 1)
+ORACLES["linked_urls"] = _LINKED.replace(
+    "spread AS (SELECT form, min(verdict) AS alias_verdict FROM fit GROUP BY form)",
+    """hop AS (SELECT DISTINCT a.form AS src, b.form AS dst FROM p x JOIN own a ON a.url = x.url JOIN p y ON y.page_id = x.page_id - x.page_id % 5 JOIN own b ON b.url = y.url
+  WHERE x.page_id % 5 < 3),
+reach AS (SELECT DISTINCT form AS src, form AS dst FROM own UNION SELECT reach.src, hops.dst FROM reach JOIN
+  (SELECT src, dst FROM hop UNION SELECT dst, src FROM hop) hops ON hops.src = reach.dst),
+spread AS (SELECT src AS form, min(verdict) AS alias_verdict FROM reach JOIN fit ON fit.form = reach.dst GROUP BY src)""",
+)
+
+
 @query
 def op10_nbsvm(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").select("doc_id", "text")
