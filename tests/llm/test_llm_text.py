@@ -247,6 +247,23 @@ def test_classifier_learns_from_its_part_only(spark):
     assert all(again[r.doc_id, r.text] == r.score for r in found)
 
 
+def test_fit_takes_one_row_per_id_and_sound_labels(spark):
+    rng = random.Random(12)
+    texts = {i: " ".join(rng.choice(["good", "fine", "bad", "junk", "x"]) for _ in range(12)) for i in range(60)}
+    least = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    many = least
+    for k in range(1, 6):
+        many = many.unionByName(least.withColumn("text", F.concat("text", F.lit(" copy" * k))))
+    one = many.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m")).select("doc_id", "m.text")
+    labels = [(i, i % 2) for i in texts] + [(1, 2), (200, -1), (4, None), (None, 1)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    settings = quality.Settings(buckets=1 << 10, fit_rows=40)
+    a, b = quality.fit(many.unionByName(many), labels, settings), quality.fit(one, labels, settings)
+    assert np.array_equal(a.scaled, b.scaled) and (a.bias, a.slope, a.offset) == (b.bias, b.slope, b.offset)
+    only = spark.createDataFrame([(1, 2), (2, -1), (3, 7)], "doc_id long, quality int")
+    assert {r.score for r in quality.classify(many, only, settings).collect()} == {0.5}
+
+
 def test_classifier_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.classify(frame(spark, [(1, "a"), (2, None)]), none).collect()} == {0.5}

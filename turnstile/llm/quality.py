@@ -102,9 +102,12 @@ def held_out(id: str, folds: int) -> Column:
 
 
 def labelled(labels: DataFrame, settings: Settings, id: str = "doc_id", label: str = "quality") -> DataFrame:
-    """At most ``fit_rows`` (id, label, place) of the learnable part; of repeated ids the smaller label counts."""
+    """At most ``fit_rows`` (id, label, place) of the learnable part.
+
+    Of repeated ids the smaller label counts; null ids and labels other than 0 and 1 are left out.
+    """
     return (
-        labels.filter(F.col(id).isNotNull() & F.col(label).isNotNull() & ~held_out(id, settings.folds))
+        labels.filter(F.col(id).isNotNull() & F.col(label).isin(0, 1) & ~held_out(id, settings.folds))
         .groupBy(F.col(id))
         .agg(F.min(F.col(label).cast("int")).alias("label"))
         .withColumn("place", F.xxhash64(F.lit(settings.seed), F.col(id)))
@@ -178,7 +181,9 @@ def fit(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), id: s
     """Learn from the labelled rows of ``df``; the chosen ids, their n-grams and the model are all bounded.
 
     The n-grams of the chosen rows meet in one task, at most ``fit_rows`` of them,
-    since dual coordinate descent walks them in turn; the driver gets the model.
+    since dual coordinate descent walks them in turn; the driver gets the model. Of
+    rows that share an id only the text with the smallest hash counts, so repeats
+    cannot pass that bound; they are dropped before any text travels whole.
     """
     names = settings
 
@@ -203,7 +208,9 @@ def fit(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), id: s
     rows = (
         df.select(F.col(id), F.coalesce(F.col(text), F.lit("")).alias("text"))
         .join(chosen, id)
-        .select("place", "label", "text")
+        .groupBy(id, "place", "label")
+        .agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
+        .select("place", "label", "first.text")
         .mapInArrow(read, "place bigint, label int, cells binary")
     )
     found = (
@@ -247,7 +254,13 @@ def score(df: DataFrame, model: Model, text: str = "text", column: str = "score"
 def classify(
     df: DataFrame, labels: DataFrame, settings: Settings = Settings(), id: str = "doc_id", text: str = "text", least: float = 0.3
 ) -> DataFrame:
-    """The rows of ``df`` with held_out, score and predicted (1 from ``least`` on)."""
+    """The rows of ``df`` with held_out, score and predicted (1 from ``least`` on).
+
+    Every row is judged: null and empty texts get the score of a text without
+    n-grams, equal texts equal scores, repeated rows repeated results. A null id is
+    held out. Without labels of both classes all texts get the share of label 1
+    (0.5 without any). Other columns pass through; those named like a result are replaced.
+    """
     scored = score(df, fit(df, labels, settings, id, text), text)
     return scored.withColumn("held_out", held_out(id, settings.folds)).withColumn(
         "predicted", (F.col("score") >= least).cast("int")
