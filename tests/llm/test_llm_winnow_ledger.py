@@ -121,3 +121,18 @@ def test_null_bits_count_as_no_failure(spark):
 def test_an_unknown_rule_is_an_error():
     with pytest.raises(KeyError):
         ledger.mask(["no such rule"])
+
+
+def test_short_near_copies_are_alike():
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    for size, error in ((30, 0.3), (60, 0.12), (200, 0.06)):
+        off = []
+        for _ in range(100):
+            text = letters(size)
+            other = text[: size - size // 4] + letters(size // 4)
+            near = winnow.likeness(winnow.marks(text)[0], winnow.marks(other)[0])
+            assert near > 0, size
+            kept, all_grams = size - size // 4 - winnow.GRAM + 1, size - winnow.GRAM + 1
+            off.append(near - kept / (2 * all_grams - kept))
+        assert (sum(x * x for x in off) / len(off)) ** 0.5 < error, size

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from turnstile.llm.order import block_bounds, block_of, order_key
 from turnstile.llm.words import mix, window_argmin
 
-GRAM = 24
-WINDOW = 40
+GRAM = 12
+WINDOW = 8
 _BASE = 0x9E3779B97F4A7C55
 
 
