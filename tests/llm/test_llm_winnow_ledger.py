@@ -1,6 +1,7 @@
 """Fingerprints and the rule ledger against brute force, with nulls, ties, long and clashing input."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
