@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnstile.operators.gold import gold_facts
-from turnstile.plans.incremental import read_gold_by_day, run_gold_by_day, state_path
+from turnstile.plans import transit
+from turnstile.plans.incremental import read_gold_by_day, run_gold_by_day, run_silver_by_day, state_path
 from turnstile.sources.change_feed import change_stream, read_live, row_changes
 from turnstile.sources.tables import overwrite_partitions
 from turnstile.streaming.materialize import start_materializer
@@ -165,3 +166,39 @@ def test_job_modes_by_day(spark, tmp_path):
     kept = snapshot(spark, root, args).collect()
     assert sorted((r.horizon_min, r.h3) for r in kept) == [(5, "v"), (10, "v")]
     assert {r.minute for r in snapshot(spark, root, args).select(F.col("minute").cast("string").alias("minute")).collect()} == {"2024-01-01 00:39:00"}
+
+
+def bronze(spark, root, days, vehicle):
+    """A position and an update per day, as files of their dates."""
+    for day in days:
+        at = START + datetime.timedelta(days=day, hours=12)
+        where = spark.createDataFrame([(f"trip-{day}-{vehicle}", 42.4, -71.0, 9.0, at)], "trip_id string, lat double, lon double, speed_mps double, event_ts timestamp")
+        due = spark.createDataFrame(
+            [(f"trip-{day}-{vehicle}", "pier", 48.0, 21.0, at)],
+            "trip_id string, stop_id string, arrival_delay_s double, departure_delay_s double, event_ts timestamp",
+        )
+        wind = spark.createDataFrame([(at, 6.5, 3.0, 0.4)], "event_ts timestamp, temp_c double, wind_mps double, precip_mm double")
+        for topic, df in ((transit.VEHICLES, where), (transit.UPDATES, due), (transit.WEATHER, wind)):
+            df.withColumn("date", F.to_date("event_ts")).write.mode("append").partitionBy("date").parquet(transit.bronze_path(root, topic))
+
+
+def test_a_late_row_brings_back_its_date_and_what_follows(spark, tmp_path):
+    root = str(tmp_path)
+    schedule = transit.schedule_root(root)
+    trips = [(f"trip-{d}-{v}", "pier", "1") for d in range(20) for v in "ab"]
+    spark.createDataFrame(trips, "trip_id string, stop_id string, stop_sequence string").write.parquet(f"{schedule}/stop_times.parquet")
+    stops = spark.createDataFrame([("pier", "Harbour Pier", None)], "stop_id string, stop_name string, parent_station string")
+    stops.write.parquet(f"{schedule}/stops.parquet")
+    bronze(spark, root, [0, 2, 4, 11], "a")
+    silver, gold = transit.silver_path(root), transit.gold_days_path(root)
+    assert run_silver_by_day(spark, root) == ["2024-01-01", "2024-01-03", "2024-01-05", "2024-01-12"]
+    assert run_silver_by_day(spark, root) == []
+    run_gold_by_day(spark, silver, gold, horizons=[1])
+    bronze(spark, root, [2], "b")
+    assert run_silver_by_day(spark, root) == ["2024-01-03"]
+    # the day itself, the one whose window holds it, and the one whose label is its row
+    assert run_gold_by_day(spark, silver, gold, horizons=[1])["computed"] == [19723 + d for d in (0, 2, 4)]
+    got = {(str(r.date), r.active_trips, r.label_p50) for r in read_gold_by_day(spark, gold).collect()}
+    scores = {str(r.date): r.crowding_score for r in spark.read.parquet(silver).collect()}
+    order = sorted(scores)
+    assert got == {(d, 2 if d == "2024-01-03" else 1, scores.get(n)) for d, n in zip(order, [*order[1:], None], strict=True)}

@@ -9,7 +9,8 @@ from turnstile.functions.cells import hex_cell
 from turnstile.operators.gold import gold_facts
 from turnstile.operators.silver import silver_facts, stop_pairs
 from turnstile.plans import transit
-from turnstile.plans.batch import run_gold, run_silver, validate_tables
+from turnstile.plans.batch import build_silver, run_gold, run_silver, silver_checks, validate_tables
+from turnstile.sources.tables import write_checked
 
 NOON = datetime(2024, 1, 1, 12, 0, 0)
 POSITION = "trip_id string, lat double, lon double, speed_mps double, event_ts timestamp"
@@ -87,6 +88,25 @@ def test_null_cell_fails_or_is_quarantined(spark, tmp_path):
     assert spark.read.parquet(f"{root}/quarantine/silver").count() == 1
 
 
+def test_silver_is_written_once_and_checked_on_the_way(spark, tmp_path):
+    root = str(tmp_path)
+    land(spark, root, one_row_tables(spark))
+    executions = spark._jsparkSession.sharedState().statusStore().executionsCount
+    rows = build_silver(spark, root)
+    before = executions()
+    write_checked(rows, transit.silver_path(root), "date", silver_checks(), "silver")
+    assert executions() == before + 1  # the write; no query reads the rows back
+    written = [f for f in (tmp_path / "silver").rglob("*") if f.is_file() and f.suffix == ".parquet"]
+    assert len(written) == 1 and not [f for f in (tmp_path / "silver").iterdir() if f.name.startswith("_")]
+    before = written[0].read_bytes()
+    tables = list(one_row_tables(spark))
+    tables[0] = tables[0].withColumn("lat", F.lit(None).cast("double"))
+    land(spark, root, tables)
+    with pytest.raises(ValueError, match="not_null"):
+        run_silver(spark, root)
+    assert [f.read_bytes() for f in (tmp_path / "silver").rglob("*.parquet")] == [before]
+
+
 def test_empty_table_fails_validation(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([], "a int").write.parquet(path)

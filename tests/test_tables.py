@@ -3,7 +3,9 @@
 import argparse
 import json
 from datetime import datetime
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from turnstile.operators import quality
 from turnstile.operators.curate import default_missing, in_time_range, on_date, pick_features, require_columns
 from turnstile.plans import cli, transit
 from turnstile.session import remove_work, shared_folder, work_path
-from turnstile.sources.tables import compact, csv_to_parquet, overwrite_partitions, read_dimension, read_table
+from turnstile.sources.tables import cluster, compact, csv_to_parquet, curve, overwrite_partitions, range_cuts, read_dimension, read_table
 
 
 def days(spark, *data):
@@ -196,3 +198,39 @@ def test_only_work_paths_are_removed(spark, tmp_path):
     for other in (str(tmp_path), shared_folder(spark)):
         with pytest.raises(ValueError):
             remove_work(spark, other)
+
+
+def file_shares(path, column, value):
+    """The share of a table's files whose statistics of a column cannot rule a value out."""
+    files = [pq.ParquetFile(f) for f in sorted(Path(path).rglob("*.parquet"))]
+    hit = 0
+    for f in files:
+        at = f.schema_arrow.names.index(column)
+        stats = [f.metadata.row_group(g).column(at).statistics for g in range(f.metadata.num_row_groups)]
+        hit += any(s is None or not s.has_min_max or s.min <= value <= s.max for s in stats)
+    return hit / len(files)
+
+
+def test_clustered_files_skip_on_every_column(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr(
+        "id", "(id * 7919) % 1000 as a", "concat('k', lpad(string((id * 104729) % 997), 4, '0')) as b",
+        "timestamp_seconds((id * 15485863) % 100003) as c", "if(id % 50 = 0, null, id % 7) as d",
+    )
+    rows.write.parquet(f"{tmp_path}/t")
+    compact(spark, f"{tmp_path}/t", ["a", "b", "c"], target=f"{tmp_path}/linear", files=64)
+    cluster(spark, f"{tmp_path}/t", ["a", "b", "c"], target=f"{tmp_path}/curve", files=64)
+    found = spark.read.parquet(f"{tmp_path}/curve")
+    assert found.columns == rows.columns and found.exceptAll(rows).isEmpty() and found.count() == 20_000
+    some = rows.filter("id in (5, 777, 15000)").collect()
+    for r in some:
+        assert file_shares(f"{tmp_path}/curve", "a", r.a) < 0.4
+        assert file_shares(f"{tmp_path}/curve", "b", r.b) < 0.4
+        assert file_shares(f"{tmp_path}/linear", "b", r.b) > 0.9
+    cuts = range_cuts(rows, ["a", "d"], 3)
+    assert len(cuts["a"]) == 7 and cuts["a"] == sorted(cuts["a"])
+    places = spark.createDataFrame([(None, None), (0, 0), (999, 6)], rows.select("a", "d").schema)
+    assert [r[0] for r in places.select(curve(cuts, rows.schema, 3)).collect()][0] == 0
+    with pytest.raises(ValueError, match="columns"):
+        cluster(spark, f"{tmp_path}/t", [], target=f"{tmp_path}/x")
+    spark.range(0).selectExpr("id as a").write.parquet(f"{tmp_path}/none")
+    assert spark.read.parquet(cluster(spark, f"{tmp_path}/none", ["a"], target=f"{tmp_path}/none2", files=2)).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from turnstile.operators.curate import split_rows
@@ -60,6 +60,28 @@ def run_checks(df: DataFrame, table: str, checks: Sequence[Check]) -> DataFrame:
     return totals.select(F.explode(F.array(*results)).alias("r")).select("r.*")
 
 
+def observed(df: DataFrame, checks: Sequence[Check]) -> tuple[DataFrame, Observation]:
+    """The rows, and what the checks count of them while they are written: one pass for both."""
+    seen = Observation()
+    counts = [F.count_if(~F.coalesce(c.valid, F.lit(False))).alias(f"bad_{i}") for i, c in enumerate(checks) if c.valid is not None]
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts), seen
+
+
+def enforce_observed(seen: Observation, table: str, checks: Sequence[Check]) -> list[dict]:
+    """The result of each check as ``run_checks`` gives it, once the rows are written; raises ``ValueError`` if one failed."""
+    counts, results = seen.get, []
+    for i, c in enumerate(checks):
+        failed = counts[f"bad_{i}"] if c.valid is not None else 0
+        success = failed == 0 if c.valid is not None else counts["rows"] > c.min_rows
+        results.append(
+            {"table_name": table, "check_name": c.name, "column_name": c.column, "row_count": counts["rows"], "failed": failed, "success": success}
+        )
+    failures = [r for r in results if not r["success"]]
+    if failures:
+        raise ValueError(f"data quality checks failed: {failures}")
+    return results
+
+
 def enforce(results: DataFrame) -> list:
     """Raise ``ValueError`` if a check failed; else return the result rows (one
     per check)."""
@@ -70,10 +92,14 @@ def enforce(results: DataFrame) -> list:
     return rows
 
 
-def quarantine(df: DataFrame, checks: Sequence[Check]) -> tuple[DataFrame, DataFrame]:
-    """Split rows into those that pass all row checks and the others."""
+def passes_all(checks: Sequence[Check]) -> Column:
     valid = F.lit(True)
     for check in checks:
         if check.valid is not None:
             valid = valid & check.valid
-    return split_rows(df, valid)
+    return valid
+
+
+def quarantine(df: DataFrame, checks: Sequence[Check]) -> tuple[DataFrame, DataFrame]:
+    """Split rows into those that pass all row checks and the others."""
+    return split_rows(df, passes_all(checks))

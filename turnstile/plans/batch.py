@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from turnstile.operators.gold import gold_facts
-from turnstile.operators.quality import Check, between, enforce, more_rows_than, not_null, quarantine, run_checks
+from turnstile.operators.quality import Check, between, enforce, more_rows_than, not_null, run_checks
 from turnstile.operators.silver import silver_facts
 from turnstile.plans import transit
-from turnstile.session import remove_work, work_path
-from turnstile.sources.tables import overwrite_changed, overwrite_partitions, read_dimension, read_table
+from turnstile.sources.tables import overwrite_changed, read_dimension, read_table, write_checked
 
 
 def silver_checks() -> list[Check]:
@@ -45,25 +44,15 @@ def build_silver(
 def run_silver(spark: SparkSession, root: str, *, on_fail: str = "raise", **options) -> str:
     """Build, check and store Silver; returns its path.
 
-    The rows are staged once in the shared folder, so the checks and the write
-    do not compute them twice and a failed check leaves Silver as it was. Only
-    the dates at hand are replaced. ``on_fail="quarantine"`` stores the good
-    rows and puts the bad ones next to the table.
+    The rows are computed and written once: the checks are observed on the write, and
+    the dates at hand are swapped in by renaming only if they hold, so a failed check
+    leaves Silver as it was. ``on_fail="quarantine"`` stores the good rows and puts the
+    bad ones next to the table.
     """
     if on_fail not in ("raise", "quarantine"):
         raise ValueError(f"unknown on_fail mode: {on_fail}")
-    staged = work_path(spark, "silver")
-    try:
-        build_silver(spark, root, **options).write.parquet(staged)
-        rows = spark.read.parquet(staged)
-        if on_fail == "raise":
-            enforce(run_checks(rows, "silver", silver_checks()))
-        else:
-            rows, bad = quarantine(rows, silver_checks())
-            overwrite_partitions(bad, f"{root}/quarantine/silver", ["date"])
-        overwrite_partitions(rows, transit.silver_path(root), ["date"])
-    finally:
-        remove_work(spark, staged)
+    bad = f"{root}/quarantine/silver" if on_fail == "quarantine" else None
+    write_checked(build_silver(spark, root, **options), transit.silver_path(root), "date", silver_checks(), "silver", bad)
     return transit.silver_path(root)
 
 

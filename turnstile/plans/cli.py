@@ -14,14 +14,14 @@ from turnstile.operators.joins import named_stations
 from turnstile.operators.serving import map_points
 from turnstile.plans import transit
 from turnstile.plans.batch import run_gold, run_silver, validate_tables
-from turnstile.plans.incremental import read_gold_by_day, run_gold_by_day, state_path
+from turnstile.plans.incremental import read_gold_by_day, run_gold_by_day, run_silver_by_day, state_path
 from turnstile.plans.landing import land_feed
 from turnstile.plans.prediction import check_requests, predict_batch
 from turnstile.plans.training import TrainingConfig, load_models, run_training
 from turnstile.session import build_session
 from turnstile.sources.change_feed import change_stream, read_live
 from turnstile.sources.feature_log import compact_log, read_snapshot
-from turnstile.sources.tables import compact, csv_to_parquet, read_dimension
+from turnstile.sources.tables import cluster, compact, csv_to_parquet, read_dimension
 from turnstile.sources.topics import file_stream, kafka_stream
 from turnstile.streaming.bronze import start_bronze
 from turnstile.streaming.materialize import published_columns, start_materializer, table_stream
@@ -42,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     args.add_argument("--target", default=None, help="output folder of predict, map and compact-features")
     args.add_argument("--table", default="silver", choices=["silver", "gold"], help="table to compact")
     args.add_argument("--order-by", nargs="*", default=list(transit.SERIES))
+    args.add_argument("--curve", action="store_true", help="compact along a curve over all columns of --order-by")
     args.add_argument("--available-now", action="store_true", help="stop a stream when its input is read")
     args.add_argument("--horizon", type=int, default=10)
     args.add_argument("--rounds", type=int, default=BoostingParams.rounds)
@@ -56,7 +57,7 @@ def parser() -> argparse.ArgumentParser:
     args.add_argument("--label-mode", default="rows", choices=["rows", "minutes"])
     args.add_argument("--as-of", default=None, help="end of the rows that the historic quantiles cover")
     args.add_argument("--exact-quantiles", action="store_true")
-    args.add_argument("--by-day", action="store_true", help="Gold by the day and the feed of its changes: gold, materialize, train, predict, map")
+    args.add_argument("--by-day", action="store_true", help="only changed dates: silver, gold; and what follows from them: materialize, train, predict, map")
     args.add_argument("--max-offsets", type=int, default=None, help="bound on a micro-batch from Kafka")
     args.add_argument("--feature-ttl", type=int, default=0, help="seconds; 0 keeps all features")
     return args
@@ -93,6 +94,8 @@ def run(spark: SparkSession, args: argparse.Namespace):
         messages = file_stream(spark, args.source) if args.source else kafka_stream(spark, args.topic, max_offsets=args.max_offsets)
         query = start_bronze(messages, transit.payload_schema(args.topic), args.topic, root, available_now=args.available_now)
         return query.awaitTermination()
+    if args.mode == "silver" and args.by_day:
+        return run_silver_by_day(spark, root, schedule=schedule, resolution=args.h3_res, on_fail=args.on_fail, dedupe=args.dedupe)
     if args.mode == "silver":
         return run_silver(
             spark, root, schedule=schedule, date=args.date, resolution=args.h3_res, on_fail=args.on_fail, dedupe=args.dedupe
@@ -110,7 +113,7 @@ def run(spark: SparkSession, args: argparse.Namespace):
     if args.mode == "compact":
         gold = args.table == "gold"
         path, by = (transit.gold_path(root), ["date", "horizon_min"]) if gold else (transit.silver_path(root), ["date"])
-        return compact(spark, path, args.order_by, partition_by=by, date=args.date)
+        return (cluster if args.curve else compact)(spark, path, args.order_by, partition_by=by, date=args.date)
     if args.mode == "compact-features":
         return compact_log(spark, transit.features_path(root), args.target)
     if args.mode == "map":

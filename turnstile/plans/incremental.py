@@ -31,6 +31,7 @@ from turnstile.operators.carried import (
 from turnstile.operators.gold import WEEK
 from turnstile.operators.slices import ROWS_PER_SLICE, _same
 from turnstile.plans import transit
+from turnstile.plans.batch import run_silver
 from turnstile.session import remove_work, work_path
 from turnstile.sources.change_feed import append_changes, row_changes
 from turnstile.sources.tables import overwrite_partitions
@@ -53,6 +54,27 @@ def day_files(spark: SparkSession, path: str) -> dict[int, str]:
     return {day: hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest() for day, found in names.items()}
 
 
+def run_silver_by_day(spark: SparkSession, root: str, **options) -> list[str]:
+    """Compute Silver anew for the dates whose Bronze files changed, each date for itself; returns them.
+
+    Late rows land below their own date, so they bring that date back, and no other.
+    What was seen is noted last: a run that breaks off does its dates again.
+    """
+    place = f"{root}/silver_days"
+    log = _read(spark, place)
+    known = {(r.topic, r.day): r.files for r in log.collect()} if log is not None else {}
+    now = {}
+    for topic in (transit.VEHICLES, transit.UPDATES, transit.WEATHER):
+        now |= {(topic, day): files for day, files in day_files(spark, transit.bronze_path(root, topic)).items()}
+    dates = [str(d) for d in _dates({day for (topic, day), files in now.items() if known.get((topic, day)) != files})]
+    for date in dates:
+        run_silver(spark, root, date=date, **options)
+    if dates:
+        rows = [(topic, day, files) for (topic, day), files in now.items()]
+        spark.createDataFrame(rows, "topic string, day long, files string").coalesce(1).write.mode("overwrite").parquet(place)
+    return dates
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)

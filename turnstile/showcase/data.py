@@ -14,12 +14,13 @@ from turnstile.operators.curate import pick_features
 from turnstile.operators.dataset import add_series_id, add_time_index, encoder_windows, feature_matrix, ordered_split, training_features, training_rows
 from turnstile.operators.joins import next_in_sequence
 from turnstile.operators.metrics import evaluate
+from turnstile.operators.quality import between, not_null
 from turnstile.plans.batch import validate_tables
 from turnstile.plans.training import TrainingConfig, run_training
 from turnstile.session import work_path
 from turnstile.showcase.common import MINUTES, ORACLES, cents, events, minute_facts, query, seconds, table
 from turnstile.showcase.gold import GOLD, gold_rows
-from turnstile.sources.tables import compact, csv_to_parquet, overwrite_partitions, read_dimension, read_table
+from turnstile.sources.tables import cluster, compact, csv_to_parquet, overwrite_partitions, read_dimension, read_table, write_checked
 
 
 def checks():
@@ -189,6 +190,28 @@ def compaction(spark, folder):
     return read_table(spark, path).select("event_id", "user_id", "event_type", "value", F.date_format("date", "yyyy-MM-dd").alias("day"))
 
 
+@query("clustering", "SELECT event_id, user_id, event_type, value, CAST(floor(epoch(ts)) AS BIGINT) AS ts_s FROM events")
+def clustering(spark, folder):
+    path = work_path(spark, "clustering")
+    events(spark, folder).write.parquet(f"{path}/given")
+    cluster(spark, f"{path}/given", ["user_id", "event_type", "ts"], target=f"{path}/curve", files=16)
+    rows = read_table(spark, f"{path}/curve")
+    return rows.select("event_id", "user_id", "event_type", "value", seconds("ts").alias("ts_s"))
+
+
+@query("checked_write", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, value IS NOT NULL AND value >= 10 AS good FROM events")
+def checked_write(spark, folder):
+    """One write whose checks are counted on the way; rows that fail go to a table of their own."""
+    path = work_path(spark, "checked")
+    rows = events(spark, folder).select("event_id", "value", F.to_date("ts").alias("date"))
+    checks = [not_null("value"), between("value", low=10.0)]
+    write_checked(rows, f"{path}/good", "date", checks, "events", f"{path}/bad")
+    write_checked(rows.filter("value >= 10"), f"{path}/good", "date", checks, "events")
+    both = read_table(spark, f"{path}/good").withColumn("good", F.lit(True))
+    both = both.unionByName(read_table(spark, f"{path}/bad").withColumn("good", F.lit(False)))
+    return both.select("event_id", F.date_format("date", "yyyy-MM-dd").alias("day"), "good")
+
+
 @query(
     "partition_overwrite",
     """SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, CASE WHEN CAST(ts AS DATE) = DATE '2024-01-10' THEN value + 1 ELSE value END AS value FROM events""",
