@@ -1,11 +1,14 @@
 """Metrics, boosted quantile trees, registry, training and prediction."""
 
+import math
 import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from turnstile.operators import boosting
 from turnstile.operators import registry
 from turnstile.operators.boosting import BoostingParams, QuantileModel, fit_quantile, score, search_params
 from turnstile.operators.dataset import feature_matrix, training_features, training_rows
@@ -176,3 +179,20 @@ def test_train_register_and_predict(spark, tmp_path):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_leaf_quantiles_are_exact(spark):
+    rng = random.Random(3)
+    values = [rng.choice([0.0, -0.0, 1.0, 1.0 + 2**-52, -1e300, 1e-300, rng.gauss(0, 1), float(rng.randrange(5))]) for _ in range(600)]
+    rows = spark.createDataFrame([(float(i % 7), v, True, i) for i, v in enumerate(values)], "__f0 double, __y double, __train boolean, __row long")
+    bounds = [[1.0, 3.0]]
+    tree = boosting.Tree()
+    tree.split(0, 0, 0, 1.0)
+    state = boosting._packed(rows, 1, bounds).withColumn("__pred", F.lit(0.0))
+    for p in (0.0, 0.1, 0.5, 0.9, 1.0):
+        got = boosting._leaf_quantiles(state, 1, bounds, [], 0.1, tree, p)
+        for leaf, mine in ((1, [v for i, v in enumerate(values) if i % 7 <= 1]), (2, [v for i, v in enumerate(values) if i % 7 > 1])):
+            want = sorted(mine)[max(math.ceil(len(mine) * p), 1) - 1]
+            assert got[leaf] == want, (leaf, p)
+    keys = boosting.sortable(np.array(sorted(set(values))))
+    assert (np.diff(keys) > 0).all() and (boosting.unsorted(keys) == np.array(sorted(set(values)))).all()

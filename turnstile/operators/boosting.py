@@ -21,7 +21,7 @@ from dataclasses import asdict, dataclass, field, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnstile.functions.values import number_or_zero
@@ -163,9 +163,35 @@ def bin_bounds(rows: DataFrame, n: int, bins: int) -> list[list[float]]:
     return [sorted({found[i][q] for q in probs})[:-1] if i in found else [] for i in range(n)]
 
 
+def _bin_type(bounds: Sequence[Sequence[float]]) -> type:
+    return np.uint8 if max(map(len, bounds), default=0) < 256 else np.uint16
+
+
+def _packed(rows: DataFrame, n: int, bounds) -> DataFrame:
+    """The training rows with the bins of all features as one binary column in place of the features."""
+    kind = _bin_type(bounds)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = binned(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _names(n)]), bounds).astype(kind)
+            cells = pa.array([b.tobytes() for b in bins], pa.binary())
+            yield pa.record_batch([cells, batch.column("__y"), batch.column("__train"), batch.column("__row")], ["__bins", "__y", "__train", "__row"])
+
+    return rows.mapInArrow(pack, "__bins binary, __y double, __train boolean, __row bigint")
+
+
+def _unpacked(column: pa.Array, n: int, kind: type) -> np.ndarray:
+    """The bins of a batch, read where they lie."""
+    if not len(column):
+        return np.empty((0, n), kind)
+    _, offsets, data = column.buffers()
+    begin = int(np.frombuffer(offsets, np.int32)[column.offset])
+    return np.frombuffer(data, np.uint8)[begin:].view(kind)[: len(column) * n].reshape(-1, n)
+
+
 def _arrays(batch: pa.RecordBatch, n: int, bounds, trees: Sequence[Tree], rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Binned features and residuals of a batch of the training state."""
-    bins = binned(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _names(n)]), bounds)
+    bins = _unpacked(batch.column("__bins"), n, _bin_type(bounds))
     prediction = batch.column("__pred").to_numpy(zero_copy_only=False).copy()
     for tree in trees:
         prediction += rate * tree.values(bins)
@@ -225,6 +251,80 @@ def _leaf_errors(state: DataFrame, n: int, bounds, done: Sequence[Tree], rate: f
     return state.mapInArrow(place, "leaf bigint, error double")
 
 
+def sortable(values: np.ndarray) -> np.ndarray:
+    """Doubles as integers of the same order; both zeros are one."""
+    bits = (values + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(2**63 - 1))
+
+
+def unsorted(keys: np.ndarray) -> np.ndarray:
+    """The doubles of ``sortable``."""
+    return (keys ^ ((keys >> 63) & np.int64(2**63 - 1))).view(np.float64)
+
+
+#: Bits that one pass of the selection settles.
+DIGIT = 16
+
+
+def _leaf_quantiles(state: DataFrame, n: int, bounds, done: Sequence[Tree], rate: float, tree: Tree, quantile: float) -> dict[int, float]:
+    """The exact discrete quantile of each leaf's residuals, without moving the rows.
+
+    A pass counts the residuals of each leaf by their next ``DIGIT`` bits; running
+    counts name the digit that holds the quantile, and the next pass looks at the
+    residuals with this prefix only. It ends when they are all equal, after four passes
+    at most. At most 2 ** DIGIT counts a leaf are shuffled; the driver gets one row per leaf.
+    """
+    prefix, rank, found = {}, {}, {}
+    for step in range(64 // DIGIT):
+        shift = 64 - DIGIT * (step + 1)
+        wanted = dict(prefix)
+
+        def count(batches: Iterator[pa.RecordBatch], shift=shift, wanted=wanted, step=step) -> Iterator[pa.RecordBatch]:
+            known = np.full(len(tree.feature), -1, np.int64)
+            for leaf, value in wanted.items():
+                known[leaf] = value
+            for batch in batches:
+                bins, error = _arrays(batch, n, bounds, done, rate)
+                leaf, key = tree.leaves(bins), sortable(error)
+                high = (key.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(shift)
+                if step:
+                    own = (known[leaf] >= 0) & ((high >> np.uint64(DIGIT)).astype(np.int64) == known[leaf])
+                    leaf, key, high = leaf[own], key[own], high[own]
+                digit = (high & np.uint64(2**DIGIT - 1)).astype(np.int64)
+                code = leaf.astype(np.int64) << DIGIT | digit
+                order = np.lexsort((key, code))
+                code, key = code[order], key[order]
+                first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+                last = np.r_[first[1:], len(code)][: len(first)] - 1
+                yield pa.record_batch(
+                    [code[first] >> DIGIT, code[first] & (2**DIGIT - 1), last - first + 1, key[first], key[last]], ["leaf", "digit", "n", "low", "high"]
+                )
+
+        sums = (
+            state.mapInArrow(count, "leaf bigint, digit bigint, n bigint, low bigint, high bigint")
+            .groupBy("leaf", "digit")
+            .agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        )
+        each = Window.partitionBy("leaf")
+        upto = F.sum("n").over(each.orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        due = F.ceil(F.sum("n").over(each) * F.lit(float(quantile)))
+        if step:
+            due = F.element_at(F.create_map(*[F.lit(x) for item in rank.items() for x in item]), F.col("leaf"))
+        picked = sums.withColumn("upto", upto).withColumn("due", F.greatest(due.cast("long"), F.lit(1))).filter("upto >= due")
+        picked = picked.groupBy("leaf").agg(F.min(F.struct("digit", "n", "low", "high", "upto", "due")).alias("p")).select("leaf", "p.*")
+        prefix_now, rank_now = {}, {}
+        for r in picked.collect():
+            if r.low == r.high:
+                found[r.leaf] = float(unsorted(np.array([r.low], np.int64))[0])
+            else:
+                prefix_now[r.leaf] = (prefix.get(r.leaf, 0) << DIGIT) | r.digit
+                rank_now[r.leaf] = r.due - (r.upto - r.n)
+        prefix, rank = prefix_now, rank_now
+        if not prefix:
+            break
+    return found
+
+
 def _advanced(state: DataFrame, n: int, bounds, trees: Sequence[Tree], rate: float) -> DataFrame:
     """The state with the trees' values added to its predictions."""
 
@@ -263,7 +363,7 @@ def fit_quantile(
         raise ValueError("no labelled training rows")
     bounds = bin_bounds(learn, n, params.bins) if params.rounds else [[] for _ in features]
     model = QuantileModel(float(quantile), list(features), float(base[0]["q"]), params.learning_rate, bounds)
-    state = rows.withColumn("__pred", F.lit(model.base))
+    state = (_packed(rows, n, bounds).checkpoint() if params.rounds else rows).withColumn("__pred", F.lit(model.base))
     done: list[Tree] = []
     draw = random.Random(params.seed)
     width, up = max(map(len, bounds), default=0) + 1, round(quantile * UNIT)
@@ -286,9 +386,8 @@ def fit_quantile(
             n_leaves += len(found)
             if not nodes:
                 break
-        errors = _leaf_errors(learn, n, bounds, done, params.learning_rate, tree)
-        for r in exact_group_quantiles(errors, ["leaf"], "error", {"q": quantile}).collect():
-            tree.value[r.leaf] = float(r.q)
+        for leaf, value in _leaf_quantiles(learn, n, bounds, done, params.learning_rate, tree, quantile).items():
+            tree.value[leaf] = value
         model.trees.append(tree)
         done.append(tree)
         if (step + 1) % params.checkpoint_every == 0:

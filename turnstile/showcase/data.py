@@ -338,7 +338,7 @@ def train_job(spark, folder):
         "label_p50",
     )
     gold.write.parquet(f"{root}/gold")
-    run_training(spark, root, TrainingConfig(trials=1, boosting=BoostingParams(rounds=6, leaves=8, early_stopping=2)))
+    run_training(spark, root, TrainingConfig(trials=1, boosting=BoostingParams(rounds=6, leaves=8, early_stopping=2, checkpoint_every=3)))
     return registry.report(spark, f"{root}/reports").select("model_name", "kind", "name", "number")
 
 
