@@ -10,7 +10,7 @@ from turnstile.plans import transit
 from turnstile.sources import feeds
 from turnstile.sources.json_schema import load_schema, required_fields, struct_type
 from turnstile.sources.topics import bronze_rows, decode, file_stream, split_messages
-from turnstile.streaming.bronze import start_bronze, write_messages
+from turnstile.streaming.bronze import merge_batches, start_bronze, write_messages
 
 SCHEMA = transit.payload_schema(transit.UPDATES)
 SENT = datetime(2024, 1, 2, 3, 4, 5)
@@ -219,3 +219,21 @@ def test_documents_land_as_messages(spark, tmp_path):
     start_bronze(file_stream(spark, landed), SCHEMA, transit.UPDATES, root, available_now=True).awaitTermination()
     assert stored(spark, root, "bronze").count() == 2
     assert [r["reason"] for r in spark.read.parquet(f"{root}/dlq/{transit.UPDATES}.documents").collect()] == ["malformed"]
+
+
+def test_batches_of_a_finished_date_are_merged(spark, tmp_path, rows):
+    path = f"{tmp_path}/bronze"
+    for batch in range(6):
+        df = spark.range(40).selectExpr("id", f"{batch} as n", "date'2024-01-01' + cast(id % 2 as int) as date", "cast(id % 3 as int) as hour", f"cast({batch} as long) as batch_id")
+        df.write.mode("append").partitionBy("date", "hour", "batch_id").parquet(path)
+    files = lambda date: list((tmp_path / "bronze" / f"date={date}").rglob("*.parquet"))
+    before, other = rows(spark.read.parquet(path), "id", "n", "hour", "date"), files("2024-01-02")
+    assert merge_batches(spark, path, "2024-01-01") >= 18
+    assert len(files("2024-01-01")) == 3 and files("2024-01-02") == other
+    spark.catalog.refreshByPath(path)
+    assert rows(spark.read.parquet(path), "id", "n", "hour", "date") == before
+    assert {r.batch_id for r in spark.read.parquet(path).filter("date = '2024-01-01'").collect()} == {-1}
+    assert not [f for f in (tmp_path / "bronze").iterdir() if f.name.startswith("_merged")]
+    spark.range(1).selectExpr("id", "9 as n", "date'2024-01-01' as date", "1 as hour", "7L as batch_id").write.mode("append").partitionBy("date", "hour", "batch_id").parquet(path)
+    spark.catalog.refreshByPath(path)
+    assert spark.read.parquet(path).count() == len(before) + 1

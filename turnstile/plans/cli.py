@@ -23,7 +23,7 @@ from turnstile.sources.change_feed import change_stream, read_live
 from turnstile.sources.feature_log import compact_log, read_snapshot
 from turnstile.sources.tables import cluster, compact, csv_to_parquet, read_dimension
 from turnstile.sources.topics import file_stream, kafka_stream
-from turnstile.streaming.bronze import start_bronze
+from turnstile.streaming.bronze import merge_batches, start_bronze
 from turnstile.streaming.materialize import published_columns, start_materializer, table_stream
 
 MODES = ("land", "bronze", "silver", "gold", "validate", "schedule", "compact", "compact-features", "materialize", "train", "predict", "map")
@@ -40,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
     args.add_argument("--date", default=None, help="one date, YYYY-MM-DD")
     args.add_argument("--source", default=None, help="folder of landed messages, schedule files or requests")
     args.add_argument("--target", default=None, help="output folder of predict, map and compact-features")
-    args.add_argument("--table", default="silver", choices=["silver", "gold"], help="table to compact")
+    args.add_argument("--table", default="silver", choices=["silver", "gold", "bronze"], help="table to compact; of bronze the batches of --date in --topic")
     args.add_argument("--order-by", nargs="*", default=list(transit.SERIES))
     args.add_argument("--curve", action="store_true", help="compact along a curve over all columns of --order-by")
     args.add_argument("--available-now", action="store_true", help="stop a stream when its input is read")
@@ -110,6 +110,10 @@ def run(spark: SparkSession, args: argparse.Namespace):
         return validate_tables(spark, {"silver": transit.silver_path(root), "gold": transit.gold_path(root)})
     if args.mode == "schedule":
         return csv_to_parquet(spark, args.source, schedule)
+    if args.mode == "compact" and args.table == "bronze":
+        if not args.date:
+            raise ValueError("bronze is compacted date by date: give --date")
+        return merge_batches(spark, transit.bronze_path(root, args.topic), args.date)
     if args.mode == "compact":
         gold = args.table == "gold"
         path, by = (transit.gold_path(root), ["date", "horizon_min"]) if gold else (transit.silver_path(root), ["date"])

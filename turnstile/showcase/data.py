@@ -342,6 +342,27 @@ def train_job(spark, folder):
     return registry.report(spark, f"{root}/reports").select("model_name", "kind", "name", "number")
 
 
+@query(
+    "registry_report",
+    """WITH v AS (SELECT user_id, event_id, ts, CAST(round(value * 1e2) AS DOUBLE) AS mid FROM events),
+       p AS (SELECT mid, lead(mid) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS actual FROM v),
+       m AS (SELECT avg(abs(actual - mid)) AS mae FROM p WHERE actual IS NOT NULL),
+       runs AS (SELECT unnest([1, 2]) AS hour)
+       SELECT 'gbt' AS model_name, '202401010' || hour || '0000' AS version, 'metric' AS kind, 'val_mae_p50' AS name, mae AS number, NULL::VARCHAR AS text FROM runs, m
+       UNION ALL SELECT 'gbt', '202401010' || hour || '0000', 'artifact', 'p50', NULL, 'models/' || hour FROM runs""",
+)
+def registry_report(spark, folder):
+    """The reports of two runs, read back."""
+    root = work_path(spark, "report")
+    measured = evaluate(value_pairs(spark, folder), "actual", {0.5: "predicted"}).first().asDict()
+    for hour in (1, 2):
+        created = datetime(2024, 1, 1, hour, tzinfo=timezone.utc)
+        entry = registry.register(spark, f"{root}/registry", "gbt", {"p50": f"models/{hour}"}, {}, measured, created_at=created)
+        registry.append_report(spark, f"{root}/reports", entry)
+    rows = registry.report(spark, f"{root}/reports").filter("kind = 'artifact' or name = 'val_mae_p50'")
+    return rows.select("model_name", "version", "kind", "name", "number", "text")
+
+
 @query(
     "registry_append",
     """WITH v AS (SELECT user_id, event_id, ts, CAST(round(value * 1e2) AS DOUBLE) AS mid FROM events),

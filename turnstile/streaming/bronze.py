@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from turnstile.sources.tables import read_table, swap_partitions
 from turnstile.sources.topics import bronze_rows, dead_letters, decode, split_messages
 
 
@@ -30,8 +32,8 @@ def write_messages(
 
     Both tables are also partitioned by ``batch_id``, and a write replaces just
     the partitions it holds, so a batch that is run again leaves no copies.
-    Late rows go to the date and hour of their event. A finished date's batches
-    can be merged into an archive table with ``sources.tables.compact``.
+    Late rows go to the date and hour of their event. ``merge_batches`` joins the
+    batches of a finished date.
     """
     decoded = decode(messages, schema, epoch).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -59,6 +61,39 @@ def write_messages(
         decoded.unpersist()
 
 
+#: The batch that holds the merged rows of a date.
+MERGED = -1
+
+
+def merge_batches(spark: SparkSession, path: str, date: str) -> int:
+    """Join the micro-batch folders of a finished date into one per hour; returns the number of files before.
+
+    The rows, but for ``batch_id``, stay the same and the date is swapped in by
+    renaming. Run it when no stream writes to the date any more: if files came while
+    the rows were copied, nothing is changed and ``RuntimeError`` says so. A batch of
+    before must not be run again afterwards.
+    """
+
+    def listed() -> list[str]:
+        return sorted(read_table(spark, path, date).inputFiles())
+
+    before = listed()
+    if not before:
+        return 0
+    staged = f"{path}/_merged-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    try:
+        rows = read_table(spark, path, date).withColumn("batch_id", F.lit(MERGED).cast("long"))
+        rows.hint("rebalance", "date", "hour").write.partitionBy("date", "hour", "batch_id").parquet(staged)
+        spark.catalog.refreshByPath(path)
+        if listed() != before:
+            raise RuntimeError(f"rows of {date} came while its batches were merged")
+        swap_partitions(spark, staged, path, "date")
+    finally:
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(before)
+
+
 def start_bronze(
     messages: DataFrame,
     schema: T.StructType,
