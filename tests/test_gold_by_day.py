@@ -202,3 +202,7 @@ def test_a_late_row_brings_back_its_date_and_what_follows(spark, tmp_path):
     scores = {str(r.date): r.crowding_score for r in spark.read.parquet(silver).collect()}
     order = sorted(scores)
     assert got == {(d, 2 if d == "2024-01-03" else 1, scores.get(n)) for d, n in zip(order, [*order[1:], None], strict=True)}
+    mode("--mode", "materialize", "--available-now", "--keyed-state", "--feature-ttl", "86400")
+    args = parser().parse_args(["--data-root", root, "--by-day", "--mode", "map", "--keyed-state", "--feature-ttl", "86400"])
+    held = snapshot(spark, root, args)
+    assert sorted(map(str, held.drop("updated_at").collect())) == sorted(str(r) for r in spark.createDataFrame(kept).select(held.drop("updated_at").columns).collect())

@@ -24,6 +24,7 @@ from turnstile.sources.feature_log import compact_log, read_snapshot
 from turnstile.sources.tables import cluster, compact, csv_to_parquet, read_dimension
 from turnstile.sources.topics import file_stream, kafka_stream
 from turnstile.streaming.bronze import merge_batches, start_bronze
+from turnstile.streaming.keyed_state import read_state, start_keyed_state
 from turnstile.streaming.materialize import published_columns, start_materializer, table_stream
 
 MODES = ("land", "bronze", "silver", "gold", "validate", "schedule", "compact", "compact-features", "materialize", "train", "predict", "map")
@@ -60,14 +61,23 @@ def parser() -> argparse.ArgumentParser:
     args.add_argument("--by-day", action="store_true", help="only changed dates: silver, gold; and what follows from them: materialize, train, predict, map")
     args.add_argument("--max-offsets", type=int, default=None, help="bound on a micro-batch from Kafka")
     args.add_argument("--feature-ttl", type=int, default=0, help="seconds; 0 keeps all features")
+    args.add_argument("--keyed-state", action="store_true", help="keep the snapshot in the state of the stream: materialize, predict, map")
     return args
 
 
 def snapshot(spark: SparkSession, root: str, args: argparse.Namespace) -> DataFrame:
-    """The feature snapshot: of the log of batches, or of the log of changes with ``--by-day``."""
+    """The feature snapshot: of the stream's state with ``--keyed-state``, else of the log of
+    batches, or of the log of changes with ``--by-day``."""
+    keys = [*transit.SERIES, "horizon_min"] if args.by_day else list(KEY)
+    if args.keyed_state:
+        rows = read_state(spark, f"{root}/checkpoints/feature_state", keys, ttl_seconds=args.feature_ttl)
+        rows = rows.filter("op <> 'delete'").drop("op", "version") if args.by_day else rows
+    elif args.by_day:
+        rows = read_live(spark, transit.features_path(root), keys, args.feature_ttl)
+    else:
+        rows = read_snapshot(spark, transit.features_path(root), ttl_seconds=args.feature_ttl)
     if not args.by_day:
-        return read_snapshot(spark, transit.features_path(root), ttl_seconds=args.feature_ttl)
-    rows = read_live(spark, transit.features_path(root), [*transit.SERIES, "horizon_min"], args.feature_ttl)
+        return rows
     return latest_per_key(rows, KEY, ("minute", "h3"), [c for c in rows.columns if c not in KEY])
 
 
@@ -76,13 +86,16 @@ def follow(spark: SparkSession, root: str, args: argparse.Namespace):
     log = logging.getLogger("turnstile.materialize")
     options = {"on_counts": lambda batch, counts: log.info("batch %s: %s", batch, counts), "available_now": args.available_now}
     checkpoint = f"{root}/checkpoints/online_features"
-    if not args.by_day:
-        rows = published_columns(table_stream(spark, transit.gold_path(root)))
-        return start_materializer(rows, transit.features_path(root), checkpoint, **options)
-    changes = change_stream(spark, state_path(transit.gold_days_path(root), "changes"))
-    rows = changes.select(*KEY, "h3", "minute", *FEATURES, "op", "version")
-    keys = [*transit.SERIES, "horizon_min"]
-    return start_materializer(rows, transit.features_path(root), checkpoint, keys=keys, order=("version",), **options)
+    if args.by_day:
+        changes = change_stream(spark, state_path(transit.gold_days_path(root), "changes"))
+        rows = changes.select(*KEY, "h3", "minute", *FEATURES, "op", "version")
+        by = {"keys": [*transit.SERIES, "horizon_min"], "order": ("version",)}
+    else:
+        rows, by = published_columns(table_stream(spark, transit.gold_path(root))), {}
+    if args.keyed_state:
+        state, expired = f"{root}/checkpoints/feature_state", transit.expired_path(root)
+        return start_keyed_state(rows, state, expired, ttl_seconds=args.feature_ttl, available_now=args.available_now, **by)
+    return start_materializer(rows, transit.features_path(root), checkpoint, **by, **options)
 
 
 def run(spark: SparkSession, args: argparse.Namespace):

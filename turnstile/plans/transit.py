@@ -87,6 +87,10 @@ def features_path(root: str) -> str:
     return f"{root}/online_features"
 
 
+def expired_path(root: str) -> str:
+    return f"{root}/expired_features"
+
+
 def registry_path(root: str) -> str:
     return f"{root}/registry"
 

@@ -21,6 +21,7 @@ from turnstile.plans.prediction import check_requests, predict_batch
 from turnstile.session import work_path
 from turnstile.showcase.common import MINUTES, events, minute_facts, query, seconds, table
 from turnstile.sources.feature_log import read_snapshot
+from turnstile.streaming.keyed_state import read_state, start_keyed_state
 from turnstile.streaming.materialize import start_materializer, table_stream
 
 LATEST = """
@@ -51,6 +52,54 @@ def stream_materialize(spark, folder):
     return read_snapshot(spark, f"{root}/log", keys, order).select(LAST_COLUMNS)
 
 
+def keyed_events(spark, folder, ttl_seconds, max_files=None):
+    """Events through the stream's keyed state: (checkpoint, folder of expired rows)."""
+    root = work_path(spark, "keyed")
+    rows = events(spark, folder).select(*LAST_COLUMNS, "ts")
+    rows.repartition(4).write.parquet(f"{root}/table")
+    start_keyed_state(
+        table_stream(spark, f"{root}/table", max_files=max_files), f"{root}/checkpoint", f"{root}/expired",
+        keys=["user_id", "event_type"], order=["ts", "event_id"], stamp="ts", ttl_seconds=ttl_seconds, available_now=True,
+    ).awaitTermination()
+    return f"{root}/checkpoint", f"{root}/expired"
+
+
+@query("stream_keyed_state", f"WITH {LATEST} SELECT user_id, event_type, event_id, value FROM latest")
+def stream_keyed_state(spark, folder):
+    """The snapshot of ``stream_materialize`` out of the state of a stream, over several batches."""
+    checkpoint, _ = keyed_events(spark, folder, 0, max_files=2)
+    return read_state(spark, checkpoint, ["user_id", "event_type"], stamp="ts").select(LAST_COLUMNS)
+
+
+@query(
+    "keyed_state_ttl",
+    f"""WITH {LATEST} SELECT user_id, event_type, event_id, value FROM latest
+        WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+)
+def keyed_state_ttl(spark, folder):
+    """Keys alive at the time of the last row, out of a state with a time to live of a day."""
+    checkpoint, _ = keyed_events(spark, folder, 86400, max_files=2)
+    now = F.lit(events(spark, folder).agg(F.max("ts")).first()[0])
+    return read_state(spark, checkpoint, ["user_id", "event_type"], stamp="ts", ttl_seconds=86400, now=now).select(LAST_COLUMNS)
+
+
+@query(
+    "keyed_state_expired",
+    """WITH gaps AS (
+         SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) + INTERVAL 6 HOUR, TRUE) AS fresh FROM events),
+       lives AS (
+         SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS life FROM gaps),
+       ends AS (
+         SELECT *, row_number() OVER (PARTITION BY user_id, event_type, life ORDER BY ts DESC, event_id DESC) AS n FROM lives)
+       SELECT user_id, event_type, event_id, value FROM ends
+       WHERE n = 1 AND ts + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events)""",
+)
+def keyed_state_expired(spark, folder):
+    """The last row of each key's life that has ended, keys living six hours after each row."""
+    _, expired = keyed_events(spark, folder, 6 * 3600)
+    return spark.read.parquet(expired).select(LAST_COLUMNS)
+
+
 @query(
     "ttl_snapshot",
     f"WITH {LATEST} SELECT user_id, event_type, event_id, value FROM latest WHERE ts > TIMESTAMP '2024-01-29 00:00:00'",
