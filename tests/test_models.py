@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from turnstile.operators import boosting
 from turnstile.operators import registry
-from turnstile.operators.boosting import BoostingParams, QuantileModel, fit_quantile, score, search_params
+from turnstile.operators.boosting import BoostingParams, QuantileModel, candidates, fit_quantile, score, search_params
 from turnstile.operators.dataset import feature_matrix, training_features, training_rows
 from turnstile.operators.features import FEATURES, children_of
+from turnstile.operators.halving import halving_search, rung_rounds
 from turnstile.operators.joins import named_stations
 from turnstile.operators.metrics import coverage, evaluate, mae, pinball_loss, rmse
 from turnstile.plans.prediction import predict_batch
@@ -111,6 +112,35 @@ def test_search_returns_a_candidate(spark):
     assert search_params(df, df, ["x"], "y", 0.5, 0, start) == start
 
 
+def test_halving_drops_as_separate_fits_would(spark):
+    """Every trial of the shared passes is the model of its parameters alone; drops follow from those models' losses."""
+    df = steps(spark, 400)
+    train, valid = df.filter("i % 4 > 0"), df.filter("i % 4 = 0").withColumn("extra", F.lit(1))
+    start = BoostingParams(rounds=8, min_rows=5, bins=16, early_stopping=3, checkpoint_every=3)
+    found = halving_search(train.repartition(3), valid, ["x", "noise"], "y", 0.7, 5, start)
+    drawn = candidates(5, start)
+    alone = [fit_quantile(train, valid, ["x", "noise"], "y", 0.7, p) for p in drawn]
+    assert rung_rounds(5, 8) == [1, 2, 4]
+    live = list(range(5))
+    for rung in found.rungs:
+        best = {i: min(alone[i].losses[: rung.rounds]) for i in live}
+        assert rung.losses == pytest.approx(best, rel=1e-12)
+        live = sorted(live, key=lambda i: (best[i], i))[: -(-len(live) // 2)]
+        assert rung.kept == live
+    assert len(found.rungs) == 3 and live == [found.number] and found.params == drawn[found.number]
+    assert found.model.trees == alone[found.number].trees
+    assert found.model.losses == pytest.approx(alone[found.number].losses, rel=1e-12)
+
+
+def test_halving_without_validation_or_trials(spark):
+    df = steps(spark, 80)
+    with pytest.raises(ValueError, match="validation"):
+        halving_search(df, df.limit(0), ["x"], "y", 0.5, 2, BoostingParams(rounds=2))
+    start = BoostingParams(rounds=2, leaves=4, min_rows=2, bins=8)
+    found = halving_search(df, df, ["x"], "y", 0.5, 0, start)
+    assert found.params == start and found.rungs == [] and found.model.trees == fit_quantile(df, df, ["x"], "y", 0.5, start).trees
+
+
 def test_missing_features_count_as_zero(spark):
     df = steps(spark, 100)
     model = fit_quantile(df, None, ["x", "noise"], "y", 0.5, BoostingParams(rounds=2, leaves=4, min_rows=2))

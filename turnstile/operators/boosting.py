@@ -337,15 +337,10 @@ def _advanced(state: DataFrame, n: int, bounds, trees: Sequence[Tree], rate: flo
     return state.mapInArrow(add, state.schema)
 
 
-def fit_quantile(
-    train: DataFrame,
-    valid: DataFrame | None,
-    features: Sequence[str],
-    label: str,
-    quantile: float,
-    params: BoostingParams = BoostingParams(),
-) -> QuantileModel:
-    """Fit one quantile; stop early when the validation loss stops falling."""
+def prepare(
+    train: DataFrame, valid: DataFrame | None, features: Sequence[str], label: str, quantile: float, params: BoostingParams
+) -> tuple[DataFrame, float, list[list[float]]]:
+    """Packed training and validation rows, the constant to start from and the bounds of the bins."""
     shared_folder(train.sparkSession)
     n = len(features)
 
@@ -362,8 +357,22 @@ def fit_quantile(
     if not base:
         raise ValueError("no labelled training rows")
     bounds = bin_bounds(learn, n, params.bins) if params.rounds else [[] for _ in features]
-    model = QuantileModel(float(quantile), list(features), float(base[0]["q"]), params.learning_rate, bounds)
-    state = (_packed(rows, n, bounds).checkpoint() if params.rounds else rows).withColumn("__pred", F.lit(model.base))
+    return _packed(rows, n, bounds).checkpoint() if params.rounds else rows, float(base[0]["q"]), bounds
+
+
+def fit_quantile(
+    train: DataFrame,
+    valid: DataFrame | None,
+    features: Sequence[str],
+    label: str,
+    quantile: float,
+    params: BoostingParams = BoostingParams(),
+) -> QuantileModel:
+    """Fit one quantile; stop early when the validation loss stops falling."""
+    n = len(features)
+    rows, base, bounds = prepare(train, valid, features, label, quantile, params)
+    model = QuantileModel(float(quantile), list(features), base, params.learning_rate, bounds)
+    state = rows.withColumn("__pred", F.lit(model.base))
     done: list[Tree] = []
     draw = random.Random(params.seed)
     width, up = max(map(len, bounds), default=0) + 1, round(quantile * UNIT)
@@ -412,6 +421,23 @@ def fit_quantile(
     return model
 
 
+def candidates(trials: int, start: BoostingParams) -> list[BoostingParams]:
+    """Seeded draws from five ranges."""
+    draw = random.Random(start.seed)
+    # The ranges of the search.
+    return [
+        replace(
+            start,
+            learning_rate=math.exp(draw.uniform(math.log(0.01), math.log(0.3))),
+            leaves=draw.randint(16, 128),
+            feature_fraction=draw.uniform(0.5, 1.0),
+            row_fraction=draw.uniform(0.5, 1.0),
+            min_rows=draw.randint(10, 200),
+        )
+        for _ in range(trials)
+    ]
+
+
 def search_params(
     train: DataFrame,
     valid: DataFrame,
@@ -421,19 +447,9 @@ def search_params(
     trials: int,
     start: BoostingParams = BoostingParams(),
 ) -> BoostingParams:
-    """Seeded random search over five ranges, by validation pinball loss."""
-    draw = random.Random(start.seed)
+    """Seeded random search over five ranges, by validation pinball loss; every trial is grown to its end."""
     best, best_loss = start, math.inf
-    # The ranges of the search.
-    for _ in range(trials):
-        candidate = replace(
-            start,
-            learning_rate=math.exp(draw.uniform(math.log(0.01), math.log(0.3))),
-            leaves=draw.randint(16, 128),
-            feature_fraction=draw.uniform(0.5, 1.0),
-            row_fraction=draw.uniform(0.5, 1.0),
-            min_rows=draw.randint(10, 200),
-        )
+    for candidate in candidates(trials, start):
         model = fit_quantile(train, valid, features, label, quantile, candidate)
         loss = min(model.losses, default=math.inf)
         if loss < best_loss:

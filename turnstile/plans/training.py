@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile.operators import registry
-from turnstile.operators.boosting import BoostingParams, QuantileModel, fit_quantile, score, search_params
+from turnstile.operators.boosting import BoostingParams, QuantileModel, fit_quantile, score
 from turnstile.operators.dataset import ordered_split, training_rows
 from turnstile.operators.features import FEATURES
+from turnstile.operators.halving import halving_search
 from turnstile.operators.metrics import evaluate, quantile_label
 from turnstile.plans import transit
 from turnstile.sources.tables import read_table
@@ -48,11 +49,15 @@ def train_quantiles(
     trials: int = 0,
 ) -> TrainingRun:
     """One model per quantile on the first 80 % by ``order``, measured on the
-    rest. With ``trials`` the parameters are searched at the first quantile."""
+    rest. With ``trials`` the parameters are searched at the first quantile, by
+    halving, and the search's model is that quantile's."""
     train, valid = ordered_split(rows, order)
+    models = {}
     if trials:
-        boosting = search_params(train, valid, features, label, quantiles[0], trials, boosting)
-    models = {quantile_label(q): fit_quantile(train, valid, features, label, q, boosting) for q in quantiles}
+        search = halving_search(train, valid, features, label, quantiles[0], trials, boosting)
+        boosting, models = search.params, {quantile_label(quantiles[0]): search.model}
+    for q in quantiles[len(models) :]:
+        models[quantile_label(q)] = fit_quantile(train, valid, features, label, q, boosting)
     columns = {float(q): quantile_label(q) for q in quantiles}
     measured = evaluate(score(valid, models).dropna(subset=[label]), label, columns).first()
     metrics = {k: float(v) for k, v in measured.asDict().items() if v is not None}
