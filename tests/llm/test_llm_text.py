@@ -127,6 +127,31 @@ def test_viterbi_gives_the_library_s_best_path(unigram):
     assert found == [library.encode(t) for t in texts]
 
 
+def test_words_alone_take_the_path_of_words_together(monkeypatch):
+    """Few or long words, in blocks of few ends; scripts without spaces."""
+    model = pieces.PieceModel(PIECES)
+    rng = random.Random(5)
+    letters = [*"abcdefgh é中文字を\U0001F600\u2581\n", "the", "ing", "tion", "    ", "<0x41>"]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 300))) for _ in range(60)]
+    codes = [np.frombuffer(w.encode("utf-32-le"), np.uint32)[None, :] for w in words]
+    monkeypatch.setattr(pieces, "FEW", 0)
+    together = [model.viterbi(c) for c in codes]
+    monkeypatch.setattr(pieces, "FEW", 64)
+    for ends in (7, 1 << 15):
+        monkeypatch.setattr(pieces, "ENDS", ends)
+        for (a, b), c in zip(together, codes, strict=True):
+            x, y = model.viterbi(c)
+            assert np.array_equal(a, x) and np.array_equal(b, y)
+    out = 0
+    terms = pieces.mix(codes[0][0].astype(np.uint64) + np.uint64(1))
+    for j, term in enumerate(terms.tolist()):
+        out = (out * int(pieces._BASE) + term) % 2**64
+        assert model._prefixes(codes[0])[0, j + 1] == out
+    han = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(50_000))
+    ids, sizes = model.encode_texts(*text_bytes(pa.array([han, "a " + han[:70]])))
+    assert [model.decode_ids(x) for x in split_ids(ids, sizes)] == [han, "a " + han[:70]]
+
+
 def test_pieces_decode_to_the_text(spark):
     rows = list(enumerate(noise(400, 4, 40))) + [(None, "no id"), (7, None), (8, ""), (9, "x" * 40_000), (9, " lead"), (9, " lead")]
     encoded = pieces.encode_pieces(frame(spark, rows), PIECES)

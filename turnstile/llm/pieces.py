@@ -5,7 +5,8 @@ it; no piece of the model may cross words. Distinct words of equal length advanc
 together: at each end, the hashes of all substrings that end there probe the
 sorted piece hashes, and the best sums of scores and their last pieces are kept
 as arrays. Of equal sums the longer last piece wins. Characters without a piece
-become byte pieces.
+become byte pieces. Where few words share a length, as in scripts without spaces,
+a word's substrings are probed together and only the maxima go from end to end.
 """
 
 from __future__ import annotations
@@ -25,8 +26,13 @@ MARK = 0x2581
 #: Stands for that character in a text, which no piece then matches.
 NO_MARK = 0x110000
 _BASE = np.uint64(0x9E3779B97F4A7C55)
+_UNBASE = np.uint64(pow(int(_BASE), -1, 2**64))
 #: What a character without a piece costs below the least score.
 UNKNOWN = 10.0
+#: Fewer words of a length than this, or longer ones, are probed word by word.
+FEW, LONG = 64, 4096
+#: So many ends of a word are probed at once.
+ENDS = 1 << 15
 
 
 class PieceModel(ChunkEncoder):
@@ -71,11 +77,12 @@ class PieceModel(ChunkEncoder):
     @staticmethod
     def _prefixes(codes: np.ndarray) -> np.ndarray:
         """Hashes of all prefixes of each row of code points, the empty one first."""
-        out = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
-        terms = mix(codes.astype(np.uint64) + np.uint64(1))
-        for j in range(codes.shape[1]):
-            out[:, j + 1] = out[:, j] * _BASE + terms[:, j]
-        return out
+        size = codes.shape[1]
+        down, up = (np.cumprod(np.append(np.uint64(1), np.full(size, x)), dtype=np.uint64) for x in (_UNBASE, _BASE))
+        out = np.zeros((codes.shape[0], size + 1), np.uint64)
+        # the sum of term i times base ** (j - 1 - i) below j, modulo 2 ** 64
+        np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * down[1:], axis=1, dtype=np.uint64, out=out[:, 1:])
+        return out * up
 
     def cuts(self, buffer: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         out = np.zeros(len(buffer) + 1, bool)
@@ -86,6 +93,9 @@ class PieceModel(ChunkEncoder):
     def viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and ids of the best last piece at each end of each word; id -1 for a character without piece."""
         n, size = codes.shape
+        if n < FEW or size > LONG:
+            length, last = zip(*map(self._alone, codes), strict=True)
+            return np.stack(length), np.stack(last)
         prefixes = self._prefixes(codes)
         best = np.full((n, size + 1), -np.inf)
         best[:, 0] = 0.0
@@ -104,6 +114,41 @@ class PieceModel(ChunkEncoder):
                 last[:, end] = np.where(better, np.where(found, self.piece[at], -1), last[:, end])
         return length, last
 
+    def _alone(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``viterbi`` of one word: all its substrings are looked up first, ``ENDS`` ends at a time."""
+        size = len(codes)
+        prefixes = self._prefixes(codes[None, :])[0]
+        best, length, last = [0.0], [np.ones(1, np.int64)], [np.full(1, -1)]
+        for low in range(1, size + 1, ENDS):
+            high = min(low + ENDS, size + 1)
+            ends, sizes, pieces, scores = [], [], [], []
+            for long in range(min(self.longest, high - 1), 0, -1):
+                end = np.arange(max(low, long), high)
+                probe = mix(prefixes[end] - prefixes[end - long] * self.powers[long] + np.uint64(long))
+                at = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
+                found = self.keys[at] == probe
+                some = np.ones(len(end), bool) if long == 1 else found
+                ends.append(end[some])
+                sizes.append(np.full(int(some.sum()), long))
+                pieces.append(np.where(found, self.piece[at], -1)[some])
+                scores.append(np.where(found, self.score[at], self.unknown)[some])
+            end = np.concatenate(ends)
+            order = np.argsort(end, kind="stable")  # of one end the longer pieces first
+            first = np.searchsorted(end[order], np.arange(low, high + 1)).tolist()
+            size_of, piece_of, score_of = (np.concatenate(x)[order].tolist() for x in (sizes, pieces, scores))
+            best, chosen = best[-self.longest :], []
+            for start, stop in zip(first, first[1:], strict=False):
+                top, choice = -np.inf, stop - 1
+                for i in range(start, stop):
+                    score = score_of[i] + best[-size_of[i]]
+                    if score > top:
+                        top, choice = score, i
+                best.append(top)
+                chosen.append(choice)
+            length.append(np.array(size_of)[chosen])
+            last.append(np.array(piece_of)[chosen])
+        return np.concatenate(length), np.concatenate(last)
+
     def encode_chunks(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         words = [data[a:b].decode() for a, b in zip(starts, ends, strict=True)]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
