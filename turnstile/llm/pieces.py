@@ -33,6 +33,8 @@ UNKNOWN = 10.0
 FEW, LONG = 64, 4096
 #: So many ends of a word are probed at once.
 ENDS = 1 << 15
+#: Words of one length advance in groups of at most so many characters.
+CELLS = 1 << 18
 
 
 class PieceModel(ChunkEncoder):
@@ -155,13 +157,19 @@ class PieceModel(ChunkEncoder):
         order = np.argsort(lengths, kind="stable")
         ids, sizes = [], []
         cuts = np.flatnonzero(np.diff(lengths[order])) + 1
-        for group in np.split(order, cuts):
+        for group in (part for same in np.split(order, cuts) for part in self._parts(same, lengths)):
             codes = np.frombuffer("".join([words[i] for i in group]).encode("utf-32-le"), np.uint32).reshape(len(group), -1)
             found, counts = self._paths(np.where(codes == MARK, NO_MARK, np.where(codes == SPACE, MARK, codes)))
             ids.append(found)
             sizes.append(counts)
         return in_order(np.concatenate(ids), np.concatenate(sizes), order)
 
+    @staticmethod
+    def _parts(group: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
+        rows = max(1, CELLS // max(1, int(lengths[group[0]]))) if len(group) else 1
+        for begin in range(0, len(group), rows):
+            yield group[begin : begin + rows]
+
     def _paths(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         length, last = self.viterbi(codes)
         n, size = codes.shape
