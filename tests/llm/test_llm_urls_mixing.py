@@ -6,6 +6,8 @@ from collections import defaultdict
 from fractions import Fraction
 from urllib.parse import urljoin
 
+import pytest
+
 from turnstile.llm import mixing, urls
 from turnstile.llm.components import components
 
@@ -182,3 +184,40 @@ def test_mix_of_nothing(spark):
     assert mixing.mix(empty, ["lang", "source"], {}, share=0.5).count() == 0
     blank = spark.createDataFrame([(1, "en", "a", None)], empty.schema)
     assert [(r.full_epochs, r.prefix_words) for r in mixing.mix(blank, ["lang", "source"], {}, budget=10).collect()] == [(0, 0)]
+
+
+def test_values_of_weight_zero_get_nothing(spark):
+    rows = [(i, ["en", "de", "ads"][i % 3], "s", "w " * 10) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    found = mixing.mix(df, ["lang", "source"], {"lang": {"ads": 0}}, share=0.5).collect()
+    assert len(found) == 30 and {r.given for r in found if r.lang == "ads"} == {0}
+    assert sum(r.prefix_words for r in found) == 100 and not any(r.prefix_words for r in found if r.lang == "ads")
+    assert {r.given for r in mixing.mix(df, ["lang"], {"lang": {"en": 0, "de": 0, "ads": 0}}, budget=5).collect()} == {0}
+    for weight in (-1, 0.5, None):
+        with pytest.raises(ValueError, match="lang 'en'"):
+            mixing.mix(df, ["lang"], {"lang": {"en": weight}})
+
+
+def test_a_hot_id_is_dealt_out_by_its_rows(spark, monkeypatch):
+    """Rows without an id, half of them equal, share one place: they are cut exactly, and in no single task."""
+    rows = [(None, "en", "s", "same words here" if i % 2 else "w " * (i % 17 + 1)) for i in range(4_000)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").repartition(4)
+    parts, keep = [], mixing.stored
+
+    def spy(rows, name):
+        table = keep(rows, name)
+        if name == "ends":
+            parts.append([r["count"] for r in table.groupBy("part").count().collect()])
+        return table
+
+    monkeypatch.setattr(mixing, "stored", spy)
+    # Else Spark joins such small partitions up to its advisory size.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = mixing.mix(df, ["lang", "source"], {}, share=0.37, seed=4).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    expected = brute_mix(rows, {"lang": {}, "source": {}}, 0.37, 1, 4)
+    key = lambda r: tuple((v is not None, str(v)) for v in r)
+    assert sorted(map(tuple, found), key=key) == sorted(expected, key=key)
+    assert sum(parts[0]) == 4_000 and len(parts[0]) > 4 and max(parts[0]) < 1_500

@@ -20,9 +20,6 @@ from turnstile.llm.stored import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Orders of documents in an epoch are cut into so many ranges before any is sorted.
-RANGES = 4096
-
 
 def tokens_of(text: Column) -> Column:
     """Words of a text; null has none."""
@@ -68,19 +65,25 @@ def leaf_budgets(
 ) -> DataFrame:
     """(levels, tokens, given) for each leaf of (levels, tokens).
 
-    ``weights`` has a positive integer per value and level; values that are not
-    listed weigh 1. The budget is ``budget`` or ``share`` of all tokens, and never
-    more than ``epochs`` times what there is.
+    ``weights`` has an integer per value and level; values that are not listed
+    weigh 1, values that weigh 0 get nothing and do not count as being there. The budget is ``budget`` or ``share``
+    of all tokens, and never more than ``epochs`` times what there is.
     """
-    leaves = leaves.withColumn("held", F.col("tokens") * epochs)
-    found = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all"), F.coalesce(F.sum("held"), F.lit(0)).alias("most")).first()
+    shut = F.lit(False)
+    for level in levels:
+        closed = [value for value, weight in weights.get(level, {}).items() if weight == 0]
+        shut = shut | F.col(level).isin(closed) if closed else shut
+    leaves = leaves.withColumn("held", F.when(shut, 0).otherwise(F.col("tokens") * epochs).cast("long"))
+    found = leaves.agg(
+        F.coalesce(F.sum(F.when(~shut, F.col("tokens"))), F.lit(0)).alias("all"), F.coalesce(F.sum("held"), F.lit(0)).alias("most")
+    ).first()
     amount = min(budget if budget is not None else math.floor(found["all"] * share), found["most"])
     above = None
     for depth, level in enumerate(levels):
         path = list(levels[: depth + 1])
         nodes = leaves.groupBy(*path).agg(F.sum("held").alias("held"))
         table = weights.get(level, {})
-        pairs = [F.lit(x) for pair in table.items() for x in pair]
+        pairs = [F.lit(x) for value, weight in table.items() for x in (value, max(weight, 1))]
         weight = F.coalesce(F.create_map(*pairs)[F.col(level)], F.lit(1)) if pairs else F.lit(1)
         nodes = nodes.withColumn("weight", weight.cast("long"))
         nodes = nodes.join(above, path[:-1]) if above is not None else nodes.withColumn("amount", F.lit(amount).cast("long"))
@@ -88,6 +91,32 @@ def leaf_budgets(
     return leaves.join(above, list(levels)).select(*levels, "tokens", F.col("amount").alias("given"))
 
 
+def words_ahead(rows: DataFrame, path: Sequence[str], part: str) -> DataFrame:
+    """(path, part, held_words, ahead): words of each part of a leaf and of the parts before it."""
+    sums = rows.groupBy(*path, part).agg(F.sum("n_words").alias("held_words"))
+    before = Window.partitionBy(*path).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumn("ahead", F.coalesce(F.sum("held_words").over(before), F.lit(0)))
+
+
+def _cut_inside(rows: DataFrame, path: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds ``prefix_words`` to the rows of the ranges in which an epoch ends.
+
+    They are partitioned by their order, and only the partition in which the epoch
+    ends is sorted. The partition of a row is written down, since what follows
+    reads it twice.
+    """
+    first = rows.withColumnRenamed("ahead", "range_ahead").drop("held_words")
+    dealt = stored(first.repartitionByRange(*path, *order).withColumn("part", F.spark_partition_id()), "ends")
+    dealt = dealt.join(words_ahead(dealt, path, "part"), [*path, "part"]).withColumn("ahead", F.col("range_ahead") + F.col("ahead"))
+    cut = (F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col("held_words") > F.col("rest"))
+    inside = Window.partitionBy(*path, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("ahead") + F.coalesce(F.sum("n_words").over(inside), F.lit(0))
+    room = F.greatest(F.lit(0), F.least(F.col("n_words"), F.col("rest") - F.col("before")))
+    ends = dealt.filter(cut).withColumn("before", before).withColumn("prefix_words", room).drop("before")
+    whole = dealt.filter(~cut).withColumn("prefix_words", F.when(F.col("ahead") < F.col("rest"), F.col("n_words")).otherwise(F.lit(0)))
+    return whole.unionByName(ends).drop("part", "range_ahead")
+
+
 def mix(
     df: DataFrame,
     levels: Sequence[str],
@@ -105,11 +134,18 @@ def mix(
     full_epochs: how often the whole document is taken; prefix_words: how many of
     its first words the last, partial epoch takes. The words taken in a leaf sum
     up to ``given``. A null level counts as the value ""; null and empty texts
-    have no words and cost nothing. Documents of an epoch are ordered by the md5
+    have no words and cost nothing. A weight is a whole number, else it is refused
+    by name; a value of weight 0 gets nothing. Documents of an epoch are ordered by the md5
     of seed, epoch and id, then by that of the text, then by what is carried. Only
-    (leaf, range) sums and the one range of an epoch's order in which it ends are
-    ever sorted, so a hot leaf is never gathered.
+    (leaf, range) sums are sorted, and of the one range of an epoch's order in which
+    it ends a part: the rows of all such ranges are dealt out by their order, also
+    where they share an id, have none or are equal, so neither a hot leaf nor a hot
+    id is gathered.
     """
+    for level in levels:
+        for value, weight in weights.get(level, {}).items():
+            if not isinstance(weight, int) or weight < 0:
+                raise ValueError(f"the weight of {level} {value!r} is not a whole number from 0: {weight!r}")
     others = [F.struct(*carry).alias("others")] if carry else []
     rows = stored(
         df.select(
@@ -117,6 +153,7 @@ def mix(
             *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"l{i}") for i, c in enumerate(levels)],
             tokens_of(F.col(text)).alias("n_words"),
             F.md5(F.coalesce(F.col(text), F.lit(""))).alias("tie"),
+            F.monotonically_increasing_id().alias("row"),
             *others,
         ),
         "lengths",
@@ -131,15 +168,9 @@ def mix(
         "place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full_epochs").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     )
     placed = placed.withColumn("range", F.substring("place", 1, 3))
-    sums = placed.groupBy(*path, "range").agg(F.sum("n_words").alias("range_words"))
-    ahead = Window.partitionBy(*path).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("ahead", F.coalesce(F.sum("range_words").over(ahead), F.lit(0)))
-    placed = placed.join(sums, [*path, "range"])
-    inside = Window.partitionBy(*path, "range").orderBy("place", "id", "tie", *(["others"] if carry else [])).rowsBetween(Window.unboundedPreceding, -1)
-    cut = (F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col("range_words") > F.col("rest"))
-    before = F.col("ahead") + F.coalesce(F.sum("n_words").over(inside), F.lit(0))
-    room = F.greatest(F.lit(0), F.least(F.col("n_words"), F.col("rest") - F.col("before")))
-    ends = placed.filter(cut).withColumn("before", before).withColumn("prefix_words", room).drop("before")
+    placed = placed.join(words_ahead(placed, path, "range"), [*path, "range"])
+    cut = (F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col("held_words") > F.col("rest"))
+    ends = _cut_inside(placed.filter(cut), path, ["place", "id", "tie", *(["others"] if carry else []), "row"])
     whole = placed.filter(~cut).withColumn("prefix_words", F.when(F.col("ahead") < F.col("rest"), F.col("n_words")).otherwise(F.lit(0)))
     names = [F.col(f"l{i}").alias(c) for i, c in enumerate(levels)]
     return whole.unionByName(ends).select(

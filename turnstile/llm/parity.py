@@ -389,7 +389,9 @@ def near_groups(
     least = nodes.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
     named = least.groupBy("group").agg(F.min("doc").alias("component_id"))
     names = least.select("node", "group").join(named, "group").select("node", "group", "component_id")
-    return sizes.join(names, "node", "left").select(
+    # Rows without words are one node, but link with nothing: they stay out of the join.
+    wordless = sizes.filter("node = 0").withColumns({"group": F.lit(None).cast("long"), "component_id": F.lit(None).cast("long")})
+    return sizes.filter("node <> 0").join(names, "node").unionByName(wordless).select(
         F.col("doc").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"),
         F.col("group").alias("component"), *(["others.*"] if carry else []),
     )

@@ -36,7 +36,7 @@ def op2_ledger(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-ORACLES["op2_ledger"] = """
+LEDGER = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
@@ -54,12 +54,40 @@ m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words,
   FROM w LEFT JOIN repeats USING (doc_id)),
 f AS (SELECT *, n_words < 50 AS f0, 100 * n_repeat_words > 50 * n_words AS f1, word_chars < 2 * n_words AS f2,
   word_chars > 25 * n_words AS f3, 10 * n_symbols > 3 * n_words AS f4, 100 * n_dup_lines > 30 * n_lines AS f5,
-  100 * n_capitals > 50 * word_chars AS f6 FROM m)
+  100 * n_capitals > 50 * word_chars AS f6 FROM m)"""
+
+ORACLES["op2_ledger"] = f"""{LEDGER}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 OR f1 AS base_failed,
   NOT (f0 OR f1 OR f4) AND f2::INT + f3::INT + f5::INT + f6::INT <= 1 AS kept, n_lines, n_capitals,
   CAST(f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT + 32 * f5::INT + 64 * f6::INT AS BIGINT) AS failure_bits
 FROM f"""
 
+
+@query
+def rule_ablations(spark: SparkSession, folder: str) -> DataFrame:
+    """What each rule of each policy alone removes, from the counts of the ledger's bit patterns."""
+    return ledger.ablations(ledger.ledger(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+def ablation_sql() -> str:
+    flag = {rule.name: f"f{i}" for i, rule in enumerate(ledger.RULES)}
+
+    def kept(policy: ledger.Policy, without: str | None = None) -> str:
+        hard = [flag[n] for n in policy.hard if n != without]
+        soft = [f"{flag[n]}::INT" for n in policy.soft if n != without]
+        return f"NOT ({' OR '.join(hard) or 'false'}) AND {' + '.join(soft) or '0'} <= {policy.slack}"
+
+    cases = [
+        f"SELECT {p.version!r} AS version, {r!r} AS rule, count(*) AS n_rows, count(*) FILTER (WHERE {kept(p)}) AS n_kept, "
+        f"count(*) FILTER (WHERE {kept(p, r)}) AS n_kept_without FROM f"
+        for p in ledger.POLICIES
+        for r in (*p.hard, *p.soft)
+    ]
+    return f"{LEDGER} " + " UNION ALL ".join(cases)
+
+
+ORACLES["rule_ablations"] = ablation_sql()
+
 URL_RULES = (
     urls.UrlRule("allow", "org", "/"),
     urls.UrlRule("block", "example.org", "/es/"),
