@@ -26,7 +26,12 @@ def row_key() -> Column:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject.
+
+    Each row is judged for itself by its text: rows that are equal or share a text
+    stay or go together, whatever their ids; a null text is judged as an empty one
+    and stays null if kept. A score that ties with the threshold is kept.
+    """
     judged = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.filter("predicted = 1").select(*COLUMNS)
 
@@ -46,7 +51,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of windows that start earlier; those that lose nothing stay as they are."""
+    """Documents without the words of windows that start earlier.
+
+    A text that loses nothing stays as it is, else its words left are joined by one
+    space. Null texts become empty; they, empty texts and those that lose all words
+    stay as rows. Earlier is by id, null first, then by the hash of the text; rows
+    equal in both count as one document and get equal results.
+    """
     kept = substrings.remove_repeats(docs, carry=("lang", "source"), joined=False)
     return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
@@ -72,7 +83,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each text."""
+    """Piece ids of each text: one row per row of the mix, also where ids repeat or are null.
+
+    Null and empty texts have no pieces. The ids of a text depend on it alone: of
+    segmentations with the same score, the same one is taken each time.
+    """
     encoded = pieces.encode_pieces(docs.select("doc_id", "text"), piece_model())
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
