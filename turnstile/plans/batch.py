@@ -26,13 +26,23 @@ def build_silver(
     resolution: int = 8,
     backend: str = "hex",
     dedupe: str | None = None,
+    schema_root: str | None = None,
 ) -> DataFrame:
-    """Silver rows from the Bronze tables; ``date`` prunes every Bronze scan."""
+    """Silver rows from the Bronze tables; ``date`` prunes every Bronze scan.
+
+    Bronze is read with the optional fields of its topics' contracts, of
+    ``schema_root`` if given, so rows from before a contract grew are read with those
+    from after it.
+    """
     schedule = schedule or transit.schedule_root(root)
+
+    def bronze(topic: str) -> DataFrame:
+        return read_table(spark, transit.bronze_path(root, topic), date, contract=transit.contract(spark, topic, schema_root))
+
     return silver_facts(
-        read_table(spark, transit.bronze_path(root, transit.VEHICLES), date),
-        read_table(spark, transit.bronze_path(root, transit.UPDATES), date),
-        read_table(spark, transit.bronze_path(root, transit.WEATHER), date),
+        bronze(transit.VEHICLES),
+        bronze(transit.UPDATES),
+        bronze(transit.WEATHER),
         read_dimension(spark, schedule, "stop_times"),
         read_dimension(spark, schedule, "stops"),
         resolution=resolution,

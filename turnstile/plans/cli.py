@@ -36,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
     args.add_argument("--topic", default=transit.VEHICLES)
     args.add_argument("--data-root", default="data")
     args.add_argument("--gtfs-root", default=None)
+    args.add_argument("--schema-root", default=None, help="folder of {topic}.value.schema.json; its contracts come before the built-in ones")
     args.add_argument("--h3-res", type=int, default=8)
     args.add_argument("--horizons", nargs="*", type=int, default=list(transit.HORIZONS))
     args.add_argument("--date", default=None, help="one date, YYYY-MM-DD")
@@ -101,18 +102,17 @@ def follow(spark: SparkSession, root: str, args: argparse.Namespace):
 def run(spark: SparkSession, args: argparse.Namespace):
     root = args.data_root
     schedule = args.gtfs_root or transit.schedule_root(root)
+    silver = {"schedule": schedule, "resolution": args.h3_res, "on_fail": args.on_fail, "dedupe": args.dedupe, "schema_root": args.schema_root}
     if args.mode == "land":
         return land_feed(spark, args.source, args.topic, root)
     if args.mode == "bronze":
         messages = file_stream(spark, args.source) if args.source else kafka_stream(spark, args.topic, max_offsets=args.max_offsets)
-        query = start_bronze(messages, transit.payload_schema(args.topic), args.topic, root, available_now=args.available_now)
+        query = start_bronze(messages, transit.contract(spark, args.topic, args.schema_root), args.topic, root, available_now=args.available_now)
         return query.awaitTermination()
     if args.mode == "silver" and args.by_day:
-        return run_silver_by_day(spark, root, schedule=schedule, resolution=args.h3_res, on_fail=args.on_fail, dedupe=args.dedupe)
+        return run_silver_by_day(spark, root, **silver)
     if args.mode == "silver":
-        return run_silver(
-            spark, root, schedule=schedule, date=args.date, resolution=args.h3_res, on_fail=args.on_fail, dedupe=args.dedupe
-        )
+        return run_silver(spark, root, date=args.date, **silver)
     if args.mode == "gold" and args.by_day:
         return run_gold_by_day(spark, transit.silver_path(root), transit.gold_days_path(root), horizons=args.horizons)
     if args.mode == "gold":

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
-from turnstile.sources.json_schema import struct_type
+from turnstile.sources.json_schema import load_schema, struct_type
 
 VEHICLES = "gtfs.vehicle_positions"
 UPDATES = "gtfs.trip_updates"
@@ -63,6 +64,18 @@ def payload_schema(topic: str) -> T.StructType:
     return struct_type(PAYLOADS[topic])
 
 
+def contract(spark: SparkSession, topic: str, folder: str | None = None) -> T.StructType:
+    """The payload of a topic by the schema file in ``folder``; without one, by the contracts above."""
+    if folder is None:
+        return payload_schema(topic)
+    try:
+        return load_schema(spark, topic, folder)
+    except FileNotFoundError:
+        if topic not in PAYLOADS:
+            raise
+        return payload_schema(topic)
+
+
 def bronze_path(root: str, topic: str) -> str:
     return f"{root}/bronze/{topic}"
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from turnstile.functions import times, units, values
 from turnstile.operators.curate import cast_numbers, expand_struct, publishable
+from turnstile.plans import transit
 from turnstile.session import work_path
 from turnstile.showcase.common import ORACLES, events, query, seconds, table
 from turnstile.sources import feeds
@@ -437,3 +440,36 @@ def stream_late_rows(spark, folder):
     return stored.groupBy(F.date_format("date", "yyyy-MM-dd").alias("day")).agg(
         F.count("*").alias("n"), F.count_if(F.col("id") % 3 == 0).alias("late")
     )
+
+
+# Two versions of a topic's contract, as its schema file: the second adds a field.
+READING = {
+    "type": "object",
+    "properties": {"id": {"type": "integer"}, "kind": {"type": "string"}, "timestamp": {"type": "integer"}},
+    "required": ["id", "timestamp"],
+}
+GROWN = READING | {"properties": READING["properties"] | {"value": {"type": ["number", "null"]}}}
+
+
+def put_contract(spark, folder: str, topic: str, spec: dict) -> None:
+    lines = spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1)
+    lines.write.mode("overwrite").text(f"{folder}/{topic}.value.schema.json")
+
+
+@query(
+    "evolving_topic",
+    """SELECT event_id AS id, event_type AS kind, CASE WHEN event_id % 2 = 1 THEN value END AS value,
+              CAST(floor(epoch(ts)) AS BIGINT) AS event_s, strftime(ts, '%Y-%m-%d') AS day FROM events""",
+)
+def evolving_topic(spark, folder):
+    """A topic known by its schema file alone, whose contract grows between two rounds of one stream."""
+    root, topic = work_path(spark, "evolving"), "events.readings"
+    columns = [F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "value", seconds().alias("timestamp")]
+    messages = events(spark, folder).select((F.col("event_id") % 2 == 1).alias("later"), F.to_json(F.struct(*columns)).alias("value"), F.col("ts").alias("timestamp"))
+    for spec, rows in ((READING, messages.filter("not later")), (GROWN, messages.filter("later"))):
+        put_contract(spark, f"{root}/schemas", topic, spec)
+        rows.select("value", "timestamp").write.mode("append").parquet(f"{root}/landed")
+        schema = transit.contract(spark, topic, f"{root}/schemas")
+        start_bronze(file_stream(spark, f"{root}/landed"), schema, topic, root, dead_letter=True, available_now=True).awaitTermination()
+    stored = read_table(spark, transit.bronze_path(root, topic), contract=transit.contract(spark, topic, f"{root}/schemas"))
+    return stored.select("id", "kind", "value", seconds("event_ts").alias("event_s"), F.date_format("date", "yyyy-MM-dd").alias("day"))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from functools import lru_cache
-from pathlib import Path
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 SCALARS = {"string": T.StringType(), "number": T.DoubleType(), "integer": T.LongType(), "boolean": T.BooleanType()}
@@ -32,13 +32,25 @@ def struct_type(spec: dict) -> T.StructType:
     )
 
 
-@lru_cache(maxsize=None)
-def load_schema(topic: str, folder: str) -> T.StructType:
-    """Payload type of a topic from ``{folder}/{topic}.value.schema.json``."""
-    path = Path(folder) / f"{topic}.value.schema.json"
-    if not path.exists():
-        raise FileNotFoundError(f"no schema for topic {topic}: {path}")
-    return struct_type(json.loads(path.read_text(encoding="utf-8")))
+def load_schema(spark: SparkSession, topic: str, folder: str) -> T.StructType:
+    """Payload type of a topic from ``{folder}/{topic}.value.schema.json``, in any storage Spark reads.
+
+    A contract that cannot be read, is empty or no object type is named in the error.
+    """
+    path = f"{folder.rstrip('/')}/{topic}.value.schema.json"
+    try:
+        text = "".join(row.value for row in spark.read.text(path, wholetext=True).collect())
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        raise FileNotFoundError(f"no schema for topic {topic}: {path}") from error
+    try:
+        spec = json.loads(text)
+    except ValueError as error:
+        raise ValueError(f"no JSON in the schema of topic {topic}: {path}") from error
+    if not isinstance(spec, dict) or not spec.get("properties"):
+        raise ValueError(f"no properties in the schema of topic {topic}: {path}")
+    return struct_type(spec)
 
 
 def required_fields(schema: T.StructType) -> list[str]:

@@ -18,21 +18,33 @@ from turnstile.session import remove_work, work_path
 SCHEDULE_TABLES = ("stops", "shapes", "trips", "routes", "stop_times")
 
 
-def read_table(spark: SparkSession, path: str, date: str | None = None, merge_schema: bool = False) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, date: str | None = None, merge_schema: bool = False, contract: T.StructType | None = None
+) -> DataFrame:
     """A table folder; with ``date`` only that date.
 
+    The columns are those of one file. Optional fields of ``contract`` come in any
+    case, null where a file is from before they were added, so no other footer is
+    read; ``merge_schema`` asks all of them.
+
     The folder of one date is listed alone: a table that streams write has many
     small partitions, and listing them all would take longer than the read.
     """
-    reader = spark.read.option("mergeSchema", merge_schema)
+
+    def load(place: str, **options: str) -> DataFrame:
+        reader = spark.read.options(mergeSchema=merge_schema, **options)
+        rows = reader.parquet(place)
+        added = [f for f in contract or () if f.nullable and f.name not in rows.columns]
+        return reader.schema(T.StructType([*rows.schema, *added])).parquet(place) if added else rows
+
     if date is None:
-        return reader.parquet(path)
+        return load(path)
     try:
-        rows = reader.option("basePath", path).parquet(f"{path}/date={date}")
+        rows = load(f"{path}/date={date}", basePath=path)
     except AnalysisException as error:  # no such date, or not partitioned by it
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        rows = spark.read.option("mergeSchema", merge_schema).parquet(path)
+        rows = load(path)
     return on_date(rows, "date", date)
 
 
