@@ -226,3 +226,32 @@ def test_leaf_quantiles_are_exact(spark):
             assert got[leaf] == want, (leaf, p)
     keys = boosting.sortable(np.array(sorted(set(values))))
     assert (np.diff(keys) > 0).all() and (boosting.unsorted(keys) == np.array(sorted(set(values)))).all()
+
+
+def test_the_state_is_blocks_of_cells(spark):
+    """A few large rows, not one per training row; every pass over them gives what the rows give."""
+    rng = random.Random(5)
+    data = [(float(rng.randrange(5)), rng.choice([0.0, 0.5]), rng.randrange(40) / 4, i % 5 > 0, rng.getrandbits(60)) for i in range(3000)]
+    rows = spark.createDataFrame(data, "__f0 double, __f1 double, __y double, __train boolean, __row long").repartition(3)
+    bounds = [[0.0, 1.0, 2.0, 3.0], [0.0]]
+    state = boosting._packed(rows, 2, bounds).withColumn("__pred", F.lit(4.0)).checkpoint()
+    assert state.count() <= 2 * 3
+    tree, limit = boosting.Tree(), 400_000
+    left, right = tree.split(0, 0, 1, 1.0)
+    tree.value[left], tree.value[right] = 0.5, -1.0
+    shares = rows.filter("__train").withColumn("s", F.pmod(F.xxhash64(F.lit(9), "__row"), F.lit(1_000_000))).filter(f"s < {limit}")
+    want = {}
+    for r in shares.collect():
+        bins = boosting.binned(np.array([[r["__f0"], r["__f1"]]]), bounds)[0]
+        node, predicted = (0, 4.0 + 0.5 * 0.5) if bins[0] <= 1 else (1, 4.0 - 0.5)
+        for f in range(2):
+            n, g = want.get((node, f, bins[f]), (0, 0))
+            want[node, f, bins[f]] = n + 1, g + (7000 if r["__y"] > predicted else -3000)
+    later = boosting._advanced(state, 2, bounds, [tree], 0.5)
+    for frame, done in ((state, [tree]), (later, [])):
+        sample = boosting.shared(frame.filter("__train"), 9)
+        counts, sums = boosting._level_sums(sample, 2, bounds, done, 0.5, tree, [left, right], 5, 7000, limit)
+        assert {tuple(at): (counts[tuple(at)], sums[tuple(at)]) for at in np.argwhere(counts)} == want
+        errors = [r["__y"] - (4.25 if r["__f0"] <= 1 else 3.5) for r in rows.filter("not __train").collect()]
+        loss = sum(max(0.3 * e, -0.7 * e) for e in errors) / len(errors)
+        assert boosting._loss(frame, 2, bounds, done, 0.5, 0.3) == pytest.approx(loss, rel=1e-8)

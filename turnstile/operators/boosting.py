@@ -1,10 +1,12 @@
 """Boosted quantile trees.
 
-Features are cut into bins at exact quantiles, once. Each round grows one tree to
-the gradient of the pinball loss, level by level: every task adds up counts and
-gradients per (node, feature, bin) of its rows, Spark adds these up, and the
-driver gets the sums, whose number the settings bound, and picks the splits. The
-leaves take the exact quantile of their residuals. All sums are of integers and
+Features are cut into bins at exact quantiles, once, and the rows are kept in blocks:
+rows with equal bins lie side by side as one cell, since a tree cannot tell them
+apart, with their labels in order. So trees are followed once per cell and a pass
+reads few, large rows. Each round grows one tree to the gradient of the pinball loss,
+level by level: every task adds up counts and gradients per (node, feature, bin) of its
+cells, Spark adds these up, and the driver gets the sums, whose number the settings
+bound, and picks the splits. The leaves take the exact quantile of their residuals. All sums are of integers and
 rows are sampled by a hash of their values, so a model depends on the rows alone,
 not on how they are spread. The running prediction is checkpointed every few
 rounds.
@@ -15,7 +17,7 @@ from __future__ import annotations
 import json
 import math
 import random
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
@@ -23,15 +25,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnstile.functions.values import number_or_zero
 from turnstile.operators.gold import exact_group_quantiles
-from turnstile.operators.metrics import pinball
-from turnstile.session import shared_folder
+from turnstile.session import remove_work, shared_folder, work_path
 
 # Gradients and losses are added up as integers of these units.
 UNIT = 10_000
 LOSS_UNIT = 10**9
+HALF = 2**32
+# A row takes part in a round if its share is below ``row_fraction`` of these.
+SHARES = 1_000_000
+# Rows of a block: its cells are worked on at once.
+BLOCK = 2**18
 
 
 @dataclass(frozen=True)
@@ -167,60 +174,186 @@ def _bin_type(bounds: Sequence[Sequence[float]]) -> type:
     return np.uint8 if max(map(len, bounds), default=0) < 256 else np.uint16
 
 
+def _codes(bins: np.ndarray) -> np.ndarray:
+    """One number per row of bins, equal where all bins are equal."""
+    code, size = np.zeros(len(bins), np.int64), 1
+    for column in bins.T.astype(np.int64):
+        width = int(column.max(initial=0)) + 1
+        if size * width >= 2**62:
+            known, code = np.unique(code, return_inverse=True)
+            size = len(known)
+        code, size = code * width + column, size * width
+    return code
+
+
 def _packed(rows: DataFrame, n: int, bounds) -> DataFrame:
-    """The training rows with the bins of all features as one binary column in place of the features."""
+    """The training rows in blocks: cells of rows with equal bins, their labels ascending."""
     kind = _bin_type(bounds)
+    names = ["__bins", "__counts", "__y", "__train", "__rows"]
+
+    def block(parts: list[tuple[np.ndarray, ...]], is_train: bool) -> pa.RecordBatch:
+        bins, label, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+        code = _codes(bins)
+        order = np.lexsort((label, code))
+        code = code[order]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        counts = np.diff(np.r_[first, len(code)])
+        cells = [bins[order[first]].tobytes(), counts.astype(np.int64).tobytes(), label[order].tobytes()]
+        return pa.record_batch([*[pa.array([c], pa.binary()) for c in cells], pa.array([is_train]), pa.array([row[order]], pa.list_(pa.int64()))], names)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[bool, list] = {True: [], False: []}
         for batch in batches:
-            bins = binned(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _names(n)]), bounds).astype(kind)
-            cells = pa.array([b.tobytes() for b in bins], pa.binary())
-            yield pa.record_batch([cells, batch.column("__y"), batch.column("__train"), batch.column("__row")], ["__bins", "__y", "__train", "__row"])
+            values = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _names(n)])
+            columns = binned(values, bounds).astype(kind), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("__y", "__row"))
+            learns = batch.column("__train").to_numpy(zero_copy_only=False)
+            for is_train, parts in waiting.items():
+                own = learns == is_train
+                if own.any():
+                    parts.append(tuple(c[own] for c in columns))
+                if sum(len(p[1]) for p in parts) >= BLOCK:
+                    yield block(parts, is_train)
+                    parts.clear()
+        for is_train, parts in waiting.items():
+            if parts:
+                yield block(parts, is_train)
+
+    return rows.mapInArrow(pack, "__bins binary, __counts binary, __y binary, __train boolean, __rows array<bigint>")
 
-    return rows.mapInArrow(pack, "__bins binary, __y double, __train boolean, __row bigint")
 
+@dataclass
+class Block:
+    """Cells of rows with equal bins; labels lie cell after cell and ascend in each. A prediction is a cell's."""
+
+    bins: np.ndarray
+    counts: np.ndarray
+    y: np.ndarray
+    preds: np.ndarray
+    share: np.ndarray | None
+
+    def prediction(self, trees: Sequence[Tree], rate: float, slot: int = 0) -> np.ndarray:
+        total = self.preds[:, slot].copy()
+        for tree in trees:
+            total += rate * tree.values(self.bins)
+        return total
 
-def _unpacked(column: pa.Array, n: int, kind: type) -> np.ndarray:
-    """The bins of a batch, read where they lie."""
-    if not len(column):
-        return np.empty((0, n), kind)
-    _, offsets, data = column.buffers()
-    begin = int(np.frombuffer(offsets, np.int32)[column.offset])
-    return np.frombuffer(data, np.uint8)[begin:].view(kind)[: len(column) * n].reshape(-1, n)
+    def errors(self, prediction: np.ndarray) -> np.ndarray:
+        return self.y - np.repeat(prediction, self.counts)
+
+    def per_cell(self, rows: np.ndarray) -> np.ndarray:
+        """How many of the rows marked each cell has."""
+        return np.add.reduceat(rows, np.cumsum(self.counts) - self.counts, dtype=np.int64)
+
+    def gradients(self, prediction: np.ndarray, up: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and gradient sum of each cell, of the rows whose share is below the limit."""
+        above, seen = self.y > np.repeat(prediction, self.counts), self.counts
+        if limit < SHARES:
+            picked = self.share < limit
+            above, seen = above & picked, self.per_cell(picked)
+        return seen, up * seen - UNIT * (seen - self.per_cell(above))
+
+    def add_level(self, own: np.ndarray, seen: np.ndarray, gradient: np.ndarray, width: int, counts: np.ndarray, sums: np.ndarray) -> None:
+        """Add the cells of the level's nodes to its sums per (node, feature, bin)."""
+        some = own >= 0
+        bins, own, seen, gradient = self.bins[some], own[some], seen[some], gradient[some]
+        for f in range(bins.shape[1]):
+            at = (own * bins.shape[1] + f) * width + bins[:, f]
+            counts += np.bincount(at, seen, minlength=len(counts))
+            sums += np.bincount(at, gradient, minlength=len(sums))
+
+    def digit_runs(self, prediction: np.ndarray, leaf: np.ndarray, shift: int, known: np.ndarray | None) -> list[np.ndarray]:
+        """(leaf and digit, rows, least key, largest key) of runs of residuals with one digit.
+
+        In a cell the residuals ascend, so equal digits lie side by side. ``known``
+        has the digits of each leaf so far, -1 for leaves that are done.
+        """
+        cell = np.repeat(np.arange(len(leaf)), self.counts)
+        if known is None:
+            key = sortable(self.y - prediction[cell])
+        else:
+            asked = known[leaf][cell] >= 0
+            cell = cell[asked]
+            key = sortable(self.y[asked] - prediction[cell])
+        high = (key.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(shift)
+        if known is not None:
+            own = (high >> np.uint64(DIGIT)).astype(np.int64) == known[leaf][cell]
+            cell, key, high = cell[own], key[own], high[own]
+        new = (high[1:] != high[:-1]) | (cell[1:] != cell[:-1])
+        first = np.flatnonzero(np.r_[True, new][: len(key)])
+        last = np.r_[first[1:], len(key)][: len(first)] - 1
+        digit = (high[first] & np.uint64(2**DIGIT - 1)).astype(np.int64)
+        return [leaf[cell[first]].astype(np.int64) << DIGIT | digit, last - first + 1, key[first], key[last]]
+
+    def loss(self, prediction: np.ndarray, quantile: float) -> tuple[int, int, int]:
+        """The pinball losses in units, as multiples of HALF and the rest, and the rows."""
+        error = self.errors(prediction)
+        units = np.floor(np.maximum(quantile * error, (quantile - 1.0) * error) * LOSS_UNIT + 0.5)
+        upper = np.floor(units / HALF)
+        return int(upper.sum()), int((units - upper * HALF).sum()), len(error)
+
+
+def blocks(batch: pa.RecordBatch, n: int, kind: type, slots: int = 1) -> Iterator[Block]:
+    """The blocks of a batch of the training state; ``__pred`` is one number until trees have been added."""
+
+    def read(name: str, i: int, kind: type) -> np.ndarray:
+        return np.frombuffer(batch.column(name)[i].as_buffer(), kind)
+
+    shares = batch.column("__share") if "__share" in batch.schema.names else None
+    same = pa.types.is_floating(batch.column("__pred").type)
+    for i in range(len(batch)):
+        counts = read("__counts", i, np.int64)
+        preds = np.full((len(counts), slots), batch.column("__pred")[i].as_py()) if same else read("__pred", i, np.float64).reshape(-1, slots)
+        share = None if shares is None else shares[i].values.to_numpy(zero_copy_only=False)
+        yield Block(read("__bins", i, kind).reshape(-1, n), counts, read("__y", i, np.float64), preds, share)
+
+
+def merged(runs: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Runs of all blocks, those of one leaf and digit added up."""
+    code, rows, low, high = (np.concatenate(x) for x in zip(*runs, strict=True))
+    order = np.argsort(code, kind="stable")
+    code, rows, low, high = code[order], rows[order], low[order], high[order]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+    if not len(first):
+        return [code, rows, low, high]
+    return [code[first], np.add.reduceat(rows, first), np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)]
+
+
+def shared(state: DataFrame, seed: int) -> DataFrame:
+    """The state with each row's share for a round's sample: a number below SHARES that its values give."""
+    return state.withColumn("__share", F.transform("__rows", lambda row: F.pmod(F.xxhash64(F.lit(seed), row), F.lit(SHARES))))
+
+
+def with_predictions(state: DataFrame, predictions: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> DataFrame:
+    """The state with new predictions of all cells, checkpointed."""
+    kept = state.drop("__pred")
+    names = kept.columns
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = pa.array([np.ascontiguousarray(p).tobytes() for p in predictions(batch)], pa.binary())
+            yield pa.record_batch([*[batch.column(c) for c in names], cells], [*names, "__pred"])
 
-def _arrays(batch: pa.RecordBatch, n: int, bounds, trees: Sequence[Tree], rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Binned features and residuals of a batch of the training state."""
-    bins = _unpacked(batch.column("__bins"), n, _bin_type(bounds))
-    prediction = batch.column("__pred").to_numpy(zero_copy_only=False).copy()
-    for tree in trees:
-        prediction += rate * tree.values(bins)
-    return bins, batch.column("__y").to_numpy(zero_copy_only=False) - prediction
+    return state.mapInArrow(add, T.StructType([*kept.schema.fields, T.StructField("__pred", T.BinaryType())])).checkpoint()
 
 
-def _level_sums(state: DataFrame, n: int, bounds, done: Sequence[Tree], rate: float, tree: Tree, nodes: list[int], width: int, up: int):
+def _level_sums(sample: DataFrame, n: int, bounds, done: Sequence[Tree], rate: float, tree: Tree, nodes: list[int], width: int, up: int, limit: int):
     """Counts and gradient sums per (node, feature, bin) of one level."""
     slot = np.full(len(tree.feature), -1)
     slot[nodes] = np.arange(len(nodes))
-    size = len(nodes) * n * width
+    size, kind = len(nodes) * n * width, _bin_type(bounds)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, sums = np.zeros(size), np.zeros(size)
         for batch in batches:
-            bins, error = _arrays(batch, n, bounds, done, rate)
-            own = slot[tree.leaves(bins)]
-            bins, gradient, own = bins[own >= 0], np.where(error > 0, up, up - UNIT)[own >= 0], own[own >= 0]
-            for f in range(n):
-                at = (own * n + f) * width + bins[:, f]
-                counts += np.bincount(at, minlength=size)
-                sums += np.bincount(at, gradient, minlength=size)
+            for block in blocks(batch, n, kind):
+                block.add_level(slot[tree.leaves(block.bins)], *block.gradients(block.prediction(done, rate), up, limit), width, counts, sums)
         some = np.flatnonzero(counts)
         yield pa.record_batch([some, counts[some].astype(np.int64), sums[some].astype(np.int64)], ["at", "n", "g"])
 
-    rows = state.mapInArrow(add, "at bigint, n bigint, g bigint").groupBy("at").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
+    rows = sample.drop("__rows").mapInArrow(add, "at bigint, n bigint, g bigint").groupBy("at").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
     counts, sums = np.zeros(size), np.zeros(size)
-    for r in rows.collect():
-        counts[r.at], sums[r.at] = r.n, r.g
+    found = rows.toArrow()
+    counts[found["at"]], sums[found["at"]] = found["n"], found["g"]
     return counts.reshape(len(nodes), n, width), sums.reshape(len(nodes), n, width)
 
 
@@ -242,15 +375,6 @@ def _best_split(counts: np.ndarray, sums: np.ndarray, features: Sequence[int], l
     return best
 
 
-def _leaf_errors(state: DataFrame, n: int, bounds, done: Sequence[Tree], rate: float, tree: Tree) -> DataFrame:
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins, error = _arrays(batch, n, bounds, done, rate)
-            yield pa.record_batch([tree.leaves(bins), error], ["leaf", "error"])
-
-    return state.mapInArrow(place, "leaf bigint, error double")
-
-
 def sortable(values: np.ndarray) -> np.ndarray:
     """Doubles as integers of the same order; both zeros are one."""
     bits = (values + 0.0).view(np.int64)
@@ -274,7 +398,7 @@ def _leaf_quantiles(state: DataFrame, n: int, bounds, done: Sequence[Tree], rate
     residuals with this prefix only. It ends when they are all equal, after four passes
     at most. At most 2 ** DIGIT counts a leaf are shuffled; the driver gets one row per leaf.
     """
-    prefix, rank, found = {}, {}, {}
+    prefix, rank, found, kind = {}, {}, {}, _bin_type(bounds)
     for step in range(64 // DIGIT):
         shift = 64 - DIGIT * (step + 1)
         wanted = dict(prefix)
@@ -283,25 +407,16 @@ def _leaf_quantiles(state: DataFrame, n: int, bounds, done: Sequence[Tree], rate
             known = np.full(len(tree.feature), -1, np.int64)
             for leaf, value in wanted.items():
                 known[leaf] = value
+            runs = []
             for batch in batches:
-                bins, error = _arrays(batch, n, bounds, done, rate)
-                leaf, key = tree.leaves(bins), sortable(error)
-                high = (key.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(shift)
-                if step:
-                    own = (known[leaf] >= 0) & ((high >> np.uint64(DIGIT)).astype(np.int64) == known[leaf])
-                    leaf, key, high = leaf[own], key[own], high[own]
-                digit = (high & np.uint64(2**DIGIT - 1)).astype(np.int64)
-                code = leaf.astype(np.int64) << DIGIT | digit
-                order = np.lexsort((key, code))
-                code, key = code[order], key[order]
-                first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
-                last = np.r_[first[1:], len(code)][: len(first)] - 1
-                yield pa.record_batch(
-                    [code[first] >> DIGIT, code[first] & (2**DIGIT - 1), last - first + 1, key[first], key[last]], ["leaf", "digit", "n", "low", "high"]
-                )
+                for block in blocks(batch, n, kind):
+                    runs.append(block.digit_runs(block.prediction(done, rate), tree.leaves(block.bins), shift, known if step else None))
+                    runs = [merged(runs)]
+            for code, rows, low, high in runs:
+                yield pa.record_batch([code >> DIGIT, code & (2**DIGIT - 1), rows, low, high], ["leaf", "digit", "n", "low", "high"])
 
         sums = (
-            state.mapInArrow(count, "leaf bigint, digit bigint, n bigint, low bigint, high bigint")
+            state.drop("__rows").mapInArrow(count, "leaf bigint, digit bigint, n bigint, low bigint, high bigint")
             .groupBy("leaf", "digit")
             .agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
         )
@@ -325,16 +440,25 @@ def _leaf_quantiles(state: DataFrame, n: int, bounds, done: Sequence[Tree], rate
     return found
 
 
-def _advanced(state: DataFrame, n: int, bounds, trees: Sequence[Tree], rate: float) -> DataFrame:
-    """The state with the trees' values added to its predictions."""
+def _loss(state: DataFrame, n: int, bounds, done: Sequence[Tree], rate: float, quantile: float) -> float | None:
+    """Mean pinball loss of the validation rows; None if there are none."""
+    kind = _bin_type(bounds)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, error = _arrays(batch, n, bounds, trees, rate)
-            new = pa.array(batch.column("__y").to_numpy(zero_copy_only=False) - error)
-            yield batch.set_column(batch.schema.get_field_index("__pred"), "__pred", new)
+            found = [block.loss(block.prediction(done, rate), quantile) for block in blocks(batch, n, kind)]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in np.reshape(found, (-1, 3)).T.astype(np.int64)], ["upper", "lower", "n"])
 
-    return state.mapInArrow(add, state.schema)
+    left = state.filter("not __train").drop("__rows").mapInArrow(add, "upper bigint, lower bigint, n bigint")
+    wide = lambda c: F.sum(F.col(c).cast("decimal(19,0)")).alias(c)
+    total = left.agg(wide("upper"), wide("lower"), F.sum("n").alias("n")).first()
+    return float(int(total.upper) * HALF + int(total.lower)) / LOSS_UNIT / total.n if total.n else None
+
+
+def _advanced(state: DataFrame, n: int, bounds, trees: Sequence[Tree], rate: float) -> DataFrame:
+    """The state with the trees' values added to its predictions."""
+    kind, trees = _bin_type(bounds), list(trees)
+    return with_predictions(state, lambda batch: (block.prediction(trees, rate) for block in blocks(batch, n, kind)))
 
 
 def prepare(
@@ -351,13 +475,19 @@ def prepare(
     rows = numbers(train, True)
     if valid is not None:
         rows = rows.unionByName(numbers(valid, False))
-    rows = rows.filter(F.col("__y").isNotNull() & ~F.isnan("__y")).withColumn("__row", F.xxhash64(*_names(n), "__y")).checkpoint()
+    rows = rows.filter(F.col("__y").isNotNull() & ~F.isnan("__y")).withColumn("__row", F.xxhash64(*_names(n), "__y"))
+    path = work_path(train.sparkSession, "rows")
+    rows.write.parquet(path)
+    rows = train.sparkSession.read.schema(rows.schema).parquet(path)
     learn = rows.filter("__train")
     base = exact_group_quantiles(learn.select(F.lit(0).alias("g"), "__y"), ["g"], "__y", {"q": quantile}).collect()
     if not base:
         raise ValueError("no labelled training rows")
     bounds = bin_bounds(learn, n, params.bins) if params.rounds else [[] for _ in features]
-    return _packed(rows, n, bounds).checkpoint() if params.rounds else rows, float(base[0]["q"]), bounds
+    if params.rounds:
+        rows = _packed(rows, n, bounds).checkpoint()
+        remove_work(train.sparkSession, path)
+    return rows, float(base[0]["q"]), bounds
 
 
 def fit_quantile(
@@ -380,13 +510,11 @@ def fit_quantile(
     for step in range(params.rounds):
         chosen = sorted(draw.sample(range(n), max(1, round(n * params.feature_fraction))))
         learn = state.filter("__train")
-        sample = learn
-        if params.row_fraction < 1.0:
-            share = F.pmod(F.xxhash64(F.lit(params.seed + step), "__row"), F.lit(1_000_000))
-            sample = learn.filter(share < round(params.row_fraction * 1_000_000))
+        limit = round(params.row_fraction * SHARES)
+        sample = shared(learn, params.seed + step) if limit < SHARES else learn
         tree, nodes, n_leaves = Tree(), [0], 1
         for _ in range(params.depth):
-            counts, sums = _level_sums(sample, n, bounds, done, params.learning_rate, tree, nodes, width, up)
+            counts, sums = _level_sums(sample, n, bounds, done, params.learning_rate, tree, nodes, width, up, limit)
             found = [(_best_split(counts[i], sums[i], chosen, params.min_rows), node) for i, node in enumerate(nodes)]
             found = sorted(((s, node) for s, node in found if s), key=lambda x: (-x[0][0], x[1]))[: params.leaves - n_leaves]
             nodes = []
@@ -400,18 +528,15 @@ def fit_quantile(
         model.trees.append(tree)
         done.append(tree)
         if (step + 1) % params.checkpoint_every == 0:
-            state = _advanced(state, n, bounds, done, params.learning_rate).checkpoint()
+            state = _advanced(state, n, bounds, done, params.learning_rate)
             done = []
         best_rounds = step + 1 if valid is None else best_rounds
         if valid is None:
             continue
-        left = _leaf_errors(state.filter("not __train"), n, bounds, done, params.learning_rate, Tree())
-        units = F.round(pinball(F.col("error"), F.lit(0.0), quantile) * LOSS_UNIT).cast("decimal(38,0)")
-        total, seen = left.agg(F.sum(units), F.count("*")).first()
-        if not seen:
+        loss = _loss(state, n, bounds, done, params.learning_rate, quantile)
+        if loss is None:
             best_rounds = step + 1
             continue
-        loss = float(total) / LOSS_UNIT / seen
         model.losses.append(loss)
         if loss < best:
             best, best_rounds = loss, step + 1

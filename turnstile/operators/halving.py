@@ -22,23 +22,25 @@ from pyspark.sql import functions as F
 
 from turnstile.operators.boosting import (
     DIGIT,
+    HALF,
     LOSS_UNIT,
+    SHARES,
     UNIT,
+    Block,
     BoostingParams,
     QuantileModel,
     Tree,
     _best_split,
     _bin_type,
-    _unpacked,
+    blocks,
     candidates,
+    merged,
     prepare,
-    sortable,
+    shared,
     unsorted,
+    with_predictions,
 )
 
-SHARES = 1_000_000
-HALF = 2**32
-
 
 @dataclass
 class Trial:
@@ -83,43 +85,28 @@ def rung_rounds(trials: int, rounds: int) -> list[int]:
 
 
 class _Rows:
-    """The training state of all live trials: packed bins, label and one prediction per slot."""
+    """The training state of all live trials: blocks of cells with one prediction per slot."""
 
     def __init__(self, rows: DataFrame, n: int, bounds, base: float, trials: Sequence[Trial]):
         self.n, self.bounds, self.slots = n, bounds, [t.number for t in trials]
-        start = np.full(len(trials), base).tobytes()
-        self.state = rows.withColumn("__preds", F.lit(start))
+        self.state = rows.withColumn("__pred", F.lit(base))
 
-    def each(self, trials: Sequence[Trial]) -> Callable[[pa.RecordBatch], Iterator[tuple[Trial, np.ndarray, np.ndarray]]]:
-        """Binned features and residuals of a batch, trial by trial."""
+    def each(self, trials: Sequence[Trial]) -> Callable[[pa.RecordBatch], Iterator[tuple[Block, Iterator[tuple[int, np.ndarray]]]]]:
+        """The blocks of a batch, each with the trials' numbers and predictions of its cells."""
         n, kind, slots = self.n, _bin_type(self.bounds), {s: i for i, s in enumerate(self.slots)}
-        plan = [(t, slots[t.number], list(t.done), t.params.learning_rate) for t in trials]
+        plan = [(t.number, slots[t.number], list(t.done), t.params.learning_rate) for t in trials]
         width = len(self.slots)
 
         def read(batch: pa.RecordBatch):
-            bins = _unpacked(batch.column("__bins"), n, kind)
-            preds = _unpacked(batch.column("__preds"), width, np.float64)
-            label = batch.column("__y").to_numpy(zero_copy_only=False)
-            for trial, slot, done, rate in plan:
-                prediction = preds[:, slot].copy()
-                for tree in done:
-                    prediction += rate * tree.values(bins)
-                yield trial, bins, label - prediction
+            for block in blocks(batch, n, kind, width):
+                yield block, ((number, block.prediction(done, rate, slot)) for number, slot, done, rate in plan)
 
         return read
 
     def advance(self, trials: Sequence[Trial]) -> None:
         """Store the predictions of the live trials; the others' are dropped."""
         read = self.each(trials)
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                label = batch.column("__y").to_numpy(zero_copy_only=False)
-                preds = np.column_stack([label - error for _, _, error in read(batch)])
-                cells = pa.array([p.tobytes() for p in np.ascontiguousarray(preds)], pa.binary())
-                yield batch.set_column(batch.schema.get_field_index("__preds"), "__preds", cells)
-
-        self.state = self.state.mapInArrow(work, self.state.schema).checkpoint()
+        self.state = with_predictions(self.state, lambda batch: (np.column_stack([p for _, p in found]) for _, found in read(batch)))
         self.slots = [t.number for t in trials]
         for trial in trials:
             trial.done = []
@@ -128,34 +115,34 @@ class _Rows:
 def _level_sums(rows: _Rows, sample: DataFrame, width: int, up: int, growing: dict[int, tuple[Trial, Tree, list[int]]]):
     """Counts and gradient sums per (node, feature, bin) of one level of every growing trial."""
     n, read = rows.n, rows.each([t for t, _, _ in growing.values()])
+    plan = {number: (tree, nodes, round(trial.params.row_fraction * SHARES)) for number, (trial, tree, nodes) in growing.items()}
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {}
-        for number, (trial, tree, nodes) in growing.items():
+        for number, (tree, nodes, _) in plan.items():
             slot = np.full(len(tree.feature), -1)
             slot[nodes] = np.arange(len(nodes))
             size = len(nodes) * n * width
-            totals[number] = slot, size, np.zeros(size), np.zeros(size), round(trial.params.row_fraction * SHARES)
+            totals[number] = slot, np.zeros(size), np.zeros(size)
         for batch in batches:
-            share = batch.column("__share").to_numpy(zero_copy_only=False)
-            for trial, bins, error in read(batch):
-                slot, size, counts, sums, limit = totals[trial.number]
-                own = slot[growing[trial.number][1].leaves(bins)]
-                some = (own >= 0) & (share < limit)
-                picked, own, gradient = bins[some], own[some], np.where(error > 0, up, up - UNIT)[some]
-                for f in range(n):
-                    at = (own * n + f) * width + picked[:, f]
-                    counts += np.bincount(at, minlength=size)
-                    sums += np.bincount(at, gradient, minlength=size)
-        for number, (_, _, counts, sums, _) in totals.items():
+            for block, found in read(batch):
+                for number, prediction in found:
+                    (tree, _, limit), (slot, counts, sums) = plan[number], totals[number]
+                    block.add_level(slot[tree.leaves(block.bins)], *block.gradients(prediction, up, limit), width, counts, sums)
+        for number, (_, counts, sums) in totals.items():
             some = np.flatnonzero(counts)
             columns = [np.full(len(some), number), some, counts[some].astype(np.int64), sums[some].astype(np.int64)]
             yield pa.record_batch(columns, ["trial", "at", "n", "g"])
 
-    added = sample.mapInArrow(add, "trial bigint, at bigint, n bigint, g bigint").groupBy("trial", "at").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
-    out = {number: (np.zeros((len(nodes), n, width)), np.zeros((len(nodes), n, width))) for number, (_, _, nodes) in growing.items()}
-    for trial, at, count, total in added.collect():
-        out[trial][0].flat[at], out[trial][1].flat[at] = count, total
+    added = sample.drop("__rows").mapInArrow(add, "trial bigint, at bigint, n bigint, g bigint")
+    added = added.groupBy("trial", "at").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
+    trial, at, count, total = (c.to_numpy() for c in added.toArrow().columns)
+    out = {}
+    for number, (_, nodes, _) in plan.items():
+        counts, sums = np.zeros((len(nodes), n, width)), np.zeros((len(nodes), n, width))
+        own = trial == number
+        counts.flat[at[own]], sums.flat[at[own]] = count[own], total[own]
+        out[number] = counts, sums
     return out
 
 
@@ -163,8 +150,7 @@ def _grow(rows: _Rows, trials: Sequence[Trial], width: int, up: int, step: int,
     """The next tree of every trial, level by level; a pass serves all that still grow."""
     n = rows.n
     learn = rows.state.filter("__train")
-    share = F.pmod(F.xxhash64(F.lit(seed + step), "__row"), F.lit(SHARES))
-    sample = learn.withColumn("__share", share)
+    sample = shared(learn, seed + step)
     chosen = {t.number: sorted(t.draw.sample(range(n), max(1, round(n * t.params.feature_fraction)))) for t in trials}
     trees = {t.number: Tree() for t in trials}
     growing = {t.number: (t, trees[t.number], [0]) for t in trials}
@@ -190,36 +176,31 @@ def _grow(rows: _Rows, trials: Sequence[Trial], width: int, up: int, step: int,
 
 def _leaf_values(rows: _Rows, trials: Sequence[Trial], trees: dict[int, Tree], quantile: float) -> None:
     """Set every leaf to the exact quantile of its residuals, by counting digits of all trials at once."""
-    learn, read = rows.state.filter("__train"), rows.each(trials)
+    learn = rows.state.filter("__train")
     prefix: dict[tuple[int, int], int] = {}
     rank: dict[tuple[int, int], int] = {}
     for step in range(64 // DIGIT):
         shift, wanted = 64 - DIGIT * (step + 1), dict(prefix)
+        read = rows.each([t for t in trials if not step or any(number == t.number for number, _ in wanted)])
 
         def count(batches: Iterator[pa.RecordBatch], shift=shift, wanted=wanted, step=step) -> Iterator[pa.RecordBatch]:
             known = {number: np.full(len(tree.feature), -1, np.int64) for number, tree in trees.items()}
             for (number, leaf), value in wanted.items():
                 known[number][leaf] = value
+            runs: dict[int, list] = {}
             for batch in batches:
-                for trial, bins, error in read(batch):
-                    seen = known[trial.number]
-                    if step and (seen < 0).all():
-                        continue
-                    leaf, key = trees[trial.number].leaves(bins), sortable(error)
-                    high = (key.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(shift)
-                    if step:
-                        own = (seen[leaf] >= 0) & ((high >> np.uint64(DIGIT)).astype(np.int64) == seen[leaf])
-                        leaf, key, high = leaf[own], key[own], high[own]
-                    code = leaf.astype(np.int64) << DIGIT | (high & np.uint64(2**DIGIT - 1)).astype(np.int64)
-                    order = np.lexsort((key, code))
-                    code, key = code[order], key[order]
-                    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
-                    last = np.r_[first[1:], len(code)][: len(first)] - 1
-                    columns = [np.full(len(first), trial.number), code[first] >> DIGIT, code[first] & (2**DIGIT - 1), last - first + 1, key[first], key[last]]
-                    yield pa.record_batch(columns, ["trial", "leaf", "digit", "n", "low", "high"])
+                for block, found in read(batch):
+                    for number, prediction in found:
+                        runs.setdefault(number, []).append(
+                            block.digit_runs(prediction, trees[number].leaves(block.bins), shift, known[number] if step else None)
+                        )
+                        runs[number] = [merged(runs[number])]
+            for number, ((code, rows, low, high),) in runs.items():
+                columns = [np.full(len(code), number), code >> DIGIT, code & (2**DIGIT - 1), rows, low, high]
+                yield pa.record_batch(columns, ["trial", "leaf", "digit", "n", "low", "high"])
 
         sums = (
-            learn.mapInArrow(count, "trial bigint, leaf bigint, digit bigint, n bigint, low bigint, high bigint")
+            learn.drop("__rows").mapInArrow(count, "trial bigint, leaf bigint, digit bigint, n bigint, low bigint, high bigint")
             .groupBy("trial", "leaf", "digit")
             .agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
         )
@@ -250,15 +231,11 @@ def _losses(rows: _Rows, trials: Sequence[Trial], quantile: float) -> dict[int,
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for trial, _, error in read(batch):
-                units = np.floor(np.maximum(quantile * error, (quantile - 1.0) * error) * LOSS_UNIT + 0.5)
-                upper = np.floor(units / HALF)
-                found.append((trial.number, int(upper.sum()), int((units - upper * HALF).sum()), len(error)))
-            columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
+            sums = [(number, *block.loss(prediction, quantile)) for block, found in read(batch) for number, prediction in found]
+            columns = [pa.array(c, pa.int64()) for c in np.reshape(sums, (-1, 4)).T.astype(np.int64)]
             yield pa.record_batch(columns, ["trial", "upper", "lower", "n"])
 
-    left = rows.state.filter("not __train").mapInArrow(add, "trial bigint, upper bigint, lower bigint, n bigint")
+    left = rows.state.filter("not __train").drop("__rows").mapInArrow(add, "trial bigint, upper bigint, lower bigint, n bigint")
     wide = lambda c: F.sum(F.col(c).cast("decimal(19,0)")).alias(c)
     found = left.groupBy("trial").agg(wide("upper"), wide("lower"), F.sum("n").alias("n")).collect()
     return {r.trial: float(int(r.upper) * HALF + int(r.lower)) / LOSS_UNIT / r.n for r in found if r.n}
