@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from turnstile.operators import slices
 from turnstile.operators.dataset import add_time_index, encoder_windows, min_encoder_rows, ordered_cutoff, ordered_split
 from turnstile.operators.gold import exact_group_quantiles, group_quantiles, rolling_stats, row_labels
 from turnstile.operators.joins import next_in_sequence
@@ -138,6 +139,20 @@ def test_labels_on_the_rolling_pass(spark, rows, per_slice):
     assert rows(got, "k", "id", "label_1", "label_30") == rows(want, "k", "id", "label_1", "label_30")
 
 
+def test_small_slices_share_tasks(spark, rows):
+    """Slices keep their size, ties their slice; tasks do not grow with the number of slices."""
+    df = series(spark, 3000).withColumn("v", F.col("v") % 5)
+    hot = df.filter("k = 'hot'")
+    n = hot.count()
+    cold, dealt = slices._deal(df, hot.select("k").distinct(), n, ["k"], ["v"], 10)
+    assert dealt.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and cold.count() == 3000 - n
+    assert dealt.groupBy("v").agg(F.countDistinct("__slice").alias("n")).filter("n > 1").isEmpty()
+    dealt = slices._deal(df, hot.select("k").distinct(), n, ["k"], ["v", "id"], 10)[1]
+    sizes = dealt.groupBy("__slice").agg(F.count("*").alias("n"), F.min(F.struct("v", "id")).alias("a"), F.max(F.struct("v", "id")).alias("b")).orderBy("__slice").collect()
+    assert sum(r.n for r in sizes) == n and max(r.n for r in sizes) == 10 and len(sizes) <= n / 10 + dealt.rdd.getNumPartitions()
+    assert all(r.b < s.a for r, s in zip(sizes, sizes[1:]))
+
+
 def test_rolling_window_ends_are_inclusive(spark):
     data = [("a", 0, 1.0), ("a", 604800, 3.0), ("a", 604801, 5.0)]
     df = spark.createDataFrame(data, "k string, t long, x double").withColumn("ts", F.timestamp_seconds("t"))

@@ -7,9 +7,11 @@ table. Here the hot keys, and only they, are cut into *slices*:
 - one narrow aggregate counts the rows of each key; if no key has more than
   ``rows_per_slice``, the plain window is the whole plan;
 - else the hot rows are dealt out by ranges of (key, order columns), which
-  Spark takes from a sample of these rows, and checkpointed: a range is a slice.
-  Any sortable columns will do, outliers do not widen a slice, and rows that tie
-  in the first order column are cut along the further ones;
+  Spark takes from a sample of these rows, sorted, cut into slices of
+  ``rows_per_slice`` rows and checkpointed. A range is a task and holds many slices
+  if these are small: tasks follow from the rows, so small slices do not flood the
+  driver with tasks. Any sortable columns will do, outliers do not widen a slice,
+  and rows that tie in the first order column are cut along the further ones;
 - each slice gets one extra row with the running totals before it, and copies of
   the few rows just outside it that a window looks at;
 - one window by (key, slice) then finishes the work in one wide shuffle.
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from turnstile.session import shared_folder
 
 ROWS_PER_SLICE = 1_000_000
-# Slices beyond the even share: bounds come from a sample, so sizes vary.
+# A task's rows at most, if slices are smaller.
+ROWS_PER_TASK = 200_000
+# Ranges beyond the even share: bounds come from a sample, so sizes vary.
 FINER = 2
 
 _ALL = "__all"
@@ -51,13 +55,23 @@ def _hot_keys(df: DataFrame, keys: Sequence[str], rows_per_slice: int) -> tuple[
     return counts, counts.agg(F.sum("__rows")).first()[0] or 0
 
 
+def _ranges(df: DataFrame, n_rows: int, rows_per_slice: int) -> int:
+    """How many ranges the hot rows are dealt out to: a slice each, or a task's fill of smaller slices; a range per core at least."""
+    slices, fills = (math.ceil(n_rows * FINER / rows) for rows in (rows_per_slice, max(rows_per_slice, ROWS_PER_TASK)))
+    return min(slices, max(fills, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def _deal(df: DataFrame, hot: DataFrame, n_rows: int, keys: Sequence[str], order: Sequence[str], rows_per_slice: int):
     """The rows of ordinary keys in slice 0, and the checkpointed rows of hot keys in slices from 1 on."""
     marked = _same(df, hot.select(*keys, F.lit(True).alias("__hot")), keys, "left")
     marked = marked.withColumn("__hot", F.coalesce("__hot", F.lit(False)))
-    pieces = math.ceil(n_rows * FINER / rows_per_slice)
-    dealt = marked.filter("__hot").repartitionByRange(pieces, *[F.col(c) for c in dict.fromkeys([*keys, *order])])
-    dealt = dealt.withColumn("__slice", F.spark_partition_id().cast("long") + 1).checkpoint()
+    along = [F.col(c) for c in dict.fromkeys([*keys, *order])]
+    dealt = marked.filter("__hot").repartitionByRange(_ranges(df, n_rows, rows_per_slice), *along).sortWithinPartitions(*along)
+    # Ids ascend along the ranges and, within one, along its rows; rows that tie take the first one's, and so its slice.
+    # The ranges hold such rows together: no shuffle.
+    dealt = dealt.withColumn("__at", F.monotonically_increasing_id())
+    dealt = dealt.withColumn("__at", F.min("__at").over(Window.partitionBy(*along)))
+    dealt = dealt.withColumn("__slice", F.expr(f"__at div {rows_per_slice}L + 1")).drop("__at").checkpoint()
     return marked.filter(~F.col("__hot")).withColumn("__slice", F.lit(0).cast("long")), dealt
 
 
