@@ -3,6 +3,7 @@
 import math
 import random
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -255,3 +256,15 @@ def test_the_state_is_blocks_of_cells(spark):
         errors = [r["__y"] - (4.25 if r["__f0"] <= 1 else 3.5) for r in rows.filter("not __train").collect()]
         loss = sum(max(0.3 * e, -0.7 * e) for e in errors) / len(errors)
         assert boosting._loss(frame, 2, bounds, done, 0.5, 0.3) == pytest.approx(loss, rel=1e-8)
+
+
+def test_a_round_passes_over_blocks_only(spark, monkeypatch):
+    """What each round of a fit reads are its blocks; the rows written before packing are gone after it."""
+    seen, grown = [], boosting._leaf_quantiles
+    monkeypatch.setattr(boosting, "_leaf_quantiles", lambda state, *rest: seen.append(state.count()) or grown(state, *rest))
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("rows-*"))
+    df = steps(spark, 500).repartition(2)
+    model = fit_quantile(df.filter("i < 400"), df.filter("i >= 400"), ["x", "noise"], "y", 0.5, BoostingParams(rounds=2, leaves=4, min_rows=5, checkpoint_every=1))
+    assert len(model.losses) == 2 and len(seen) == 2 and max(seen) <= 4
+    assert set(folder.glob("rows-*")) == before
