@@ -20,6 +20,8 @@ from turnstile.operators.metrics import coverage, evaluate, mae, pinball_loss, r
 from turnstile.plans.prediction import predict_batch
 from turnstile.plans.training import TrainingConfig, load_models, run_training
 from turnstile.session import shared_folder
+from turnstile.showcase import QUERIES
+from turnstile.showcase.data import LINE_FEATURES, line_rows, line_split
 
 
 def test_metric_values(spark):
@@ -268,3 +270,28 @@ def test_a_round_passes_over_blocks_only(spark, monkeypatch):
     model = fit_quantile(df.filter("i < 400"), df.filter("i >= 400"), ["x", "noise"], "y", 0.5, BoostingParams(rounds=2, leaves=4, min_rows=5, checkpoint_every=1))
     assert len(model.losses) == 2 and len(seen) == 2 and max(seen) <= 4
     assert set(folder.glob("rows-*")) == before
+
+
+def test_both_quantiles_of_quantile_model_grow_on_rows_packed_once(spark, tmp_path, monkeypatch):
+    """One packing without hashes, as all rows take part in each round; each model is the one of its quantile alone."""
+    draw = random.Random(4)
+    lines = []
+    for i in range(400):
+        quantity = draw.choice([None, *range(1, 11)])
+        lines.append((i // 4, i % 4, i % 9, datetime(2024, 1, 1 + i % 28), quantity, draw.random() / 10, 0.02, (quantity or 0) * 10 + draw.randrange(40)))
+    columns = "l_orderkey long, l_linenumber int, l_partkey long, l_shipdate timestamp, l_quantity double, l_discount double, l_tax double, l_extendedprice double"
+    lines = [(*line[:4], *(None if x is None else float(x) for x in line[4:])) for line in lines]
+    spark.createDataFrame(lines, columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen, packed = [], boosting._packed
+    monkeypatch.setattr(boosting, "_packed", lambda *given: seen.append(packed(*given)) or seen[-1])
+    got = QUERIES["quantile_model"](spark, str(tmp_path))
+    assert [frame.columns for frame in seen] == [["__bins", "__counts", "__y", "__train"]]
+    train, valid = line_split(spark, str(tmp_path))
+    params = BoostingParams(rounds=12, leaves=8, learning_rate=0.3, early_stopping=3, checkpoint_every=5)
+    alone = {name: fit_quantile(train, valid, LINE_FEATURES, "l_extendedprice", q, params) for q, name in ((0.5, "p50"), (0.9, "p90"))}
+    assert all(model.trees for model in alone.values())
+    want = score(line_rows(spark, str(tmp_path)), alone).select(*got.columns)
+    assert sorted(got.collect()) == sorted(want.collect())
+    half = BoostingParams(rounds=2, leaves=4, row_fraction=0.5)
+    both = boosting.fit_quantiles(train, valid, LINE_FEATURES, "l_extendedprice", (0.9, 0.2), half)
+    assert both == [fit_quantile(train, valid, LINE_FEATURES, "l_extendedprice", q, half) for q in (0.9, 0.2)]

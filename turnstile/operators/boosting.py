@@ -187,25 +187,28 @@ def _codes(bins: np.ndarray) -> np.ndarray:
 
 
 def _packed(rows: DataFrame, n: int, bounds) -> DataFrame:
-    """The training rows in blocks: cells of rows with equal bins, their labels ascending."""
+    """The training rows in blocks: cells of rows with equal bins, their labels ascending, and their hashes if given."""
     kind = _bin_type(bounds)
-    names = ["__bins", "__counts", "__y", "__train", "__rows"]
+    hashed = ["__row"] if "__row" in rows.columns else []
+    fields = ["__bins binary", "__counts binary", "__y binary", "__train boolean", *["__rows array<bigint>" for _ in hashed]]
+    names = [f.split()[0] for f in fields]
 
     def block(parts: list[tuple[np.ndarray, ...]], is_train: bool) -> pa.RecordBatch:
-        bins, label, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+        bins, label, *row = (np.concatenate(x) for x in zip(*parts, strict=True))
         code = _codes(bins)
         order = np.lexsort((label, code))
         code = code[order]
         first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
         counts = np.diff(np.r_[first, len(code)])
         cells = [bins[order[first]].tobytes(), counts.astype(np.int64).tobytes(), label[order].tobytes()]
-        return pa.record_batch([*[pa.array([c], pa.binary()) for c in cells], pa.array([is_train]), pa.array([row[order]], pa.list_(pa.int64()))], names)
+        hashes = [pa.array([r[order]], pa.list_(pa.int64())) for r in row]
+        return pa.record_batch([*[pa.array([c], pa.binary()) for c in cells], pa.array([is_train]), *hashes], names)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[bool, list] = {True: [], False: []}
         for batch in batches:
             values = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _names(n)])
-            columns = binned(values, bounds).astype(kind), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("__y", "__row"))
+            columns = binned(values, bounds).astype(kind), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("__y", *hashed))
             learns = batch.column("__train").to_numpy(zero_copy_only=False)
             for is_train, parts in waiting.items():
                 own = learns == is_train
@@ -218,7 +221,7 @@ def _packed(rows: DataFrame, n: int, bounds) -> DataFrame:
             if parts:
                 yield block(parts, is_train)
 
-    return rows.mapInArrow(pack, "__bins binary, __counts binary, __y binary, __train boolean, __rows array<bigint>")
+    return rows.mapInArrow(pack, ", ".join(fields))
 
 
 @dataclass
@@ -462,9 +465,18 @@ def _advanced(state: DataFrame, n: int, bounds, trees: Sequence[Tree], rate: flo
 
 
 def prepare(
-    train: DataFrame, valid: DataFrame | None, features: Sequence[str], label: str, quantile: float, params: BoostingParams
-) -> tuple[DataFrame, float, list[list[float]]]:
-    """Packed training and validation rows, the constant to start from and the bounds of the bins."""
+    train: DataFrame,
+    valid: DataFrame | None,
+    features: Sequence[str],
+    label: str,
+    quantiles: Sequence[float],
+    params: BoostingParams,
+    sampled: bool = True,
+) -> tuple[DataFrame, list[float], list[list[float]]]:
+    """Packed training and validation rows, the constant each quantile starts from and the bounds of the bins.
+
+    Only rows that rounds will sample from need their hashes.
+    """
     shared_folder(train.sparkSession)
     n = len(features)
 
@@ -475,19 +487,22 @@ def prepare(
     rows = numbers(train, True)
     if valid is not None:
         rows = rows.unionByName(numbers(valid, False))
-    rows = rows.filter(F.col("__y").isNotNull() & ~F.isnan("__y")).withColumn("__row", F.xxhash64(*_names(n), "__y"))
+    rows = rows.filter(F.col("__y").isNotNull() & ~F.isnan("__y"))
+    if sampled:
+        rows = rows.withColumn("__row", F.xxhash64(*_names(n), "__y"))
     path = work_path(train.sparkSession, "rows")
     rows.write.parquet(path)
     rows = train.sparkSession.read.schema(rows.schema).parquet(path)
     learn = rows.filter("__train")
-    base = exact_group_quantiles(learn.select(F.lit(0).alias("g"), "__y"), ["g"], "__y", {"q": quantile}).collect()
+    probs = {f"q{i}": q for i, q in enumerate(quantiles)}
+    base = exact_group_quantiles(learn.select(F.lit(0).alias("g"), "__y"), ["g"], "__y", probs).collect()
     if not base:
         raise ValueError("no labelled training rows")
     bounds = bin_bounds(learn, n, params.bins) if params.rounds else [[] for _ in features]
     if params.rounds:
         rows = _packed(rows, n, bounds).checkpoint()
         remove_work(train.sparkSession, path)
-    return rows, float(base[0]["q"]), bounds
+    return rows, [float(base[0][name]) for name in probs], bounds
 
 
 def fit_quantile(
@@ -499,9 +514,29 @@ def fit_quantile(
     params: BoostingParams = BoostingParams(),
 ) -> QuantileModel:
     """Fit one quantile; stop early when the validation loss stops falling."""
-    n = len(features)
-    rows, base, bounds = prepare(train, valid, features, label, quantile, params)
-    model = QuantileModel(float(quantile), list(features), base, params.learning_rate, bounds)
+    return fit_quantiles(train, valid, features, label, [quantile], params)[0]
+
+
+def fit_quantiles(
+    train: DataFrame,
+    valid: DataFrame | None,
+    features: Sequence[str],
+    label: str,
+    quantiles: Sequence[float],
+    params: BoostingParams = BoostingParams(),
+) -> list[QuantileModel]:
+    """The models that ``fit_quantile`` gives for each quantile; the rows are binned and packed once for all."""
+    if not quantiles:
+        return []
+    sampled = round(params.row_fraction * SHARES) < SHARES
+    rows, bases, bounds = prepare(train, valid, features, label, quantiles, params, sampled)
+    models = [QuantileModel(float(q), list(features), base, params.learning_rate, bounds) for q, base in zip(quantiles, bases, strict=True)]
+    return [_grown(rows, model, params, valid is not None) for model in models]
+
+
+def _grown(rows: DataFrame, model: QuantileModel, params: BoostingParams, checked: bool) -> QuantileModel:
+    """The model with its trees, grown on packed rows; ``checked`` against the validation rows."""
+    n, bounds, quantile = len(model.features), model.bounds, model.quantile
     state = rows.withColumn("__pred", F.lit(model.base))
     done: list[Tree] = []
     draw = random.Random(params.seed)
@@ -530,8 +565,8 @@ def fit_quantile(
         if (step + 1) % params.checkpoint_every == 0:
             state = _advanced(state, n, bounds, done, params.learning_rate)
             done = []
-        best_rounds = step + 1 if valid is None else best_rounds
-        if valid is None:
+        best_rounds = best_rounds if checked else step + 1
+        if not checked:
             continue
         loss = _loss(state, n, bounds, done, params.learning_rate, quantile)
         if loss is None:

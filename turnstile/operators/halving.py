@@ -257,7 +257,7 @@ def halving_search(
     can be compared: ValueError. With ``trials`` 0 the start itself is grown.
     """
     drawn = candidates(trials, start) or [start]
-    rows, base, bounds = prepare(train, valid, features, label, quantile, start)
+    rows, (base,), bounds = prepare(train, valid, features, label, [quantile], start)
     if rows.filter("not __train").isEmpty():
         raise ValueError("no labelled validation rows")
     live = [

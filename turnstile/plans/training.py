@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile.operators import registry
-from turnstile.operators.boosting import BoostingParams, QuantileModel, fit_quantile, score
+from turnstile.operators.boosting import BoostingParams, QuantileModel, fit_quantiles, score
 from turnstile.operators.dataset import ordered_split, training_rows
 from turnstile.operators.features import FEATURES
 from turnstile.operators.halving import halving_search
@@ -56,8 +56,8 @@ def train_quantiles(
     if trials:
         search = halving_search(train, valid, features, label, quantiles[0], trials, boosting)
         boosting, models = search.params, {quantile_label(quantiles[0]): search.model}
-    for q in quantiles[len(models) :]:
-        models[quantile_label(q)] = fit_quantile(train, valid, features, label, q, boosting)
+    rest = quantiles[len(models) :]
+    models |= zip(map(quantile_label, rest), fit_quantiles(train, valid, features, label, rest, boosting), strict=True)
     columns = {float(q): quantile_label(q) for q in quantiles}
     measured = evaluate(score(valid, models).dropna(subset=[label]), label, columns).first()
     metrics = {k: float(v) for k, v in measured.asDict().items() if v is not None}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnstile.functions.times import version_stamp
 from turnstile.operators import quality, registry
-from turnstile.operators.boosting import BoostingParams, fit_quantile, score
+from turnstile.operators.boosting import BoostingParams, fit_quantile, fit_quantiles, score
 from turnstile.operators.curate import pick_features
 from turnstile.operators.dataset import add_series_id, add_time_index, encoder_windows, feature_matrix, ordered_split, training_features, training_rows
 from turnstile.operators.joins import next_in_sequence
@@ -253,7 +253,7 @@ def line_split(spark, folder):
 def quantile_model(spark, folder):
     train, valid = line_split(spark, folder)
     params = BoostingParams(rounds=12, leaves=8, learning_rate=0.3, early_stopping=3, checkpoint_every=5)
-    models = {n: fit_quantile(train, valid, LINE_FEATURES, "l_extendedprice", q, params) for q, n in ((0.5, "p50"), (0.9, "p90"))}
+    models = dict(zip(("p50", "p90"), fit_quantiles(train, valid, LINE_FEATURES, "l_extendedprice", (0.5, 0.9), params), strict=True))
     return score(line_rows(spark, folder), models).select("l_orderkey", "l_linenumber", "l_extendedprice", "p50", "p90")
 
 
@@ -274,7 +274,7 @@ def quantile_baseline(spark, folder):
     """Models without trees: the exact quantiles of the training rows."""
     train, valid = line_split(spark, folder)
     params = BoostingParams(rounds=0)
-    models = {n: fit_quantile(train, valid, LINE_FEATURES, "l_extendedprice", q, params) for q, n in ((0.5, "p50"), (0.9, "p90"))}
+    models = dict(zip(("p50", "p90"), fit_quantiles(train, valid, LINE_FEATURES, "l_extendedprice", (0.5, 0.9), params), strict=True))
     return score(line_rows(spark, folder), models).select("l_orderkey", "l_linenumber", "l_extendedprice", "p50", "p90")
 
 
