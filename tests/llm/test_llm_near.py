@@ -185,3 +185,22 @@ def test_sets_that_link_share_a_key():
             heavy = np.sort(rng.choice(base, len(base) // 2, replace=False))
             keys = [set(parity.segment_keys(s, heavy, likeness, False).tolist()) for s in (base, other)]
             assert keys[0] & keys[1]
+
+
+def shuffled(spark):
+    """Bytes that the stages of the session have written for shuffles so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    stages = context.statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_sets_of_one_large_cluster_travel_a_few_times(spark, monkeypatch):
+    monkeypatch.setattr(parity, "BLOCK", 16)
+    rows = near_rows(150, [1200], 40, 4)
+    rows = [(i, " ".join(rows[0][1].split()[:1100] + t.split()[1100:])) for i, t in rows]  # 150 sets near each other
+    before = shuffled(spark)
+    found = parity.near_components(frame(spark, rows)).collect()
+    sent = shuffled(spark) - before
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute_components(rows)
+    assert sent < 4 * sum(len(t) for _, t in rows)

@@ -6,7 +6,8 @@ bits of a segment are held as the XOR of a random word per set bit. Sets of one
 size band with Jaccard similarity t or more are apart by at most D shingles, so
 of the first D + 1 segments that are not empty in one of them, one is equal in
 the other: sets meet on equal segments. A narrow sketch then bounds the distance
-from below, and what passes is verified on the sets.
+from below: only sketches travel to the groups that share a segment, and a set only
+to the pairs that are verified, closest first and none between sets that links join.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from turnstile.llm.words import LOWER, grams, hash_slices, mix, owners, passes,
 HEAVY = 0.002
 #: Larger candidate groups are compared in blocks of this many sets.
 BLOCK = 1024
-#: Most large groups whose sizes are broadcast, 12 bytes each.
-BROADCAST_ROWS = 200_000
+#: A round lets each component take part in so many times the verified pairs of the round before.
+MORE = 8
 #: Segment key of a set that has too few segments with a shingle for its band.
 SHORT = 1
 
@@ -158,13 +159,26 @@ def _band(likeness: Likeness, n: int) -> tuple[tuple[int, int], tuple[int, int]]
     return known[i], known[i + 1]
 
 
+def sketch_words(n: int) -> int:
+    """Words of the narrow sketch of n shingles, a power of two: four to eight bits per shingle."""
+    return max(8, 1 << max(0, (4 * n - 1).bit_length() - 6))
+
+
 def narrow_sketch(members: np.ndarray, words: int) -> np.ndarray:
-    """Parity of the set in so many words of bits: one bit per shingle."""
+    """Parity of the set in so many words of bits, a power of two: one bit per shingle."""
     bits = (mix(members ^ np.uint64(0x5BD1E995)) % np.uint64(64 * words)).astype(np.int64)
     odd = np.bincount(bits, minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """The sketches, a row each, of the same sets in fewer words."""
+    while sketches.shape[-1] > words:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
+
+
 class Forest:
     """Union-find over row numbers."""
 
@@ -183,42 +197,64 @@ class Forest:
         return x != y
 
 
-def group_links(left: list[np.ndarray], right: list[np.ndarray] | None, likeness: Likeness) -> list[tuple[int, int]]:
-    """Links inside ``left``, or from left to right, that join all sets which any links join.
+class Side:
+    """Sets of a block: names, components, sizes and sketches, those of one width together."""
 
-    The narrow sketches rule out most pairs; the others are verified, closest
-    first, unless earlier links already join the two.
-    """
-    inside = right is None
-    others = left if inside else right
-    a_sizes, b_sizes = (np.array([len(x) for x in side]) for side in (left, others))
-    words = max(8, int(max(a_sizes.max(), b_sizes.max())) // 16)  # four bits per shingle
-    a_sketch = np.stack([narrow_sketch(x, words) for x in left])
-    b_sketch = a_sketch if inside else np.stack([narrow_sketch(x, words) for x in others])
-    forest = Forest(len(left) if inside else len(left) + len(others))
-    rows, columns, distances = [], [], []
+    def __init__(self, rows: list[tuple[int, int, int, bytes]]):
+        self.nodes, self.labels, self.sizes = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
+        self.sketches = [np.frombuffer(r[3], "<u8") for r in rows]
+        widths = np.array([len(x) for x in self.sketches])
+        self.classes = [(int(w), at, np.stack([self.sketches[i] for i in at])) for w in np.unique(widths) for at in [np.flatnonzero(widths == w)]]
+
+
+def near_pairs(left: Side, right: Side | None, likeness: Likeness) -> tuple[np.ndarray, np.ndarray]:
+    """Rows inside ``left``, or of left and right, that have two components and may link, closest first."""
+    others = left if right is None else right
+    rows, columns, distances = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     rate = likeness.whole + likeness.part
-    for i in range(len(left)):
-        begin = i + 1 if inside else 0
-        distance = np.bitwise_count(b_sketch[begin:] ^ a_sketch[i]).sum(axis=1, dtype=np.int64)
-        most = (b_sizes[begin:] + a_sizes[i]) * (likeness.whole - likeness.part) // rate
-        near = np.flatnonzero((distance <= most) & (np.abs(b_sizes[begin:] - a_sizes[i]) <= most))
-        rows.append(np.full(len(near), i))
-        columns.append(near + begin)
-        distances.append(distance[near])
+    for width, at, sketches in others.classes:
+        by_label = {}
+        for i in range(len(left.nodes)):
+            label = int(left.labels[i])
+            if label not in by_label:  # the members of a large component meet the few others only
+                by_label = {label: np.flatnonzero(others.labels[at] != label)}
+            apart = by_label[label]
+            if right is None:
+                apart = apart[np.searchsorted(at[apart], i, side="right") :]
+            most = (others.sizes[at[apart]] + left.sizes[i]) * (likeness.whole - likeness.part) // rate
+            fits = np.abs(others.sizes[at[apart]] - left.sizes[i]) <= most
+            apart, most = apart[fits], most[fits]
+            if not len(apart):
+                continue
+            words = min(width, len(left.sketches[i]))
+            distance = np.bitwise_count(folded(sketches[apart], words) ^ folded(left.sketches[i], words)).sum(axis=1, dtype=np.int64)
+            near = distance <= most
+            rows.append(np.full(int(near.sum()), i))
+            columns.append(at[apart[near]])
+            distances.append(distance[near])
     order = np.argsort(np.concatenate(distances), kind="stable")
-    rows, columns = np.concatenate(rows)[order], np.concatenate(columns)[order]
-    shift = 0 if inside else len(left)
-    out = []
+    return np.concatenate(rows)[order], np.concatenate(columns)[order]
+
+
+def group_pairs(left: Side, right: Side | None, likeness: Likeness, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs to verify, closest first, and whether others were left out.
+
+    Left out is a pair whose components earlier pairs join if both have ``most``
+    pairs by then. So what is left out can matter only if one of the others proves
+    not to link.
+    """
+    others = left if right is None else right
+    rows, columns = near_pairs(left, right, likeness)
+    names, place = np.unique(np.concatenate([left.labels, others.labels]), return_inverse=True)
+    place = place.tolist()
+    forest, taken, out = Forest(len(names)), [0] * len(names), []
     for i, j in zip(rows.tolist(), columns.tolist(), strict=True):
-        if forest.find(i) == forest.find(j + shift):
-            continue
-        a, b = left[i], others[j]
-        common = len(np.intersect1d(a, b, assume_unique=True))
-        if likeness.links(common, len(a), len(b)):
-            forest.join(i, j + shift)
-            out.append((i, j))
-    return out
+        x, y = place[i], place[len(left.labels) + j]
+        if forest.join(x, y) or min(taken[x], taken[y]) < most:
+            taken[x] += 1
+            taken[y] += 1
+            out.append((int(left.nodes[i]), int(others.nodes[j])))
+    return out, len(out) < len(rows)
 
 
 def shared_segments(docs: DataFrame, heavy: np.ndarray, likeness: Likeness, wide: bool) -> DataFrame:
@@ -264,81 +300,147 @@ def shared_segments(docs: DataFrame, heavy: np.ndarray, likeness: Likeness, wide
     return rows.mapInArrow(walk, "node bigint, head bigint").distinct()
 
 
-def verified_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, likeness: Likeness) -> DataFrame:
-    """(a, b): links that join all sets of each head's group which any links join.
-
-    ``nodes`` refers to one document per set. Groups over ``BLOCK`` sets are compared
-    block by block, each pair of blocks by a task of its own.
-    """
-    large = pairs.groupBy("head").agg(F.count("*").alias("n")).filter(F.col("n") >= BLOCK)
-    large = large.select("head", F.ceil((F.col("n") + 1) / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    if large.count() <= BROADCAST_ROWS:  # else a shuffled join
-        large = F.broadcast(large)
-    member = pairs.unionByName(pairs.select(F.col("head").alias("node"), "head").distinct())
-    member = member.join(large, "head", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    sent = member.withColumn("block", block).groupBy("node").agg(F.collect_list(F.struct("head", "block", "blocks")).alias("groups"))
-    texts = docs.join(sent.join(nodes, "node"), "ref").select("node", "text", "groups")
+def wanted_texts(docs: DataFrame, nodes: DataFrame, likeness: Likeness) -> DataFrame:
+    """(node, text, n, sketch) of each set in ``nodes``, which refers to one document per set."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in passes(batch):
                 found, cuts = shingle_sets(*text_bytes(part.column("text")), likeness.shingle)
-                node = part.column("node").to_numpy()
-                meant = set_ids(found, cuts).view(np.int64) == node  # not so where ids repeat
-                rows = []
-                for i, groups in enumerate(part.column("groups").to_pylist()):
-                    if not meant[i]:
-                        continue
-                    cell = found[cuts[i] : cuts[i + 1]].tobytes()
-                    for g in groups:
-                        for other in range(g["blocks"]):
-                            a, b = sorted((g["block"], other))
-                            rows.append((g["head"], a, b, g["block"], int(node[i]), cell))
-                        if len(rows) > 2000:
-                            yield _cells(rows)
-                            rows = []
-                if rows:
-                    yield _cells(rows)
+                meant = np.flatnonzero(set_ids(found, cuts).view(np.int64) == part.column("node").to_numpy())  # not all where ids repeat
+                sizes = np.diff(cuts)[meant]
+                sketches = [narrow_sketch(found[cuts[i] : cuts[i + 1]], sketch_words(int(n))).tobytes() for i, n in zip(meant, sizes, strict=True)]
+                kept = part.select(["node", "text"]).take(pa.array(meant))
+                yield pa.record_batch([*kept.columns, pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["node", "text", "n", "sketch"])
+
+    return docs.join(nodes, "ref").select("node", "text").mapInArrow(fetch, "node bigint, text string, n bigint, sketch binary")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, likeness: Likeness) -> DataFrame:
+    """(a, b, linked): whether the sets of each pair link; each text goes once to each of its pairs."""
+    ends = F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("side")), F.struct(F.col("b").alias("node"), F.lit(1).alias("side")))
+    sent = pairs.select("a", "b", F.inline(ends))
+    rows = texts.join(sent, "node").select("a", "b", "side", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, None
+        for batch in batches:
+            for part in passes(batch):
+                found, cuts = shingle_sets(*text_bytes(part.column("text")), likeness.shingle)
+                out = []
+                for i, (a, b, side) in enumerate(zip(*(part.column(c).to_pylist() for c in ("a", "b", "side")), strict=True)):
+                    own = found[cuts[i] : cuts[i + 1]]
+                    if not side:
+                        held, first = (a, b), own.copy()
+                    elif held == (a, b):  # once, also where a text comes twice
+                        common = len(np.intersect1d(first, own, assume_unique=True))
+                        out.append((a, b, likeness.links(common, len(first), len(own))))
+                        held = None
+                columns = zip(*out, strict=True) if out else ([], [], [])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "linked"])
+
+    rows = rows.repartition(partitions(texts), "a", "b").sortWithinPartitions("a", "b", "side")
+    return rows.mapInArrow(compare, "a bigint, b bigint, linked boolean")
+
+
+def nearest_heads(pairs: DataFrame, sketches: DataFrame, likeness: Likeness) -> DataFrame:
+    """(a, b): each set of ``pairs`` with that of its heads which its sketch is closest to, if they may link."""
+    head = sketches.select(F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("sketch").alias("head_sketch"))
+    rate = likeness.whole + likeness.part
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for node, head, n, head_n, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                words = min(len(x), len(y))
+                distance = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+                most = (n + head_n) * (likeness.whole - likeness.part) // rate
+                if max(distance, abs(n - head_n)) <= most:
+                    out.append((node, head, distance))
+            columns = zip(*out, strict=True) if out else ([], [], [])
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["node", "head", "distance"])
+
+    both = pairs.join(sketches, "node").join(head, "head").select("node", "head", "n", "head_n", "sketch", "head_sketch")
+    near = both.mapInArrow(compare, "node bigint, head bigint, distance bigint")
+    best = near.groupBy("node").agg(F.min(F.struct("distance", "head")).alias("best"))
+    return best.select(F.least("node", "best.head").alias("a"), F.greatest("node", "best.head").alias("b")).distinct()
+
+
+def pairs_to_verify(members: DataFrame, sketches: DataFrame, likeness: Likeness, most: int) -> DataFrame:
+    """(head, a, b): pairs of each head's group as of ``group_pairs``, and one row without a and b if a task left others out.
+
+    ``members`` is (head, node, label). Groups over ``BLOCK`` sets are compared block
+    by block, each pair of blocks by a task of its own.
+    """
+    split = members.groupBy("head").agg(F.count("*").alias("sets"), F.min("label").alias("low"), F.max("label").alias("high"))
+    split = split.filter("low <> high").select("head", F.ceil(F.col("sets") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    sent = members.join(split, "head").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = sent.join(sketches, "node").select(
+        "head", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "label", "n", "sketch"
+    )
+
+    def work(task: tuple, rows: list[tuple]) -> list[tuple]:
+        head, x, y = task
+        left = [r[1:] for r in rows if r[0] == x]
+        right = None if x == y else [r[1:] for r in rows if r[0] == y]
+        if not left or (right is not None and not right):
+            return []
+        found, cut = group_pairs(Side(left), None if right is None else Side(right), likeness, most)
+        return [(head, min(p), max(p)) for p in found] + [(head, None, None)] * cut
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held != row[:3] and rows:
-                    yield _links(held, rows, likeness)
+                    yield _pairs(work(held, rows))
                     rows = []
                 held = row[:3]
                 rows.append(row[3:])
         if rows:
-            yield _links(held, rows, likeness)
+            yield _pairs(work(held, rows))
 
-    cells = texts.mapInArrow(fetch, "head bigint, a int, b int, block int, node bigint, members binary")
     return (
-        cells.repartition(partitions(docs), "head", "a", "b")
-        .sortWithinPartitions("head", "a", "b", "block", "node")
-        .mapInArrow(compare, "a bigint, b bigint")
+        cells.repartition(partitions(members), "head", "x", "y")
+        .sortWithinPartitions("head", "x", "y", "block", "node")
+        .mapInArrow(compare, "head bigint, a bigint, b bigint")
     )
 
 
-_CELLS = pa.schema([("head", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("block", pa.int32()), ("node", pa.int64()), ("members", pa.binary())])
-
+def _pairs(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ([], [], [])
+    return pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["head", "a", "b"])
 
-def _cells(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CELLS.types, strict=True)], schema=_CELLS)
 
+def linked_groups(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, likeness: Likeness) -> DataFrame:
+    """(node, component): the sets of ``pairs`` that links inside a head's group join, by the smallest of them.
 
-def _links(task: tuple, rows: list[tuple], likeness: Likeness) -> pa.RecordBatch:
-    _, a, b = task
-    rows = [r for i, r in enumerate(rows) if not i or r[:2] != rows[i - 1][:2]]
-    left = [r for r in rows if r[0] == a]
-    right = None if a == b else [r for r in rows if r[0] == b]
-    found = []
-    if left and (right is None or right):
-        sets = [[np.frombuffer(r[2], np.uint64) for r in side] if side is not None else None for side in (left, right)]
-        found = group_links(*sets, likeness)
-    others = left if right is None else right
-    return pa.record_batch([pa.array([left[i][1] for i, _ in found], pa.int64()), pa.array([others[j][1] for _, j in found], pa.int64())], ["a", "b"])
+    ``nodes`` refers to one document per set. First each set is verified with its
+    nearest head. Then rounds verify pairs of two components in one group; where a
+    pair does not link and others were left out, the group goes on with more pairs.
+    """
+    member = pairs.select("head", "node").unionByName(pairs.select("head", F.col("head").alias("node")).distinct())
+    texts = stored(wanted_texts(docs, nodes.join(member.select("node").distinct(), "node", "left_semi"), likeness), "texts")
+    sketches = stored(texts.select("node", "n", "sketch").dropDuplicates(["node"]), "sketches")
+    tried = stored(verified(nearest_heads(pairs, sketches, likeness), texts, likeness), "verified")
+    groups = components(tried.filter("linked"))
+    most = 1
+    while True:
+        label = F.coalesce("component", "node").alias("label")
+        labelled = member.join(groups, "node", "left").select("head", "node", label)
+        found = stored(pairs_to_verify(labelled, sketches, likeness, most), "near")
+        picked, cut = found.filter("a is not null"), found.filter("a is null").select("head").distinct()
+        new = stored(verified(picked.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), texts, likeness), "verified")
+        tried = tried.unionByName(new)
+        if not new.filter("linked").isEmpty():
+            groups = components(tried.filter("linked"))
+        failed = picked.join(tried.filter("linked"), ["a", "b"], "left_anti").select("head").distinct()
+        going = stored(cut.join(failed, "head", "left_semi"), "going")
+        if going.isEmpty():
+            return groups
+        member, most = member.join(going, "head", "left_semi"), most * MORE
 
 
 def near_components(
@@ -384,8 +486,7 @@ def near_groups(
     if not pairs.filter(F.col("head") == SHORT).isEmpty():
         pairs = stored(shared_segments(rows, heavy, likeness, True), "pairs")
     nodes = sizes.filter("node <> 0").groupBy("node").agg(F.min("doc").alias("doc"), F.min("ref").alias("ref"))
-    links = verified_links(rows, nodes.select("node", "ref"), pairs, likeness)
-    groups = components(links)
+    groups = linked_groups(rows, nodes.select("node", "ref"), pairs, likeness)
     least = nodes.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
     named = least.groupBy("group").agg(F.min("doc").alias("component_id"))
     names = least.select("node", "group").join(named, "group").select("node", "group", "component_id")
