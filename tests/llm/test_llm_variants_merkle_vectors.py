@@ -86,6 +86,25 @@ def test_variants_match_brute_force(spark):
     assert spelling.spelling_variants(documents(spark, [])).count() == 0
 
 
+def test_pairs_are_found_once(spark, monkeypatch):
+    found, near_words = spark.sparkContext.accumulator(0), spelling.near_words
+
+    def counted(words):
+        def count(batches):
+            for batch in batches:
+                found.add(batch.num_rows)
+                yield batch
+
+        pairs = near_words(words)
+        return pairs.mapInArrow(count, pairs.schema)
+
+    monkeypatch.setattr(spelling, "near_words", counted)
+    rows = [(i, "orange oranges orangen lemons lemon melons", "s", "en", 1) for i in range(30)]
+    got = spelling.spelling_variants(documents(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == brute_variants(rows)
+    assert 2 * found.value == sum(r.n_near for r in got) > 0
+
+
 def test_crowded_grams_find_the_same_pairs(spark):
     rng = random.Random(9)
     words = sorted({"stem" * rng.choice([1, 2]) + "".join(rng.choice("abcd") for _ in range(rng.choice([2, 3, 4]))) for _ in range(300)})

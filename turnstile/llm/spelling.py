@@ -217,9 +217,12 @@ def spelling_variants(df: DataFrame, id: str = "doc_id", text: str = "text", rat
     """
     words = stored(word_counts(df, id, text), "words")
     pairs = near_words(words)
-    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n_b").alias("other_n")).unionByName(
-        pairs.select(F.col("b").alias("word"), F.col("a").alias("other"), F.col("n_a").alias("other_n"))
+    # Both directions of a pair as it is found: a union would plan and run near_words twice.
+    directions = F.array(
+        F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n_b").alias("other_n")),
+        F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("n_a").alias("other_n")),
     )
+    both = pairs.select(F.inline(directions))
     best = both.groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best")
     )
